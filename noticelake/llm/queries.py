@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from noticelake.llm.common import table
+from noticelake.llm import bpe
+from noticelake.llm.common import documents, table
 from noticelake.llm.dedup import near_duplicates
 
 
@@ -14,8 +16,14 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.decode(bpe.encode(documents(table(spark, sf_dir, "documents"))))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
 ORACLE_SQL: dict[str, str] = {}
