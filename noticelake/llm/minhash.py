@@ -55,13 +55,13 @@ def _powers(base: int, n: int) -> np.ndarray:
 _UP, _DOWN = _powers(_STEP, 1 << 16), _powers(_BACK, 1 << 16)
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and 64-bit hash of every run of non-white-space in UTF-8 bytes, A-Z taken as a-z.
+def word_hashes(data: np.ndarray, between: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of the runs of bytes outside ``between`` (a table of 256 flags), A-Z taken as a-z, then of the prefixes of so many bytes of longer runs.
 
     A word's hash is a polynomial over its bytes, cut out of running sums, so
     that no step loops over words.
     """
-    word = ~_SPACE[data]
+    word = ~between[data]
     edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
     starts, ends = edge[::2], edge[1::2]
     n = len(data)
@@ -69,12 +69,16 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     down = _DOWN if n <= len(_DOWN) else _powers(_BACK, n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTES[data] * up[:n], out=sums[1:])
-    return starts, mix((sums[ends] - sums[starts]) * down[starts])
+    out = [mix((sums[ends] - sums[starts]) * down[starts])]
+    for k in prefixes:
+        of = starts[ends - starts > k]
+        out.append(mix((sums[of + k] - sums[of]) * down[of]) + np.uint64(k))
+    return tuple(out)
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the 4-word shingles; fewer words make one shingle, none make an empty set."""
-    w = word_hashes(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))[1]
+    w = word_hashes(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))[0]
     if not len(w):
         return np.empty(0, np.uint64)
     width = min(SHINGLE, len(w))

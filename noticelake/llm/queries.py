@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import bpe
+from noticelake.llm import bpe, toxicity
 from noticelake.llm.common import documents, table
 from noticelake.llm.dedup import near_duplicates
 
 
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(table(spark, sf_dir, "documents"))
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.classify(docs, chain).drop("text")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -22,6 +28,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity_chain": op2_toxicity_chain,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
