@@ -5,17 +5,20 @@ No step emits all pairs of a bucket:
 1. Rows with the same set collapse to the smallest ``doc_id``.
 2. In each band bucket every member is checked against the bucket's smallest
    id (a star), and the confirmed links are connected.
-3. What is left are pairs of *different* components in one bucket.  Buckets with
-   up to ``SMALL`` components give them directly.  The members of larger buckets
-   go through an exact prefix join instead: two sets with a Jaccard similarity
-   of 0.8 or more share one of their ``n - ceil(0.8 n) + 1`` rarest shingles, and
-   such rare shingles have short lists whatever passage filled the bucket.
-   So nothing is capped or dropped.
+3. What is left are pairs of *different* components in one bucket.  The join
+   that looks for them emits a pair only in the first bucket the two share,
+   and only where sizes and sketches leave a similarity of 0.8 possible.
+   Members of buckets with more than ``LARGE`` left go through a prefix join
+   instead: two sets with a Jaccard similarity of 0.8 or more share one of
+   their ``n - ceil(0.8 n) + 1`` rarest shingles, and such rare shingles have
+   short lists whatever passage filled the bucket.  So nothing is capped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticelake.llm import minhash
@@ -24,8 +27,10 @@ from noticelake.llm.components import components
 
 #: Links need 100 * |A and B| >= 80 * |A or B|.
 PERCENT = 80
-#: Components of a bucket up to which its pairs are formed directly.
-SMALL = 24
+#: Members of a bucket up to which it is searched for pairs directly.
+LARGE = 4_000
+_WORDS = minhash.BINS // 64
+_PLANES = [f"p{k}" for k in range(minhash.BITS * _WORDS)]
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -43,31 +48,40 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _left(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """Bucket members with their component and the number of components, of buckets that hold several."""
+    """(band, doc_id, component, n_members) of the buckets that hold several components."""
     named = stored(buckets.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component")))
-    counts = named.groupBy("band", "component").agg(F.lit(1).alias("one")).groupBy("band").agg(F.count(F.lit(1)).alias("n_components"))
-    return stored(named.join(stored(counts.where("n_components > 1")), "band"))
+    counts = named.groupBy("band").agg(F.count(F.lit(1)).alias("n_members"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return stored(named.join(stored(counts.where("low < high").select("band", "n_members")), "band"))
+
+
+def _possible() -> Column:
+    """Whether rows a and b, of different components, may reach the threshold by their sizes and the bits of their sketches."""
+    a, b = F.col("a.n"), F.col("b.n")
+    apart = [F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), [F.col(f"a.p{k + i * _WORDS}").bitwiseXOR(F.col(f"b.p{k + i * _WORDS}")) for i in range(minhash.BITS)])) for k in range(_WORDS)]
+    differ = reduce(lambda x, y: x + y, apart)
+    return (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) & (differ <= minhash.BINS - minhash.AGREE)
 
 
-def _across(members: DataFrame, key: str) -> DataFrame:
-    """Pairs a < b that share ``key`` and lie in different components."""
-    b = members.select(key, F.col("doc_id").alias("b"), F.col("component").alias("other"))
-    return members.withColumnRenamed("doc_id", "a").join(b, key).where("a < b and component <> other").select("a", "b").distinct()
+def _across(members: DataFrame, key: str, first: Column | None = None) -> DataFrame:
+    """Pairs a < b that share ``key``, lie in different components and may reach the threshold."""
+    on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & _possible()
+    pairs = members.alias("a").join(members.alias("b"), on if first is None else on & first)
+    return pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
 
 
 def _rare(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(item, doc_id, component) for the rarest items of each member's set, as many as the threshold needs."""
-    items = sets.join(members, "doc_id").select("doc_id", "component", F.size("items").alias("n"), F.explode("items").alias("item"))
+    """(doc_id, item) for the rarest items of each member's set, as many as the threshold needs."""
+    items = sets.join(members, "doc_id", "left_semi").select("doc_id", F.size("items").alias("size"), F.explode("items").alias("item"))
     often = stored(items.groupBy("item").agg(F.count(F.lit(1)).alias("often")).where("often > 1"))
     shared = items.join(often, "item")
     # items of one document alone come first in the order and link nothing
-    own = F.col("n") - F.size("in_order")
-    needed = F.col("n") - F.ceil(F.col("n") * PERCENT / 100.0 - 1e-9) + 1
-    ordered = shared.groupBy("doc_id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("in_order"))
-    return ordered.select("doc_id", "component", F.explode(F.slice("in_order", 1, F.greatest(needed - own, F.lit(0)).cast("int"))).alias("x")).select(F.col("x.item").alias("item"), "doc_id", "component")
+    own = F.col("size") - F.size("in_order")
+    needed = F.col("size") - F.ceil(F.col("size") * PERCENT / 100.0 - 1e-9) + 1
+    ordered = shared.groupBy("doc_id", "size").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("in_order"))
+    return ordered.select("doc_id", F.explode(F.slice("in_order", 1, F.greatest(needed - own, F.lit(0)).cast("int"))).alias("x")).select("doc_id", F.col("x.item").alias("item"))
 
 
-def near_duplicates(df: DataFrame) -> DataFrame:
+def near_duplicates(df: DataFrame, large: int = LARGE) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, component_id, kept), one row for each row.
 
     ``component_id`` is the smallest ``doc_id`` reachable over links, ``kept``
@@ -78,7 +92,7 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     An empty table gives an empty table.
     """
     docs = documents(df)
-    sketched = stored(docs.mapInPandas(minhash.sketch_batches, "doc_id long, n_shingles long, set_key binary, bands array<long>"))
+    sketched = stored(docs.mapInPandas(minhash.sketch_batches, "doc_id long, n_shingles long, set_key binary, bands array<long>, planes array<long>"))
     named = sketched.where("doc_id is not null and set_key is not null")
     first = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("first")))
     same = named.select("doc_id", "set_key").distinct().join(first, "set_key").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
@@ -92,11 +106,13 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     found = components(links)
 
     left = _left(buckets.select("band", "doc_id"), found)
-    small = _across(left.where(f"n_components <= {SMALL}"), "band")
-    large = stored(left.where(f"n_components > {SMALL}").select("doc_id", "component").distinct())
-    rare = stored(_rare(large, sets))
-    crowd = stored(rare.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("item"))
-    more = small.unionByName(_across(rare.join(crowd, "item", "left_semi"), "item")).distinct().join(star, ["a", "b"], "left_anti")
+    about = named.select("doc_id", F.col("n_shingles").alias("n"), "bands", *[F.get("planes", k).alias(p) for k, p in enumerate(_PLANES)]).dropDuplicates(["doc_id"])
+    about = stored(about.join(left.select("doc_id", "component").distinct(), "doc_id"))
+    here = left.where(F.col("n_members") <= large).select("band", "doc_id").join(about, "doc_id")
+    first = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.band")
+    crowd = left.where(F.col("n_members") > large).select("doc_id").distinct()
+    rare = stored(_rare(crowd, sets)).join(about.drop("bands"), "doc_id")
+    more = _across(here, "band", first).unionByName(_across(rare, "item")).distinct().join(star, ["a", "b"], "left_anti")
     links = links.unionByName(stored(_verified(more, sets)))
 
     classes = components(links.unionByName(same))

@@ -10,7 +10,10 @@ coordinate of two sketches agrees with probability equal to the Jaccard
 similarity, with the concentration of independent draws.
 
 ``ROWS`` coordinates make a band: at a similarity of 0.8 a pair misses all
-``BINS // ROWS`` bands with a probability of about 1e-7.
+``BANDS`` bands with a probability of about 1e-7.  Four bits of every coordinate
+are kept as well.  Of the ``BINS`` coordinates of such a pair, by the sketch's
+concentration, fewer than ``AGREE`` agree in those bits with a probability of
+about 3e-6, so pairs below that need no look at their sets.
 """
 
 from __future__ import annotations
@@ -22,12 +25,14 @@ import pandas as pd
 import xxhash
 
 SHINGLE = 4
-BINS = 200
+BINS = 512
 ROWS = 5
-BANDS = BINS // ROWS
+BANDS = 40
+BITS = 4
+AGREE = 376
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_LOW = np.uint64((1 << 46) - 1)
+_LOW = np.uint64((1 << 45) - 1)
 _S27, _S30, _S31 = np.uint64(27), np.uint64(30), np.uint64(31)
 
 
@@ -104,7 +109,7 @@ def sketch(items: np.ndarray, bins: int = BINS) -> np.ndarray:
         late = rounds >= bins
         if late.any():
             where[late] = (rounds[late] - np.uint64(bins))[:, None]
-        value = ((where << np.uint64(55)) | (rounds[:, None] << np.uint64(46)) | (h & _LOW)).ravel()
+        value = ((where << np.uint64(55)) | (rounds[:, None] << np.uint64(45)) | (h & _LOW)).ravel()
         value.sort()
         at = np.searchsorted(value, edges)
         first = value[np.minimum(at, len(value) - 1)]
@@ -115,29 +120,37 @@ def sketch(items: np.ndarray, bins: int = BINS) -> np.ndarray:
     return out
 
 
-def bands(sk: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """One 64-bit key per band of ``rows`` coordinates, the band's number included."""
-    parts = sk.reshape(-1, rows)
+def bands(sk: np.ndarray) -> np.ndarray:
+    """One 64-bit key per band, the band's number included."""
+    parts = sk[: BANDS * ROWS].reshape(-1, ROWS)
     out = np.arange(len(parts), dtype=np.uint64) + np.uint64(1)
-    for k in range(rows):
+    for k in range(ROWS):
         out = (out ^ (out >> _S31)) * _M1 + parts[:, k]
     return mix(out).view(np.int64)
 
 
+def planes(sk: np.ndarray) -> np.ndarray:
+    """The lowest BITS bits of the coordinates: for each bit, BINS / 64 words of 64 coordinates."""
+    bits = (sk[None, :] >> np.arange(BITS, dtype=np.uint64)[:, None]).astype(np.uint8) & 1
+    return np.packbits(bits, axis=1).view(np.int64).ravel()
+
+
 def set_key(items: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(items.tobytes())
 
 
 def sketch_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(doc_id, text) -> (doc_id, n_shingles, set_key, bands); set_key and bands are null for empty sets."""
+    """(doc_id, text) -> (doc_id, n_shingles, set_key, bands, planes); the last three are null for empty sets."""
     for frame in frames:
-        n, keys, rows = [], [], []
+        n, keys, rows, bits = [], [], [], []
         for text in frame["text"]:
             items = shingles(text)
             n.append(len(items))
             keys.append(set_key(items) if len(items) else None)
-            rows.append(bands(sketch(items)) if len(items) else None)
-        yield pd.DataFrame({"doc_id": frame["doc_id"].array, "n_shingles": n, "set_key": keys, "bands": rows})
+            sk = sketch(items) if len(items) else None
+            rows.append(None if sk is None else bands(sk))
+            bits.append(None if sk is None else planes(sk))
+        yield pd.DataFrame({"doc_id": frame["doc_id"].array, "n_shingles": n, "set_key": keys, "bands": rows, "planes": bits})
 
 
 def shingle_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

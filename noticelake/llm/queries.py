@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import bpe, toxicity
+from noticelake.llm import bpe, secrets, toxicity
+from noticelake.llm import spans as S
 from noticelake.llm.common import documents, table
 from noticelake.llm.dedup import near_duplicates
 
@@ -18,6 +19,45 @@ def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, chain).drop("text")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(table(spark, sf_dir, "documents")))
+    counts = [S.count(F.col("base_spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(S.written(F.col("base_spans")), 256).alias("base_sha256"), S.written(F.col("spans")).alias("spans"))
+
+
+_DUCK_SPANS = """
+  list_transform(range(1, len({m}) + 1), lambda i: {{'kind': '{kind}', 'start': list_sum(list_transform({g}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({m}[1:i-1], lambda x: length(x))), 0), 'value': {m}[i]}})"""
+
+
+def _duck_spans(kind: str, pattern: str, keep: str = "true") -> str:
+    """A list of (kind, start, value) for the matches of an RE2 pattern in column t."""
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    found, pieces = f"regexp_extract_all(t, {quoted})", f"string_split_regex(t, {quoted})"
+    return f"list_filter({_DUCK_SPANS.format(m=found, g=pieces, kind=kind)}, lambda s: {keep})"
+
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT doc_id, t,
+  {_duck_spans("assign", secrets.RE2_ASSIGN, f"length(regexp_extract(s.value, '{secrets.RE2_ASSIGN.replace(chr(39), chr(39) * 2)}', 2)) >= 12")} AS assign,
+  {_duck_spans("access", "AKIA[A-Z0-9]+", "length(s.value) >= 18")} AS access,
+  {_duck_spans("hex", "[0-9a-f]+", "length(s.value) >= 16")} AS hex,
+  {_duck_spans("entropy", "[A-Za-z0-9+/_=-]+", "length(s.value) >= 20")} AS candidates
+FROM d),
+c AS (SELECT *, list_transform(list_sort(list_transform(list_concat(list_concat(assign, access), hex), lambda s: {{'a': s.start, 'b': list_position(['assign', 'access', 'hex'], s.kind), 'e': s.start + length(s.value)}})),
+    lambda x: x) AS base FROM b),
+e AS (SELECT *, list_filter(candidates, lambda s: regexp_matches(s.value, '[0-9]') AND regexp_matches(s.value, '[A-Za-z]') AND NOT regexp_matches(s.value, '{secrets.RE2_ALLOWED}')
+    AND len(list_filter(base, lambda o: o.a < s.start + length(s.value) AND s.start < o.e)) = 0
+    AND CASE WHEN regexp_matches(s.value, '^[0-9A-Fa-f]+$')
+      THEN list_max(list_transform(range(1, length(s.value) - 14), lambda j: list_aggregate(string_split(substr(s.value, j, 16), ''), 'entropy'))) >= 3.01
+      ELSE list_max(list_transform(range(1, length(s.value) - 18), lambda j: list_aggregate(string_split(substr(s.value, j, 20), ''), 'entropy'))) >= 3.71 END) AS more FROM c)
+SELECT doc_id, len(assign) AS n_assign, len(access) AS n_access, len(hex) AS n_hex,
+  sha256(array_to_string(list_transform(base, lambda x: ['assign', 'access', 'hex'][x.b] || ':' || x.a || ':' || x.e), ',')) AS base_sha256,
+  array_to_string(list_transform(list_sort(list_concat(base, list_transform(more, lambda s: {{'a': s.start, 'b': 4, 'e': s.start + length(s.value)}}))), lambda x: ['assign', 'access', 'hex', 'entropy'][x.b] || ':' || x.a || ':' || x.e), ',') AS spans
+FROM e
+"""
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,8 +69,11 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity_chain": op2_toxicity_chain,
+    "op4_secret_scan": op4_secret_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_secret_scan": OP4_SQL,
+}
