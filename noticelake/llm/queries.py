@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import bpe, secrets, toxicity
+from noticelake.llm import bpe, mixing, secrets, toxicity
 from noticelake.llm import spans as S
 from noticelake.llm.common import documents, table
 from noticelake.llm.dedup import near_duplicates
@@ -40,9 +40,9 @@ OP4_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 b AS (SELECT doc_id, t,
   {_duck_spans("assign", secrets.RE2_ASSIGN, f"length(regexp_extract(s.value, '{secrets.RE2_ASSIGN.replace(chr(39), chr(39) * 2)}', 2)) >= 12")} AS assign,
-  {_duck_spans("access", "AKIA[A-Z0-9]+", "length(s.value) >= 18")} AS access,
-  {_duck_spans("hex", "[0-9a-f]+", "length(s.value) >= 16")} AS hex,
-  {_duck_spans("entropy", "[A-Za-z0-9+/_=-]+", "length(s.value) >= 20")} AS candidates
+  {_duck_spans("access", "AKIA[A-Z0-9]{14,}")} AS access,
+  {_duck_spans("hex", "[0-9a-f]{16,}")} AS hex,
+  {_duck_spans("entropy", "[A-Za-z0-9+/_=-]{20,}")} AS candidates
 FROM d),
 c AS (SELECT *, list_transform(list_sort(list_transform(list_concat(list_concat(assign, access), hex), lambda s: {{'a': s.start, 'b': list_position(['assign', 'access', 'hex'], s.kind), 'e': s.start + length(s.value)}})),
     lambda x: x) AS base FROM b),
@@ -58,6 +58,10 @@ FROM e
 """
 
 
+def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity_chain": op2_toxicity_chain,
     "op4_secret_scan": op4_secret_scan,
+    "op7_sainte_lague_mix": op7_sainte_lague_mix,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
