@@ -7,12 +7,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import bpe, mixing, secrets, toxicity
+from noticelake.llm import bpe, licenses, mixing, pii, secrets, toxicity
 from noticelake.llm import spans as S
 from noticelake.llm.common import documents, table
 from noticelake.llm.dedup import near_duplicates
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(table(spark, sf_dir, "documents")))
+    labels = lambda col: F.transform(F.filter(col, lambda x: F.size(x["starts"]) > 0), lambda x: x["label"])
+    joined = lambda names: F.array_join(F.array_sort(F.array_distinct(names)), ",")
+    starts = F.flatten(F.transform("base_starts", lambda x: x["starts"]))
+    return found.select(
+        "doc_id", "n_words", F.size(starts).cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
+        joined(labels("base_starts")).alias("base_labels"), joined(F.concat(labels("base_starts"), labels("more_starts"))).alias("labels"), F.col("coverage").alias("score"),
+    )
+
+
+def _duck_starts(t: licenses.Template) -> str:
+    ws = t.words.split()
+    same = " AND ".join(f"w[i + {j}] = '{ws[j]}'" for k, n in t.keys for j in range(k, k + n))
+    return f"list_filter(range(1 - {t.keys[0][0]}, len(w) + 1), lambda i: {same})"
+
+
+def _duck_coverage(k: int, t: licenses.Template) -> str:
+    hits = " + ".join(f"CASE WHEN i + {j} > 0 AND w[i + {j}] = '{x}' THEN 1 ELSE 0 END" for j, x in enumerate(t.words.split()))
+    return f"coalesce(list_max(list_transform(s{k}, lambda i: ({hits}) / {len(t.words.split())}.0)), 0)"
+
+
+_ALL = licenses.BASE + licenses.MORE
+_N = len(licenses.BASE)
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+f AS (SELECT *, {", ".join(f"{_duck_starts(t)} AS s{k}" for k, t in enumerate(_ALL))} FROM d),
+g AS (SELECT *, {" || ".join(f"s{k}" for k in range(_N))} AS base FROM f)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(base) AS BIGINT) AS n_base, CAST(list_min(base) - 1 AS BIGINT) AS first_word, CAST(list_max(base) - 1 AS BIGINT) AS last_word,
+  array_to_string(list_sort(list_filter([{", ".join(f"CASE WHEN len(s{k}) > 0 THEN '{t.label}' END" for k, t in enumerate(licenses.BASE))}], lambda x: x IS NOT NULL)), ',') AS base_labels,
+  array_to_string(list_sort(list_filter([{", ".join(f"CASE WHEN len(s{k}) > 0 THEN '{t.label}' END" for k, t in enumerate(_ALL))}], lambda x: x IS NOT NULL)), ',') AS labels,
+  CAST(greatest({", ".join(_duck_coverage(k, t) for k, t in enumerate(_ALL))}) AS DOUBLE) AS score
+FROM g
+"""
+
+
 def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(table(spark, sf_dir, "documents"))
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -26,7 +62,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DUCK_SPANS = """
-  list_transform(range(1, len({m}) + 1), lambda i: {{'kind': '{kind}', 'start': list_sum(list_transform({g}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({m}[1:i-1], lambda x: length(x))), 0), 'value': {m}[i]}})"""
+  list_transform(range(1, len({m}) + 1), lambda i: {{'kind': '{kind}', 'start': CAST(list_sum(list_transform({g}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({m}[1:i-1], lambda x: length(x))), 0) AS BIGINT), 'value': {m}[i]}})"""
 
 
 def _duck_spans(kind: str, pattern: str, keep: str = "true") -> str:
@@ -58,6 +94,38 @@ FROM e
 """
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(documents(table(spark, sf_dir, "documents")))
+    counts = [S.count(F.col("base_spans"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(S.written(F.col("base_spans")), 256).alias("base_sha256"), S.written(F.col("spans")).alias("spans"))
+
+
+_OCTET = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
+_LUHN = """list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN (length({d}) - i) % 2 = 0 THEN CAST({d}[i] AS INT) ELSE 2 * CAST({d}[i] AS INT) - CASE WHEN CAST({d}[i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+_DIGITS = "regexp_replace(s.value, '[^0-9]', '', 'g')"
+_PLAIN = "replace(s.value, ' ', '')"
+_MOD97 = f"list_reduce(list_transform(string_split(substr({_PLAIN}, 5) || substr({_PLAIN}, 1, 4), ''), lambda c: instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1), lambda acc, n: (CASE WHEN n > 9 THEN acc * 100 ELSE acc * 10 END + n) % 97, 0) = 1"
+_NEAR = f"(substr(t, greatest(s.start - {pii.WINDOW}, 0) + 1, least(s.start, {pii.WINDOW})) || ' ' || substr(t, s.start + length(s.value) + 1, {pii.WINDOW}))"
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT doc_id,
+  {_duck_spans("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+")} AS email,
+  {_duck_spans("ip", "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", f"regexp_full_match(s.value, '{_OCTET}[.]{_OCTET}[.]{_OCTET}[.]{_OCTET}')")} AS ip,
+  {_duck_spans("card", "[0-9](?:[ -]?[0-9]){12,}", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN.format(d=_DIGITS)}")} AS card,
+  {_duck_spans("phone", "[+][0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15")} AS phone,
+  {_duck_spans("iban", "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")} AS accounts, t
+FROM d),
+c AS (SELECT *, list_concat(list_concat(email, ip), list_concat(card, phone)) AS base FROM b),
+e AS (SELECT *, list_filter(accounts, s -> length(replace(s.value, ' ', '')) BETWEEN 15 AND 34 AND {_MOD97}
+    AND len(list_filter(base, o -> o.start < s.start + length(s.value) AND s.start < o.start + length(o.value))) = 0
+    AND least(1.0, 0.8 + CASE WHEN regexp_matches({_NEAR}, '{pii.CONTEXT["iban"]}') THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches({_NEAR}, '{pii.DOUBT}') THEN -0.3 ELSE 0 END) >= {pii.LEAST}) AS iban FROM c)
+SELECT doc_id, len(email) AS n_email, len(ip) AS n_ip, len(card) AS n_card, len(phone) AS n_phone,
+  sha256(array_to_string(list_transform(base, s -> s.kind || ':' || s.start || ':' || (s.start + length(s.value))), ',')) AS base_sha256,
+  array_to_string(list_transform(list_concat(base, iban), s -> s.kind || ':' || s.start || ':' || (s.start + length(s.value))), ',') AS spans
+FROM e
+""".replace("s ->", "lambda s:").replace("o ->", "lambda o:")
+
+
 def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -72,13 +140,17 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_toxicity_chain": op2_toxicity_chain,
     "op4_secret_scan": op4_secret_scan,
+    "op5_personal_data": op5_personal_data,
     "op7_sainte_lague_mix": op7_sainte_lague_mix,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": OP1_SQL,
     "op4_secret_scan": OP4_SQL,
+    "op5_personal_data": OP5_SQL,
 }
