@@ -46,6 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)
+_CASED = _BYTES.copy()
 _BYTES[65:91] = _BYTES[97:123]  # A-Z count as a-z
 _STEP = int(_GOLD)
 _BACK = pow(_STEP, -1, 2**64)
@@ -60,8 +61,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 _UP, _DOWN = _powers(_STEP, 1 << 16), _powers(_BACK, 1 << 16)
 
 
-def word_hashes(data: np.ndarray, between: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
-    """64-bit hashes of the runs of bytes outside ``between`` (a table of 256 flags), A-Z taken as a-z, then of the prefixes of so many bytes of longer runs.
+def word_hashes(data: np.ndarray, between: np.ndarray = _SPACE, prefixes: tuple[int, ...] = (), cased: bool = False) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of the runs of bytes outside ``between`` (a table of 256 flags), A-Z taken as a-z unless ``cased``, then of the prefixes of so many bytes of longer runs.
 
     A word's hash is a polynomial over its bytes, cut out of running sums, so
     that no step loops over words.
@@ -73,7 +74,7 @@ def word_hashes(data: np.ndarray, between: np.ndarray = _SPACE, prefixes: tuple[
     up = _UP if n <= len(_UP) else _powers(_STEP, n)
     down = _DOWN if n <= len(_DOWN) else _powers(_BACK, n)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[:n], out=sums[1:])
+    np.cumsum((_CASED if cased else _BYTES)[data] * up[:n], out=sums[1:])
     out = [mix((sums[ends] - sums[starts]) * down[starts])]
     for k in prefixes:
         of = starts[ends - starts > k]

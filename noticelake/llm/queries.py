@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import bpe, licenses, mixing, pii, secrets, toxicity
+from noticelake.llm import bpe, licenses, lm, mixing, neighbours, pii, quality, secrets, toxicity
 from noticelake.llm import spans as S
 from noticelake.llm.common import documents, table
 from noticelake.llm.dedup import near_duplicates
@@ -55,6 +55,11 @@ def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, chain).drop("text")
 
 
+def op3_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(table(spark, sf_dir, "documents"))
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(table(spark, sf_dir, "documents")))
     counts = [S.count(F.col("base_spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
@@ -126,6 +131,10 @@ FROM e
 """.replace("s ->", "lambda s:").replace("o ->", "lambda o:")
 
 
+def op6_posting_list_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -134,6 +143,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.decode(bpe.encode(documents(table(spark, sf_dir, "documents"))))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -142,10 +155,13 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity_chain": op2_toxicity_chain,
+    "op3_line_field_quality": op3_line_field_quality,
     "op4_secret_scan": op4_secret_scan,
     "op5_personal_data": op5_personal_data,
+    "op6_posting_list_neighbours": op6_posting_list_neighbours,
     "op7_sainte_lague_mix": op7_sainte_lague_mix,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_cross_entropy_difference": op9_cross_entropy_difference,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
