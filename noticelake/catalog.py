@@ -1,14 +1,15 @@
-"""Registered queries of the notice operators with their DuckDB SQL."""
+"""All registered queries of the notice operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from noticelake.plans import functions  # noqa: F401  registers its queries
+from noticelake.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """New, updated and unchanged listings by source."""
+    return QUERIES["a01_dedup_summary"](spark, sf_dir)
