@@ -9,7 +9,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit(rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, y: np.ndarray, n_columns: int, penalty: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, y: np.ndarray, n_columns: int, penalty: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights of the sparse columns, of the dense columns, and the bias.
 
     ``rows`` and ``columns`` are the places of the ones.  Gradient descent with
