@@ -89,7 +89,7 @@ def fit_chain(rows: list[np.ndarray], targets: dict[str, np.ndarray]) -> Chain:
             out[test] = sigmoid(z)[test]
         models.append(fit(owner, column, before, y, len(chosen)))
         before = np.column_stack([before, out])
-    return Chain(names, chosen, models, max(0.2, best_threshold(before[:, -1], targets[names[-1]].astype(float))) if n else 0.5)
+    return Chain(names, chosen, models, max(0.05, best_threshold(before[:, -1], targets[names[-1]].astype(float))) if n else 0.5)
 
 
 def train(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Chain:
