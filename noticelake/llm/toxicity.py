@@ -14,11 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticelake.llm.common import stored
 from noticelake.llm.linear import best_threshold, fit, sigmoid
 from noticelake.llm.minhash import word_hashes
 
 #: Labelled documents that the models are fitted on, at most: those with the smallest hashes of their ids.
-MAX_LABELLED = 4_000
+MAX_LABELLED = 6_000
 #: Text features of the models, at most.
 MAX_FEATURES = 4_000
 FOLDS = 4
@@ -55,25 +56,20 @@ class Chain:
         return out
 
 
-def choose(rows: list[np.ndarray], y: np.ndarray, most: int = MAX_FEATURES) -> np.ndarray:
-    """The feature hashes whose frequency differs most between the two classes, in sorted order."""
-    if not rows or not 0 < y.sum() < len(y):
+def choose(sampled: DataFrame, positive: int, negative: int, most: int = MAX_FEATURES) -> np.ndarray:
+    """The features (at most ``most``) of (target, features) whose frequency differs most between the classes, sorted; none without both classes."""
+    if not positive or not negative:
         return np.empty(0, np.int64)
-    names, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    pos, all_ = np.bincount(inverse, y[owner], minlength=len(names)), np.bincount(inverse, minlength=len(names))
-    p, q = (pos + 0.1) / (y.sum() + 0.2), (all_ - pos + 0.1) / (len(y) - y.sum() + 0.2)
-    z = np.abs(p - q) / np.sqrt((all_ + 0.2) / len(y) / min(y.sum(), len(y) - y.sum()))
-    keep = (all_ >= 2) & (z > 1)
-    order = np.argsort(-z[keep], kind="stable")[:most]
-    return np.sort(names[keep][order])
-
-
-def fit_chain(rows: list[np.ndarray], targets: dict[str, np.ndarray]) -> Chain:
-    """Fits the chain.  Without labelled rows every probability is one half and nothing is toxic."""
-    n, names = len(rows), list(targets)
-    chosen = choose(rows, targets[names[-1]])
-    columns = [np.flatnonzero(np.isin(chosen, r, assume_unique=True)) for r in rows]
+    n = sampled.select("target", F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("target") == 1).alias("hits"))
+    p, q = (F.col("hits") + 0.1) / (positive + 0.2), (F.col("n") - F.col("hits") + 0.1) / (negative + 0.2)
+    z = F.abs(p - q) / F.sqrt((F.col("n") + 0.2) / (positive + negative) / min(positive, negative))
+    rows = n.withColumn("z", z).where("n >= 2 AND z > 1").orderBy(F.desc("z"), "feature").limit(most).collect()  # at most `most` rows
+    return np.array(sorted(r.feature for r in rows), np.int64)
+
+
+def fit_chain(columns: list[np.ndarray], chosen: np.ndarray, targets: dict[str, np.ndarray]) -> Chain:
+    """Fits the chain on rows that hold the numbers of their features in ``chosen``.  Without rows every probability is one half and nothing is toxic."""
+    n, names = len(columns), list(targets)
     owner, column = np.repeat(np.arange(n), [len(c) for c in columns]), np.concatenate([*columns, np.empty(0, np.int64)]).astype(np.int64)
     fold = np.arange(n) % FOLDS
     before, models = np.zeros((n, 0)), []
@@ -110,9 +106,15 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) ->
     def sparse(text: pd.Series) -> pd.Series:
         return pd.Series([features(t) for t in text], dtype=object)
 
-    got = found.select("doc_id", "target", *places, sparse("text").alias("features")).toPandas().sort_values("doc_id", kind="stable")
-    toxic = got["target"].to_numpy() == 1
-    return fit_chain([np.asarray(f, np.int64) for f in got["features"]], {c: toxic & got[c].to_numpy(dtype=bool) for c in CATEGORIES})
+    sampled = stored(found.select("doc_id", "target", *places, sparse("text").alias("features")).dropDuplicates(["doc_id"]))
+    base = sampled.drop("features").toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
+    toxic = base["target"].to_numpy() == 1
+    chosen = choose(sampled, int(toxic.sum()), int((~toxic).sum()))
+    numbers = spark.createDataFrame([(int(f), k) for k, f in enumerate(chosen)], "feature long, number int")
+    has = sampled.select("doc_id", F.explode("features").alias("feature")).join(F.broadcast(numbers), "feature")  # at most MAX_FEATURES numbers
+    of = {r.doc_id: r.numbers for r in has.groupBy("doc_id").agg(F.array_sort(F.collect_list("number")).alias("numbers")).collect()}
+    columns = [np.array(of.get(i, []), np.int64) for i in base["doc_id"].tolist()]
+    return fit_chain(columns, chosen, {c: toxic & base[c].to_numpy(dtype=bool) for c in CATEGORIES})
 
 
 def classify(df: DataFrame, chain: Chain) -> DataFrame:
