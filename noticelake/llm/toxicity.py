@@ -22,6 +22,8 @@ from noticelake.llm.minhash import word_hashes
 MAX_LABELLED = 6_000
 #: Text features of the models, at most.
 MAX_FEATURES = 4_000
+#: What a feature needs: positive documents, their share of all positive ones, their share of its documents, and standard deviations above chance.
+LEAST_HITS, LEAST_SHARE, LEAST_PURITY, LEAST_Z = 5, 0.005, 0.9, 6.0
 FOLDS = 4
 #: Words that place a toxic document in a category; the label alone makes the last one.
 CATEGORIES: dict[str, tuple[str, ...]] = {
@@ -57,13 +59,13 @@ class Chain:
 
 
 def choose(sampled: DataFrame, positive: int, negative: int, most: int = MAX_FEATURES) -> np.ndarray:
-    """The features (at most ``most``) of (target, features) whose frequency differs most between the classes, sorted; none without both classes."""
+    """The features (at most ``most``) of (target, features) that are most above chance among the positive rows, sorted; none without both classes."""
     if not positive or not negative:
         return np.empty(0, np.int64)
     n = sampled.select("target", F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("target") == 1).alias("hits"))
     p, q = (F.col("hits") + 0.1) / (positive + 0.2), (F.col("n") - F.col("hits") + 0.1) / (negative + 0.2)
     z = F.abs(p - q) / F.sqrt((F.col("n") + 0.2) / (positive + negative) / min(positive, negative))
-    rows = n.withColumn("z", z).where("n >= 2 AND z > 1").orderBy(F.desc("z"), "feature").limit(most).collect()  # at most `most` rows
+    rows = n.withColumn("z", z).where((F.col("hits") >= max(LEAST_HITS, LEAST_SHARE * positive)) & (F.col("hits") >= LEAST_PURITY * F.col("n")) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "feature").limit(most).collect()  # at most `most` rows
     return np.array(sorted(r.feature for r in rows), np.int64)
 
 
