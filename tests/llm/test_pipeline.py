@@ -1,0 +1,22 @@
+"""The pipeline's stages against what their operators decide."""
+
+from __future__ import annotations
+
+import corpus_pipeline
+from noticelake.llm import dedup, toxicity
+from tests.llm import helpers as H
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{H.DATA}/documents.parquet")
+    clean = corpus_pipeline.toxic_out(spark, docs, H.DATA)
+    chain = toxicity.train(docs, spark.read.parquet(f"{H.DATA}/labels.parquet"))
+    assert clean.columns == docs.columns
+    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in toxicity.classify(docs, chain).where("kept").collect()}
+    alone = corpus_pipeline.near_duplicates_out(spark, docs.unionByName(docs.limit(5)), H.DATA)
+    assert sorted(r.doc_id for r in alone.collect()) == sorted(r.doc_id for r in dedup.near_duplicates(docs).where("kept").collect())
+    masked = corpus_pipeline.secrets_masked(spark, docs, H.DATA)
+    assert masked.columns == docs.columns and masked.count() == docs.count()
+    out = corpus_pipeline.run(spark, H.DATA)
+    assert out.columns == ["doc_id", "source", "n_tokens", "ids"] and out.count() > 0
+    assert out.where("n_tokens <> size(ids)").count() == 0
