@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces in each of the two generations of a Python worker's cache.
-_KEPT = 450_000
+_KEPT = 320_000
 #: Characters, or ids, that are worked on at a time.
-_CHUNK = 1_500_000
+_CHUNK = 1_000_000
 
 
 #: The splitting pattern with Unicode's white space; the library's own class has four separators more.
