@@ -101,8 +101,10 @@ def centroids(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 5) -> np.
     order = np.random.default_rng(seed).permutation(len(sample))
     points = sample[order[:n]].copy()
     for _ in range(rounds):
-        d = distances(sample, points)
-        of, far = d.argmin(1), d.min(1)
+        of, far = np.empty(len(sample), int), np.empty(len(sample))
+        for at in range(0, len(sample), 1000):  # bounds the driver's memory
+            d = distances(sample[at : at + 1000], points)
+            of[at : at + 1000], far[at : at + 1000] = d.argmin(1), d.min(1)
         size = np.bincount(of, minlength=n)
         total = np.zeros_like(points)
         np.add.at(total, of, sample)
