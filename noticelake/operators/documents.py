@@ -75,22 +75,24 @@ def greedy_fit(items: Column, cap: int, most: int | None = None) -> Column:
     return F.aggregate(items, start, step, lambda acc: acc["taken"])
 
 
-def retrieve_evidence(requirements: DataFrame, sections: DataFrame, k: int = 8, chars: int = 12_000, candidates: int = 200) -> DataFrame:
+def retrieve_evidence(requirements: DataFrame, sections: DataFrame, k: int = 8, chars: int = 12_000) -> DataFrame:
     """(req_id, text) and (section_id, text) -> (req_id, section_id, score, position).
 
     An inverted index: distinct tokens of both sides meet, and the overlap is
     the score.  Sections in the order of score and id *as text* are taken while
-    they fit the budget.  Only the ``candidates`` best of a requirement enter
-    the fold, more than a budget of ``k`` sections can use up unless so many
-    large ones are skipped.
+    they fit the budget; what is too big is skipped, however many those are.
+    Of a requirement's sections of one size only the first ``k`` enter the fold:
+    a later one could be taken only where all of these fitted before it, and
+    then ``k`` are taken already.  So no row that counts is left out, and a fold
+    has ``k * chars`` items at most, whatever the input.
     """
     left = requirements.select("req_id", F.explode(tokens(F.col("text"))).alias("token"))
     right = sections.select("section_id", F.explode(tokens(F.col("text"))).alias("token"))
     scores = left.join(right, "token").groupBy("req_id", "section_id").agg(F.count(F.lit(1)).alias("score"))
     sized = scores.join(sections.select("section_id", F.length("text").cast("long").alias("size")), "section_id").withColumn("name", F.col("section_id").cast("string"))
-    turn = F.row_number().over(Window.partitionBy("req_id").orderBy(F.desc("score"), "name"))
-    top = sized.withColumn("turn", turn).where(F.col("turn") <= candidates)
-    items = top.groupBy("req_id").agg(F.array_sort(F.collect_list(F.struct("turn", "section_id", "score", "size"))).alias("items"))
+    turn = F.row_number().over(Window.partitionBy("req_id", "size").orderBy(F.desc("score"), "name"))
+    first = sized.where(F.col("size") <= chars).withColumn("turn", turn).where(F.col("turn") <= k)
+    items = first.groupBy("req_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "name", "section_id", "score", "size"))).alias("items"))
     return items.select("req_id", F.posexplode(greedy_fit(F.col("items"), chars, k)).alias("position", "x")).select("req_id", F.col("x.section_id").alias("section_id"), F.col("x.score").alias("score"), F.col("position").cast("long").alias("position"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from noticelake.functions import text as T
@@ -78,3 +80,28 @@ def test_segments(spark):
     text = ("word " * 3000) + "x" * 9000
     parts = one(spark, lambda c: D.split_segments(c, 1000), text)
     assert "".join(parts) == text and max(map(len, parts)) <= 1000
+
+
+def test_evidence_behind_many_sections_that_do_not_fit(spark):
+    big = [(i, "alpha beta gamma " + "x" * 90) for i in range(300)]
+    small = [(1000 + i, "alpha beta" + " " * (i % 3)) for i in range(30)]
+    sections = spark.createDataFrame(big + small, "section_id int, text string")
+    reqs = spark.createDataFrame([(1, "alpha beta gamma")], "req_id int, text string")
+    got = sorted((r.position, r.section_id, r.score) for r in D.retrieve_evidence(reqs, sections, 3, 100).collect())
+    assert got == [(0, 1000, 2), (1, 1001, 2), (2, 1002, 2)]
+
+
+def test_evidence_equals_a_plain_walk(spark):
+    words = [f"w{i:02}" for i in range(12)]
+    sections = [(i, " ".join(words[(i * j) % 12] for j in range(1, 2 + i * 7 % 9)) + "." * (i * 13 % 40)) for i in range(400)]
+    reqs = [(r, " ".join(words[r : r + 6])) for r in range(6)]
+    want = []
+    for r, text in reqs:
+        taken, used = 0, 0
+        ranked = sorted((-len(set(text.split()) & set(re.findall("[a-z0-9]{3,}", t))), str(i), i, len(t)) for i, t in sections)
+        for score, _, i, n in ranked:
+            if score and taken < 4 and used + n <= 90:
+                want.append((r, i, -score, taken))
+                taken, used = taken + 1, used + n
+    out = D.retrieve_evidence(spark.createDataFrame(reqs, "req_id int, text string"), spark.createDataFrame(sections, "section_id int, text string"), 4, 90)
+    assert sorted(map(tuple, out.select("req_id", "section_id", "score", "position").collect())) == sorted(want)
