@@ -1,81 +1,85 @@
 """Cross-entropy difference of two n-gram models over one vocabulary.
 
-The tokens are characters: the most frequent ones of the whole corpus, and one
-token for all others.  A target model counts the trigrams of the documents that
-``labels`` calls good, a background model those of all other documents; both
-have the same order, vocabulary and smoothing.  A document's score is the mean
-over its tokens of target loss minus background loss, in nats: the lower, the
-more it reads like the target.
-
-Counts are exact and cover every document.  The vocabulary bounds the tables,
-so that they fit in memory whatever the corpus.
+The tokens are characters: every code point of the corpus, and one token for
+what stands before a text.  A target model counts the trigrams of the documents
+that ``labels`` calls good, a background model those of all other documents;
+both have the same order, vocabulary and smoothing.  A document's score is the
+mean over its tokens of target loss minus background loss, in nats: the lower,
+the more it reads like the target.
+
+Counts are exact and cover every document and every trigram; they are a table,
+which grows with what the corpus holds.  The losses of its most frequent
+trigrams go to all workers, and documents meet the others in a join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens, the one for all other characters (and for what stands before a text) included.
-VOCABULARY = 128
+from noticelake.llm.common import stored
+
 #: Pseudo-counts that the lower order gets at each order.
 KAPPA = 4.0
+#: Trigrams at most whose losses go to all workers; it moves work, not results.
+SHARED = 1 << 20
+#: Characters that are coded at once.
+CHUNK = 1 << 21
+#: Bits of a token in a gram: a code point and one, 0 before the text.
+BITS = 21
 
 
 def _points(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[int]:
-    """The ``size - 1`` most frequent code points over all documents, ties to the smaller one."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(0x110000, np.int64)
-        for frame in frames:
-            for text in frame["text"]:
-                low = _points(text)
-                n = np.bincount(low)
-                total[: len(n)] += n
-        used = np.flatnonzero(total)
-        yield pd.DataFrame({"point": used, "n": total[used]})
-
-    counts = docs.select("text").mapInPandas(run, "point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    return [r.point for r in counts.orderBy(F.desc("n"), "point").limit(size - 1).collect()]
-
-
-def coder(points: list[int]) -> np.ndarray:
-    """Token of every code point; 0 for those outside the vocabulary."""
-    out = np.zeros(0x110000, np.uint8)
-    out[points] = np.arange(1, len(points) + 1)
-    return out
-
-
-def grams(text: str | None, code: np.ndarray, size: int) -> np.ndarray:
-    """The trigram number of every token, with two tokens 0 before the text."""
-    t = np.concatenate(([0, 0], code[_points(text)].astype(np.int64)))
-    return (t[:-2] * size + t[1:-1]) * size + t[2:]
-
-
-def counts(docs: DataFrame, labels: DataFrame, points: list[int], size: int = VOCABULARY) -> DataFrame:
+def chunks(texts: Sequence[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, end, grams, the place in them of each token, tokens of each text), for runs of texts of about ``CHUNK`` characters."""
+    first, parts, size = 0, [], 0
+    for k, text in enumerate(texts):
+        parts.append(_points(text))
+        size += len(parts[-1])
+        if size >= CHUNK or k == len(texts) - 1:
+            yield (first, k + 1, *grams(parts))
+            first, parts, size = k + 1, [], 0
+
+
+def grams(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct trigrams of texts given as code points, the place in them of each token, and the tokens of each text."""
+    lengths = np.array([len(p) for p in parts], np.int64)
+    before = np.zeros(2, np.int64)
+    t = np.concatenate([x for p in parts for x in (before, p.astype(np.int64) + 1)])
+    token = np.ones(len(t), bool)
+    starts = np.cumsum(lengths + 2) - lengths - 2
+    token[starts] = token[starts + 1] = False
+    used = np.flatnonzero(np.bincount(t))
+    local = np.zeros(used[-1] + 1, np.int64)
+    local[used] = np.arange(len(used))
+    x, at, k = local[t], np.flatnonzero(token), len(used)
+    g = (x[at - 2] * k + x[at - 1]) * k + x[at]
+    if k**3 <= 4 * CHUNK:
+        seen = np.zeros(k**3, bool)
+        seen[g] = True
+        cells, place = np.flatnonzero(seen), (np.cumsum(seen) - 1)[g]
+    else:
+        cells, place = np.unique(g, return_inverse=True)
+    return (used[cells // (k * k)] << 2 * BITS) | (used[cells // k % k] << BITS) | used[cells % k], place, lengths
+
+
+def counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(gram, target, background): trigram counts over all documents, summed in each task before they are shuffled."""
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good", F.lit(True))
-    code = docs.sparkSession.sparkContext.broadcast(coder(points))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((2, size**3), np.int64)
         for frame in frames:
-            for text, of in zip(frame["text"], frame["good"]):
-                g = grams(text, code.value, size)
-                if len(g) > size**2:
-                    total[int(not of)] += np.bincount(g, minlength=size**3)
-                else:
-                    np.add.at(total[int(not of)], g, 1)
-        used = np.flatnonzero(total.any(0))
-        yield pd.DataFrame({"gram": used, "target": total[0, used], "background": total[1, used]})
+            of = frame["good"].to_numpy(bool)
+            for a, b, cells, place, lengths in chunks(frame["text"].tolist()):
+                target = np.bincount(place[np.repeat(of[a:b], lengths)], minlength=len(cells))
+                yield pd.DataFrame({"gram": cells, "target": target, "background": np.bincount(place, minlength=len(cells)) - target})
 
     # labels may be as many as documents: both sides are always dealt by id, so that cost grows evenly
     of = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
@@ -83,7 +87,7 @@ def counts(docs: DataFrame, labels: DataFrame, points: list[int], size: int = VO
 
 
 def losses(n: np.ndarray, kappa: float = KAPPA) -> np.ndarray:
-    """-log p(w | u, v) for all u, v, w from their counts; each order is mixed with the one below."""
+    """-log p(w | u, v) for all u, v, w from their counts; each order is mixed with the one below.  The plain form of ``loss_table``."""
     size = n.shape[0]
     n1 = n.sum((0, 1))
     p = (n1 + 1) / (n1.sum() + size)
@@ -92,31 +96,77 @@ def losses(n: np.ndarray, kappa: float = KAPPA) -> np.ndarray:
     return -np.log((n + kappa * p[None]) / (n.sum(2, keepdims=True) + kappa)).astype(np.float32)
 
 
-def score(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY) -> DataFrame:
+def loss_table(n3: DataFrame, kappa: float = KAPPA) -> DataFrame:
+    """(gram, target, background) counts -> (gram, n, target_loss, background_loss), a row for each trigram of the corpus."""
+
+    def sums(df: DataFrame, key: str, of: Column, name: str) -> DataFrame:
+        return df.groupBy(of.alias(key)).agg(*[F.sum(s if s in df.columns else f"n2_{s}").alias(f"{name}_{s}") for s in ("target", "background")])
+
+    low = lambda c, k: F.col(c).bitwiseAND(F.lit((1 << k * BITS) - 1))
+    high = lambda c: F.shiftright(c, BITS)
+    n2 = sums(n3, "pair", low("gram", 2), "n2")
+    n1 = sums(n2, "word", low("pair", 1), "n1")
+    all_ = n1.agg(F.count(F.lit(1)).alias("size"), *[F.coalesce(F.sum(f"n1_{s}"), F.lit(0)).alias(s) for s in ("target", "background")]).first()
+    pairs = n2.withColumn("word", low("pair", 1)).withColumn("last", high("pair")).join(n1, "word").join(sums(n2, "last", high("pair"), "c2"), "last")
+    p1 = lambda s: (F.col(f"n1_{s}") + 1) / F.lit(float(all_[s] + all_.size + 1))
+    p2 = lambda s: ((F.col(f"n2_{s}") + kappa * p1(s)) / (F.col(f"c2_{s}") + kappa)).alias(f"p2_{s}")
+    lower = pairs.select("pair", p2("target"), p2("background"))
+    out = n3.withColumn("pair", low("gram", 2)).withColumn("context", high("gram")).join(lower, "pair").join(sums(n3, "context", high("gram"), "c3"), "context")
+    loss = lambda s: (-F.log((F.col(s) + kappa * F.col(f"p2_{s}")) / (F.col(f"c3_{s}") + kappa))).alias(f"{s}_loss")
+    return out.select("gram", (F.col("target") + F.col("background")).alias("n"), loss("target"), loss("background"))
+
+
+def most_frequent(table: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """The rows of a loss table whose count is at least a power of two, the smallest one that leaves ``most`` of them or fewer, and whether these are all."""
+    rows = table.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("power")).collect()
+    total, least = 0, None
+    for r in rows:
+        total += r.rows
+        if total > most:
+            return table.where(F.floor(F.log2("n")) >= least if least is not None else F.lit(False)), False
+        least = r.power
+    return table, True
+
+
+def score(docs: DataFrame, labels: DataFrame, shared: int = SHARED) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_tokens, target_loss, background_loss, score), one row for each row.
 
     Losses are means over a text's tokens in nats.  Null and empty texts have
     no tokens and losses of 0.  Without good documents the target model is the
     smoothing alone.  An empty table gives an empty table.
+
+    A trigram that isn't among the ``shared`` ones has, of all T tokens, fewer
+    than about 2 T / ``shared``, so no key of the join is a hot one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    points = vocabulary(docs, size)
-    rows = counts(docs, labels, points, size).toPandas()  # at most size ** 3 rows
-    tables = []
-    for side in ("target", "background"):
-        n = np.zeros(size**3)
-        n[rows["gram"].to_numpy(np.int64)] = rows[side]
-        tables.append(losses(n.reshape(size, size, size)).ravel())
-    shared = docs.sparkSession.sparkContext.broadcast((coder(points), np.stack(tables)))
-
-    @F.pandas_udf("struct<n: long, target: double, background: double>")
+    table = stored(loss_table(stored(counts(docs, labels))))
+    known, whole = most_frequent(table, shared)
+    rows = known.toPandas().sort_values("gram")  # at most ``shared`` rows
+    sent = docs.sparkSession.sparkContext.broadcast((rows["gram"].to_numpy(np.int64), rows[["target_loss", "background_loss"]].to_numpy(np.float64).T))
+
+    @F.pandas_udf("struct<n: long, target: double, background: double, grams: array<long>, times: array<long>>")
     def read(text: pd.Series) -> pd.DataFrame:
-        code, table = shared.value
+        keys, values = sent.value
         out = []
-        for t in text:
-            g = grams(t, code, size)
-            out.append((len(g), *(table[:, g].mean(1, dtype=np.float64).tolist() if len(g) else (0.0, 0.0))))
-        return pd.DataFrame(out, columns=["n", "target", "background"])
-
-    out = docs.withColumn("x", read("text"))
-    return out.select("doc_id", F.col("x.n").alias("n_tokens"), F.col("x.target").alias("target_loss"), F.col("x.background").alias("background_loss"), (F.col("x.target") - F.col("x.background")).alias("score"))
+        for _, _, cells, place, lengths in chunks(text.tolist()):
+            at = np.searchsorted(keys, cells)
+            found = np.zeros(len(cells), bool)
+            found[at < len(keys)] = keys[at[at < len(keys)]] == cells[at < len(keys)]
+            loss = np.zeros((2, len(cells)))
+            loss[:, found] = values[:, at[found]]
+            of = np.repeat(np.arange(len(lengths)), lengths)
+            target, background = (np.bincount(of, x[place], len(lengths)) for x in loss)
+            rest, times = np.unique((of * len(cells) + place)[~found[place]], return_counts=True)
+            cut = np.searchsorted(rest, np.arange(1, len(lengths)) * len(cells))
+            gram = cells[rest % max(1, len(cells))] if len(rest) else rest
+            out.extend(zip(lengths, target, background, np.split(gram, cut), np.split(times, cut)))
+        return pd.DataFrame(out, columns=["n", "target", "background", "grams", "times"])
+
+    out = docs.withColumn("x", read("text")).select("doc_id", "x.*")
+    if not whole:
+        out = stored(out.withColumn("row", F.monotonically_increasing_id()))
+        rest = out.select("row", F.explode(F.arrays_zip("grams", "times")).alias("y")).select("row", F.col("y.grams").alias("gram"), F.col("y.times").alias("times"))
+        more = rest.join(table, "gram").groupBy("row").agg(*[F.sum(F.col("times") * F.col(f"{s}_loss")).alias(f"more_{s}") for s in ("target", "background")])
+        out = out.join(more, "row", "left").withColumns({s: F.col(s) + F.coalesce(f"more_{s}", F.lit(0.0)) for s in ("target", "background")})
+    mean = lambda s: F.when(F.col("n") > 0, F.col(s) / F.col("n")).otherwise(0.0)
+    return out.select("doc_id", F.col("n").alias("n_tokens"), mean("target").alias("target_loss"), mean("background").alias("background_loss"), (mean("target") - mean("background")).alias("score"))

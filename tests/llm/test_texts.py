@@ -147,3 +147,26 @@ def test_lm_loss_by_hand(spark):
     assert out[1].score < 0 < out[2].score and out[3].n_tokens == 0 and out[3].score == 0
     n = np.random.default_rng(0).integers(0, 5, (6, 6, 6)).astype(float)
     assert np.allclose(np.exp(-lm.losses(n).astype(float)).sum(2), 1, atol=1e-5)
+
+
+def test_lm_has_no_largest_vocabulary(spark):
+    """More code points than any fixed vocabulary of old; with few and with all trigrams shared, scores are those of the dense tables."""
+    r = random.Random(4)
+    letters = [chr(0x4E00 + i) for i in range(150)] + list("абв😀 ")
+    texts = ["".join(r.choice(letters[k % 3 * 50 : k % 3 * 50 + 50] + letters[150:]) for _ in range(r.randrange(90))) for k in range(60)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(40)], "doc_id long, quality int")
+    code = {c: i + 1 for i, c in enumerate(sorted(set("".join(t or "" for t in texts))))}
+    assert len(code) > 150
+    coded = [[0, 0] + [code[c] for c in t or ""] for t in texts]
+    n = np.zeros((2, len(code) + 1, len(code) + 1, len(code) + 1))
+    for k, t in enumerate(coded):
+        for g in zip(t, t[1:], t[2:]):
+            n[(int(not (k < 40 and k % 3 == 0)), *g)] += 1
+    dense = [lm.losses(x) for x in n]
+    want = [[np.mean([d[g] for g in zip(t, t[1:], t[2:])]) if len(t) > 2 else 0 for d in dense] for t in coded]
+    for shared in (lm.SHARED, 100, 0):
+        out = {r.doc_id: r for r in lm.score(docs, labels, shared).collect()}
+        assert len(out) == len(texts)
+        assert np.allclose([[out[k].target_loss, out[k].background_loss] for k in range(len(texts))], want, atol=1e-4)
+        assert [out[k].n_tokens for k in range(len(texts))] == [len(t) - 2 for t in coded]
