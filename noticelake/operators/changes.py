@@ -110,12 +110,23 @@ def crawl_stop_report(items: DataFrame, most_pages: int, page_size: int) -> Data
     """(crawl, page, item) -> (crawl, stop_page, reason, kept_items): where a crawl ends and why.
 
     A page after the first that shows nothing new ends it, as does a short page
-    or the page limit; later pages don't count.
+    or the page limit; later pages don't count.  Items may have the ``total``
+    that their page declares, which ends the crawl once so many rows were shown,
+    and their page's ``url``: before one that was visited the crawl ends.
     """
     first = items.groupBy("crawl", "item").agg(F.min("page").alias("page"))
     fresh = first.groupBy("crawl", "page").agg(F.count(F.lit(1)).alias("fresh"))
-    pages = items.groupBy("crawl", "page").agg(F.count(F.lit(1)).alias("n")).join(fresh, ["crawl", "page"], "left").fillna(0, ["fresh"])
-    reason = F.when((F.col("page") > 1) & (F.col("fresh") == 0), "no_new_items").when(F.col("n") < page_size, "short_page").when(F.col("page") >= most_pages, "max_pages_reached")
+    more = [F.max(c).alias(c) for c in ("total", "url") if c in items.columns]
+    pages = items.groupBy("crawl", "page").agg(F.count(F.lit(1)).alias("n"), *more).join(fresh, ["crawl", "page"], "left").fillna(0, ["fresh"])
+    reason = F.when((F.col("page") > 1) & (F.col("fresh") == 0), "no_new_items")
+    if "total" in items.columns:
+        pages = pages.withColumn("shown", F.sum("n").over(Window.partitionBy("crawl").orderBy("page")))
+        reason = reason.when(F.col("shown") >= F.col("total"), "total_reached")
+    reason = reason.when(F.col("n") < page_size, "short_page").when(F.col("page") >= most_pages, "max_pages_reached")
+    if "url" in items.columns:
+        visited = F.col("url").isNotNull() & (F.col("page") > F.min("page").over(Window.partitionBy("crawl", "url")))
+        pages = pages.withColumn("visited", visited).withColumn("visited_next", F.lead("visited").over(Window.partitionBy("crawl").orderBy("page")))
+        reason = reason.when(F.col("visited_next"), "already_visited_url")
     stops = pages.withColumn("reason", reason)
     stop = stops.groupBy("crawl").agg(F.coalesce(F.min(F.when(F.col("reason").isNotNull(), F.col("page"))), F.max("page")).alias("stop_page"))
     kept = pages.join(stop, "crawl").where("page <= stop_page").groupBy("crawl").agg(F.sum("fresh").alias("kept_items"))

@@ -97,19 +97,35 @@ def retrieve_evidence(requirements: DataFrame, sections: DataFrame, k: int = 8,
 
 
 def verify_quotes(citations: DataFrame, chunks: DataFrame, normalize) -> DataFrame:
-    """(cite_id, doc_id, location, quote) and (doc_id, location, text) -> (cite_id, level).
+    """(cite_id, doc_id, location, quote) and (doc_id, location, text) -> (cite_id, level), one row for each citation.
 
-    An equi-join on the document, then containment: ``exact`` in the cited
-    chunk, ``normalized`` there, ``document`` anywhere in the document, or
+    An equi-join on the document and each of the locations of a comma list,
+    then containment: ``exact`` in a cited chunk, ``normalized`` there,
+    ``document`` anywhere in the document, ``fragments`` if the parts between
+    ellipses that are longer than 15 characters follow each other there, or
     ``quote_not_found``; ``document_missing`` without chunks.
     """
     whole = chunks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("location", "text"))), lambda x: x["text"]), " ").alias("whole"))
-    here = chunks.select("doc_id", "location", F.col("text").alias("chunk"))
-    both = citations.join(here, ["doc_id", "location"], "left").join(whole, "doc_id", "left")
+    here = chunks.select("doc_id", F.col("location").cast("string").alias("place"), F.col("text").alias("chunk"))
     has = lambda t, q: F.coalesce(F.contains(t, q), F.lit(False))
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    cited = citations.withColumn("row", F.monotonically_increasing_id()).withColumn("place", F.explode_outer(F.split(F.col("location").cast("string"), ","))).withColumn("place", strip(F.col("place")))
+    hits = cited.join(here, ["doc_id", "place"], "left").withColumn("exact", has(F.col("chunk"), F.col("quote")))
+    hits = hits.withColumn("normalized", F.col("exact") | has(normalize(F.col("chunk")), normalize(F.col("quote"))))
+    both = hits.groupBy("row").agg(*[F.first(c).alias(c) for c in ("cite_id", "doc_id", "quote")], F.bool_or("exact").alias("exact"), F.bool_or("normalized").alias("normalized")).join(whole, "doc_id", "left")
+
+    def follow(text: Column, quote: Column) -> Column:
+        parts = F.filter(F.transform(F.split(quote, r"\.{3,}|…"), strip), lambda x: F.length(x) > 15)
+
+        def step(at: Column, part: Column) -> Column:
+            found = F.position(part, text, at)
+            return F.when(at == 0, 0).when(found > 0, found + F.length(part)).otherwise(0)
+
+        return (F.size(parts) > 0) & (F.aggregate(F.transform(parts, normalize), F.lit(1), step) > 0)
+
     level = (
-        F.when(F.col("whole").isNull(), "document_missing").when(has(F.col("chunk"), F.col("quote")), "exact")
-        .when(has(normalize(F.col("chunk")), normalize(F.col("quote"))), "normalized").when(has(normalize(F.col("whole")), normalize(F.col("quote"))), "document").otherwise("quote_not_found")
+        F.when(F.col("whole").isNull(), "document_missing").when(F.col("exact"), "exact").when(F.col("normalized"), "normalized")
+        .when(has(normalize(F.col("whole")), normalize(F.col("quote"))), "document").when(follow(normalize(F.col("whole")), F.col("quote")), "fragments").otherwise("quote_not_found")
     )
     return both.select("cite_id", level.alias("level"))
 

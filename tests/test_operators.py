@@ -105,3 +105,33 @@ def test_evidence_equals_a_plain_walk(spark):
                 taken, used = taken + 1, used + n
     out = D.retrieve_evidence(spark.createDataFrame(reqs, "req_id int, text string"), spark.createDataFrame(sections, "section_id int, text string"), 4, 90)
     assert sorted(map(tuple, out.select("req_id", "section_id", "score", "position").collect())) == sorted(want)
+
+
+def test_quotes_with_ellipses_and_lists_of_locations(spark):
+    chunks = spark.createDataFrame([(1, "section:1", "Bidders shall submit a valid tax clearance"), (1, "section:2", "certificate and three  years of audited accounts.")], "doc_id int, location string, text string")
+    cites = [
+        (1, 1, "section:1", "Bidders shall submit ... years of audited accounts", "fragments"),
+        (2, 1, "section:1", "Bidders shall submit… and …three years of audited", "fragments"),
+        (3, 1, "section:1", "years of audited accounts ... Bidders shall submit", "quote_not_found"),
+        (4, 1, "section:1", "Bidders ... shall", "quote_not_found"),
+        (5, 1, "section:1", "Bidders shall submit ... invented words in place", "quote_not_found"),
+        (6, 1, "section:9, section:2", "certificate and", "exact"),
+        (7, 1, "section:1, section:2", "and three years", "normalized"),
+        (8, 1, "section:1,section:9", "clearance certificate", "document"),
+        (9, 1, None, "valid tax", "document"),
+        (10, 2, "section:1", "valid tax", "document_missing"),
+    ]
+    out = D.verify_quotes(spark.createDataFrame(cites, "cite_id int, doc_id int, location string, quote string, want string").drop("want"), chunks, T.normalize_quote)
+    assert sorted(map(tuple, out.collect())) == [(c[0], c[-1]) for c in cites]
+
+
+def test_crawl_ends_at_a_declared_total_or_a_visited_url(spark):
+    rows = [("total", p, 2 * p + i, 4, f"u{p}") for p in (1, 2, 3) for i in range(2)]
+    rows += [("visited", p, 2 * p + i, None, u) for p, u in ((1, "a"), (2, "b"), (3, "a"), (4, "c")) for i in range(2)]
+    rows += [("short", p, 2 * p + i, 90, f"u{p}") for p in (1, 2) for i in range(3 - p)]
+    rows += [("most", p, 2 * p + i, 90, "a" if p > 4 else f"u{p}") for p in range(1, 7) for i in range(2)]
+    rows += [("end", p, 2 * p + i, None, None) for p in (1, 2) for i in range(2)]
+    out = X.crawl_stop_report(spark.createDataFrame(rows, "crawl string, page int, item int, total int, url string"), 4, 2)
+    assert {r.crawl: (r.stop_page, r.reason, r.kept_items) for r in out.collect()} == {
+        "total": (2, "total_reached", 4), "visited": (2, "already_visited_url", 4), "short": (2, "short_page", 3), "most": (4, "max_pages_reached", 8), "end": (2, "no_next_page", 4)
+    }
