@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a new temporary one where that is unset (local tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a session within one process (``local``) gets a
+    temporary folder; any other raises, as its executors share no such folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -35,6 +43,17 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that each row computes once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """Only ``doc_id``, ``text`` and the named columns, so that further columns of the input can't clash."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+
+def guarded(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all columns but the ``used`` ones under names that clash with nothing, and what gives them their names and order back."""
+    names = [c if c in used else f"__input_{k}" for k, c in enumerate(df.columns)]
+    return df.toDF(*names), lambda out: out.select(*names).toDF(*df.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticelake.llm import spans as S
+from noticelake.llm.common import let
 
 # A run that began before would have matched from there, so a match starts where
 # its run does or where the last match ended; that spares one try per character.
@@ -65,29 +66,36 @@ def scan(df: DataFrame) -> DataFrame:
 
     ``base_spans`` holds mail and IP addresses, card numbers that pass Luhn and
     phone numbers; ``spans`` also account numbers that pass mod 97, if context
-    leaves them a score of ``LEAST``.  Null texts count as empty and have no
+    leaves them a score of ``LEAST``.  ``scores`` has one number between 0 and 1
+    for each of ``spans``.  The work grows with a text's length and its matches.  Null texts count as empty and have no
     spans.  Rows are independent, so ties, repeated rows and empty tables need
     no rule; columns of the input with these names are replaced.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     length = lambda s: F.length(digits(s["value"]))
-    base = F.concat(
-        S.matches(text, EMAIL, "email", gate="@"),
-        F.filter(S.matches(text, IP, "ip"), lambda s: _octets(s["value"])),
-        F.filter(S.matches(text, CARD, "card"), lambda s: length(s).between(13, 19) & luhn(s["value"])),
-        F.filter(S.matches(text, PHONE, "phone"), lambda s: length(s).between(9, 15)),
-    )
-    iban = F.filter(S.apart(S.matches(text, IBAN, "iban"), F.col("base_spans")), lambda s: mod97(s["value"]) & (_score(text, s) >= LEAST))
-    out = df.withColumn("base_spans", S.in_order(base, KINDS, by_kind=True))
-    out = out.withColumn("spans", S.in_order(F.concat("base_spans", iban), KINDS, by_kind=True))
-    return out.withColumn("scores", F.transform("spans", lambda s: _score(text, s)))
-
-
-def _score(text: Column, s: Column) -> Column:
-    kind = s["kind"]
-    near = F.concat_ws(" ", F.substring(text, F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, F.least(s["start"], F.lit(WINDOW))), F.substring(text, s["end"] + 1, F.lit(WINDOW)))
-    score = F.lit(0.0)
-    for k in KINDS:
-        context = F.when(near.rlike(CONTEXT[k]), NEARBY).otherwise(0.0) + F.when(near.rlike(DOUBT), DOUBTED).otherwise(0.0)
-        score = F.when(kind == k, BASE_SCORE[k] + (CHECKED if k in ("card", "iban") else 0.0) + context).otherwise(score)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+    confirmed = {
+        "email": lambda s: F.lit(True), "ip": lambda s: _octets(s["value"]), "card": lambda s: length(s).between(13, 19) & luhn(s["value"]), "phone": lambda s: length(s).between(9, 15), "iban": lambda s: mod97(s["value"]),
+    }
+    out = df
+    for kind, pattern in (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE), ("iban", IBAN)):
+        out = out.withColumn(f"__{kind}", S.matches(text, pattern, kind, gate="@" if kind == "email" else None)).withColumn(f"__{kind}", F.filter(f"__{kind}", confirmed[kind]))
+    out = out.withColumn("base_spans", S.in_order(F.concat("__email", "__ip", "__card", "__phone"), KINDS, by_kind=True))
+    out = out.withColumn("__iban", S.apart(F.col("__iban"), F.col("base_spans")))
+    out = out.withColumn("spans", F.concat("base_spans", "__iban"))
+    score = let(S.blocks(text), lambda pieces: F.transform("spans", lambda s: F.struct(s.alias("span"), _score(pieces, s).alias("score"))))
+    out = out.withColumn("scores", F.when(F.size("spans") > 0, score).otherwise(F.array().cast(f"array<struct<span: {S.SPAN}, score: double>>")))
+    out = out.withColumn("scores", F.filter("scores", lambda x: (x["span"]["kind"] != "iban") | (x["score"] >= LEAST)))
+    return out.withColumn("spans", F.transform("scores", lambda x: x["span"])).withColumn("scores", F.transform("scores", lambda x: x["score"])).drop(*[f"__{k}" for k in KINDS])
+
+
+def _score(pieces: Column, s: Column) -> Column:
+    """What the kind is worth, with what its checksum and the words within ``WINDOW`` code points before and after add or take."""
+    near = F.concat_ws(" ", S.cut(pieces, F.greatest(s["start"] - WINDOW, F.lit(0)), s["start"]), S.cut(pieces, s["end"], s["end"] + WINDOW))
+
+    def total(words: Column) -> Column:
+        score = F.lit(0.0)
+        for k in KINDS:
+            score = F.when(s["kind"] == k, BASE_SCORE[k] + (CHECKED if k in ("card", "iban") else 0.0) + F.when(words.rlike(CONTEXT[k]), NEARBY).otherwise(0.0)).otherwise(score)
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score + F.when(words.rlike(DOUBT), DOUBTED).otherwise(0.0)))
+
+    return let(near, total)

@@ -102,13 +102,14 @@ FROM e
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(documents(table(spark, sf_dir, "documents")))
     counts = [S.count(F.col("base_spans"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
-    return found.select("doc_id", *counts, F.sha2(S.written(F.col("base_spans")), 256).alias("base_sha256"), S.written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(S.written(F.col("base_spans")), 256).alias("base_sha256"), S.written(F.col("spans")).alias("spans"), F.array_join(F.transform("scores", lambda x: F.round(100 * x).cast("int").cast("string")), ",").alias("scores"))
 
 
 _OCTET = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
 _LUHN = """list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN (length({d}) - i) % 2 = 0 THEN CAST({d}[i] AS INT) ELSE 2 * CAST({d}[i] AS INT) - CASE WHEN CAST({d}[i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
 _DIGITS = "regexp_replace(s.value, '[^0-9]', '', 'g')"
 _PLAIN = "replace(s.value, ' ', '')"
+_PERCENT = "CASE s.kind " + " ".join(f"WHEN '{k}' THEN {round(100 * pii.BASE_SCORE[k] + (100 * pii.CHECKED if k in ('card', 'iban') else 0))} + CASE WHEN regexp_matches(s.near, '{pii.CONTEXT[k]}') THEN {round(100 * pii.NEARBY)} ELSE 0 END" for k in pii.KINDS) + f" END + CASE WHEN regexp_matches(s.near, '{pii.DOUBT}') THEN {round(100 * pii.DOUBTED)} ELSE 0 END"
 _MOD97 = f"list_reduce(list_transform(string_split(substr({_PLAIN}, 5) || substr({_PLAIN}, 1, 4), ''), lambda c: instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1), lambda acc, n: (CASE WHEN n > 9 THEN acc * 100 ELSE acc * 10 END + n) % 97, 0) = 1"
 _NEAR = f"(substr(t, greatest(s.start - {pii.WINDOW}, 0) + 1, least(s.start, {pii.WINDOW})) || ' ' || substr(t, s.start + length(s.value) + 1, {pii.WINDOW}))"
 OP5_SQL = f"""
@@ -122,12 +123,14 @@ b AS (SELECT doc_id,
 FROM d),
 c AS (SELECT *, list_concat(list_concat(email, ip), list_concat(card, phone)) AS base FROM b),
 e AS (SELECT *, list_filter(accounts, s -> length(replace(s.value, ' ', '')) BETWEEN 15 AND 34 AND {_MOD97}
-    AND len(list_filter(base, o -> o.start < s.start + length(s.value) AND s.start < o.start + length(o.value))) = 0
-    AND least(1.0, 0.8 + CASE WHEN regexp_matches({_NEAR}, '{pii.CONTEXT["iban"]}') THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches({_NEAR}, '{pii.DOUBT}') THEN -0.3 ELSE 0 END) >= {pii.LEAST}) AS iban FROM c)
+    AND len(list_filter(base, o -> o.start < s.start + length(s.value) AND s.start < o.start + length(o.value))) = 0) AS iban FROM c),
+n AS (SELECT *, list_transform(list_concat(base, iban), s -> {{'kind': s.kind, 'start': s.start, 'value': s.value, 'near': {_NEAR}}}) AS near FROM e),
+p AS (SELECT *, list_filter(list_transform(near, s -> {{'kind': s.kind, 'start': s.start, 'value': s.value, 'percent': greatest(0, least(100, {_PERCENT}))}}), s -> s.kind <> 'iban' OR s.percent >= {round(100 * pii.LEAST)}) AS found FROM n)
 SELECT doc_id, len(email) AS n_email, len(ip) AS n_ip, len(card) AS n_card, len(phone) AS n_phone,
   sha256(array_to_string(list_transform(base, s -> s.kind || ':' || s.start || ':' || (s.start + length(s.value))), ',')) AS base_sha256,
-  array_to_string(list_transform(list_concat(base, iban), s -> s.kind || ':' || s.start || ':' || (s.start + length(s.value))), ',') AS spans
-FROM e
+  array_to_string(list_transform(found, s -> s.kind || ':' || s.start || ':' || (s.start + length(s.value))), ',') AS spans,
+  array_to_string(list_transform(found, s -> CAST(s.percent AS VARCHAR)), ',') AS scores
+FROM p
 """.replace("s ->", "lambda s:").replace("o ->", "lambda o:")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticelake.llm import spans as S
+from noticelake.llm.common import guarded, let
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
@@ -35,24 +36,29 @@ RE2_ALLOWED = ALLOWED.replace(r"(.)\1{7}", "|".join(f"{c}{{8}}" for c in "abcdef
 def entropy(value: Column, alphabet: str, window: int) -> Column:
     """The highest Shannon entropy, in bits, of a window of ``window`` characters of the value, which has at least so many.
 
-    The window slides by one character; the counts of two characters and the
-    sum of ``c log2 c`` change by what enters and leaves.
+    The window slides by one character.  ``counts`` is a text whose k-th
+    character, less ``@``, is the count of the alphabet's k-th; what leaves and
+    what enters each change one of them, and the sum of ``c log2 c``.  So a step
+    costs the same wherever it is in the value.
     """
     part = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
-    chars = F.split(value, "")
-    at = lambda i: F.instr(F.lit(alphabet), F.get(chars, i)) - 1
-    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"))
+    number = lambda counts, k: F.ascii(F.substring(counts, k + 1, F.lit(1))) - 64
 
-    def step(acc: Column, i: Column) -> Column:
-        came, gone = at(i), F.when(i >= window, at(i - window)).otherwise(-1)
-        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == came, 1).otherwise(0) - F.when(k == gone, 1).otherwise(0))
-        c_in, c_out = F.get(acc["counts"], came), F.get(acc["counts"], gone)
-        stays = came == gone
-        total = acc["sum"] + F.when(stays, 0.0).otherwise(F.get(part, c_in + 1) - F.get(part, c_in) + F.when(gone >= 0, F.get(part, c_out - 1) - F.get(part, c_out)).otherwise(0.0))
-        best = F.when(i >= window - 1, F.greatest(acc["best"], math.log2(window) - total / window)).otherwise(acc["best"])
-        return F.struct(counts.alias("counts"), total.alias("sum"), best.alias("best"))
+    def moved(acc: Column, k: Column, by: int) -> Column:
+        """The counts and their sum after character k came or went."""
+        put = lambda c: F.struct(F.overlay(acc["counts"], F.char(64 + by + c), k + 1, F.lit(1)).alias("counts"), (acc["sum"] + F.get(part, c + by) - F.get(part, c)).alias("sum"))
+        return let(number(acc["counts"], k), put)
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(value) - 1), zero, step, lambda acc: acc["best"])
+    def slide(codes: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            left = F.when(i >= window, moved(acc, F.get(codes, i - window), -1)).otherwise(F.struct(acc["counts"].alias("counts"), acc["sum"].alias("sum")))
+            bits = lambda s: F.when(i >= window - 1, F.greatest(acc["best"], math.log2(window) - s["sum"] / window)).otherwise(acc["best"])
+            return let(left, lambda a: let(moved(a, F.get(codes, i), 1), lambda b: F.struct(b["counts"].alias("counts"), b["sum"].alias("sum"), bits(b).alias("best"))))
+
+        zero = F.struct(F.lit("@" * len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"))
+        return F.aggregate(F.sequence(F.lit(0), F.length(value) - 1), zero, step, lambda acc: acc["best"])
+
+    return let(F.transform(F.split(value, ""), lambda c: F.instr(F.lit(alphabet), c) - 1), slide)
 
 
 def _secret(value: Column) -> Column:
@@ -69,20 +75,22 @@ def scan(df: DataFrame) -> DataFrame:
     ``base_spans`` holds assignments with a value of 12 or more characters,
     access keys and hexadecimal runs; ``spans`` also the candidates whose
     entropy is high and which overlap none of those.  Null texts count as empty
-    and have no spans.  Rows are independent, so ties, repeated rows and empty
+    and have no spans.  The work grows with a text's length and its matches.  Rows are independent, so ties, repeated rows and empty
     tables need no rule; columns of the input with these names are replaced.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     value = F.regexp_extract
-    assign = F.filter(S.matches(text, ASSIGN, "assign"), lambda s: F.length(value(s["value"], ASSIGN, 2)) >= 12)
-    base = F.concat(assign, S.matches(text, ACCESS, "access"), S.matches(text, HEX, "hex"))
-    out = df.withColumn("base_spans", S.in_order(base, KINDS))
-    found = F.filter(S.apart(S.matches(text, CANDIDATE, "entropy"), F.col("base_spans")), lambda s: _secret(s["value"]))
-    return out.withColumn("spans", S.in_order(F.concat("base_spans", found), KINDS))
+    out = df
+    for kind, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("entropy", CANDIDATE)):
+        out = out.withColumn(f"__{kind}", S.matches(text, pattern, kind))
+    assign = F.filter("__assign", lambda s: F.length(value(s["value"], ASSIGN, 2)) >= 12)
+    out = out.withColumn("base_spans", S.in_order(F.concat(assign, "__access", "__hex"), KINDS))
+    out = out.withColumn("__entropy", S.apart(F.col("__entropy"), F.col("base_spans")))
+    out = out.withColumn("__entropy", F.filter("__entropy", lambda s: _secret(s["value"])))
+    return out.withColumn("spans", S.in_order(F.concat("base_spans", "__entropy"), KINDS)).drop("__assign", "__access", "__hex", "__entropy")
 
 
 def redact(df: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The rows with every found secret in ``text`` replaced by the mark; null texts stay null."""
-    columns = df.columns
-    out = scan(df)
-    return out.withColumn("text", S.redacted(F.col("text").cast("string"), F.col("spans"), mark)).select(*columns)
+    rows, back = guarded(df, "text")
+    return back(scan(rows).withColumn("text", S.redacted(F.col("text").cast("string"), F.col("spans"), mark)))

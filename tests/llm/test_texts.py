@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -16,6 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from noticelake.llm import bpe, licenses, lm, pii, quality, secrets, toxicity
+from noticelake.llm import spans as S
 from noticelake.llm.queries import ORACLE_SQL, QUERIES
 from tests import oracle
 from tests.llm import helpers as H
@@ -170,3 +172,39 @@ def test_lm_has_no_largest_vocabulary(spark):
         assert len(out) == len(texts)
         assert np.allclose([[out[k].target_loss, out[k].background_loss] for k in range(len(texts))], want, atol=1e-4)
         assert [out[k].n_tokens for k in range(len(texts))] == [len(t) - 2 for t in coded]
+
+
+def test_long_runs_and_many_matches_cost_their_length(spark):
+    """A megabyte of one base64 run, and 60,000 addresses and keys in one text; places against plain expressions."""
+    r = random.Random(8)
+    blob = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    mails = " ".join(f"né{k}@x{k % 7}.org" for k in range(60_000))
+    keys = " ".join(f"é AKIA{k:014d} {k:016x}" for k in range(30_000))
+    docs = spark.createDataFrame([(1, blob), (2, mails), (3, keys)], "doc_id long, text string")
+    began = time.time()
+    out = {x.doc_id: x for x in secrets.scan(docs).collect()}
+    masked = {x.doc_id: x.text for x in secrets.redact(docs).collect()}
+    people = {x.doc_id: x for x in pii.scan(docs).collect()}
+    assert time.time() - began < 120
+    assert [(s.kind, s.start, s.end) for s in out[1].spans] == [("entropy", 0, len(blob))] and masked[1] == "[SECRET]"
+    want = sorted([(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]{14,}", keys)] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{16,}", keys)])
+    assert [(s.start, ["assign", "access", "hex"].index(s.kind), s.end) for s in out[3].base_spans] == want
+    assert masked[3] == re.sub("AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}", "[SECRET]", keys)
+    assert [(s.start, s.end) for s in people[2].spans] == [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", mails)]
+    assert len(people[2].scores) == len(people[2].spans)
+
+
+def test_spans_apart(spark):
+    r = random.Random(5)
+    for n in (0, 3, 40, 700):
+        cuts = sorted(r.sample(range(20 * n + 40), 2 * n))
+        own = [("e", a, b, "") for a, b in zip(cuts[::2], cuts[1::2])]
+        others = sorted(("o", a, a + r.randint(1, 30), "") for a in r.sample(range(20 * n + 40), n // 2))
+        got = spark.createDataFrame([(own, others)], f"a array<{S.SPAN}>, b array<{S.SPAN}>").select(S.apart(F.col("a"), F.col("b")).alias("x")).first().x
+        assert [tuple(s) for s in got] == [s for s in own if not any(o[1] < s[2] and s[1] < o[2] for o in others)]
+
+
+def test_context_moves_scores(spark):
+    rows = [(1, "call me, my phone: +33 612 345 678"), (2, "+33 612 345 678"), (3, "sample +33 612 345 678"), (4, "version 10.0.0.1"), (5, "login from ip 10.0.0.1"), (6, "account DE89 3704 0044 0532 0130 00"), (7, "example version DE89 3704 0044 0532 0130 00 build")]
+    out = {x.doc_id: ([s.kind for s in x.spans], [round(100 * v) for v in x.scores]) for x in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: (["phone"], [70]), 2: (["phone"], [50]), 3: (["phone"], [20]), 4: (["ip"], [20]), 5: (["ip"], [70]), 6: (["iban"], [100]), 7: ([], [])}
