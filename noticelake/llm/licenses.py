@@ -1,49 +1,59 @@
 """Licence scans by a positional index of rare words.
 
 A template is a licence's wording with the key phrases that a text must hold.
-Its words of the highest IDF, counted over all documents, are looked up in each
-text; every template position they may stand for proposes a start, and a start
-that all of a template's rare words propose is checked for the key phrases.
+A word's IDF counts all documents that hold it as a word.  Each text looks up
+the templates' words that are rarest among those it holds.  A looked-up word at
+place i that stands at k in a template proposes the start i - k; proposals that
+the text's other looked-up words bear out at their own relative places are
+checked for the mandatory phrases.
+
+Short wordings must stand word for word.  In whole licence texts names and
+years move the words, so places may differ by the template's ``slack``.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import lower_ascii
+from noticelake.llm.common import let, lower_ascii
+from noticelake.llm.license_texts import TEXTS
 
 
 class Template(NamedTuple):
     label: str
     words: str
-    #: (offset in words, length in words) of the phrases that must stand exactly there.
-    keys: tuple[tuple[int, int], ...]
+    #: The phrases that must stand, in the order of their places in the wording.
+    keys: tuple[str, ...]
+    #: By how many words their distance to the first phrase may differ.
+    slack: int = 0
 
 
 #: The phrases whose places count; the whole phrase is its key.
 BASE = (
-    Template("mit", "under the mit license", ((0, 4),)),
-    Template("apache-2", "apache license version 2", ((0, 4),)),
-    Template("cc-by-nc", "cc by nc", ((0, 3),)),
+    Template("mit", "under the mit license", ("under the mit license",)),
+    Template("apache-2", "apache license version 2", ("apache license version 2",)),
+    Template("cc-by-nc", "cc by nc", ("cc by nc",)),
 )
-#: Wordings of further licences; the words between the keys only move the score.
+#: Notices of further licences, and whole texts with room for names.
 MORE = (
-    Template("gpl-3", "licensed under the gnu general public license version 3", ((3, 6),)),
-    Template("gpl-2", "licensed under the gnu general public license version 2", ((3, 6),)),
-    Template("lgpl", "licensed under the gnu lesser general public license", ((3, 5),)),
-    Template("mpl-2", "subject to the terms of the mozilla public license v 2 0", ((6, 3),)),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ((0, 2), (3, 5))),
-    Template("mit-text", "permission is hereby granted free of charge to any person obtaining a copy", ((0, 7),)),
-    Template("cc-by-4", "licensed under the creative commons attribution 4 0 international license", ((3, 3),)),
-    Template("all-rights-reserved", "copyright all rights reserved", ((1, 3),)),
+    Template("gpl-3", "licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
+    Template("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
+    Template("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
+    Template("mpl-2", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    Template("cc-by-4", "licensed under the creative commons attribution 4 0 international license", ("creative commons attribution",)),
+    Template("all-rights-reserved", "copyright all rights reserved", ("all rights reserved",)),
+    *(Template(label, words, keys, 24) for label, (words, keys) in TEXTS.items()),
 )
-#: Rare words of a template that are looked up; fewer if its keys hold fewer.
-RARE = 2
+#: Words that a text looks up at most, the rarest first; the rarest word of each template's keys is looked up beside them.
+LOOKED_UP = 16
+#: Licence words of a lower IDF are looked up only as the rarest of a template's keys: those in more than an eighth of the documents.
+LEAST_IDF = math.log(8)
 
 
 def words(text: Column) -> Column:
@@ -52,60 +62,83 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def _key_words(t: Template) -> list[tuple[str, int]]:
-    """The words of the keys with their offsets, one offset a word: the first."""
-    ws = t.words.split()
-    out: dict[str, int] = {}
-    for at, n in t.keys:
-        for k in range(at, at + n):
-            out.setdefault(ws[k], k)
-    return list(out.items())
+def places(t: Template) -> list[int]:
+    """Where in its wording the key phrases of a template stand."""
+    ws, out = t.words.split(), []
+    for key in t.keys:
+        k, at = key.split(), out[-1] + 1 if out else 0
+        out.append(next(i for i in range(at, len(ws)) if ws[i : i + len(k)] == k))
+    return out
 
 
 def frequencies(docs: DataFrame, templates: tuple[Template, ...]) -> dict[str, float]:
-    """IDF over all documents of the templates' key words; the vocabulary bounds what reaches the driver."""
-    vocabulary = sorted({w for t in templates for w, _ in _key_words(t)})
-    text = F.lower("text")
-    counts = docs.agg(F.count(F.lit(1)).alias("n_documents"), *[F.count_if(F.contains(text, F.lit(w))).alias(w) for w in vocabulary]).first()
-    return {w: math.log((1 + counts["n_documents"]) / (1 + counts[w])) for w in vocabulary}
+    """IDF over all documents of the templates' words, which bound what reaches the driver."""
+    known = sorted({w for t in templates for w in t.words.split()})
+    held = docs.select(F.array_intersect(F.array(*map(F.lit, known)), words(F.col("text"))).alias("ws"))
+    counts = held.select(F.explode_outer("ws").alias("w"), F.when(F.col("ws").isNotNull(), 1).alias("row")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    n, found = docs.count(), {r.w: r.n for r in counts.where("w is not null").collect()}  # a row per word of the templates
+    return {w: math.log((1 + n) / (1 + found.get(w, 0))) for w in known}
 
 
-def _less(k: int) -> Callable[[Column], Column]:
-    return lambda p: p - k
+def _rarest(t: Template, idf: dict[str, float]) -> str:
+    return max({w for key in t.keys for w in key.split()}, key=lambda w: (idf[w], w))
 
 
-def _positions(w: str) -> Column:
-    return F.transform(F.filter("_hits", lambda x: x["w"] == w), lambda x: x["i"])
+def _same(ws: Column, at: Column, phrase: list[str]) -> Column:
+    return (at >= 0) & (F.slice(ws, F.greatest(at, F.lit(0)) + 1, len(phrase)) == F.array(*map(F.lit, phrase)))
 
 
-def _starts(t: Template, idf: dict[str, float], at: dict[str, Column], ws: Column) -> Column:
-    """Sorted starts where all rare words of the template agree and its key phrases stand."""
-    rare = sorted(_key_words(t), key=lambda x: (-idf[x[0]], x[0]))[:RARE]
-    proposed = [F.transform(at[w], _less(k)) for w, k in rare]
-    starts = proposed[0] if len(proposed) == 1 else F.array_intersect(proposed[0], proposed[1])
-    whole = t.words.split()
+def _starts(t: Template, idf: dict[str, float], hits: Column, looked: Column, ws: Column) -> Column:
+    """Sorted places of the first key phrase where the template's other phrases stand too.
 
-    def verified(s: Column) -> Column:
-        ok = s + F.lit(t.keys[0][0]) >= 0
-        for k, n in t.keys:
-            ok = ok & (F.slice(ws, F.greatest(s + k, F.lit(0)) + 1, n) == F.array(*map(F.lit, whole[k : k + n])))
-        return ok
+    The starts that the rarest key word proposes are intersected with the
+    postings of all looked-up key words, each at its relative place; what is
+    left is checked for the phrases.  A text with the phrases has their words,
+    so the intersection loses none.
+    """
+    at, keys = places(t), [k.split() for k in t.keys]
+    offsets: dict[str, list[int]] = {}
+    for a, key in zip(at, keys):
+        for k, w in enumerate(key):
+            offsets.setdefault(w, []).append(a + k)
+    rarest = _rarest(t, idf)
+    posting = F.create_map(*[x for w, ks in offsets.items() for x in (F.lit(w), F.array(*map(F.lit, ks)))])
+    proposed = F.flatten(F.transform(F.filter(hits, lambda h: h["w"] == rarest), lambda h: F.transform(posting[rarest], lambda k: h["i"] - k)))
+
+    def borne_out(s: Column, w: Column) -> Column:
+        """Whether w stands at one of its places from s, or within the slack of both phrases."""
+        low = lambda k: F.greatest(s + k - 2 * t.slack, F.lit(0))
+        return F.exists(posting[w], lambda k: F.array_contains(F.slice(ws, low(k) + 1, F.greatest(s + k + 2 * t.slack - low(k) + 1, F.lit(0))), w))
+
+    def first_phrase(s: Column) -> Column:
+        """Where within the slack of a start the first phrase stands."""
+        return F.filter(F.transform(F.sequence(F.lit(-t.slack), F.lit(t.slack)), lambda d: s + at[0] + d), lambda p: _same(ws, p, keys[0]))
+
+    def stands(p: Column, a: int, key: list[str]) -> Column:
+        return F.exists(F.sequence(F.lit(a - at[0] - t.slack), F.lit(a - at[0] + t.slack)), lambda d: _same(ws, p + d, key))
+
+    def verified(p: Column) -> Column:
+        return reduce(lambda x, y: x & y, [stands(p, a, key) for a, key in zip(at[1:], keys[1:])], F.lit(True))
 
-    return F.array_sort(F.filter(F.array_distinct(starts), verified))
+    own = F.array_intersect(looked, F.array(*map(F.lit, offsets)))
+    left = let(own, lambda o: F.filter(F.array_distinct(proposed), lambda s: F.forall(o, lambda w: borne_out(s, w))))
+    return F.array_sort(F.filter(F.array_distinct(F.flatten(F.transform(left, first_phrase))), verified))
 
 
-def _coverage(t: Template, ws: Column, s: Column) -> Column:
-    """Share of the template's words that stand in their place."""
-    hits = sum((F.when(F.get(ws, s + k) == w, 1).otherwise(0) for k, w in enumerate(t.words.split())), F.lit(0))
-    return hits / len(t.words.split())
+def _coverage(t: Template, ws: Column, p: Column) -> Column:
+    """The share of the template's distinct words that stand between its start and end, given the place of its first phrase."""
+    whole, at = t.words.split(), places(t)[0]
+    low = F.greatest(p - at - t.slack, F.lit(0))
+    kinds = sorted(set(whole))
+    return F.size(F.array_intersect(F.array(*map(F.lit, kinds)), F.slice(ws, low + 1, p - at + len(whole) + t.slack - low))) / len(kinds)
 
 
-def _covered(t: Template) -> Callable[[Column], Column]:
-    return lambda s: _coverage(t, F.col("_words"), s)
+def _covered(t: Template, ws: Column) -> Callable[[Column], Column]:
+    return lambda p: _coverage(t, ws, p)
 
 
 def scan(df: DataFrame, base: tuple[Template, ...] = BASE, more: tuple[Template, ...] = MORE) -> DataFrame:
-    """Appends ``n_words``, ``base_starts`` (label to starts), ``more_starts`` and ``coverage``, the best share of a found template's words.
+    """Appends ``n_words``, ``base_starts`` and ``more_starts`` (label to places of the first key phrase) and ``coverage``, the best share of a found template's words.
 
     Null texts count as empty and have no words.  Rows are independent, so ties,
     repeated rows and empty tables need no rule; columns of the input with these
@@ -113,15 +146,19 @@ def scan(df: DataFrame, base: tuple[Template, ...] = BASE, more: tuple[Template,
     """
     templates = base + more
     idf = frequencies(df, templates)
-    vocabulary = sorted({w for t in templates for w, _ in sorted(_key_words(t), key=lambda x: (-idf[x[0]], x[0]))[:RARE]})
-    out = df.withColumn("_words", words(F.col("text")))
-    # postings of the rare words in the text, in one walk over it
-    known = F.array(*map(F.lit, vocabulary))
-    hits = F.filter(F.transform("_words", lambda w, i: F.when(F.array_contains(known, w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
-    out = out.withColumn("_hits", hits)
-    at = {w: _positions(w) for w in vocabulary}
-    some = lambda t: F.when(F.size("_hits") > 0, _starts(t, idf, at, F.col("_words"))).otherwise(F.array().cast("array<int>"))
-    found = lambda ts: F.array(*[F.struct(F.lit(t.label).alias("label"), some(t).alias("starts")) for t in ts])
-    out = out.withColumns({"n_words": F.size("_words").cast("long"), "base_starts": found(base), "more_starts": found(more)})
-    best = [F.array_max(F.transform(F.get(col, k)["starts"], _covered(t))) for col, ts in (("base_starts", base), ("more_starts", more)) for k, t in enumerate(ts)]
-    return out.withColumn("coverage", F.when(F.size("_hits") > 0, F.coalesce(F.greatest(*best), F.lit(0.0))).otherwise(0.0)).drop("_words", "_hits")
+    by_idf = sorted(idf, key=lambda w: (-idf[w], w))
+    leads = {_rarest(t, idf) for t in templates}
+    known = F.array(*[F.lit(w) for w in by_idf if idf[w] >= LEAST_IDF or w in leads])
+    out = df.withColumn("__words", words(F.col("text")))
+    # the text's own licence words, rarest first, and where the looked-up ones stand
+    out = out.withColumn("__own", F.array_intersect(known, "__words"))
+    out = out.withColumn("__looked", F.filter("__own", lambda w, k: (k < LOOKED_UP) | w.isin(*leads)))
+    places_ = F.filter(F.transform("__words", lambda w, i: F.when(F.array_contains("__looked", w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+    out = out.withColumn("__hits", F.when(F.size("__looked") > 0, places_))
+    ws = F.col("__words")
+    for name, ts in (("base_starts", base), ("more_starts", more)):
+        some = [F.struct(F.lit(t.label).alias("label"), F.when(F.col("__hits").isNull(), F.array().cast("array<int>")).otherwise(_starts(t, idf, F.col("__hits"), F.col("__looked"), ws)).alias("starts")) for t in ts]
+        out = out.withColumn(name, F.array(*some))
+    best = [F.array_max(F.transform(F.get(col, k)["starts"], _covered(t, ws))) for col, ts in (("base_starts", base), ("more_starts", more)) for k, t in enumerate(ts)]
+    out = out.withColumn("coverage", F.when(F.col("__hits").isNull(), 0.0).otherwise(F.coalesce(F.greatest(*best), F.lit(0.0))))
+    return out.withColumn("n_words", F.size("__words").cast("long")).drop("__words", "__own", "__looked", "__hits")

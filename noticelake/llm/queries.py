@@ -24,15 +24,24 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _duck_same(at: str, phrase: str) -> str:
+    return "(" + " AND ".join(f"w[{at} + {j}] = '{x}'" for j, x in enumerate(phrase.split())) + ")"
+
+
 def _duck_starts(t: licenses.Template) -> str:
-    ws = t.words.split()
-    same = " AND ".join(f"w[i + {j}] = '{ws[j]}'" for k, n in t.keys for j in range(k, k + n))
-    return f"list_filter(range(1 - {t.keys[0][0]}, len(w) + 1), lambda i: {same})"
+    """Places, from 1, of a template's first phrase where the others stand within the slack of their distance to it."""
+    out = f"list_filter(range(1, len(w) + 1), lambda i: {_duck_same('i', t.keys[0])})"
+    first, *others = licenses.places(t)
+    for at, key in zip(others, t.keys[1:]):
+        near = f"list_filter(range({at - first - t.slack}, {at - first + t.slack + 1}), lambda d: i + d > 0 AND {_duck_same('i + d', key)})"
+        out = f"list_filter({out}, lambda i: len({near}) > 0)"
+    return out
 
 
 def _duck_coverage(k: int, t: licenses.Template) -> str:
-    hits = " + ".join(f"CASE WHEN i + {j} > 0 AND w[i + {j}] = '{x}' THEN 1 ELSE 0 END" for j, x in enumerate(t.words.split()))
-    return f"coalesce(list_max(list_transform(s{k}, lambda i: ({hits}) / {len(t.words.split())}.0)), 0)"
+    n, at, kinds = len(t.words.split()), licenses.places(t)[0], sorted(set(t.words.split()))
+    inside = f"w[greatest(i - {at + t.slack}, 1):greatest(i - {at} + {n + t.slack} - 1, 0)]"
+    return f"coalesce(list_max(list_transform(s{k}, lambda i: len(list_intersect({kinds}, {inside})) / {len(kinds)}.0)), 0)"
 
 
 _ALL = licenses.BASE + licenses.MORE

@@ -10,6 +10,7 @@ import re
 import time
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -208,3 +209,41 @@ def test_context_moves_scores(spark):
     rows = [(1, "call me, my phone: +33 612 345 678"), (2, "+33 612 345 678"), (3, "sample +33 612 345 678"), (4, "version 10.0.0.1"), (5, "login from ip 10.0.0.1"), (6, "account DE89 3704 0044 0532 0130 00"), (7, "example version DE89 3704 0044 0532 0130 00 build")]
     out = {x.doc_id: ([s.kind for s in x.spans], [round(100 * v) for v in x.scores]) for x in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {1: (["phone"], [70]), 2: (["phone"], [50]), 3: (["phone"], [20]), 4: (["ip"], [20]), 5: (["ip"], [70]), 6: (["iban"], [100]), 7: ([], [])}
+
+
+def planted_licenses() -> list[tuple[int, str | None]]:
+    """Whole licence texts as they are, with names put in, without a mandatory phrase, torn apart, and repeated."""
+    r, rows = random.Random(6), []
+    for label, (text, keys) in licenses.TEXTS.items():
+        w = text.split()
+        named = w[:40] + ["Acme", "GmbH", "2024"] + w[40:]
+        holes = [x for x in w if r.random() > 0.02 or any(x in k.split() for k in keys)]
+        rows += [" ".join(w), "Prose before. " + " ".join(named).capitalize() + " prose after", " ".join(holes), " ".join(w).replace(keys[-1].split()[-1], "x"), " ".join(w[:60] + ["pad"] * 200 + w[60:]), " ".join(w + ["and"] + w)]
+    rows += ["under the MIT-license; " * 50, "nc by cc by nc", "all rights reserved", None, ""]
+    return list(enumerate(rows))
+
+
+def test_license_texts_against_a_plain_version_and_sql(spark, tmp_path):
+    rows = planted_licenses()
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op1_license_scan"](spark, str(tmp_path)).toPandas()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert oracle.rows(got) == oracle.rows(c.execute(ORACLE_SQL["op1_license_scan"]).fetchdf())
+    want = {}
+    for i, text in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        stand = lambda p, key: p >= 0 and w[p : p + len(key.split())] == key.split()
+        want[i] = set()
+        for t in licenses.BASE + licenses.MORE:
+            at = licenses.places(t)
+            if any(stand(p, t.keys[0]) and all(any(stand(p + a - at[0] + d, k) for d in range(-t.slack, t.slack + 1)) for a, k in zip(at[1:], t.keys[1:])) for p in range(len(w))):
+                want[i].add(t.label)
+    assert {r.doc_id: set(filter(None, r.labels.split(","))) for r in got.itertuples()} == want
+    assert set().union(*want.values()) >= set(licenses.TEXTS) | {"mit", "cc-by-nc", "all-rights-reserved"}
+
+
+def test_idf_counts_words_not_letters(spark):
+    docs = spark.createDataFrame([(1, "permit commit"), (2, "MIT mit"), (3, "gnu"), (4, None)], "doc_id long, text string")
+    idf = licenses.frequencies(docs, licenses.BASE + licenses.MORE)
+    assert idf["mit"] == pytest.approx(math.log(5 / 2)) and idf["apache"] == pytest.approx(math.log(5))
