@@ -151,6 +151,43 @@ def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+_RUNS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+
+def _duck_number(text: str, of: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT) % {of}"
+
+
+def _duck_quota(name: str, rows: str, within: str, key: str, votes: str, seats: str) -> str:
+    """Seats by ranking all quotients."""
+    return f"""{name}_q AS (SELECT {within}, {key}, seats, row_number() OVER (PARTITION BY {within} ORDER BY CAST({votes} AS DOUBLE) / (2 * k + 1) DESC, {key}) AS turn FROM (SELECT *, {seats} AS seats, unnest(range(CAST(most AS BIGINT))) AS k FROM {rows} WHERE {votes} > 0)),
+{name} AS (SELECT r.*, coalesce(q.n, 0) AS quota FROM {rows} r LEFT JOIN (SELECT {within}, {key}, count(*) AS n FROM {name}_q WHERE turn <= seats GROUP BY ALL) q USING ({within}, {key}))"""
+
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST({_RUNS} AS BIGINT) AS size, md5(coalesce(text, '')) AS h, count(*) AS copies FROM documents GROUP BY ALL),
+z AS (SELECT source, CAST(sum(size * copies) AS BIGINT) AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM z), r AS (SELECT *, CAST({list(mixing.WEIGHTS)}[number % {len(mixing.WEIGHTS)} + 1] AS DOUBLE) AS weight FROM w),
+p AS (SELECT *, {mixing.LIMIT} * source_size / weight AS ratio, {mixing.SHARE} * sum(source_size) OVER () AS total FROM r),
+l AS (SELECT *, (total - coalesce(sum({mixing.LIMIT} * source_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM p WINDOW b AS (ORDER BY ratio, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, least({mixing.LIMIT} * CAST(source_size AS DOUBLE), coalesce(max(CASE WHEN level <= ratio THEN level END) OVER (), max(ratio) OVER ()) * weight) AS target FROM l),
+s0 AS (SELECT *, 1 AS whole, CAST(round(sum(target) OVER () / {mixing.BLOCK_WORDS}) AS BIGINT) AS all_seats, {mixing.LIMIT} * ceil(source_size / {mixing.BLOCK_WORDS}) AS most, CAST(greatest(ceil(source_size / {mixing.SHARD_WORDS}), 1) AS BIGINT) AS shards FROM t),
+{_duck_quota("s", "s0", "whole", "number", "target", "all_seats")},
+n AS (SELECT d.*, s.number, s.source_size, s.target, s.quota AS source_quota, s.shards, coalesce(CAST(doc_id AS VARCHAR), '') || '|' || h || '|{mixing.SEED}' AS key FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+c AS (SELECT *, {_duck_number("key", "shards")} AS shard, substr(md5(key), 16, 17) AS turn, size * copies AS length FROM n WHERE size > 0),
+h0 AS (SELECT number, source, shard, shard // {mixing.FAN} AS g, sum(length) AS shard_size, ceil(sum(length) / {mixing.BLOCK_WORDS}) AS shard_blocks, any_value(source_quota) AS source_quota FROM c GROUP BY ALL),
+g0 AS (SELECT number, g, sum(shard_size) AS group_size, {mixing.LIMIT} * sum(shard_blocks) AS most, any_value(source_quota) AS source_quota FROM h0 GROUP BY ALL),
+{_duck_quota("g", "g0", "number", "g", "group_size", "source_quota")},
+h1 AS (SELECT h0.*, g.quota AS group_quota, {mixing.LIMIT} * shard_blocks AS most, number || '|' || h0.g AS within_group FROM h0 JOIN g USING (number, g)),
+{_duck_quota("h2", "h1", "within_group", "shard", "shard_size", "group_quota")},
+f AS (SELECT *, floor(quota / shard_blocks) AS rounds, quota % shard_blocks AS run, {_duck_number(f"coalesce(source, '') || '|' || shard || '|{mixing.SEED}'", "CAST(shard_blocks AS BIGINT)")} AS first FROM h2),
+o AS (SELECT c.*, f.rounds, f.first * {mixing.BLOCK_WORDS} AS low, (f.first + run) * {mixing.BLOCK_WORDS} AS high, greatest(0, f.first + run - shard_blocks) * {mixing.BLOCK_WORDS} AS again, sum(length) OVER (PARTITION BY c.number, c.shard ORDER BY turn, doc_id NULLS FIRST, h ROWS UNBOUNDED PRECEDING) - length AS begins FROM c JOIN f USING (number, shard)),
+e AS (SELECT doc_id, size, source_size, target, rounds, low, high, again, begins + size * unnest(range(copies)) AS a FROM o)
+SELECT doc_id, size, source_size, target, CAST(rounds * size + greatest(0, least(a + size, high) - greatest(a, low)) + greatest(0, least(a + size, again) - a) AS BIGINT) AS taken FROM e
+UNION ALL SELECT doc_id, size, source_size, target, 0 FROM (SELECT *, unnest(range(copies)) AS a FROM n WHERE size = 0)
+"""
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -181,4 +218,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": OP1_SQL,
     "op4_secret_scan": OP4_SQL,
     "op5_personal_data": OP5_SQL,
+    "op7_sainte_lague_mix": OP7_SQL,
 }

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from noticelake.llm import dedup, minhash, mixing, neighbours
+from noticelake.llm import dedup, minhash, mixing, neighbours, queries
 from noticelake.llm.queries import QUERIES
+from tests import oracle
 from tests.llm import helpers as H
 
 
@@ -115,6 +119,64 @@ def test_mix_hits_targets(spark):
     assert len(level) <= 1
 
 
+def seated(votes: list[int], most: list[int], seats: int) -> list[int]:
+    """The highest quotients one by one."""
+    out = [0] * len(votes)
+    heap = [(-v / 1, k) for k, v in enumerate(votes) if v > 0 and most[k] > 0]
+    heapq.heapify(heap)
+    for _ in range(seats):
+        if not heap:
+            break
+        _, k = heapq.heappop(heap)
+        out[k] += 1
+        if out[k] < most[k]:
+            heapq.heappush(heap, (-votes[k] / (2 * out[k] + 1), k))
+    return out
+
+
+def test_seats_go_to_the_highest_quotients(spark):
+    r, rows, want = random.Random(7), [], {}
+    cases = [([6000] + [4] * 1000, [10**9] * 1001, 1000), ([5, 5, 5], [1, 1, 1], 9), ([0, 0], [3, 3], 4), ([7], [100], 40), ([3, 3, 3, 3], [9] * 4, 6), ([1], [0], 3)]
+    for _ in range(40):
+        n = r.randint(1, 60)
+        votes = [int(r.paretovariate(0.7)) + r.randint(0, 3) if r.random() > 0.1 else 0 for _ in range(n)]
+        cases.append((votes, [r.choice([0, 2, 10, 10**6]) if r.random() < 0.4 else 10**6 for _ in range(n)], r.randint(0, 4000)))
+    for g, (votes, most, seats) in enumerate(cases):
+        rows += [(g, k, v, m, seats) for k, (v, m) in enumerate(zip(votes, most))]
+        want[g] = seated(votes, most, seats)
+    out = mixing.apportion(spark.createDataFrame(rows, "g int, k int, votes long, most long, seats long"), ["g"], ["k"], "votes", "seats", "most").collect()
+    assert want[0][0] == 750
+    got = {g: [x.quota for x in sorted((x for x in out if x.g == g), key=lambda x: x.k)] for g in want}
+    assert got == want
+
+
+def test_many_null_ids_and_blank_texts_fill_no_shard(spark):
+    rows = [(None, f"word{k % 500} " * (k % 500 % 7 + 1), "a") for k in range(20_000)] + [(k, " ", "b") for k in range(20_000)] + [(1, "x y z", "b"), (1, "other text here", "b"), (2, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    lines = mixing._lines(docs, 8, 1000, 17)
+    assert lines.count() < 25_000 and lines.groupBy("doc_id", "source", "h").count().where("count > 1").count() == 0
+    got = mixing.mix(docs, shard_words=1000).groupBy(F.col("doc_id").isNull().alias("none"), "source_size").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect()
+    assert sum(x.n for x in got) == len(rows) and all(x.over <= 0 for x in got)
+    assert all(abs(x.taken - x.target) <= 8 * (x.source_size // 1000 + 2) for x in got)
+    kept = mixing.mixed(docs)
+    assert kept.where("doc_id is null").count() > 15_000 and {r.text for r in kept.where("doc_id = 1").collect()} <= {"x y z", "other text here"}
+
+
+def test_mix_is_the_sql_on_small_shards(spark, monkeypatch, tmp_path):
+    """Several shards and groups a source, repeated rows, null ids and sources, blank texts, sources that stop at twice their size."""
+    r = random.Random(9)
+    rows = [(k if r.random() < 0.9 else None, " ".join("w" * r.randint(1, 3) for _ in range(r.randint(0, 60))), r.choice("aaaaabc") if k % 9 else None) for k in range(900)]
+    rows += rows[:40] * 3
+    monkeypatch.setattr(mixing, "FAN", 4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    c = duckdb.connect()
+    docs.coalesce(1).write.parquet(str(tmp_path / "d"))
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    sql = queries.OP7_SQL.replace(f"source_size / {mixing.SHARD_WORDS}", "source_size / 500").replace("shard // 512", "shard // 4")
+    got, want = mixing.mix(docs, shard_words=500).toPandas(), c.execute(sql).fetchdf()
+    assert len(got) == len(rows) and oracle.rows(got) == oracle.rows(want)
+
+
 def test_mix_edges(spark):
     got = mixing.mix(H.edge(spark)).collect()
     assert len(got) == len(H.TEXTS) and all(r.taken == 0 for r in got if r.size == 0)
