@@ -106,7 +106,8 @@ def near_duplicates(df: DataFrame, large: int = LARGE) -> DataFrame:
     found = components(links)
 
     left = _left(buckets.select("band", "doc_id"), found)
-    about = named.select("doc_id", F.col("n_shingles").alias("n"), "bands", *[F.get("planes", k).alias(p) for k, p in enumerate(_PLANES)]).dropDuplicates(["doc_id"])
+    # a row for each set of an id: where an id repeats with other texts, any of its sketches may admit a pair
+    about = named.select("doc_id", "set_key", F.col("n_shingles").alias("n"), "bands", *[F.get("planes", k).alias(p) for k, p in enumerate(_PLANES)]).dropDuplicates(["doc_id", "set_key"]).drop("set_key")
     about = stored(about.join(left.select("doc_id", "component").distinct(), "doc_id"))
     here = left.where(F.col("n_members") <= large).select("band", "doc_id").join(about, "doc_id")
     first = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.band")

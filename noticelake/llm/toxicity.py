@@ -1,10 +1,11 @@
 """Toxicity by a classifier chain over sparse text features.
 
-The chain predicts the categories of ``CATEGORIES`` one after the other.  The
-linear model of a category sees the text's features and the probabilities of
-the categories before it; in training those come from models that were fitted
-without the document's fold, so that a later model learns how far to trust
-them.  The last category is the label itself.
+Labels say only whether a document is toxic; the kinds of toxicity are learnt
+as clusters of the labelled toxic documents by the features that set them apart.
+The chain predicts the kinds one after the other and the label last.  The linear
+model of a category sees the text's features and the probabilities of the
+categories before it; in training those come from models that were fitted
+without the document's fold, so that a later model learns how far to trust them.
 """
 
 from __future__ import annotations
@@ -25,12 +26,8 @@ MAX_FEATURES = 4_000
 #: What a feature needs: positive documents, their share of all positive ones, their share of its documents, and standard deviations above chance.
 LEAST_HITS, LEAST_SHARE, LEAST_PURITY, LEAST_Z = 5, 0.005, 0.9, 6.0
 FOLDS = 4
-#: Words that place a toxic document in a category; the label alone makes the last one.
-CATEGORIES: dict[str, tuple[str, ...]] = {
-    "insult": ("idiot", "moron", "stupid", "loser", "clown"),
-    "contempt": ("pathetic", "worthless", "disgusting", "scum", "trash"),
-    "toxic": (),
-}
+#: Kinds of toxicity before the label itself.
+KINDS = 2
 _NOT_LETTERS = np.ones(256, bool)
 _NOT_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _PREFIXES = (4, 5, 6)
@@ -46,7 +43,9 @@ class Chain:
     """The fitted models: sorted feature hashes, and weights by category."""
 
     def __init__(self, names: list[str], chosen: np.ndarray, models: list[tuple[np.ndarray, np.ndarray, float]], threshold: float) -> None:
-        self.names, self.chosen, self.models, self.threshold = names, chosen, models, threshold
+        self.names, self.chosen, self.models = names, chosen, models
+        #: Beyond what a text without any of the features gets, so that a high base rate alone calls nothing toxic.
+        self.threshold = max(threshold, float(np.nextafter(self.probabilities(None)[-1], 2.0))) if models else threshold
 
     def probabilities(self, text: str | None) -> list[float]:
         f = features(text)
@@ -69,6 +68,30 @@ def choose(sampled: DataFrame, positive: int, negative: int, most: int = MAX_FEA
     return np.array(sorted(r.feature for r in rows), np.int64)
 
 
+def kinds_of(columns: list[np.ndarray], width: int, n: int = KINDS, rounds: int = 12) -> np.ndarray:
+    """A kind from 0, the largest first, for each row of feature numbers: k-means by the cosine, from the row with most features and the ones least like those before.  Rows without features have kind -1."""
+    x = np.zeros((len(columns), width), np.float32)
+    for k, c in enumerate(columns):
+        x[k, c] = 1 / np.sqrt(max(len(c), 1))
+    has = np.array([len(c) > 0 for c in columns], bool)
+    if not has.any():
+        return np.full(len(columns), -1)
+    rows = x[has]
+    seeds = [int(np.argmax([len(c) for c in columns if len(c)]))]
+    while len(seeds) < n:
+        seeds.append(int(np.argmin((rows @ rows[seeds].T).max(1))))
+    centres = rows[seeds]
+    for _ in range(rounds):
+        of = (rows @ centres.T).argmax(1)
+        total = np.stack([rows[of == j].sum(0) if (of == j).any() else centres[j] for j in range(n)])
+        centres = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+    of = (rows @ centres.T).argmax(1)
+    rank = np.argsort(np.argsort(-np.bincount(of, minlength=n), kind="stable"))
+    out = np.full(len(columns), -1)
+    out[has] = rank[of]
+    return out
+
+
 def fit_chain(columns: list[np.ndarray], chosen: np.ndarray, targets: dict[str, np.ndarray]) -> Chain:
     """Fits the chain on rows that hold the numbers of their features in ``chosen``.  Without rows every probability is one half and nothing is toxic."""
     n, names = len(columns), list(targets)
@@ -102,13 +125,12 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) ->
     spark = documents.sparkSession
     few = F.broadcast(spark.createDataFrame(ids, "doc_id long, target int"))
     found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(few, "doc_id")
-    places = [F.coalesce(F.lower("text").rlike(rf"\b({'|'.join(words)})\b"), F.lit(False)).alias(c) if words else F.lit(True).alias(c) for c, words in CATEGORIES.items()]
 
     @F.pandas_udf("array<long>")
     def sparse(text: pd.Series) -> pd.Series:
         return pd.Series([features(t) for t in text], dtype=object)
 
-    sampled = stored(found.select("doc_id", "target", *places, sparse("text").alias("features")).dropDuplicates(["doc_id"]))
+    sampled = stored(found.select("doc_id", "target", sparse("text").alias("features")).dropDuplicates(["doc_id"]))
     base = sampled.drop("features").toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
     toxic = base["target"].to_numpy() == 1
     chosen = choose(sampled, int(toxic.sum()), int((~toxic).sum()))
@@ -116,7 +138,9 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) ->
     has = sampled.select("doc_id", F.explode("features").alias("feature")).join(F.broadcast(numbers), "feature")  # at most MAX_FEATURES numbers
     of = {r.doc_id: r.numbers for r in has.groupBy("doc_id").agg(F.array_sort(F.collect_list("number")).alias("numbers")).collect()}
     columns = [np.array(of.get(i, []), np.int64) for i in base["doc_id"].tolist()]
-    return fit_chain(columns, chosen, {c: toxic & base[c].to_numpy(dtype=bool) for c in CATEGORIES})
+    kind = np.full(len(columns), -1)
+    kind[toxic] = kinds_of([c for c, t in zip(columns, toxic) if t], len(chosen))
+    return fit_chain(columns, chosen, {**{f"kind_{j + 1}": kind == j for j in range(KINDS)}, "toxic": toxic})
 
 
 def classify(df: DataFrame, chain: Chain) -> DataFrame:

@@ -141,6 +141,8 @@ def test_toxicity_on_held_out_labels(spark):
     clean = [r for r in rows if r.truth == 0]
     assert sum(r.toxic for r in clean) / len(clean) <= 0.02
     assert sum(r.toxic == (r.truth == 1) for r in rows) / len(rows) >= 0.9
+    toxic = [r for r in rows if r.truth == 1]
+    assert sum(r.toxic for r in toxic) >= 7 and len(toxic) == 15  # the others hold coded words that fewer than five training documents show
 
 
 def test_lm_loss_by_hand(spark):
@@ -247,3 +249,43 @@ def test_idf_counts_words_not_letters(spark):
     docs = spark.createDataFrame([(1, "permit commit"), (2, "MIT mit"), (3, "gnu"), (4, None)], "doc_id long, text string")
     idf = licenses.frequencies(docs, licenses.BASE + licenses.MORE)
     assert idf["mit"] == pytest.approx(math.log(5 / 2)) and idf["apache"] == pytest.approx(math.log(5))
+
+
+def plain_fit(x: np.ndarray, dense: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic regression by the same descent over whole matrices."""
+    n, rate = len(y), (y.sum() + 0.5) / (len(y) + 1)
+    w, v, b = np.zeros(x.shape[1]), np.zeros(dense.shape[1]), np.log(rate / (1 - rate))
+    if not 0 < y.sum() < n:
+        return w, v, b
+    often, dw, dv, db = x.mean(0), 0.0, 0.0, 0.0
+    for _ in range(300):
+        e = (1 / (1 + np.exp(-(x @ w + dense @ v + b))) - y) / n
+        dw = 0.9 * dw - 0.2 / (penalty + 0.5 * np.sqrt(often) + 1e-9) * (x.T @ e + penalty * w * often)
+        dv = 0.9 * dv - 0.2 / (penalty + 2 * (dense**2).mean(0) + 1e-9) * (dense.T @ e + penalty * v)
+        db = 0.9 * db - 0.4 * e.sum()
+        w, v, b = w + dw, v + dv, b + db
+    return w, v, b
+
+
+def test_chain_is_the_plain_chain():
+    """Out-of-fold probabilities of earlier categories feed the later ones."""
+    r = np.random.default_rng(3)
+    x = (r.random((60, 9)) < 0.3).astype(float)
+    targets = {"kind_1": x[:, 0] > 0, "kind_2": (x[:, 1] > 0) & (x[:, 0] == 0), "toxic": x[:, :3].sum(1) > 0}
+    chain = toxicity.fit_chain([np.flatnonzero(row) for row in x], np.arange(9) * 10, targets)
+    before, fold = np.zeros((60, 0)), np.arange(60) % toxicity.FOLDS
+    for (name, y), (w, v, b) in zip(targets.items(), chain.models):
+        y, out = y.astype(float), np.zeros(60)
+        for k in range(toxicity.FOLDS):
+            pw, pv, pb = plain_fit(x[fold != k], before[fold != k], y[fold != k])
+            out[fold == k] = (1 / (1 + np.exp(-(x @ pw + before @ pv + pb))))[fold == k]
+        want = plain_fit(x, before, y)
+        assert np.allclose(w, want[0], atol=1e-6) and np.allclose(v, want[1], atol=1e-6) and abs(b - want[2]) < 1e-6, name
+        before = np.column_stack([before, out])
+
+
+def test_kinds_are_clusters_and_features_are_needed():
+    rows = [np.array([0, 1, 2])] * 5 + [np.array([0, 2])] * 2 + [np.array([5, 6])] * 3 + [np.array([], int)]
+    assert toxicity.kinds_of(rows, 8).tolist() == [0] * 7 + [1] * 3 + [-1]
+    chain = toxicity.fit_chain([np.array([], int)] * 9, np.empty(0, np.int64), {"toxic": np.arange(9) < 8})
+    assert chain.probabilities("anything")[-1] < chain.threshold
