@@ -145,72 +145,52 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(r.toxic for r in toxic) >= 7 and len(toxic) == 15  # the others hold coded words that fewer than five training documents show
 
 
-def test_lm_loss_by_hand(spark):
-    docs = spark.createDataFrame([(1, "abab abab"), (2, "zz zz zz"), (3, None)], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
-    out = {r.doc_id: r for r in lm.score(docs, labels).collect()}
-    assert out[1].score < 0 < out[2].score and out[3].n_tokens == 0 and out[3].score == 0
-    n = np.random.default_rng(0).integers(0, 5, (6, 6, 6)).astype(float)
-    assert np.allclose(np.exp(-lm.losses(n).astype(float)).sum(2), 1, atol=1e-5)
-
-
-def test_lm_has_no_largest_vocabulary(spark):
-    """More code points than any fixed vocabulary of old; with few and with all trigrams shared, scores are those of the dense tables."""
+def plain_scores(texts: list[str | None], good: list[bool], kappa: float = lm.KAPPA) -> list[tuple[float, float]]:
+    """Target and background loss of each text by matched models that leave it out, one token after the other."""
+    padded = [[None, None, *(t or "")] for t in texts]
+    kinds, size = len(set("".join(t or "" for t in texts))) + 1, [sum(len(t or "") for t, g in zip(texts, good) if g == side) for side in (True, False)]
+    out = []
+    for k, mine in enumerate(padded):
+        losses = []
+        for side in (True, False):
+            n = [Counter() for _ in range(5)]
+            for j, t in enumerate(padded):
+                if good[j] == side and j != k:
+                    for u, v, w in zip(t, t[1:], t[2:]):
+                        for c, key in zip(n, ((u, v, w), (u, v), (v, w), v, w)):
+                            c[key] += 1
+            one = size[1] / size[0] if not side and all(size) else 1.0
+            total, loss = sum(n[4].values()), 0.0
+            for u, v, w in zip(mine, mine[1:], mine[2:]):
+                p = (n[4][w] + one) / (total + one * kinds)
+                p = (n[2][v, w] + kappa * one * p) / (n[3][v] + kappa * one)
+                loss -= math.log((n[0][u, v, w] + kappa * one * p) / (n[1][u, v] + kappa * one))
+            losses.append(loss / max(1, len(mine) - 2))
+        out.append(tuple(losses))
+    return out
+
+
+@pytest.mark.parametrize("sent", [lm.SENT, 3])
+def test_lm_is_the_plain_version(spark, monkeypatch, sent):
+    """More code points than any byte, repeated rows and ids, null ids; few, some and all trigrams shared; good ids sent or joined."""
+    monkeypatch.setattr(lm, "SENT", sent)
     r = random.Random(4)
     letters = [chr(0x4E00 + i) for i in range(150)] + list("абв😀 ")
-    texts = ["".join(r.choice(letters[k % 3 * 50 : k % 3 * 50 + 50] + letters[150:]) for _ in range(r.randrange(90))) for k in range(60)] + ["", None]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(40)], "doc_id long, quality int")
-    code = {c: i + 1 for i, c in enumerate(sorted(set("".join(t or "" for t in texts))))}
-    assert len(code) > 150
-    coded = [[0, 0] + [code[c] for c in t or ""] for t in texts]
-    n = np.zeros((2, len(code) + 1, len(code) + 1, len(code) + 1))
-    for k, t in enumerate(coded):
-        for g in zip(t, t[1:], t[2:]):
-            n[(int(not (k < 40 and k % 3 == 0)), *g)] += 1
-    dense = [lm.losses(x) for x in n]
-    want = [[np.mean([d[g] for g in zip(t, t[1:], t[2:])]) if len(t) > 2 else 0 for d in dense] for t in coded]
+    texts = ["".join(r.choice(letters[k % 3 * 50 : k % 3 * 50 + 50] + letters[150:]) for _ in range(r.randrange(90))) for k in range(50)] + ["", None, "abab abab abab", "abab abab abab", "zz"]
+    ids = [*range(52), 60, 60, None]
+    good = [i is not None and (i < 40 and i % 3 == 0 or i == 60) for i in ids]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(zip(ids, texts))], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(40)] + [(60, 1), (None, 1)], "doc_id long, quality int")
+    want = sorted((-1 if i is None else i, len(t or ""), round(a, 4), round(b, 4), round(a - b, 4)) for i, t, (a, b) in zip(ids, texts, plain_scores(texts, good)))
     for shared in (lm.SHARED, 100, 0):
-        out = {r.doc_id: r for r in lm.score(docs, labels, shared).collect()}
-        assert len(out) == len(texts)
-        assert np.allclose([[out[k].target_loss, out[k].background_loss] for k in range(len(texts))], want, atol=1e-4)
-        assert [out[k].n_tokens for k in range(len(texts))] == [len(t) - 2 for t in coded]
-
-
-def test_long_runs_and_many_matches_cost_their_length(spark):
-    """A megabyte of one base64 run, and 60,000 addresses and keys in one text; places against plain expressions."""
-    r = random.Random(8)
-    blob = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
-    mails = " ".join(f"né{k}@x{k % 7}.org" for k in range(60_000))
-    keys = " ".join(f"é AKIA{k:014d} {k:016x}" for k in range(30_000))
-    docs = spark.createDataFrame([(1, blob), (2, mails), (3, keys)], "doc_id long, text string")
-    began = time.time()
-    out = {x.doc_id: x for x in secrets.scan(docs).collect()}
-    masked = {x.doc_id: x.text for x in secrets.redact(docs).collect()}
-    people = {x.doc_id: x for x in pii.scan(docs).collect()}
-    assert time.time() - began < 120
-    assert [(s.kind, s.start, s.end) for s in out[1].spans] == [("entropy", 0, len(blob))] and masked[1] == "[SECRET]"
-    want = sorted([(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]{14,}", keys)] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{16,}", keys)])
-    assert [(s.start, ["assign", "access", "hex"].index(s.kind), s.end) for s in out[3].base_spans] == want
-    assert masked[3] == re.sub("AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}", "[SECRET]", keys)
-    assert [(s.start, s.end) for s in people[2].spans] == [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", mails)]
-    assert len(people[2].scores) == len(people[2].spans)
-
-
-def test_spans_apart(spark):
-    r = random.Random(5)
-    for n in (0, 3, 40, 700):
-        cuts = sorted(r.sample(range(20 * n + 40), 2 * n))
-        own = [("e", a, b, "") for a, b in zip(cuts[::2], cuts[1::2])]
-        others = sorted(("o", a, a + r.randint(1, 30), "") for a in r.sample(range(20 * n + 40), n // 2))
-        got = spark.createDataFrame([(own, others)], f"a array<{S.SPAN}>, b array<{S.SPAN}>").select(S.apart(F.col("a"), F.col("b")).alias("x")).first().x
-        assert [tuple(s) for s in got] == [s for s in own if not any(o[1] < s[2] and s[1] < o[2] for o in others)]
-
-
-def test_context_moves_scores(spark):
-    rows = [(1, "call me, my phone: +33 612 345 678"), (2, "+33 612 345 678"), (3, "sample +33 612 345 678"), (4, "version 10.0.0.1"), (5, "login from ip 10.0.0.1"), (6, "account DE89 3704 0044 0532 0130 00"), (7, "example version DE89 3704 0044 0532 0130 00 build")]
-    out = {x.doc_id: ([s.kind for s in x.spans], [round(100 * v) for v in x.scores]) for x in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert out == {1: (["phone"], [70]), 2: (["phone"], [50]), 3: (["phone"], [20]), 4: (["ip"], [20]), 5: (["ip"], [70]), 6: (["iban"], [100]), 7: ([], [])}
+        got = sorted((-1 if x.doc_id is None else x.doc_id, x.n_tokens, x.target_loss, x.background_loss, x.score) for x in lm.score(docs, labels, shared).collect())
+        assert len(got) == len(want) and np.allclose(np.array(got), np.array(want), atol=2e-4)
+
+
+def test_lm_tells_good_from_bad(spark):
+    rows = held_out(spark, "quality", lambda d, tr, te: lm.score(d, tr).join(te.select("doc_id", "truth"), "doc_id"))
+    good, bad = ([r.score for r in rows if r.truth == k] for k in (1, 0))
+    assert np.mean([g < b for g in good for b in bad]) > 0.8
 
 
 def planted_licenses() -> list[tuple[int, str | None]]:
