@@ -18,6 +18,8 @@ from noticelake.llm.minhash import mix, word_hashes
 
 #: Labelled documents that the field is fitted on, at most: those with the smallest hashes of their ids.
 MAX_LABELLED = 4_000
+#: Lines in a row that the field is fitted on together, and such pieces of a document at most: of longer ones a seeded choice.
+PIECE, MAX_PIECES = 48, 4
 #: The least share of words in content lines of a text that stays.
 LEAST_CONTENT = 0.5
 #: Base rules: fewest words, and most words in repeated 3-word windows, in percent.
@@ -80,22 +82,31 @@ class Field:
     def __init__(self, emit: np.ndarray, move: np.ndarray) -> None:
         self.emit, self.move = emit, move
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """The best labels of a text's lines (Viterbi)."""
-        score = x @ self.emit.T
-        (a, b), back = score[0], np.zeros((len(x), 2), np.int8)
-        (m00, m01), (m10, m11) = self.move.tolist()
-        for t, (ea, eb) in enumerate(score[1:].tolist(), 1):
-            back[t] = (b + m10 > a + m00, b + m11 > a + m01)
-            a, b = max(a + m00, b + m10) + ea, max(a + m01, b + m11) + eb
-        out = np.zeros(len(x), np.int8)
-        out[-1] = b > a
-        for t in range(len(x) - 1, 0, -1):
-            out[t - 1] = back[t, out[t]]
+    def decode(self, x: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+        """The best labels of texts' lines (Viterbi): rows of features, text after text, and how many lines each has (all are one's without it).
+
+        Texts go on together, line by line, the longest first.
+        """
+        lengths = np.array([len(x)]) if lengths is None else lengths[lengths > 0]
+        order = np.argsort(-lengths, kind="stable")
+        n, starts = lengths[order], (np.cumsum(lengths) - lengths)[order]
+        score, back, out = x @ self.emit.T, np.zeros((len(x), 2), np.int8), np.zeros(len(x), np.int8)
+        if not len(n):
+            return out
+        best = score[starts]
+        steps = [(t, starts[: np.searchsorted(-n, -t)] + t) for t in range(1, n[0])]
+        for _, at in steps:
+            m = len(at)
+            via = best[:m, :, None] + self.move[None]
+            back[at] = via[:, 1] > via[:, 0]
+            best[:m] = via.max(1) + score[at]
+        out[starts + n - 1] = best[:, 1] > best[:, 0]
+        for _, at in reversed(steps):
+            out[at - 1] = back[at, out[at]]
         return out
 
 
-def fit_field(texts: list[np.ndarray], labels: list[np.ndarray], steps: int = 120, penalty: float = 1e-3, piece: int = 48) -> Field:
+def fit_field(texts: list[np.ndarray], labels: list[np.ndarray], steps: int = 120, penalty: float = 1e-3, piece: int = PIECE) -> Field:
     """Maximum likelihood by gradient ascent over pieces of up to ``piece`` lines, all at once; forward and backward sums go line by line over all of them."""
     emit, move = np.zeros((2, FEATURES)), np.zeros((2, 2))
     texts, labels = [x[k : k + piece] for x in texts for k in range(0, len(x), piece)], [y[k : k + piece] for y in labels for k in range(0, len(y), piece)]
@@ -135,13 +146,23 @@ def fit_field(texts: list[np.ndarray], labels: list[np.ndarray], steps: int = 12
     return Field(emit, move)
 
 
+def pieces(x: np.ndarray) -> np.ndarray:
+    """The lines of ``MAX_PIECES`` pieces at most, in order."""
+    n = -(-len(x) // PIECE)
+    if n <= MAX_PIECES:
+        return x
+    chosen = np.sort(np.random.default_rng(len(x)).choice(n - 1, MAX_PIECES, replace=False))  # whole pieces, so that none runs into the next
+    return np.concatenate([x[k * PIECE : (k + 1) * PIECE] for k in chosen])
+
+
 def train(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Field:
     """Fits the field on a bounded sample of labelled documents (``doc_id``, ``quality``).
 
     Lines of good documents count as content.  Of bad ones, lines whose features
     are rare among good documents' lines count as boilerplate: a logistic model
-    of good against bad lines, fitted first, labels them.  The sample is all
-    that reaches the driver.
+    of good against bad lines, fitted first, labels them.  Of a document with
+    more lines than ``PIECE * MAX_PIECES`` a seeded choice of pieces counts, so
+    that what reaches the driver is bounded whatever the length of texts.
     """
     sample = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("good")).groupBy("doc_id").agg(F.min("good").alias("good"))
     ids = [(r.doc_id, r.good) for r in sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]  # at most `most` rows
@@ -149,7 +170,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) ->
 
     @F.pandas_udf("array<double>")
     def lines(text: pd.Series) -> pd.Series:
-        return pd.Series([line_features(np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8))[1].ravel() for t in text], dtype=object)
+        return pd.Series([pieces(line_features(np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8))[1]).ravel() for t in text], dtype=object)
 
     got = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id").select("doc_id", "good", lines("text").alias("x")).toPandas().sort_values("doc_id", kind="stable")
     pairs = [(np.asarray(x, float).reshape(-1, FEATURES), int(g)) for x, g in zip(got["x"], got["good"]) if len(x)]
@@ -164,30 +185,38 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) ->
     return fit_field([x for x, _ in pairs], [np.ones(len(x), int) if g else (x @ w + b > 0).astype(int) for x, g in pairs])
 
 
-def measure(text: str | None, field: Field) -> tuple[int, int, int, int, int, float]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the share of words in content lines (1 without lines)."""
+def measure(text: str | None) -> tuple[tuple[int, ...], np.ndarray, np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, and the words and features of the lines with a word."""
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     data = np.frombuffer(raw, np.uint8)
     hashes = word_hashes(data, cased=True)[0]
     lines = [x for x in raw.split(b"\n") if x.strip(b" \t\r\x0b\x0c")]
-    n_words, x = line_features(data)
-    content = float(n_words[field.decode(x) == 1].sum() / n_words.sum()) if len(n_words) else 1.0
-    return len(hashes), len(text) - sum(map(text.count, _SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(hashes), content
+    counts = len(hashes), len(text) - sum(map(text.count, _SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(hashes)
+    return counts, *line_features(data)
 
 
 def judge(df: DataFrame, field: Field, least_content: float = LEAST_CONTENT) -> DataFrame:
     """(doc_id, text) -> (doc_id, the five measures, content_share, base_failed, kept), one row for each row.
 
-    A null or empty text has no words, fails the base rules and goes.  Rows are
-    independent: no shuffle, and ties, repeated rows and empty tables need no rule.
+    ``content_share`` is the share of words in content lines, 1 for a text
+    without lines.  A null or empty text has no words, fails the base rules and
+    goes.  Rows are independent: no shuffle, and ties, repeated rows and empty
+    tables need no rule.
     """
     shared = df.sparkSession.sparkContext.broadcast(field)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [measure(t, shared.value) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].array, **{n: [r[k] for r in rows] for k, n in enumerate(_NAMES)}})
+            for at in range(0, len(frame), TOGETHER):
+                part = frame.iloc[at : at + TOGETHER]
+                counts, words, x = zip(*[measure(t) for t in part["text"]])
+                lengths, words = np.array([len(w) for w in words]), np.concatenate(words)
+                content = words * shared.value.decode(np.concatenate(x), lengths)
+                of = np.repeat(np.arange(len(part)), lengths)
+                inside, all_ = (np.bincount(of, v, len(part)) for v in (content, words))
+                share = np.where(all_ > 0, inside / np.maximum(all_, 1), 1.0)
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, **{n: [c[k] for c in counts] for k, n in enumerate(_NAMES[:-1])}, _NAMES[-1]: share})
 
     kinds = ", ".join(f"{n} {'double' if n == 'content_share' else 'long'}" for n in _NAMES)
     out = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id long, {kinds}")
@@ -195,4 +224,6 @@ def judge(df: DataFrame, field: Field, least_content: float = LEAST_CONTENT) ->
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("content_share") >= least_content))
 
 
+#: Texts whose lines are decoded together.
+TOGETHER = 500
 _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content_share")

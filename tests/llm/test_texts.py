@@ -107,12 +107,19 @@ def test_license_places(spark):
 
 def test_quality_measures(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{H.DATA}/documents.parquet").collect()}
-    for r in QUERIES["op3_line_field_quality"](spark, H.DATA).collect():
+    rows = QUERIES["op3_line_field_quality"](spark, H.DATA).collect()
+    field = quality.train(spark.read.parquet(f"{H.DATA}/documents.parquet"), spark.read.parquet(f"{H.DATA}/labels.parquet"))
+    assert len(rows) == len(docs)
+    for r in rows:
         w = re.findall("[^\x20\x09-\x0d]+", docs[r.doc_id])
         grams = Counter(zip(w, w[1:], w[2:]))
         again = {k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)}
         lines = [x for x in docs[r.doc_id].split("\n") if re.search("[^\x20\x09-\x0d]", x)]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", docs[r.doc_id])), len(lines) - len(set(lines)), len(again))
+        n, x = quality.line_features(np.frombuffer(docs[r.doc_id].encode(), np.uint8))
+        content = n[field.decode(x) == 1].sum() / n.sum() if len(n) else 1.0
+        failed = len(w) < 50 or 100 * len(again) > 50 * len(w)
+        assert (r.base_failed, r.kept) == (failed, not failed and content >= quality.LEAST_CONTENT)
 
 
 def test_viterbi_is_the_best_path():
@@ -122,6 +129,41 @@ def test_viterbi_is_the_best_path():
     score = lambda y: sum(x[t] @ f.emit[y[t]] for t in range(7)) + sum(f.move[y[t - 1], y[t]] for t in range(1, 7))
     best = max(([b >> k & 1 for k in range(7)] for b in range(128)), key=score)
     assert f.decode(x).tolist() == best
+    parts = [r.normal(size=(n, quality.FEATURES)) for n in (7, 0, 1, 90, 3, 0, 90)]
+    together = f.decode(np.concatenate(parts), np.array([len(p) for p in parts]))
+    assert together.tolist() == [y for p in parts if len(p) for y in f.decode(p).tolist()]
+
+
+def test_field_fits_the_likelihood():
+    """At the fitted weights the likelihood of short texts, summed over all label paths, is flat but for the penalty."""
+    r = np.random.default_rng(1)
+    texts = [np.column_stack([np.ones(n), r.normal(size=(n, quality.FEATURES - 1))]) for n in r.integers(1, 6, 30)]
+    labels = [(x[:, 1] + 0.7 * r.normal(size=len(x)) > 0).astype(int) for x in texts]
+    field, penalty = quality.fit_field(texts, labels, steps=3000, penalty=0.05), 0.05
+
+    def likelihood(emit: np.ndarray, move: np.ndarray) -> float:
+        total = 0.0
+        for x, y in zip(texts, labels):
+            s = x @ emit.T
+            score = lambda z: sum(s[t, z[t]] for t in range(len(x))) + sum(move[a, b] for a, b in zip(z, z[1:]))
+            total += score(y.tolist()) - np.log(sum(np.exp(score([p >> t & 1 for t in range(len(x))])) for p in range(2 ** len(x))))
+        return total / sum(map(len, texts)) - penalty / 2 * ((emit**2).sum() + (move**2).sum())
+
+    best = likelihood(field.emit, field.move)
+    for k in range(2):
+        for j in (0, 1, 5):
+            step = np.zeros_like(field.emit)
+            step[k, j] = 0.02
+            assert best >= likelihood(field.emit + step, field.move) - 1e-9 and best >= likelihood(field.emit - step, field.move) - 1e-9
+        step = np.zeros((2, 2))
+        step[k, 1 - k] = 0.02
+        assert best >= likelihood(field.emit, field.move + step) - 1e-9 and best >= likelihood(field.emit, field.move - step) - 1e-9
+
+
+def test_long_documents_bring_a_bounded_number_of_lines():
+    x = np.arange(1000.0)[:, None] * np.ones((1, quality.FEATURES))
+    kept = quality.pieces(x)
+    assert len(kept) == quality.PIECE * quality.MAX_PIECES and (np.diff(kept[:, 0]) > 0).all() and len(quality.pieces(x[:150])) == 150
 
 
 def held_out(spark, column: str, run):
