@@ -1,11 +1,13 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-Centroids of a bounded sample are held in memory with a graph that links each
-to its nearest ones.  A vector goes to the list of its nearest centroid and,
-near a boundary, to the lists of others almost as near.  A query reads the
-lists whose centroids are within a ratio of the nearest one's distance.  Long
-lists are dealt to chunks, so that tasks stay even.  Equal vectors are
-searched once, under their smallest ids.
+About ``2 sqrt(n)`` centroids, fitted on bounded samples in two levels, are held
+in memory with a graph that links each to its nearest ones.  A vector goes to
+the list of its nearest centroid and, near a boundary, to the lists of others
+almost as near.  A query searches the graph and reads the lists whose centroids
+are within a ratio of the nearest one's distance; how many it may read grows
+with the number of lists.  Long lists are dealt to chunks and their queries to
+parts, so that no task holds more than one of each.  Equal vectors are searched
+once, under their smallest ids.
 """
 
 from __future__ import annotations
@@ -19,16 +21,20 @@ from pyspark.sql import functions as F
 
 from noticelake.llm.common import stored
 
-#: Vectors that centroids are fitted on, and centroids, at most.
-MAX_SAMPLE, MAX_CENTROIDS = 20_000, 2_048
+#: Vectors that reach the driver for fitting, centroids that are fitted there, and centroids in all, at most.
+MAX_SAMPLE, DIRECT, MAX_LISTS = 20_000, 512, 65_536
+#: Vectors that each centroid of the second level is fitted on; the levels' sample is so many times the lists.
+PER_LIST = 32
+#: Groups of centroids, nearest to a vector's own, that it is compared with.
+NEAR_GROUPS = 12
 #: A vector is copied to lists up to this ratio of its nearest centroid's distance, and to so many.
 COPY_RATIO, MAX_COPIES = 1.06, 4
-#: A query reads lists up to this ratio, and so many.
-READ_RATIO, MAX_READ = 1.6, 96
+#: A query reads lists up to this ratio; so many at least, and this share of all lists at most.
+READ_RATIO, LEAST_READ, READ_SHARE = 1.6, 128, 1 / 6
 #: Links of a centroid in the graph, and the search's breadth beyond what is asked for.
 LINKS, BREADTH = 24, 32
-#: Vectors in a chunk of a list.
-CHUNK = 2_000
+#: Vectors in a chunk of a list, and queries in a part of those that read it.
+CHUNK, PART = 2_000, 4_000
 K = 10
 
 
@@ -48,17 +54,35 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Graph:
-    """Centroids and their links; searched from the one nearest to their mean."""
-
-    def __init__(self, points: np.ndarray) -> None:
-        self.points = points
-        d = distances(points, points)
-        near = np.argsort(d, axis=1, kind="stable")[:, 1 : LINKS + 1]
-        n = len(points)
+    """Centroids and their links, searched from the one nearest to their mean; and their groups with what a vector of each is compared with."""
+
+    def __init__(self, points: np.ndarray, groups: np.ndarray | None = None, of: np.ndarray | None = None) -> None:
+        self.points, n = points, len(points)
+        self.groups = points.mean(0, keepdims=True) if groups is None else groups
+        of = np.zeros(n, int) if of is None else of
+        near_groups = np.argsort(distances(self.groups, self.groups), axis=1, kind="stable")[:, :NEAR_GROUPS]
+        self.compared = [np.flatnonzero(np.isin(of, g)) for g in near_groups]
+        links = min(LINKS, n - 1)
+        near = np.empty((n, links), int)
+        for at in range(0, n, 256):  # bounds the driver's memory
+            d = distances(points[at : at + 256], points)
+            d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
+            near[at : at + 256] = np.argpartition(d, max(links - 1, 0), axis=1)[:, :links]
         ring = (np.arange(n)[:, None] + np.array([1, n // 2 + 1])) % n  # so that every centroid can be reached
         self.links = np.concatenate([near, ring], axis=1)
         self.entry = int(np.argmin(distances(points.mean(0, keepdims=True), points)))
 
+    def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers, -1 where there are fewer, and squared distances of the k nearest centroids of each row, nearest first, among those of the groups near its own."""
+        ids, dist = np.full((len(x), k), -1), np.full((len(x), k), np.inf)
+        own = distances(x, self.groups).argmin(1)
+        for g in np.unique(own):
+            rows, among = np.flatnonzero(own == g), self.compared[g]
+            d = distances(x[rows], self.points[among])
+            best = np.argsort(d, axis=1, kind="stable")[:, :k]
+            ids[rows, : best.shape[1]], dist[rows, : best.shape[1]] = among[best], np.take_along_axis(d, best, 1)
+        return ids, dist
+
     def search(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and squared distances of about the k nearest centroids of each row, nearest first.
 
@@ -114,22 +138,66 @@ def centroids(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 5) -> np.
     return points
 
 
-def _lists(vectors: DataFrame, graph, ratio: float, most: int, sizes: np.ndarray | None = None, least: int = 0) -> DataFrame:
-    """Each vector with the number of every list it belongs to or reads: those within the ratio, and the next ones until their ``sizes`` reach ``least``."""
+def fitted(vectors: DataFrame, n: int) -> Graph:
+    """The graph of about ``2 sqrt(n)`` centroids of the distinct vectors.
+
+    Up to ``DIRECT`` come from one sample on the driver.  More are fitted by
+    groups: the driver finds the groups, each task the centroids of one group
+    within a larger sample, as many as its share of it.
+    """
+    by_hash = F.xxhash64("v"), "v"
+    sample = matrix(vectors.select("v").orderBy(*by_hash).limit(MAX_SAMPLE).toPandas()["v"])  # bounded
+    lists = int(np.clip(np.ceil(2 * np.sqrt(n)), 1, min(MAX_LISTS, n)))
+    if lists <= DIRECT:
+        return Graph(centroids(sample, min(lists, len(sample))))
+    groups = centroids(sample, int(np.ceil(np.sqrt(lists))))
+    sent = vectors.sparkSession.sparkContext.broadcast(groups)
+    share = min(1.0, PER_LIST * lists / n)
+
+    def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"group": distances(matrix(frame["v"]), sent.value).argmin(1), "v": frame["v"]})
+
+    chosen = vectors.select("v").where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)  # by hash, about PER_LIST a list
+    members = stored(chosen.mapInPandas(own, "group int, v binary"))
+    total = members.count()
+
+    def fine(frame: pd.DataFrame) -> pd.DataFrame:
+        points = centroids(matrix(frame["v"]), int(np.clip(round(lists * len(frame) / total), 1, len(frame))))
+        return pd.DataFrame({"group": frame["group"].iloc[0], "v": [p.tobytes() for p in points]})
+
+    rows = members.groupBy("group").applyInPandas(fine, "group int, v binary").toPandas().sort_values(["group", "v"])  # about MAX_LISTS rows at most
+    return Graph(matrix(rows["v"]), groups, rows["group"].to_numpy())
+
+
+def _postings(vectors: DataFrame, graph) -> DataFrame:
+    """(v, ids) -> (list, v, ids) for every list that a vector belongs to."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), 1000):
                 part = frame.iloc[at : at + 1000]
+                ids, d = graph.value.nearest(matrix(part["v"]), MAX_COPIES)
+                rows, cols = np.nonzero((ids >= 0) & (d <= COPY_RATIO**2 * d[:, :1]))
+                yield pd.DataFrame({"list": ids[rows, cols], "v": part["v"].to_numpy()[rows], "ids": part["ids"].to_numpy()[rows]})
+
+    return vectors.select("v", "ids").mapInPandas(run, "list int, v binary, ids array<long>")
+
+
+def _reads(queries: DataFrame, graph, sizes: np.ndarray, least: int) -> DataFrame:
+    """(q, v) -> (list, q, v) for every list that a query reads: those within the ratio, and the next ones until their ``sizes`` reach ``least``."""
+    most = max(LEAST_READ, int(np.ceil(READ_SHARE * len(sizes))))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), 500):
+                part = frame.iloc[at : at + 500]
                 ids, d = graph.value.search(matrix(part["v"]), most)
-                chosen = d <= ratio**2 * d[:, :1]
-                if sizes is not None:
-                    held = np.where(ids >= 0, sizes[ids], 0)
-                    chosen |= np.cumsum(held, axis=1) - held < least
-                rows, cols = np.nonzero((ids >= 0) & chosen)
-                yield pd.DataFrame({"v": part["v"].to_numpy()[rows], "ids": part["ids"].to_numpy()[rows], "list": ids[rows, cols]})
+                held = np.where(ids >= 0, sizes[ids], 0)
+                rows, cols = np.nonzero((ids >= 0) & ((d <= READ_RATIO**2 * d[:, :1]) | (np.cumsum(held, axis=1) - held < least)))
+                yield pd.DataFrame({"list": ids[rows, cols], "q": part["q"].to_numpy()[rows], "v": part["v"].to_numpy()[rows]})
 
-    return vectors.select("v", "ids").mapInPandas(run, "v binary, ids array<long>, list int")
+    return queries.mapInPandas(run, "list int, q long, v binary")
 
 
 def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,9 +213,9 @@ def search(df: DataFrame, k: int = K, every: int = 100) -> DataFrame:
     ``score`` is the Euclidean distance in double precision on the original
     vectors; ties go to the smaller ``vec_id``, and a query never finds its own
     row.  Vectors that are null, zero, or hold null or non-finite components
-    take no part, nor do rows without a ``vec_id``.  With up to ``MAX_READ``
-    lists every query reads all of them, so small tables are searched exactly.
-    Empty tables give no rows.  Recall against brute force is in the README.
+    take no part, nor do rows without a ``vec_id``.  Columns beyond the two are
+    not read.  Empty tables give no rows.  Recall against brute force, at
+    several sizes, is in the README.
     """
     spark = df.sparkSession
 
@@ -162,20 +230,22 @@ def search(df: DataFrame, k: int = K, every: int = 100) -> DataFrame:
     n = vectors.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = vectors.select("v").orderBy(F.xxhash64("v"), "v").limit(MAX_SAMPLE).toPandas()  # bounded
-    lists = int(np.clip(np.ceil(2 * np.sqrt(n)), 1, min(MAX_CENTROIDS, len(sample))))
-    graph = spark.sparkContext.broadcast(Graph(centroids(matrix(sample["v"]), lists)))
+    model = fitted(vectors, n)
+    graph = spark.sparkContext.broadcast(model)
 
-    postings = stored(_lists(vectors, graph, COPY_RATIO, MAX_COPIES))
+    postings = stored(_postings(vectors, graph))
+    sizes = np.zeros(len(model.points), np.int64)
     held = stored(postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")))  # a row per list
-    sizes = np.zeros(lists, np.int64)
     for r in held.collect():
         sizes[r["list"]] = r["n"]
-    chunks = held.select("list", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    postings = postings.join(chunks, "list").select("list", F.pmod(F.xxhash64("v"), "chunks").cast("int").alias("chunk"), "v", "ids")
     asked = rows.where(F.col("vec_id") % every == 0)
-    queries = asked.select("v").distinct().withColumn("ids", F.array().cast("array<long>"))
-    reads = _lists(queries, graph, READ_RATIO, MAX_READ, sizes, 20 * (k + 1)).join(chunks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("v").alias("q"))
+    queries = stored(asked.groupBy("v").agg(F.min("vec_id").alias("q")).select("q", "v"))
+    reads = stored(_reads(queries, graph, sizes, 20 * (k + 1)))
+    deal = held.select("list", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")).join(reads.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "list")
+    # each part of a list's queries meets each chunk of its vectors in a task of its own
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = reads.join(deal, "list").select("list", every_of("chunks").alias("chunk"), F.pmod(F.xxhash64("q"), "parts").cast("int").alias("part"), "q", "v")
+    right = postings.join(deal, "list").select("list", F.pmod(F.xxhash64("v"), "chunks").cast("int").alias("chunk"), every_of("parts").alias("part"), "v", "ids")
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -184,7 +254,7 @@ def search(df: DataFrame, k: int = K, every: int = 100) -> DataFrame:
             ids, low = right["ids"].to_numpy(), right["ids"].map(lambda x: x[0]).to_numpy()
             for at in range(0, len(left), 256):
                 names = left["q"].to_numpy()[at : at + 256]
-                a = matrix(names)
+                a = matrix(left["v"].iloc[at : at + 256])
                 d = distances(a, b)
                 m = min(k + 9, len(b))
                 close = np.argpartition(d, m - 1, axis=1)[:, :m]
@@ -194,10 +264,11 @@ def search(df: DataFrame, k: int = K, every: int = 100) -> DataFrame:
                         out.append((names[i], float(exact[j]), ids[c[j]]))
         return pd.DataFrame(out, columns=["q", "score", "ids"])
 
-    found = reads.groupBy("list", "chunk").cogroup(postings.groupBy("list", "chunk")).applyInPandas(nearest, "q binary, score double, ids array<long>")
+    keys = ("list", "chunk", "part")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, "q long, score double, ids array<long>")
     # per distinct query vector: its k + 1 nearest vectors, copies from several lists once
     best = found.groupBy("q", "ids").agg(F.min("score").alias("score")).groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "ids"))), 1, k + 1).alias("best"))
     flat = F.array_sort(F.flatten(F.transform("best", lambda x: F.transform(x["ids"], lambda i: F.struct(x["score"].alias("score"), i.alias("vec_id"))))))
-    best = best.select(F.col("q").alias("v"), flat.alias("best"))
+    best = best.select("q", flat.alias("best")).join(queries, "q")
     own = asked.join(best, "v").select(F.col("vec_id").alias("query_id"), F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("best"))
     return own.select("query_id", F.posexplode("best").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

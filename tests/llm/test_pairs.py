@@ -79,6 +79,24 @@ def test_sketch_estimates_similarity():
     assert (minhash.sketch(a[:1]) > 0).all()
 
 
+def test_neighbours_by_groups_chunks_and_parts(spark, monkeypatch):
+    """Two levels of centroids, lists of several chunks and parts, extra columns; recall against brute force."""
+    for name, value in (("DIRECT", 8), ("CHUNK", 40), ("PART", 5), ("LEAST_READ", 12)):
+        monkeypatch.setattr(neighbours, name, value)
+    r = np.random.default_rng(3)
+    x = (r.normal(size=(12, 6))[r.integers(0, 12, 3000)] + 0.3 * r.normal(size=(3000, 6))).round(4)
+    rows = [(k, v.tolist(), 1, "x", 0) for k, v in enumerate(x)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, list int, v string, q int"), every=30).collect()
+    hits = 0
+    for q in range(0, 3000, 30):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        mine = sorted((g for g in got if g.query_id == q), key=lambda g: g["rank"])
+        assert len({g.vec_id for g in mine}) == 10 and all(g.score == d[g.vec_id] for g in mine)
+        hits += len(set(np.argsort(d, kind="stable")[:10].tolist()) & {g.vec_id for g in mine})
+    assert hits >= 0.9 * 1000
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(700, 8)).round(3)
