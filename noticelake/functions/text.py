@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # White space, and the tags' separators.
 WHITE = r"[\t-\r \x{85}\x{A0}]+"
@@ -14,6 +18,16 @@ def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), WHITE, " "))
 
 
+def same_text(a: Column, b: Column) -> Column:
+    """Whether two texts are equal but for white space; null is empty."""
+    return clean_text(a) == clean_text(b)
+
+
+def same_instant(a: Column, b: Column) -> Column:
+    """Whether two times are one instant, both unknown included; times without a zone are UTC, as the session's zone is."""
+    return a.cast("timestamp").eqNullSafe(b.cast("timestamp"))
+
+
 def normalize_language(tag: Column) -> Column:
     """The lower-cased primary subtag; blank tags give null."""
     primary = F.lower(F.trim(F.split_part(F.replace(tag, F.lit("_"), F.lit("-")), F.lit("-"), F.lit(1))))
@@ -50,19 +64,44 @@ def word_count(c: Column) -> Column:
 TYPOGRAPHIC, PLAIN = "‘’‚‛“”„‟‐‑‒–—― \n\r\t", "''''\"\"\"\"------    "
 
 
-def normalize_quote(c: Column) -> Column:
-    """Curly quotes and dashes to ASCII, line breaks and tabs to spaces, runs of spaces to one, trimmed; compatibility forms are left to the caller."""
-    return F.trim(F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), TYPOGRAPHIC, PLAIN), " +", " "))
+@F.pandas_udf(StringType())
+def _nfkc(c: pd.Series) -> pd.Series:
+    return c.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def normalize_quote(c: Column, nfkc: bool = False) -> Column:
+    """Curly quotes and dashes to ASCII, line breaks and tabs to spaces, runs of spaces to one, trimmed.
+
+    With ``nfkc`` compatibility forms are folded first, by Python and only for
+    texts beyond ASCII; without it the expression stays in the JVM.
+    """
+    text = F.coalesce(c, F.lit(""))
+    if nfkc:
+        text = F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    return F.trim(F.regexp_replace(F.translate(text, TYPOGRAPHIC, PLAIN), " +", " "))
+
+
+def _unaccented() -> tuple[str, str]:
+    """Letters of the Latin blocks whose decomposition is one base letter with marks, and those base letters."""
+    pairs = []
+    for k in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(k)) if not unicodedata.combining(x))
+        if plain != chr(k) and len(plain) == 1:
+            pairs.append((chr(k), plain))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-# Accented letters with their base letters.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+ACCENTED, UNACCENTED = _unaccented()
 
 
 def fold_accents(c: Column) -> Column:
-    """Latin letters without their marks, lower-cased."""
-    return F.lower(F.translate(c, ACCENTED, UNACCENTED))
+    """Latin letters without their marks, lower-cased; combining marks go."""
+    return F.lower(F.regexp_replace(F.translate(c, ACCENTED, UNACCENTED), r"[\x{300}-\x{36F}]", ""))
+
+
+def fold_tokens(c: Column) -> Column:
+    """The distinct words of letters of a text, without accents."""
+    return F.array_distinct(F.regexp_extract_all(fold_accents(c), F.lit(r"[\p{L}]+"), F.lit(0)))
 
 
 # Units of advertised sizes in bytes.
@@ -77,10 +116,14 @@ def advertised_size(c: Column) -> Column:
     return (number * units[F.lower(F.regexp_extract(c, pattern, 2))]).cast("long")
 
 
+# What stands for no content.
+PLACEHOLDERS = ("", "-", "--", "n/a", "N/A", "none", "null", "...")
+
+
 def is_placeholder(c: Column) -> Column:
-    """Blank, a dash, "n/a", "none", "null", "unknown", or a template's ``<...>``."""
-    t = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    return t.isin("", "-", "--", "n/a", "na", "none", "null", "unknown") | t.rlike("^<.*>$")
+    """Blank, one of ``PLACEHOLDERS`` as written, or a template's ``<...>``."""
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return t.isin(*PLACEHOLDERS) | (t.startswith("<") & t.endswith(">"))
 
 
 def is_valid_email(c: Column) -> Column:
@@ -97,6 +140,18 @@ def redact_text(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?i)\b({SECRET_WORDS})([ ]*[=:][ ]*)[^ \t\n\r]+", "$1$2[REDACTED]")
 
 
+
+
+def redact_fields(fields: Column) -> Column:
+    """A JSON text with the values of credential-like keys masked, at any depth; scalars only, as objects hold keys of their own."""
+    return F.regexp_replace(fields, rf'(?i)("(?:[a-z0-9]+_)*(?:{SECRET_WORDS})(?:_[a-z0-9]+)*"\s*:\s*)("(?:[^"\\]|\\.)*"|[0-9.eE+-]+|true|false)', '$1"[REDACTED]"')
+
+
+def content_fingerprint(fields: dict[str, Column]) -> Column:
+    """SHA-256 of the fields as JSON in the order of their names; leave out times and versions."""
+    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)])), 256)
+
+
 def checksum(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 

@@ -55,11 +55,25 @@ def parse_absolute_deadline(c: Column) -> Column:
     return F.coalesce(iso, F.timestamp_seconds(F.unix_timestamp(local) - 60 * zones[g(_WORDS, 7)]))
 
 
-def parse_relative_deadline(c: Column, observed: Column) -> Column:
-    """``N days left`` (up to 3650) or ``N hours left`` (up to 8760) after the moment of observation."""
-    days, hours = (F.nullif(F.regexp_extract(c, rf"(?i)([0-9]+) {w}s? left", 1), F.lit("")).try_cast("long") for w in ("day", "hour"))
+# Remaining durations, a number that no digit or dot touches with its unit, and hints that state no number.
+DAYS_LEFT = r"(?i)(?<![0-9.])([0-9]{1,4})(?![0-9.])\s*(?:(?:calendar|business)\s+)?days?\s*(?:left|remaining|to go)"
+HOURS_LEFT = r"(?i)(?<![0-9.])([0-9]{1,3})(?![0-9.])\s*(?:hours?|hrs?)\s*(?:left|remaining)"
+SOON = r"(?i)(closing\s+soon|closes?\s+soon|deadline\s+(?:soon|imminent)|last\s+date\s+(?:soon|imminent))"
+
+
+def relative_deadline(c: Column, observed: Column) -> Column:
+    """(deadline, raw): the moment of observation plus the days (up to 3650) or hours (up to 8760) that the text leaves, with the text that says so; a hint without a number gives its text only."""
+    number = lambda p: F.nullif(F.regexp_extract(c, p, 1), F.lit("")).try_cast("long")
+    whole = lambda p: F.nullif(F.regexp_extract(c, p, 0), F.lit(""))
+    days, hours = number(DAYS_LEFT), number(HOURS_LEFT)
     seconds = F.when(days <= 3650, days * 86400).when(hours <= 8760, hours * 3600)
-    return F.timestamp_seconds(F.unix_timestamp(observed) + seconds)
+    raw = F.when(days <= 3650, whole(DAYS_LEFT)).when(hours <= 8760, whole(HOURS_LEFT)).otherwise(whole(SOON))
+    return F.struct(F.timestamp_seconds(F.unix_timestamp(observed) + seconds).alias("deadline"), raw.alias("raw"))
+
+
+def parse_relative_deadline(c: Column, observed: Column) -> Column:
+    """The instant of ``relative_deadline``."""
+    return relative_deadline(c, observed)["deadline"]
 
 
 def backoff_seconds(attempt: Column, base: float = 1.0, most: float = 30.0, retry_after: Column | None = None) -> Column:
@@ -76,3 +90,15 @@ def outbox_backoff(attempt: Column) -> Column:
 def http_class(status: Column) -> Column:
     """Class of a status: ok, rate_limited, server_error, permanent, or other."""
     return F.when(status.between(200, 299), "ok").when(status == 429, "rate_limited").when(status.isin(408, 425) | (status >= 500), "retryable").when(status.between(400, 499), "permanent").otherwise("other")
+
+
+def transport_class(code: Column) -> Column:
+    """Class of a failed connection: what never reached the server may be tried again, what broke after sending may have arrived."""
+    return F.when(code.isin("dns", "connect", "refused", "tls"), "unsent").when(code.isin("read_timeout", "reset", "broken"), "ambiguous").otherwise("other")
+
+
+def retry_policy(status: Column, code: Column) -> Column:
+    """(class, retryable, possible_duplicate) of an attempt's HTTP status, or of its transport code where there is no status."""
+    kind = F.when(status.isNotNull(), http_class(status)).otherwise(transport_class(code))
+    again = kind.isin("rate_limited", "retryable", "unsent", "ambiguous")
+    return F.struct(kind.alias("class"), again.alias("retryable"), (kind == "ambiguous").alias("possible_duplicate"))

@@ -41,17 +41,34 @@ def derive_external_id(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(canonical_url(url), r"^[a-z][a-z0-9+.-]*://", ""), r"^[/?]+|[/?]+$", "")
 
 
+def _resolved(segments: Column) -> Column:
+    """A path from its segments: ``.`` goes, ``..`` takes the segment before with it, empty ones inside don't count."""
+    inner = F.filter(segments, lambda x, k: (x != "") | (k == 0) | (k == F.size(segments) - 1))
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.array_append(acc, x))
+    out = F.aggregate(inner, F.array().cast("array<string>"), step)
+    closed = F.when(F.element_at(inner, -1).isin(".", ".."), F.array_append(out, "")).otherwise(out)
+    return F.regexp_replace(F.concat(F.lit("/"), F.array_join(closed, "/")), "^/+", "/")
+
+
 def absolute_url(base: Column, href: Column) -> Column:
-    """The link resolved against its page; blank links stay blank."""
+    """The link resolved against its page, dot segments included; blank links stay blank.
+
+    A link that is only a query keeps the page's path, one that is only a
+    fragment the page's path and query.
+    """
     origin = F.concat(scheme(base), F.lit("://"), authority(base))
-    folder = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*/)", 1)
+    page = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    own, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*([?#].*)?$", 1)
+    # the page's folder, with what the link adds
+    beside = F.split(F.concat(F.regexp_extract(page, r"^(.*/)", 1), own), "/")
+    relative = F.concat(F.when(F.substring(own, 1, 1) == "/", _resolved(F.split(own, "/"))).otherwise(_resolved(beside)), rest)
     return (
         F.when(F.trim(F.coalesce(href, F.lit(""))) == "", "")
         .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(F.startswith(href, F.lit("//")), F.concat(scheme(base), F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
-        .when(F.startswith(href, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), href))
-        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), href))
+        .when(F.startswith(href, F.lit("#")), F.concat(origin, page, F.regexp_extract(base, r"^[^?#]*(\?[^#]*)?", 1), href))
+        .when(F.startswith(href, F.lit("?")), F.concat(origin, page, href))
+        .otherwise(F.concat(origin, relative))
     )
 
 
@@ -92,3 +109,8 @@ def storage_name(name: Column) -> Column:
     safe = F.regexp_replace(F.regexp_replace(base, r'[\x00-\x1F<>:"|?*]', "_"), "[. ]+$", "")
     safe = F.when(F.lower(F.regexp_extract(safe, r"^([^.]*)", 1)).rlike("^(con|prn|aux|nul|com[1-9]|lpt[1-9])$"), F.concat(F.lit("_"), safe)).otherwise(safe)
     return F.when(safe == "", "file").otherwise(F.substring(safe, 1, 200))
+
+
+def storage_key(notice_id: Column, sha256: Column, name: Column) -> Column:
+    """Where an attachment is kept: by notice, checksum and safe name."""
+    return F.concat_ws("/", F.lit("tenders"), notice_id.cast("string"), F.lit("attachments"), sha256, storage_name(name))

@@ -2,53 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Common function words by language; pass fuller lists as a table (language, token) to ``detect_language``.
-STOPWORDS = {
-    "en": "the and of to for in on is are was with by or as not this that from be it at",
-    "fr": "le la les des du et est pour dans sur par que qui avec au un une de en elle",
-    "pt": "o os um uma do da dos das no na para por que com sem se mais como foi ao",
-    "de": "der die das den dem des ein eine und oder mit nicht ist im in zu von auf sich für",
-    "es": "el la los las un una de del en y con por para que es se lo al su",
-    "it": "il lo la gli le un uno una di del della in con per che e non sono è",
-}
-LANGUAGES = ("en", "fr", "pt", "de", "es", "it")
+from noticelake.functions.text import normalize_language
+
+#: Languages in the order in which ties are settled, with the names of Spark's own stop-word lists.
+LANGUAGES = {"en": "english", "fr": "french", "pt": "portuguese", "de": "german", "es": "spanish", "it": "italian"}
+
 
+def stopwords(languages: dict[str, str] = LANGUAGES) -> dict[str, list[str]]:
+    """Stop words of letters by language: the lists that come with Spark ML (Apache License 2.0).  Any other table does as well."""
+    from pyspark.ml.feature import StopWordsRemover
 
-def stopword_table(spark, words: dict[str, str] | None = None) -> DataFrame:
-    return spark.createDataFrame([(k, w) for k, ws in (words or STOPWORDS).items() for w in ws.split()], "language string, token string")
+    return {k: sorted({w for w in StopWordsRemover.loadDefaultStopWords(name) if w.isalpha()}) for k, name in languages.items()}
 
 
-def detect_language(docs: DataFrame, stopwords: DataFrame, least_tokens: int = 20, least_score: float = 0.04) -> DataFrame:
-    """(doc_id, text) -> (doc_id, language, confidence), both null for short texts and weak scores.
+def detect_language(docs: DataFrame, words: dict[str, Sequence[str]], keys: Sequence[str] = ("doc_id",), least_tokens: int = 20, least_score: float = 0.04) -> DataFrame:
+    """(keys, text) -> (keys, language, confidence), both null for short texts and weak scores.
 
-    The score is the share of a text's letter tokens among a language's
-    stopwords; ties go to the language listed first.  Tokens are counted by
-    document before they meet the (small) stopword table.
+    The score is the share of a text's letter tokens among a language's stop
+    words; ties go to the language listed first.  A row is a document, a page or
+    a section, as ``keys`` say; each is judged alone, so nothing is shuffled.
     """
-    tokens = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("token"))
-    counts = tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    totals = docs.select("doc_id", F.regexp_count(F.lower("text"), F.lit(r"[\p{L}]+")).alias("total"))
-    rank = F.array_position(F.array(*map(F.lit, LANGUAGES)), F.col("language"))
-    hits = counts.join(stopwords, "token").groupBy("doc_id", "language").agg(F.sum("n").alias("hits")).withColumn("rank", rank)
-    best = hits.groupBy("doc_id").agg(F.max(F.struct("hits", (-F.col("rank")).alias("r"), "language")).alias("best"))
-    score = F.col("best.hits") / F.col("total")
-    known = (F.col("total") >= least_tokens) & (score >= least_score)
-    return totals.join(best, "doc_id", "left").select("doc_id", F.when(known, F.col("best.language")).alias("language"), F.when(known, F.round(score, 4)).alias("confidence"))
+    split = docs.select(*keys, F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)).alias("_tokens"))
+    hits = [F.struct(F.size(F.filter("_tokens", _among(ws))).alias("hits"), F.lit(-k).alias("rank"), F.lit(language).alias("language")) for k, (language, ws) in enumerate(words.items())]
+    best = split.withColumns({"_best": F.array_max(F.array(*hits)), "_total": F.size("_tokens")})
+    score = F.col("_best.hits") / F.col("_total")
+    known = (F.col("_total") >= least_tokens) & (score >= least_score)
+    return best.select(*keys, F.when(known, F.col("_best.language")).alias("language"), F.when(known, F.round(score, 4)).alias("confidence"))
+
+
+def _among(words: Sequence[str]) -> Callable[[Column], Column]:
+    return lambda t: t.isin(*words)
 
 
-def bundle_languages(docs: DataFrame, by: str, language: str) -> DataFrame:
-    return docs.groupBy(by).agg(F.array_sort(F.collect_set(language)).alias("languages"))
+def bundle_languages(docs: DataFrame, by: str, language: str, target: str = "en") -> DataFrame:
+    """The sorted normalised tags of a bundle, unknown ones ignored, and those that a translation into ``target`` would be from."""
+    tags = F.array_sort(F.collect_set(normalize_language(F.col(language))))
+    return docs.groupBy(by).agg(tags.alias("languages")).withColumn("translate_from", F.array_remove("languages", target))
 
 
 def bundle_completeness(docs: DataFrame, by: str) -> DataFrame:
-    """Extracted, failed and skipped documents of a bundle; incomplete if one failed or its acquisition did; archives and unsupported files don't count."""
+    """Extracted, failed and skipped documents of a bundle; incomplete if one failed, its acquisition did, or the notice stands in (``from_notice``); archives and unsupported files don't count."""
     n = lambda c: F.count_if(c)
     failed = F.col("status") == "failed"
     lost = (F.col("status") == "skipped") & (F.col("reason") == "acquisition_failed")
-    return docs.groupBy(by).agg(n(F.col("status") == "extracted").alias("extracted"), n(failed).alias("failed"), n(F.col("status") == "skipped").alias("skipped"), (n(failed | lost) > 0).alias("incomplete"))
+    forced = F.col("from_notice") if "from_notice" in docs.columns else F.lit(False)
+    return docs.groupBy(by).agg(n(F.col("status") == "extracted").alias("extracted"), n(failed).alias("failed"), n(F.col("status") == "skipped").alias("skipped"), (n(failed | lost | forced) > 0).alias("incomplete"))
 
 
 def reuse_duplicates(docs: DataFrame, by: str) -> DataFrame:
@@ -75,23 +78,72 @@ def greedy_fit(items: Column, cap: int, most: int | None = None) -> Column:
     return F.aggregate(items, start, step, lambda acc: acc["taken"])
 
 
+def first_by_size(items: DataFrame, by: Sequence[str], order: Sequence[Column], size: str, cap: int, most: int | None = None) -> DataFrame:
+    """The items that ``greedy_fit`` can take from a group, whatever the group's length.
+
+    Of items of one size a later one is taken only where all before it were, so
+    the first ``cap // size`` of each size are all that can be.  A group keeps
+    about ``cap * ln(cap)`` items then, and items of size 0.
+    """
+    turn = F.row_number().over(Window.partitionBy(*by, size).orderBy(*order))
+    limit = F.when(F.col(size) > 0, F.floor(F.lit(cap) / F.col(size)))
+    limit = limit if most is None else F.least(F.coalesce(limit, F.lit(most)), F.lit(most))
+    return items.where(F.col(size) <= cap).withColumns({"_turn": turn, "_limit": limit}).where("_limit IS NULL OR _turn <= _limit").drop("_turn", "_limit")
+
+
+def flatten_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents as (key, location, text) rows: their parts between line breaks that hold more than white space, and for a document without any the whole text at ``document``."""
+    parts = docs.select(key, F.posexplode(F.split(text, "\n")).alias("_k", "text")).where("trim(text) <> ''")
+    some = parts.select(key, F.concat(F.lit("section:"), (F.col("_k") + 1).cast("string")).alias("location"), "text")
+    blank = docs.where(F.trim(F.regexp_replace(text, "\n", "")) == "")
+    return some.unionByName(blank.select(key, F.lit("document").alias("location"), F.col(text).alias("text")))
+
+
+def flatten_bundle(bundles: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pages, tables, sections, text) -> (key, location, text): pages and sections as they are, tables as rows of cells joined by bars, and the text where there is nothing else.
+
+    ``pages`` is an array of texts, ``tables`` of (section, rows of cells) and
+    ``sections`` of (heading, text, is_table); a section that is a table isn't
+    given twice.
+    """
+    pages = bundles.select(key, F.posexplode("pages").alias("k", "text")).select(key, F.concat(F.lit("page:"), (F.col("k") + 1).cast("string")).alias("location"), "text")
+    rows = F.array_join(F.transform("x.rows", lambda r: F.array_join(r, " | ")), "\n")
+    tables = bundles.select(key, F.posexplode("tables").alias("k", "x")).select(key, F.concat(F.lit("table:"), (F.col("k") + 1).cast("string")).alias("location"), rows.alias("text"))
+    sections = bundles.select(key, F.posexplode("sections").alias("k", "x")).where("NOT x.is_table").select(key, F.concat(F.lit("section:"), F.col("x.heading")).alias("location"), F.col("x.text").alias("text"))
+    empty = lambda c: F.coalesce(F.size(c), F.lit(0)) < 1
+    rest = bundles.where(empty("pages") & empty("tables") & empty("sections")).select(key, F.lit("document").alias("location"), "text")
+    return pages.unionByName(tables).unionByName(sections).unionByName(rest)
+
+
+def common_vocabulary(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, text) of both sides -> (key, common, signals): the tokens that a requirement and a section share, as ``keyword:`` signals in order."""
+    a, b = left.select(key, tokens(F.col("text")).alias("_a")), right.select(key, tokens(F.col("text")).alias("_b"))
+    both = F.array_sort(F.array_intersect("_a", "_b"))
+    return a.join(b, key).select(key, F.size(both).cast("long").alias("common"), F.transform(both, lambda w: F.concat(F.lit("keyword:"), w)).alias("signals"))
+
+
+def new_versions(uploads: DataFrame, versions: DataFrame, content: str) -> DataFrame:
+    """The uploads whose content no version has; of equal uploads each one."""
+    h = lambda df: df.withColumn("_hash", F.sha2(content, 256))
+    return h(uploads).join(h(versions).select("_hash"), "_hash", "left_anti").drop("_hash")
+
+
 def retrieve_evidence(requirements: DataFrame, sections: DataFrame, k: int = 8, chars: int = 12_000) -> DataFrame:
     """(req_id, text) and (section_id, text) -> (req_id, section_id, score, position).
 
     An inverted index: distinct tokens of both sides meet, and the overlap is
     the score.  Sections in the order of score and id *as text* are taken while
     they fit the budget; what is too big is skipped, however many those are.
-    Of a requirement's sections of one size only the first ``k`` enter the fold:
-    a later one could be taken only where all of these fitted before it, and
-    then ``k`` are taken already.  So no row that counts is left out, and a fold
-    has ``k * chars`` items at most, whatever the input.
+    ``first_by_size`` leaves out only sections that can't be taken, so a fold has
+    ``k * chars`` items at most, whatever the input.  ``sections`` may have
+    ``heading`` and ``metadata``, whose tokens count as the text's do.
     """
     left = requirements.select("req_id", F.explode(tokens(F.col("text"))).alias("token"))
-    right = sections.select("section_id", F.explode(tokens(F.col("text"))).alias("token"))
+    more = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("heading", "metadata") if c in sections.columns]
+    right = sections.select("section_id", F.explode(tokens(F.concat_ws(" ", F.col("text"), *more))).alias("token"))
     scores = left.join(right, "token").groupBy("req_id", "section_id").agg(F.count(F.lit(1)).alias("score"))
     sized = scores.join(sections.select("section_id", F.length("text").cast("long").alias("size")), "section_id").withColumn("name", F.col("section_id").cast("string"))
-    turn = F.row_number().over(Window.partitionBy("req_id", "size").orderBy(F.desc("score"), "name"))
-    first = sized.where(F.col("size") <= chars).withColumn("turn", turn).where(F.col("turn") <= k)
+    first = first_by_size(sized, ["req_id"], [F.desc("score"), F.col("name")], "size", chars, k)
     items = first.groupBy("req_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "name", "section_id", "score", "size"))).alias("items"))
     return items.select("req_id", F.posexplode(greedy_fit(F.col("items"), chars, k)).alias("position", "x")).select("req_id", F.col("x.section_id").alias("section_id"), F.col("x.score").alias("score"), F.col("position").cast("long").alias("position"))
 
@@ -103,9 +155,12 @@ def verify_quotes(citations: DataFrame, chunks: DataFrame, normalize) -> DataFra
     then containment: ``exact`` in a cited chunk, ``normalized`` there,
     ``document`` anywhere in the document, ``fragments`` if the parts between
     ellipses that are longer than 15 characters follow each other there, or
-    ``quote_not_found``; ``document_missing`` without chunks.
+    ``quote_not_found``; ``document_missing`` without chunks.  Only cited
+    documents are put together and normalised, once each.
     """
-    whole = chunks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("location", "text"))), lambda x: x["text"]), " ").alias("whole"))
+    cited_docs = citations.select("doc_id").distinct()
+    chunks = chunks.join(cited_docs, "doc_id", "left_semi")
+    whole = chunks.groupBy("doc_id").agg(normalize(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("location", "text"))), lambda x: x["text"]), " ")).alias("whole"))
     here = chunks.select("doc_id", F.col("location").cast("string").alias("place"), F.col("text").alias("chunk"))
     has = lambda t, q: F.coalesce(F.contains(t, q), F.lit(False))
     strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -121,11 +176,11 @@ def verify_quotes(citations: DataFrame, chunks: DataFrame, normalize) -> DataFra
             found = F.position(part, text, at)
             return F.when(at == 0, 0).when(found > 0, found + F.length(part)).otherwise(0)
 
-        return (F.size(parts) > 0) & (F.aggregate(F.transform(parts, normalize), F.lit(1), step) > 0)
+        return (F.size(parts) > 0) & (F.aggregate(F.transform(parts, lambda p: normalize(p)), F.lit(1), step) > 0)
 
     level = (
         F.when(F.col("whole").isNull(), "document_missing").when(F.col("exact"), "exact").when(F.col("normalized"), "normalized")
-        .when(has(normalize(F.col("whole")), normalize(F.col("quote"))), "document").when(follow(normalize(F.col("whole")), F.col("quote")), "fragments").otherwise("quote_not_found")
+        .when(has(F.col("whole"), normalize(F.col("quote"))), "document").when(follow(F.col("whole"), F.col("quote")), "fragments").otherwise("quote_not_found")
     )
     return both.select("cite_id", level.alias("level"))
 
@@ -138,7 +193,13 @@ def plan_delivery(attachments: DataFrame, providers: DataFrame) -> DataFrame:
     ones are still tried.  The first provider by priority that carries all
     wins, else the one with most files, then fewest bytes.
     """
-    items = attachments.groupBy("notification_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.ceil(F.col("size") / 3).alias("third"), F.col("size").alias("raw")))).alias("items"))
+    limits = providers.agg(F.max("max_file").alias("size"), F.max("max_files").alias("files")).first()  # one row of a few configured providers
+    total = attachments.groupBy("notification_id").agg(F.count(F.lit(1)).alias("total"))
+    # of files of one size a later one is attached only where all before it were
+    turn = F.row_number().over(Window.partitionBy("notification_id", "size").orderBy("pos"))
+    first = attachments.withColumn("_turn", turn).where((F.col("size") <= limits["size"]) & (F.col("_turn") <= limits["files"]))
+    items = first.groupBy("notification_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.ceil(F.col("size") / 3).alias("third"), F.col("size").alias("raw")))).alias("items"))
+    items = total.join(items, "notification_id", "left").withColumn("items", F.coalesce("items", F.array().cast("array<struct<pos: bigint, third: bigint, raw: bigint>>")))
     both = items.join(F.broadcast(providers))  # a handful of configured providers
     start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("bytes"))
 
@@ -147,10 +208,10 @@ def plan_delivery(attachments: DataFrame, providers: DataFrame) -> DataFrame:
         fits = (x["raw"] <= F.col("max_file")) & (acc["n"] < F.col("max_files")) & (acc["bytes"] + coded <= F.col("max_message"))
         return F.struct(F.when(fits, acc["n"] + 1).otherwise(acc["n"]).alias("n"), F.when(fits, acc["bytes"] + coded).otherwise(acc["bytes"]).alias("bytes"))
 
-    packed = both.withColumn("fit", F.aggregate("items", start, step)).withColumn("all", F.col("fit.n") == F.size("items"))
+    packed = both.withColumn("fit", F.aggregate("items", start, step)).withColumn("all", F.col("fit.n") == F.col("total"))
     order = Window.partitionBy("notification_id").orderBy(F.desc("all"), F.when(F.col("all"), F.col("priority")), F.desc("fit.n"), "fit.bytes", "priority")
     best = packed.withColumn("turn", F.row_number().over(order)).where("turn = 1")
-    return best.select("notification_id", "provider_id", F.col("fit.n").cast("long").alias("attached"), (F.size("items") - F.col("fit.n")).cast("long").alias("linked"))
+    return best.select("notification_id", "provider_id", F.col("fit.n").cast("long").alias("attached"), (F.col("total") - F.col("fit.n")).cast("long").alias("linked"))
 
 
 def split_segments(c: Column, n: int = 4000) -> Column:

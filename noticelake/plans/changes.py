@@ -13,44 +13,65 @@ from noticelake.plans.registry import register, table
 AS_OF = "1998-06-15 12:00:00"
 
 
+FIELDS = list(X.FIELDS)
+
+
 def current(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("external_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderdate").alias("deadline"), F.col("o_totalprice").alias("price"))
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(
+        F.col("o_custkey").alias("source_id"), k.alias("external_id"), F.col("o_orderpriority").alias("title"), F.concat(F.lit("https://x.org/"), k.cast("string")).alias("url"), (F.col("o_orderdate") - F.expr("INTERVAL 30 DAYS")).alias("published"),
+        F.col("o_orderdate").alias("deadline"), F.lit("UTC").alias("deadline_zone"), F.concat(F.lit("R"), k.cast("string")).alias("reference"), F.when(k % 17 == 0, "v2").otherwise("").alias("addendum_marker"),
+    )
 
 
 def seen(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("external_id")
     c = current(spark, d).where(k % 5 != 0)
-    return c.withColumns({"title": F.when(k % 11 == 0, "0-NONE").otherwise(F.concat(F.lit(" "), F.col("title"))), "deadline": F.when(k % 7 == 0, F.col("deadline") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("deadline")), "price": F.when(k % 9 == 0, F.col("price") + 1).otherwise(F.col("price")), "status": F.when(k % 13 == 0, "expired").otherwise("new")})
+    changed = lambda n, new, field: F.when(k % n == 0, new).otherwise(F.col(field))
+    return c.withColumns({
+        "title": F.when(k % 11 == 0, "0-NONE").otherwise(F.concat(F.lit(" "), F.col("title"))), "url": changed(9, F.lit("https://x.org/old"), "url"), "published": changed(23, F.lit(None), "published"),
+        "deadline": changed(7, F.col("deadline") + F.expr("INTERVAL 1 DAY"), "deadline"), "deadline_zone": changed(29, F.lit("WAT"), "deadline_zone"), "reference": changed(19, F.lit(None), "reference"),
+        "addendum_marker": F.when(k % 34 == 0, "v1").otherwise(" "), "status": F.when(k % 13 == 0, "expired").otherwise("new"),
+    })
 
 
-_DIFF = """
+_CASES = (("title", 11), ("url", 9), ("published", 23), ("deadline", 7), ("deadline_zone", 29), ("reference", 19), ("addendum_marker", 17))
+_DIFF = f"""
 diff AS (SELECT o_custkey AS source_id, o_orderkey AS external_id,
-  list_filter([CASE WHEN o_orderkey % 11 = 0 THEN 'title' END, CASE WHEN o_orderkey % 7 = 0 THEN 'deadline' END, CASE WHEN o_orderkey % 9 = 0 THEN 'price' END], lambda x: x IS NOT NULL AND o_orderkey % 5 <> 0) AS changed_fields,
-  CASE WHEN o_orderkey % 5 = 0 THEN 'NEW' WHEN (o_orderkey % 11 = 0 OR o_orderkey % 7 = 0) AND o_orderkey % 13 <> 0 THEN 'UPDATE' ELSE 'UNCHANGED' END AS outcome FROM orders)"""
+  list_filter([{", ".join(f"CASE WHEN o_orderkey % {n} = 0 THEN '{f}' END" for f, n in _CASES)}], lambda x: x IS NOT NULL AND o_orderkey % 5 <> 0) AS changed_fields,
+  list_filter([CASE WHEN o_orderkey % 11 = 0 THEN 'TITLE_CHANGED' END, CASE WHEN o_orderkey % 7 = 0 THEN 'DEADLINE_CHANGED' END, CASE WHEN o_orderkey % 34 = 0 THEN 'CHANGE_MARKER_CHANGED' WHEN o_orderkey % 17 = 0 THEN 'ADDENDUM_ADDED' END], lambda x: x IS NOT NULL AND o_orderkey % 5 <> 0) AS change_types,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'NEW' WHEN (o_orderkey % 11 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 17 = 0) AND o_orderkey % 13 <> 0 THEN 'UPDATE' ELSE 'UNCHANGED' END AS outcome FROM orders)"""
 
 
 def diff(spark: SparkSession, d: str) -> DataFrame:
-    return X.diff_listings(current(spark, d), seen(spark, d), ["source_id", "external_id"], ["title", "deadline", "price"], X.MATERIAL)
+    return X.diff_listings(current(spark, d), seen(spark, d), ["source_id", "external_id"], FIELDS)
 
 
-@register("j02_diff_listings", f"WITH {_DIFF} SELECT source_id, external_id, array_to_string(changed_fields, ',') AS changed_fields, outcome FROM diff")
+@register("j02_diff_listings", f"WITH {_DIFF} SELECT source_id, external_id, array_to_string(changed_fields, ',') AS changed_fields, array_to_string(change_types, ',') AS change_types, CASE WHEN external_id % 5 <> 0 AND external_id % 9 = 0 THEN 'https://x.org/old' END AS url_before, outcome FROM diff")
 def j02(spark: SparkSession, d: str) -> DataFrame:
-    return diff(spark, d).select("source_id", "external_id", F.array_join("changed_fields", ",").alias("changed_fields"), "outcome")
+    before = F.get(F.filter("changes", lambda x: x["field"] == "url"), 0)["before"]
+    return diff(spark, d).select("source_id", "external_id", F.array_join("changed_fields", ",").alias("changed_fields"), F.array_join("change_types", ",").alias("change_types"), before.alias("url_before"), "outcome")
 
 
-@register("a01_dedup_summary", f"WITH {_DIFF} SELECT source_id, count_if(outcome = 'NEW') AS new_count, count_if(outcome = 'UPDATE') AS update_count, count_if(outcome = 'UNCHANGED') AS unchanged_count, count(*) AS listings_found FROM diff GROUP BY 1")
+@register("a01_dedup_summary", f"WITH {_DIFF} SELECT source_id, count_if(outcome = 'NEW') AS new_count, count_if(outcome = 'UPDATE') AS update_count, count_if(outcome = 'UNCHANGED') AS unchanged_count, count(*) AS listings_found, count_if(external_id % 21 = 0) + count_if(external_id % 31 = 0) AS duplicate_count FROM diff GROUP BY 1")
 def a01(spark: SparkSession, d: str) -> DataFrame:
-    return X.dedup_summary(diff(spark, d), ["source_id"])
+    ids = table(spark, d, "orders").select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").cast("string").alias("external_id"))
+    arrived = ids.unionByName(ids.where("external_id % 21 = 0")).unionByName(ids.where("external_id % 31 = 0").withColumn("external_id", F.lit(" ")))
+    return X.dedup_summary(diff(spark, d), ["source_id"], arrived)
 
 
-@register("s11_upsert_notices", "SELECT o_custkey AS source_id, o_orderkey AS external_id, o_orderdate AS deadline, CASE WHEN o_orderkey % 5 = 0 THEN 'new' WHEN o_orderkey % 7 = 0 THEN 'updated' WHEN o_orderkey % 13 = 0 THEN 'expired' ELSE 'new' END AS status, o_orderkey % 5 <> 0 AND o_orderkey % 7 = 0 AS is_update FROM orders")
+@register("s11_upsert_notices", "SELECT o_custkey AS source_id, o_orderkey AS external_id, o_orderdate AS deadline, CASE WHEN o_orderkey % 5 = 0 THEN 'new' WHEN o_orderkey % 7 = 0 OR o_orderkey % 3 = 0 THEN 'updated' WHEN o_orderkey % 13 = 0 THEN 'expired' ELSE 'new' END AS status, o_orderkey % 5 <> 0 AND (o_orderkey % 7 = 0 OR o_orderkey % 3 = 0) AS is_update, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'a=1,' END || CASE WHEN o_orderkey % 3 = 0 THEN 'b=3,' ELSE 'b=2,' END || 'c=4' AS metadata FROM orders")
 def s11(spark: SparkSession, d: str) -> DataFrame:
-    return X.upsert_notices(seen(spark, d).select("source_id", "external_id", "deadline", "status"), current(spark, d), ["source_id", "external_id"], ["deadline"])
+    pairs = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v if hasattr(v, "alias") else F.lit(v))])
+    old = seen(spark, d).select("source_id", "external_id", "deadline", "status", pairs(a="1", b="2", c="4").alias("metadata"))
+    new = current(spark, d).withColumn("metadata", pairs(b=F.when(F.col("external_id") % 3 == 0, "3").otherwise("2"), c="4"))
+    out = X.upsert_notices(old, new, ["source_id", "external_id"], ["deadline"], ["metadata"])
+    return out.withColumn("metadata", F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda x: F.concat_ws("=", x["key"], x["value"])), ","))
 
 
-@register("w01_dedupe_listings", f"WITH {_PARTS} SELECT external_id, min(page_id) AS page_id, count(*) - 1 AS duplicates FROM urls WHERE external_id <> '' GROUP BY 1")
+@register("w01_dedupe_listings", f"WITH {_PARTS}, u AS (SELECT page_id, CASE WHEN page_id % 17 <> 0 THEN external_id END AS external_id FROM urls) SELECT external_id, CASE WHEN external_id IS NOT NULL THEN min(page_id) END AS page_id, count(*) - CASE WHEN external_id IS NULL THEN 0 ELSE 1 END AS duplicates FROM u GROUP BY 1")
 def w01(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages").select("page_id", derive_external_id(F.col("url")).alias("external_id"))
+    p = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 17 == 0, " ").otherwise(derive_external_id(F.col("url"))).alias("external_id"))
     return X.dedupe_listings(p, "external_id", "page_id").select("external_id", "page_id", "duplicates")
 
 
@@ -72,9 +93,11 @@ def p04(spark: SparkSession, d: str) -> DataFrame:
     return X.unprocessed(notices(spark, d), F.lit(AS_OF).cast("timestamp"), 25).select("id", "deadline")
 
 
-@register("p05_expired", f"SELECT o_orderkey AS id, o_orderdate AS deadline FROM orders WHERE o_orderstatus = 'O' AND o_orderdate <= TIMESTAMP '{AS_OF}'")
+@register("p05_expired", f"SELECT o_orderkey AS id, o_orderdate AS deadline FROM orders WHERE o_orderstatus = 'O' AND o_orderdate <= TIMESTAMP '{AS_OF}' AND o_custkey % 25 < 20")
 def p05(spark: SparkSession, d: str) -> DataFrame:
-    return X.expired(notices(spark, d), F.lit(AS_OF).cast("timestamp")).select("id", "deadline")
+    n = notices(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 25).alias("source_id")), "id")
+    sources = table(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").cast("long").alias("source_id"))
+    return X.expired(n, F.lit(AS_OF).cast("timestamp"), sources).select("id", "deadline")
 
 
 @register("t06_recover_backlog", f"WITH s AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 10 = 3), b AS (SELECT o_orderkey AS id FROM orders WHERE {_NEW} AND o_orderkey % 10 <> 3 ORDER BY o_orderdate, o_orderkey LIMIT 25) SELECT id, 'selected' AS origin FROM s UNION ALL SELECT id, 'backlog' FROM b")
@@ -102,10 +125,10 @@ def p07(spark: SparkSession, d: str) -> DataFrame:
     return X.validate_transitions(table(spark, d, "events"), "user_id", "ts", "event_id", "event_type", edges).select("event_id", "from_state", "event_type")
 
 
-@register("s05_union_facets", "SELECT sha256(text) AS item, min_by(lang, lang || lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS facet, CAST(min_by(doc_id, lang || lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS BIGINT) AS doc_id FROM documents GROUP BY 1")
+@register("s05_union_facets", "WITH f AS (SELECT sha256(text) AS item, lang AS facet, doc_id, list_position(['fr', 'en', 'es'], lang) - 1 AS i FROM documents WHERE lang IN ('fr', 'en', 'es')) SELECT item, arg_min(facet, (i, doc_id)) AS facet, arg_min(doc_id, (i, doc_id)) AS doc_id, CAST(min(i) AS INTEGER) AS facet_index FROM f GROUP BY 1")
 def s05(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.sha2("text", 256).alias("item"), F.col("lang").alias("facet"), "doc_id")
-    return X.union_facets(docs, "item", "facet", "doc_id")
+    return X.union_facets(docs, "item", "facet", "doc_id", ("fr", "en", "es"))
 
 
 @register(

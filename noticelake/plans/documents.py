@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import glob
+import os
+import zipfile
+
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,19 +14,37 @@ from noticelake.functions.text import hint_language, normalize_quote
 from noticelake.operators import documents as D
 from noticelake.plans.registry import register, table
 
-_STOP = "(VALUES " + ", ".join(f"('{k}', {i}, '{w}')" for i, (k, ws) in enumerate(D.STOPWORDS.items()) for w in ws.split()) + ") AS s(language, rank, token)"
+
+def _stop_table() -> str:
+    """Spark's stop-word lists as SQL values, read from its own jar, so that no session is needed."""
+    home = os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__)
+    with zipfile.ZipFile(sorted(glob.glob(f"{home}/jars/spark-mllib_*.jar"))[0]) as jar:
+        lists = {k: {w for w in jar.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode().split() if w.isalpha()} for k, name in D.LANGUAGES.items()}
+    return "(VALUES " + ", ".join(f"('{k}', {i}, '{w}')" for i, (k, ws) in enumerate(lists.items()) for w in sorted(ws)) + ") AS s(language, rank, token)"
 
 
 @register(
     "j01_f15_detect_language",
     f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS token FROM documents), n AS (SELECT doc_id, count(*) AS total FROM t GROUP BY 1),
-    h AS (SELECT doc_id, language, rank, count(*) AS hits FROM t JOIN {_STOP} USING (token) GROUP BY ALL),
+    h AS (SELECT doc_id, language, rank, count(*) AS hits FROM t JOIN {_stop_table()} USING (token) GROUP BY ALL),
     b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, rank) AS turn FROM h)
     SELECT d.doc_id, CASE WHEN total >= 20 AND hits / total >= 0.04 THEN language END AS language, CASE WHEN total >= 20 AND hits / total >= 0.04 THEN round(hits / total, 4) END AS confidence
     FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN b ON b.doc_id = d.doc_id AND turn = 1""",
 )
 def j01(spark: SparkSession, d: str) -> DataFrame:
-    return D.detect_language(table(spark, d, "documents"), D.stopword_table(spark))
+    return D.detect_language(table(spark, d, "documents"), D.stopwords())
+
+
+@register(
+    "j01_section_languages",
+    f"""WITH p AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS section, unnest(string_split(text, chr(10))) AS text FROM documents), t AS (SELECT doc_id, section, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS token FROM p),
+    n AS (SELECT doc_id, section, count(*) AS total FROM t GROUP BY 1, 2), h AS (SELECT doc_id, section, language, rank, count(*) AS hits FROM t JOIN {_stop_table()} USING (token) GROUP BY ALL),
+    b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY hits DESC, rank) AS turn FROM h)
+    SELECT doc_id, section, language, round(hits / total, 4) AS confidence FROM n JOIN b USING (doc_id, section) WHERE turn = 1 AND total >= 20 AND hits / total >= 0.04""",
+)
+def j01_sections(spark: SparkSession, d: str) -> DataFrame:
+    sections = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "text")).withColumn("section", F.col("k") + 1)
+    return D.detect_language(sections, D.stopwords(), ("doc_id", "section")).where("language IS NOT NULL")
 
 
 _HITS = lambda ws: " + ".join(f"CAST(contains(t, '{w}') AS INTEGER)" for w in ws)
@@ -37,9 +60,12 @@ def f19(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(normalize_quote(F.col("text")), 256).alias("quote"))
 
 
-@register("a10_bundle_languages", "SELECT source, array_to_string(list_sort(list_distinct(list(lang))), ',') AS languages FROM documents GROUP BY 1")
+@register("a10_bundle_languages", "SELECT source, array_to_string(list_sort(list_distinct(list(lang))), ',') AS languages, array_to_string(list_filter(list_sort(list_distinct(list(lang))), lambda x: x <> 'en'), ',') AS translate_from FROM documents GROUP BY 1")
 def a10(spark: SparkSession, d: str) -> DataFrame:
-    return D.bundle_languages(table(spark, d, "documents"), "source", "lang").select("source", F.array_join("languages", ",").alias("languages"))
+    tag = F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.concat(F.upper("lang"), F.when(F.col("doc_id") % 2 == 0, "-XX").otherwise("")))
+    docs = table(spark, d, "documents").select("source", tag.alias("tag")).unionByName(table(spark, d, "documents").select("source", F.col("lang").alias("tag")))
+    out = D.bundle_languages(docs, "source", "tag")
+    return out.select("source", F.array_join("languages", ",").alias("languages"), F.array_join("translate_from", ",").alias("translate_from"))
 
 
 def outcomes(spark: SparkSession, d: str) -> DataFrame:
@@ -65,9 +91,9 @@ def j17(spark: SparkSession, d: str) -> DataFrame:
     "j04_retrieve_evidence",
     """WITH RECURSIVE l AS (SELECT item_id AS req_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}'))) AS token FROM benchmark), r AS (SELECT doc_id AS section_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}'))) AS token FROM documents),
     s AS (SELECT req_id, section_id, count(*) AS score FROM l JOIN r USING (token) GROUP BY ALL),
-    o AS (SELECT req_id, section_id, score, length(text) AS size, row_number() OVER (PARTITION BY req_id ORDER BY score DESC, CAST(section_id AS VARCHAR)) AS turn FROM s JOIN documents ON doc_id = section_id),
+    o AS (SELECT req_id, section_id, score, length(text) AS size, row_number() OVER (PARTITION BY req_id ORDER BY score DESC, CAST(section_id AS VARCHAR)) AS turn FROM s JOIN documents ON doc_id = section_id WHERE length(text) <= 12000),
     f AS (SELECT req_id, CAST(0 AS BIGINT) AS turn, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS section_id, CAST(NULL AS BIGINT) AS score, false AS taken FROM (SELECT DISTINCT req_id FROM o)
-      UNION ALL SELECT o.req_id, o.turn, CASE WHEN f.used + o.size <= 12000 AND f.n < 8 THEN f.used + o.size ELSE f.used END, CASE WHEN f.used + o.size <= 12000 AND f.n < 8 THEN f.n + 1 ELSE f.n END, o.section_id, o.score, f.used + o.size <= 12000 AND f.n < 8 FROM f JOIN o ON o.req_id = f.req_id AND o.turn = f.turn + 1 AND o.turn <= 200)
+      UNION ALL SELECT o.req_id, o.turn, CASE WHEN f.used + o.size <= 12000 AND f.n < 8 THEN f.used + o.size ELSE f.used END, CASE WHEN f.used + o.size <= 12000 AND f.n < 8 THEN f.n + 1 ELSE f.n END, o.section_id, o.score, f.used + o.size <= 12000 AND f.n < 8 FROM f JOIN o ON o.req_id = f.req_id AND o.turn = f.turn + 1 AND f.n < 8)
     SELECT req_id, section_id, score, n - 1 AS position FROM f WHERE taken""",
 )
 def j04(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +147,8 @@ def j11(spark: SparkSession, d: str) -> DataFrame:
     SELECT id AS source, max(n) AS n, max(used) AS used FROM f GROUP BY 1""",
 )
 def w08(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.col("n_chars").alias("size")))).alias("items"))
+    docs = D.first_by_size(table(spark, d, "documents").select("source", "doc_id", F.col("n_chars").alias("size")), ["source"], [F.col("doc_id")], "size", 20_000, 12)
+    items = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "size"))).alias("items"))
     taken = items.select("source", D.greedy_fit(F.col("items"), 20_000, 12).alias("taken"))
     return taken.select("source", F.size("taken").cast("long").alias("n"), F.aggregate("taken", F.lit(0).cast("long"), lambda acc, x: acc + x["size"]).alias("used"))
 
@@ -132,10 +159,23 @@ def t01(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", F.sha2(F.array_join("s", ""), 256).alias("joined"), F.forall("s", lambda x: F.length(x) <= 1000).alias("bounded"))
 
 
-@register("t04_flatten_sections", f"WITH {_CHUNKS} SELECT doc_id, 'section:' || location AS location, length(text) AS n_chars FROM c WHERE trim(text) <> ''")
+@register("t04_flatten_sections", f"WITH {_CHUNKS} SELECT doc_id, 'section:' || location AS location, length(text) AS n_chars FROM c WHERE trim(text) <> '' UNION ALL SELECT doc_id, 'document', length(text) FROM documents WHERE trim(replace(text, chr(10), '')) = ''")
 def t04(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "text")).where("trim(text) <> ''")
-    return s.select("doc_id", F.concat(F.lit("section:"), (F.col("k") + 1).cast("string")).alias("location"), F.length("text").cast("long").alias("n_chars"))
+    return D.flatten_sections(table(spark, d, "documents")).select("doc_id", "location", F.length("text").cast("long").alias("n_chars"))
+
+
+@register(
+    "t04_flatten_bundle",
+    """WITH p AS (SELECT * FROM part WHERE p_partkey % 5 <> 0) SELECT p_partkey AS doc_id, 'page:1' AS location, p_name AS text FROM p UNION ALL SELECT p_partkey, 'page:2', p_type FROM p
+    UNION ALL SELECT p_partkey, 'table:1', 'brand | size' || chr(10) || p_brand || ' | ' || p_size FROM p UNION ALL SELECT p_partkey, 'section:Scope', p_type FROM p UNION ALL SELECT p_partkey, 'document', p_name FROM part WHERE p_partkey % 5 = 0""",
+)
+def t04_bundle(spark: SparkSession, d: str) -> DataFrame:
+    some, text = F.col("p_partkey") % 5 != 0, lambda c: F.col(c).cast("string")
+    pages = F.when(some, F.array("p_name", "p_type"))
+    tables = F.when(some, F.array(F.struct(F.lit("Prices").alias("section"), F.array(F.array(F.lit("brand"), F.lit("size")), F.array(text("p_brand"), text("p_size"))).alias("rows"))))
+    section = lambda h, t, is_table: F.struct(F.lit(h).alias("heading"), t.alias("text"), F.lit(is_table).alias("is_table"))
+    sections = F.when(some, F.array(section("Scope", F.col("p_type"), False), section("Prices", F.lit("brand size"), True)))
+    return D.flatten_bundle(table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), pages.alias("pages"), tables.alias("tables"), sections.alias("sections"), F.col("p_name").alias("text")))
 
 
 @register("u03_version_diff", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT line, count_if(doc_id % 2 = 1) - count_if(doc_id % 2 = 0) AS n FROM l GROUP BY 1) SELECT sha256(line) AS line, CASE WHEN n > 0 THEN 'added' ELSE 'removed' END AS change, abs(n) AS times FROM n WHERE n <> 0")
@@ -144,14 +184,13 @@ def u03(spark: SparkSession, d: str) -> DataFrame:
     return D.version_diff(lines.where("doc_id % 2 = 0"), lines.where("doc_id % 2 = 1")).withColumn("line", F.sha2("line", 256))
 
 
-@register("u04_common_vocabulary", "WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS t FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS t FROM documents) SELECT item_id, len(list_intersect(b.t, d.t)) AS common FROM b JOIN d ON doc_id = item_id")
+@register("u04_common_vocabulary", "WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS t FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS t FROM documents) SELECT item_id, len(list_intersect(b.t, d.t)) AS common, array_to_string(list_transform(list_sort(list_intersect(b.t, d.t)), lambda x: 'keyword:' || x), ',') AS signals FROM b JOIN d ON doc_id = item_id")
 def u04(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark").select("item_id", D.tokens(F.col("text")).alias("a"))
-    s = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), D.tokens(F.col("text")).alias("b"))
-    return b.join(s, "item_id").select("item_id", F.size(F.array_intersect("a", "b")).cast("long").alias("common"))
+    sections = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    return D.common_vocabulary(table(spark, d, "benchmark").select("item_id", "text"), sections, "item_id").withColumn("signals", F.array_join("signals", ","))
 
 
 @register("u05_new_versions", "SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
 def u05(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    return v.where("doc_id % 2 = 1").join(v.where("doc_id % 2 = 0").select("h"), "h", "left_anti").select("doc_id")
+    v = table(spark, d, "documents").select("doc_id", "text")
+    return D.new_versions(v.where("doc_id % 2 = 1"), v.where("doc_id % 2 = 0"), "text").select("doc_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from noticelake.functions import text as T
 from noticelake.functions import time as C
 from noticelake.functions import urls as U
+from noticelake.functions.json import dig, dig_all
 from noticelake.plans.registry import register, table
 
 _WHITE = r"[\t-\r \x{85}\x{A0}]+"
@@ -58,7 +59,17 @@ def f06(spark: SparkSession, d: str) -> DataFrame:
 
 @register("f07_dig_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def f07(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+    return table(spark, d, "events").select("event_id", dig(F.col("props"), "k", "bigint").alias("k"))
+
+
+@register(
+    "f07_dig_all",
+    "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a,b' WHEN 1 THEN CAST(event_id AS VARCHAR) WHEN 2 THEN '' END AS names FROM events",
+)
+def f07_all(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    doc = F.when(k % 4 == 0, '{"x": {"names": ["a", "b"]}}').when(k % 4 == 1, F.concat(F.lit('{"x": {"names": '), k.cast("string"), F.lit("}}"))).when(k % 4 == 2, '{"x": {"names": []}}').otherwise('{"x": {}}')
+    return table(spark, d, "events").select("event_id", F.array_join(dig_all(doc, "x.names"), ",").alias("names"))
 
 
 _NOW = "TIMESTAMP '1998-06-15 12:00:00'"
@@ -90,14 +101,29 @@ def f09(spark: SparkSession, d: str) -> DataFrame:
     return o.withColumn("text", text).select("o_orderkey", F.unix_timestamp(C.parse_absolute_deadline(F.col("text"))).alias("deadline"))
 
 
+@register(
+    "f02_absolute_url",
+    """WITH b AS (SELECT page_id, 'https://h' || page_id % 7 || '.org' AS o, page_id % 9 AS k FROM pages)
+    SELECT page_id, o || CASE k WHEN 0 THEN '/a/c' WHEN 1 THEN '/a/b/d?p=2' WHEN 2 THEN '/x/y.pdf' WHEN 3 THEN '/a/b/z?q#f' WHEN 4 THEN '/a/b/d?old=1#end' WHEN 5 THEN '/c' WHEN 6 THEN '/e/' WHEN 7 THEN '/a/b/n/m' ELSE '/a/b/' END AS link FROM b""",
+)
+def f02(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("page_id") % 9
+    base = F.concat(F.lit("HTTPS://H"), (F.col("page_id") % 7).cast("string"), F.lit(".org/a/b/d?old=1#top"))
+    href = F.get(F.array(*map(F.lit, ("../c", "?p=2", "/x/./w/../y.pdf", "z?q#f", "#end", "../../../c", "/e/f/..", "n//m", "."))), k.cast("int"))
+    return table(spark, d, "pages").select("page_id", U.absolute_url(base, href).alias("link"))
+
+
 @register(
     "f10_parse_relative_deadline",
-    "SELECT l_orderkey, l_linenumber, CAST(epoch(l_shipdate) AS BIGINT) + CASE l_linenumber % 3 WHEN 0 THEN 86400 * l_linenumber WHEN 1 THEN 3600 * l_linenumber END AS deadline FROM lineitem",
+    """WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, (l_orderkey * 7 + l_linenumber) % 8 AS k FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, CAST(epoch(l_shipdate) AS BIGINT) + CASE k WHEN 0 THEN 86400 * l_linenumber WHEN 1 THEN 3600 * l_linenumber WHEN 2 THEN 7200 WHEN 3 THEN 86400 * 12 END AS deadline,
+      CASE k WHEN 0 THEN l_linenumber || ' days left' WHEN 1 THEN l_linenumber || ' Hours remaining' WHEN 2 THEN '2 hrs left' WHEN 3 THEN '12 business days to go' WHEN 6 THEN 'Closing  soon' END AS raw FROM t""",
 )
 def f10(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("l_linenumber")
-    text = F.when(n % 3 == 0, F.concat(n.cast("string"), F.lit(" days left"))).when(n % 3 == 1, F.concat(n.cast("string"), F.lit(" Hours left"))).otherwise("Closing soon")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.unix_timestamp(C.parse_relative_deadline(text, F.col("l_shipdate"))).alias("deadline"))
+    n, k = F.col("l_linenumber").cast("string"), ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 8).cast("int")
+    texts = (F.concat(F.lit("("), n, F.lit(" days left)")), F.concat(n, F.lit(" Hours remaining")), F.lit("4000 days left, 2 hrs left"), F.lit("about 12 business days to go"), F.lit("2.5 days left"), F.lit("delivery in 5 days"), F.lit("Closing  soon"), F.lit("12345 hours left"))
+    x = C.relative_deadline(F.get(F.array(*texts), k), F.col("l_shipdate"))
+    return table(spark, d, "lineitem").withColumn("x", x).select("l_orderkey", "l_linenumber", "l_partkey", F.unix_timestamp("x.deadline").alias("deadline"), "x.raw")
 
 
 @register("f17_normalize_language", "SELECT doc_id, lower(lang) AS language FROM documents")
@@ -118,7 +144,7 @@ def f18(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", T.estimate_tokens(F.col("text")).alias("tokens"), T.word_count(F.col("text")).alias("words"))
 
 
-@register("f20_fold_accents", "SELECT doc_id, sha256(lower(translate(text, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY'))) AS folded FROM documents")
+@register("f20_fold_accents", "SELECT doc_id, sha256(lower(strip_accents(text))) AS folded FROM documents")
 def f20(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(T.fold_accents(F.col("text")), 256).alias("folded"))
 
@@ -141,9 +167,36 @@ def f23(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", name.alias("name"), U.guess_mime(name).alias("mime"))
 
 
-@register("f24_checksum", "SELECT doc_id, sha256(text) AS checksum FROM documents")
+@register("f24_checksum", """SELECT doc_id, sha256(text) AS checksum, sha256('{"lang":"' || lang || '","n_chars":' || n_chars || '}') AS fingerprint FROM documents""")
 def f24(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.checksum(F.col("text")).alias("checksum"))
+    return table(spark, d, "documents").select("doc_id", T.checksum(F.col("text")).alias("checksum"), T.content_fingerprint({"n_chars": F.col("n_chars"), "lang": F.col("lang")}).alias("fingerprint"))
+
+
+@register("f23_f22_storage_key", "SELECT p_partkey, 'tenders/' || p_partkey || '/attachments/' || sha256(p_name) || '/' || replace(p_name, ' ', '_') || '.pdf' AS key, 'application/pdf' AS mime FROM part")
+def f23_key(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.lit("dir/"), F.replace("p_name", F.lit(" "), F.lit("?")), F.lit(".pdf. "))
+    return table(spark, d, "part").select("p_partkey", U.storage_key(F.col("p_partkey"), F.sha2("p_name", 256), name).alias("key"), U.bare_media_type(F.lit(" Application/PDF ; charset=x")).alias("mime"))
+
+
+@register(
+    "f26_redact_fields",
+    """SELECT event_id, '{"a":{"api_key":"[REDACTED]","user":"u' || user_id || '","list":[{"old_password":"[REDACTED]"}]},"tokens_used":' || event_id || ',"secret":"[REDACTED]"}' AS fields FROM events""",
+)
+def f26_fields(spark: SparkSession, d: str) -> DataFrame:
+    doc = F.concat(F.lit('{"a":{"api_key":"k\\"1","user":"u'), F.col("user_id").cast("string"), F.lit('","list":[{"old_password":12}]},"tokens_used":'), F.col("event_id").cast("string"), F.lit(',"secret":true}'))
+    return table(spark, d, "events").select("event_id", T.redact_fields(doc).alias("fields"))
+
+
+@register(
+    "f27_transport",
+    """WITH e AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN 200 + CAST(floor(value) AS INTEGER) % 400 END AS status, ['dns', 'read_timeout', 'weird'][event_id % 7 % 3 + 1] AS code FROM events),
+    c AS (SELECT event_id, CASE WHEN status BETWEEN 200 AND 299 THEN 'ok' WHEN status = 429 THEN 'rate_limited' WHEN status IN (408, 425) OR status >= 500 THEN 'retryable' WHEN status BETWEEN 400 AND 499 THEN 'permanent' WHEN status IS NOT NULL THEN 'other' WHEN code = 'dns' THEN 'unsent' WHEN code = 'read_timeout' THEN 'ambiguous' ELSE 'other' END AS class FROM e)
+    SELECT event_id, class, class IN ('rate_limited', 'retryable', 'unsent', 'ambiguous') AS retryable, class = 'ambiguous' AS possible_duplicate FROM c""",
+)
+def f27_transport(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("event_id") % 3 != 0, 200 + F.floor("value").cast("int") % 400)
+    code = F.get(F.array(F.lit("dns"), F.lit("read_timeout"), F.lit("weird")), (F.col("event_id") % 7 % 3).cast("int"))
+    return table(spark, d, "events").withColumn("x", C.retry_policy(status, code)).select("event_id", "x.*")
 
 
 @register(
@@ -177,14 +230,22 @@ def f27(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "f29_f30_validation",
-    "SELECT c_custkey, c_custkey % 3 = 0 AS valid, c_custkey % 4 IN (0, 1) AS placeholder FROM customer",
+    "SELECT c_custkey, c_custkey % 3 = 0 AS valid, c_custkey % 8 IN (0, 1, 2, 3) AS placeholder FROM customer",
 )
 def f29(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     local = F.replace("c_name", F.lit("#"), F.lit("."))
     mail = F.when(k % 3 == 0, F.concat(local, F.lit("@mail.example.com"))).when(k % 3 == 1, F.concat(local, F.lit("@example"))).otherwise(F.concat(local, F.lit("@a@example.com")))
-    mark = F.when(k % 4 == 0, " N/A ").when(k % 4 == 1, "<one sentence>").otherwise(F.col("c_name"))
-    return table(spark, d, "customer").select("c_custkey", T.is_valid_email(mail).alias("valid"), T.is_placeholder(mark).alias("placeholder"))
+    marks = (F.lit(" N/A "), F.lit("<one sentence>"), F.lit("..."), F.lit("\t--"), F.lit("unknown"), F.lit("na"), F.col("c_name"), F.lit("< a"))
+    return table(spark, d, "customer").select("c_custkey", T.is_valid_email(mail).alias("valid"), T.is_placeholder(F.get(F.array(*marks), (k % 8).cast("int"))).alias("placeholder"))
+
+
+@register("f08_same_values", "SELECT o_orderkey, o_orderkey % 3 <> 0 AS text, o_orderkey % 4 <> 0 AS instant FROM orders")
+def f08(spark: SparkSession, d: str) -> DataFrame:
+    k, t = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    other = F.concat(F.lit(" "), F.replace("o_orderpriority", F.lit("-"), F.lit("- ")), F.when(k % 3 == 0, "x").otherwise("\n"))
+    iso = F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.when(k % 4 == 0, "+01:00").when(k % 4 == 1, "Z").otherwise(""))
+    return table(spark, d, "orders").select("o_orderkey", T.same_text(F.replace("o_orderpriority", F.lit("-"), F.lit("-  ")), other).alias("text"), T.same_instant(F.date_trunc("second", t), C.parse_timestamp(iso)).alias("instant"))
 
 
 @register("f31_encoded_bytes", "SELECT doc_id, CAST(4 * ceil(n_chars / 3) AS BIGINT) AS encoded FROM documents")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from urllib.parse import urljoin
 
 from pyspark.sql import functions as F
 
@@ -32,22 +34,32 @@ def test_relative_deadline(spark):
     assert left("5 days left") == "2026-01-06 00:00"
     assert left("7 hours left") == "2026-01-01 07:00"
     assert left("4000 days left") is None
+    assert left("2.5 days left") is None and left("12345 days left") is None
+    assert left("3 hrs remaining") == "2026-01-01 03:00" and left("2 calendar days to go") == "2026-01-03 00:00"
 
 
 def test_urls(spark):
     assert one(spark, U.canonical_url, "HTTPS://A.Example.com/x/?utm_source=f&b=1#top") == "https://a.example.com/x?b=1"
     assert one(spark, U.derive_external_id, "https://a.example.com/x/?b=1") == "a.example.com/x?b=1"
-    assert one(spark, U.absolute_url, "https://a.example.com/d/e?q", "../x") == "https://a.example.com/d/../x"
+    assert one(spark, U.absolute_url, "https://a.example.com/d/e?q", "../x") == "https://a.example.com/x"
     assert one(spark, U.absolute_url, "https://a.example.com/d/e?q", "/x") == "https://a.example.com/x"
     assert one(spark, U.absolute_url, "https://a.example.com/d/e", "x.pdf") == "https://a.example.com/d/x.pdf"
     assert one(spark, U.absolute_url, "https://a.example.com/d/e", " ") == ""
     assert one(spark, U.storage_name, "../con") == "_con"
+    bases = ("https://a.example.com/b/c/d;p?q", "https://a.example.com", "https://a.example.com/d/e/")
+    links = ("g", "./g", "g/", "/g", "//g/h", "?y", "g?y", "#s", "g#s", "g?y#s", ".", "./", "..", "../", "../g", "../..", "../../g", "../../../g", "g/./h", "g/../h", "/./g", "/../g", "g//h", "http:g")
+    pairs = spark.createDataFrame([(base, href) for base in bases for href in links], "base string, href string")
+    for r in pairs.withColumn("link", U.absolute_url(F.col("base"), F.col("href"))).collect():
+        assert r.link.rstrip("/") == urljoin(r.base, r.href).rstrip("/"), r
 
 
 def test_text(spark):
     assert one(spark, T.advertised_size, "1,2 MB") == int(1.2 * 1024**2)
     assert one(spark, T.advertised_size, "size") is None
     assert one(spark, T.normalize_quote, "“a”  —\nb") == '"a" - b'
+    assert one(spark, T.normalize_quote, "ﬁne①") == "ﬁne①" and one(spark, lambda c: T.normalize_quote(c, nfkc=True), "ﬁne①") == unicodedata.normalize("NFKC", "ﬁne①")
+    assert one(spark, T.fold_accents, "Ĉu e\u0301tÉ Ñandú Ż") == "cu ete nandu z"
+    assert [one(spark, T.is_placeholder, t) for t in ("...", " n/a ", "<x y>", "unknown", "na", "None")] == [True, True, True, False, False, False]
     assert one(spark, T.is_valid_email, "a@b") is False
     assert one(spark, T.is_valid_email, "a@b.org") is True
 
