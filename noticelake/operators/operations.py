@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticelake.functions.text import is_placeholder
+
 SEVERITY = {"info": 1, "warning": 2, "critical": 3}
 
 
@@ -21,29 +23,72 @@ def assign_sequence(df: DataFrame, key: str, order: Sequence[str], name: str = "
     return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
-def run_status(stages: DataFrame, run: str) -> DataFrame:
-    """Status of a run: FAILED if a stage failed, else PARTIAL if one failed in part, else COMPLETED; with the map of its stages' worst statuses."""
-    rank = F.when(F.col("status") == "FAILED", 3).when(F.col("status") == "PARTIAL", 2).otherwise(1)
-    by_stage = stages.groupBy(run, "stage").agg(F.max(rank).alias("rank"))
+def run_status(stages: DataFrame, run: str, runs: DataFrame | None = None) -> DataFrame:
+    """Status of a run by its stages: FAILED if one failed, else PARTIAL if one failed in part, else COMPLETED; with the map of its stages' worst statuses.
+
+    A completed stage with ``failed_items`` is partial.  With ``runs`` (run,
+    ended_at, error_count) also ``run_status``: RUNNING until a run has ended,
+    then ERRORED or COMPLETED.
+    """
+    partial = F.col("status") == "PARTIAL"
+    partial = partial | (F.col("failed_items") > 0) if "failed_items" in stages.columns else partial
+    by_stage = stages.groupBy(run, "stage").agg(F.max(F.when(F.col("status") == "FAILED", 3).when(partial, 2).otherwise(1)).alias("rank"))
     name = lambda c: F.when(c == 3, "FAILED").when(c == 2, "PARTIAL").otherwise("COMPLETED")
-    return by_stage.groupBy(run).agg(name(F.max("rank")).alias("status"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", name(F.col("rank")))))).alias("stages"))
+    out = by_stage.groupBy(run).agg(name(F.max("rank")).alias("status"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", name(F.col("rank")))))).alias("stages"))
+    if runs is None:
+        return out
+    state = F.when(F.col("ended_at").isNull(), "RUNNING").when((F.col("error_count") > 0) | (F.col("status") == "FAILED"), "ERRORED").otherwise("COMPLETED")
+    return runs.select(run, "ended_at", "error_count").join(out, run, "left").withColumn("run_status", state).drop("ended_at", "error_count")
 
 
 def stage_funnel(stages: DataFrame) -> DataFrame:
     return stages.groupBy("stage").agg(F.sum("items").alias("items"), F.sum("failed_items").alias("failed_items"), F.count(F.lit(1)).alias("attempts"), F.avg("seconds").alias("seconds"))
 
 
-def health_dashboard(runs: DataFrame, as_of: Column, days: Sequence[int] = (7, 30)) -> DataFrame:
-    """Runs, new notices and failures in the last days, last success and last failure, per source and over all (null source), in one pass."""
-    since = lambda n: F.col("ts") >= as_of - F.expr(f"INTERVAL {n} DAYS")
-    counts = [c for n in days for c in (F.count_if(since(n)).alias(f"runs_{n}"), F.coalesce(F.sum(F.when(since(n) & ~F.col("failed"), F.col("new_count"))), F.lit(0)).alias(f"new_{n}"), F.count_if(since(n) & F.col("failed")).alias(f"failures_{n}"))]
-    last = [F.max(F.when(~F.col("failed"), F.col("ts"))).alias("last_success"), F.max(F.when(F.col("failed"), F.col("ts"))).alias("last_failure")]
-    return runs.groupingSets([["source_id"], []], "source_id").agg(*counts, *last)
+def health_dashboard(facts: DataFrame, as_of: Column, days: Sequence[int] = (7, 30)) -> DataFrame:
+    """Figures per source and over all (null source), in one pass over (source_id, ts, kind, failed, new_count, code, test).
+
+    ``kind`` is run, verdict, notification, or a state of now: stuck,
+    open_alert.  In the last days: runs, notices they brought, failed runs,
+    verdicts, failed notifications (over all without test ones); then the last
+    success, the last failure and its code, and ``degraded`` if anything is
+    stuck or an alert is open.
+    """
+    kind, failed, whole = F.col("kind"), F.col("failed"), F.grouping("source_id") == 1
+    run = kind == "run"
+    counts = []
+    for n in days:
+        since = F.col("ts") >= as_of - F.expr(f"INTERVAL {n} DAYS")
+        note = since & (kind == "notification") & failed
+        counts += [F.count_if(since & run).alias(f"runs_{n}"), F.coalesce(F.sum(F.when(since & run & ~failed, F.col("new_count"))), F.lit(0)).alias(f"new_{n}"), F.count_if(since & run & failed).alias(f"failures_{n}"), F.count_if(since & (kind == "verdict")).alias(f"verdicts_{n}"), F.when(whole, F.count_if(note & ~F.col("test"))).otherwise(F.count_if(note)).alias(f"notification_failures_{n}")]
+    last = [F.max(F.when(run & ~failed, F.col("ts"))).alias("last_success"), F.max(F.when(run & failed, F.col("ts"))).alias("last_failure"), F.max_by("code", F.when(run & failed, F.struct("ts", "code"))).alias("last_failure_code")]
+    now = [F.count_if(kind == "stuck").alias("stuck"), F.count_if(kind == "open_alert").alias("open_alerts")]
+    out = facts.groupingSets([["source_id"], []], "source_id").agg(*counts, *last, *now)
+    return out.withColumn("degraded", (F.col("stuck") > 0) | (F.col("open_alerts") > 0))
+
+
+def health_digest(facts: DataFrame, by: Sequence[str], shown: int = 10) -> DataFrame:
+    """(by, kind, failed, run_id) -> counts of a half-open window: runs in all, successful and failed, parser mismatches, failures of the model (unreachable, unusable), recoveries, new open alerts, failed mails; the first failed runs, and how many more there are.
+
+    A failed mail is one that failed or waits for a retry.  Only as many failed
+    runs as are shown reach a group's list.
+    """
+    n = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    run, failed = F.col("kind") == "run", F.col("failed")
+    counts = facts.groupBy(*by).agg(
+        F.count_if(run).alias("total_runs"), F.count_if(run & ~failed).alias("successful_runs"), F.count_if(run & failed).alias("failed_runs"), n("parser_mismatch").alias("parser_mismatches"),
+        n("model_unreachable", "model_unusable").alias("model_failures"), n("recovered").alias("recoveries"), n("alert_opened").alias("new_open_alerts"), n("mail_failed", "mail_pending_retry").alias("mail_failures"),
+    )
+    turn = F.row_number().over(Window.partitionBy(*by).orderBy("run_id"))
+    first = facts.where(run & failed).withColumn("_turn", turn).where(F.col("_turn") <= shown).groupBy(*by).agg(F.array_sort(F.collect_list("run_id")).alias("first_failed"))
+    out = counts.join(first, list(by), "left")
+    return out.withColumn("more_failed", F.greatest(F.col("failed_runs") - shown, F.lit(0)))
 
 
-def usage(calls: DataFrame, month: str) -> DataFrame:
-    """Calls, known cost and calls of unknown cost by month."""
-    return calls.groupBy(month).agg(F.count(F.lit(1)).alias("calls"), F.sum("cost").alias("known_cost"), F.count_if(F.col("cost").isNull()).alias("unknown_calls"))
+def usage(calls: DataFrame, month: str, budget: float | None = None) -> DataFrame:
+    """Calls, known cost and calls of unknown cost by month; with a budget also whether it is open."""
+    out = calls.groupBy(month).agg(F.count(F.lit(1)).alias("calls"), F.sum("cost").alias("known_cost"), F.count_if(F.col("cost").isNull()).alias("unknown_calls"))
+    return out.withColumns({"budget": F.lit(budget).cast("double"), "budget_open": F.lit(True) if budget is None else F.coalesce("known_cost", F.lit(0.0)) < budget})
 
 
 def budget_state(calls: DataFrame, month: str, order: Sequence[str], budget: float, share: float = 0.8) -> DataFrame:
@@ -54,25 +99,105 @@ def budget_state(calls: DataFrame, month: str, order: Sequence[str], budget: flo
 
 
 def attempt_stats(attempts: DataFrame) -> DataFrame:
-    """By provider: sent, failed, possible duplicates, and failovers (a failure that another provider's attempt of the notification follows)."""
+    """By provider: sent, failed, possible duplicates, mean latency of what was sent, and failovers (a permanent failure that another provider's attempt of the notification follows).
+
+    Without ``permanent`` every failure is one; ``possible_duplicate`` and
+    ``latency_ms`` count where they are given.
+    """
     w = Window.partitionBy("notification_id").orderBy("ts", "attempt_id")
-    over = attempts.withColumn("next", F.lead("provider_id").over(w))
-    failed = F.col("status") == "failed"
-    return over.groupBy("provider_id").agg(F.count_if(F.col("status") == "sent").alias("sent"), F.count_if(failed).alias("failed"), F.count_if(failed & (F.col("next") != F.col("provider_id"))).alias("failovers"))
+    over = attempts.withColumn("_next", F.lead("provider_id").over(w))
+    failed, has = F.col("status") == "failed", lambda c: c in attempts.columns
+    permanent = failed & F.col("permanent") if has("permanent") else failed
+    figures = [F.count_if(F.col("status") == "sent").alias("sent"), F.count_if(failed).alias("failed"), F.count_if(permanent & (F.col("_next") != F.col("provider_id"))).alias("failovers")]
+    figures += [F.count_if("possible_duplicate").alias("possible_duplicates")] if has("possible_duplicate") else []
+    figures += [F.avg(F.when(F.col("status") == "sent", F.col("latency_ms"))).alias("latency_ms")] if has("latency_ms") else []
+    return over.groupBy("provider_id").agg(*figures)
+
+
+#: Parts that the recipients without a scope are copied to, so that no key of the join is hot.
+SALTS = 32
+EVERYWHERE, DEVELOPERS = "*", "*dev"
+
+
+def matched(left: DataFrame, keys: Column, right: DataFrame, wanted: Column) -> DataFrame:
+    """Rows of both sides that share one of their keys, an equi-join: ``right`` is configuration and is copied to ``SALTS`` parts, among which the left rows are dealt."""
+    a = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")).withColumn("_key", F.explode(F.array_distinct(keys)))
+    b = right.withColumn("_key", F.explode(F.array_distinct(wanted))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return a.join(b, ["_key", "_salt"]).drop("_key", "_salt")
 
 
-def route_recipients(notifications: DataFrame, recipients: DataFrame) -> DataFrame:
-    """Active business recipients of each notification whose scope is empty or holds its source and whose filter takes it; by address the first id.
+def route_recipients(notifications: DataFrame, recipients: DataFrame, test_mode: bool = False) -> DataFrame:
+    """(notification_id, source_id, recommendation, urgent) -> its recipients, by address and delivery the first id.
 
-    An equi-join on the scope's sources, plus those without a scope; the table
-    of recipients is configuration.
+    Business recipients get a notification if they are active, their scope is
+    empty or holds its source or one of its ``source_scope``, and their filter
+    takes it.  In test mode, and for raw notices (without a recommendation), the
+    active developers get it, whatever their scope and filter.
     """
-    people = recipients.where("active AND list_type = 'business'")
-    scoped = notifications.join(people.where(F.size("scope") > 0).withColumn("source_id", F.explode(F.array_distinct("scope"))), "source_id")
-    everyone = notifications.withColumn("_all", F.lit(1)).join(people.where(F.size("scope") == 0).withColumn("_all", F.lit(1)), "_all").drop("_all")
-    both = scoped.select(*notifications.columns, "recipient_id", "email", "receives").unionByName(everyone.select(*notifications.columns, "recipient_id", "email", "receives"))
-    takes = (F.col("receives") == "all") | ((F.col("receives") == "apply") & F.col("recommendation").startswith("APPLY")) | ((F.col("receives") == "urgent") & F.col("urgent"))
-    return both.where(takes).groupBy("notification_id", F.lower("email").alias("email")).agg(F.min("recipient_id").alias("recipient_id"))
+    n = notifications if "source_scope" in notifications.columns else notifications.withColumn("source_scope", F.array().cast("array<string>"))
+    own = n.select("notification_id", F.col("source_id").cast("string").alias("source_id"), F.col("source_scope").cast("array<string>").alias("source_scope"), "recommendation", "urgent")
+    raw = F.lit(test_mode) | F.col("recommendation").isNull()
+    keys = F.when(raw, F.array(F.lit(DEVELOPERS))).otherwise(F.concat(F.array(F.lit(EVERYWHERE), F.col("source_id")), F.coalesce("source_scope", F.array().cast("array<string>"))))
+    people = recipients.where("active AND list_type IN ('business', 'dev_alert')").select("recipient_id", "email", "list_type", "receives", F.col("scope").cast("array<string>").alias("scope"), F.coalesce("delivery", F.lit("to")).alias("delivery") if "delivery" in recipients.columns else F.lit("to").alias("delivery"))
+    wanted = F.when(F.col("list_type") == "dev_alert", F.array(F.lit(DEVELOPERS))).when(F.coalesce(F.size("scope"), F.lit(0)) > 0, F.col("scope")).otherwise(F.array(F.lit(EVERYWHERE)))
+    both = matched(own, keys, people, wanted)
+    receives = F.coalesce("receives", F.lit("all"))
+    takes = (F.col("list_type") == "dev_alert") | (receives == "all") | ((receives == "apply") & F.col("recommendation").isin("APPLY", "APPLY WITH CONDITIONS")) | ((receives == "urgent") & F.col("urgent"))
+    return both.where(takes).groupBy("notification_id", F.lower(F.trim("email")).alias("email"), "delivery").agg(F.min("recipient_id").alias("recipient_id"), F.min("list_type").alias("list_type"))
+
+
+def routing_failed(notifications: DataFrame, routed: DataFrame) -> DataFrame:
+    """Notifications that no active recipient can receive."""
+    return notifications.join(routed.select("notification_id").distinct(), "notification_id", "left_anti")
+
+
+def notice_only(notices: DataFrame, offered: DataFrame, key: str) -> DataFrame:
+    """Notices that offered no file."""
+    return notices.join(offered.select(key).distinct(), key, "left_anti")
+
+
+def notices_by_recommendation(notices: DataFrame, verdicts: DataFrame, key: str, recommendations: Sequence[str]) -> DataFrame:
+    """Notices with a verdict of these recommendations, each once however many there are."""
+    return notices.join(verdicts.where(F.col("recommendation").isin(*recommendations)).select(key), key, "left_semi")
+
+
+def distinct_count(df: DataFrame, by: Sequence[str], key: str, approximate: bool = False) -> DataFrame:
+    """Distinct keys by group: exact, or as an estimate that shuffles sketches only."""
+    return df.groupBy(*by).agg((F.approx_count_distinct(key) if approximate else F.count_distinct(key)).alias("n"))
+
+
+def page_result(df: DataFrame, order: Sequence[Column | str], offset: int, limit: int) -> DataFrame:
+    """A page of the ordered rows, each with the ``total`` of all rows; a page beyond the end is empty."""
+    total = df.count()
+    return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", F.lit(total).cast("long"))
+
+
+def top_failures(runs: DataFrame, order: Sequence[Column | str], k: int = 10) -> DataFrame:
+    """The first k failed rows; the feature is the list's bound."""
+    return runs.where("failed").orderBy(*order).limit(k)
+
+
+def related_runs(runs: DataFrame, triage: DataFrame, key: str) -> DataFrame:
+    """(key, run_id): a notice's own runs and those of its triage results, each once."""
+    return runs.select(key, "run_id").union(triage.where("run_id IS NOT NULL").select(key, "run_id")).distinct()
+
+
+def retention_sweep(df: DataFrame, ts: str, now: Column, months: int = 12) -> DataFrame:
+    """Rows older than the retention."""
+    return df.where(F.col(ts) < F.add_months(now, -months))
+
+
+def sliding_failure_rate(runs: DataFrame, length: str = "7 days", slide: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """Runs and failures in sliding windows; a stream gets a watermark and emits closed windows."""
+    runs = runs.withWatermark("ts", late) if runs.isStreaming else runs
+    g = runs.groupBy(F.window("ts", length, slide).alias("w")).agg(F.count(F.lit(1)).alias("runs"), F.count_if("failed").alias("failures"))
+    return g.select(F.date_format("w.start", "yyyy-MM-dd").alias("start"), "runs", "failures")
+
+
+def activity_sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Bursts of a key's events that gaps separate; a stream gets a watermark and emits closed sessions."""
+    events = events.withWatermark("ts", late) if events.isStreaming else events
+    return events.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def recipient_set_hash(recipients: DataFrame, by: str) -> DataFrame:
@@ -113,36 +238,69 @@ def attach_previous_sent(updates: DataFrame, sent: DataFrame, key: str) -> DataF
 
 
 def run_gaps(runs: DataFrame, key: str) -> DataFrame:
-    """Appends ``gap_seconds`` since the run before, and ``failures``, the consecutive failures up to each run."""
+    """Appends ``gap_seconds`` since the run before, whether that is ``overdue`` by the source's ``frequency_minutes`` if it has one, and ``failures``, the consecutive failures up to each run."""
     w = Window.partitionBy(key).orderBy("ts", "run_id")
     t = F.unix_micros(F.col("ts").cast("timestamp"))
     out = runs.withColumn("gap_seconds", (t - F.lag(t).over(w)) / 1e6).withColumn("_island", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(w))
+    if "frequency_minutes" in runs.columns:
+        out = out.withColumn("overdue", F.coalesce(F.col("gap_seconds") > 60 * F.col("frequency_minutes"), F.lit(False)))
     return out.withColumn("failures", F.sum(F.col("failed").cast("int")).over(Window.partitionBy(key, "_island").orderBy("ts", "run_id"))).drop("_island")
 
 
-def rate_windows(requests: DataFrame, key: str, limit: int) -> DataFrame:
-    """Appends requests of the minute, and of the 60 s that end with each one; ``over_limit`` by the sliding count."""
+def rate_windows(requests: DataFrame, key: str, per_minute: int, per_day: int) -> DataFrame:
+    """Appends the requests of the minute and of the day, and of the 60 s that end with each one; ``over_limit`` by the sliding count or the day's so far."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     sliding = Window.partitionBy(key).orderBy(micros).rangeBetween(-59_999_999, 0)
-    minute = Window.partitionBy(key, F.date_trunc("minute", "ts"))
-    out = requests.withColumns({"in_minute": F.count(F.lit(1)).over(minute), "in_60_s": F.count(F.lit(1)).over(sliding)})
-    return out.withColumn("over_limit", F.col("in_60_s") > limit)
+    minute, day = Window.partitionBy(key, F.date_trunc("minute", "ts")), Window.partitionBy(key, F.date_trunc("day", "ts"))
+    so_far = F.count(F.lit(1)).over(day.orderBy(micros).rangeBetween(Window.unboundedPreceding, 0))
+    out = requests.withColumns({"in_minute": F.count(F.lit(1)).over(minute), "in_day": F.count(F.lit(1)).over(day), "in_60_s": F.count(F.lit(1)).over(sliding), "_so_far": so_far})
+    return out.withColumn("over_limit", (F.col("in_60_s") > per_minute) | (F.col("_so_far") > per_day)).drop("_so_far")
+
+
+#: Other words for an assessment's status.
+STATUS_ALIASES = {"verified": "met", "partial": "partially_met", "partially_verified": "partially_met", "failed": "not_met"}
+
+
+def settled(assessments: DataFrame) -> DataFrame:
+    """Assessments with ``status`` by its usual name, and placeholders in ``gap`` as null."""
+    alias = F.create_map(*[F.lit(x) for pair in STATUS_ALIASES.items() for x in pair])
+    return assessments.withColumns({"status": F.coalesce(alias[F.col("status")], F.col("status")), "gap": F.when(~is_placeholder(F.col("gap")), F.col("gap"))})
 
 
 def derive_verdict(assessments: DataFrame, by: str) -> DataFrame:
-    """DO NOT APPLY if one requirement isn't met, APPLY if all are met without gaps, else APPLY WITH CONDITIONS."""
+    """DO NOT APPLY if one requirement isn't met, APPLY if all are met without gaps, else APPLY WITH CONDITIONS; by the settled assessments."""
     s = F.col("status")
-    return assessments.groupBy(by).agg(F.when(F.bool_or(s == "not_met"), "DO NOT APPLY").when(F.bool_and((s == "met") & (F.coalesce("gap", F.lit("")) == "")), "APPLY").otherwise("APPLY WITH CONDITIONS").alias("recommendation"))
+    return settled(assessments).groupBy(by).agg(F.when(F.bool_or(s == "not_met"), "DO NOT APPLY").when(F.bool_and((s == "met") & F.col("gap").isNull()), "APPLY").otherwise("APPLY WITH CONDITIONS").alias("recommendation"))
+
 
+def triage_rules(notices: DataFrame, excluded: Sequence[str] = (), included: Sequence[str] = (), sectors: Sequence[str] = (), regions: Sequence[str] = (), minimum: float | None = None) -> DataFrame:
+    """(title, sector, region, value, notice_text) -> the same with ``status`` (passed, discarded) and ``reasons``.
 
-def triage_rules(notices: DataFrame, excluded: Sequence[str], sectors: Sequence[str], minimum: float) -> DataFrame:
-    """Appends ``status`` (passed, discarded) and the ordered ``reasons``."""
-    text = F.lower("title")
-    word = F.exists(F.array(*map(F.lit, excluded)), lambda k: F.contains(text, k))
-    sector = ~F.coalesce(F.col("sector").isin(*sectors), F.lit(False))
-    low = F.coalesce(F.col("value") < minimum, F.lit(False))
-    reasons = F.array_compact(F.array(F.when(word, F.lit("excluded_keyword")), F.when(sector, F.lit("sector_mismatch")), F.when(low, F.lit("value_below_minimum")), F.when(F.col("value").isNull(), F.lit("value_missing"))))
-    return notices.withColumns({"status": F.when(word | sector | low, "discarded").otherwise("passed"), "reasons": F.when(F.size(reasons) == 0, F.array(F.lit("no_rule_disqualifier"))).otherwise(reasons)})
+    The first rule that discards gives the only reason: a word that excludes; a
+    sector or region that is blank or holds no target, unless the text holds
+    one; a value below the minimum.  Otherwise the reasons say what spoke for
+    the notice, in order, or that no rule speaks against it.
+    """
+    has = lambda c: c in notices.columns
+    fields = [F.col(c).cast("string") for c in ("title", "sector", "region", "value", "notice_text") if has(c)]
+    text = F.lower(F.concat_ws(" ", *fields))
+    some = lambda words, where: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(where, w)) if words else F.lit(False)
+    low = lambda words: [w.strip().lower() for w in words if w.strip()]
+    status, reasons = [(some(low(excluded), text), "exclude_keyword")], [(some(low(included), text), "include_keyword")]
+    for name, targets in (("sector", low(sectors)), ("region", low(regions))):
+        if targets:
+            value = F.lower(F.coalesce(F.col(name).cast("string"), F.lit("")))
+            fits = (value != "") & (some(targets, value) | some(targets, text))
+            status.append((~fits, f"{name}_outside_target"))
+            reasons.append((fits, f"{name}_target_match"))
+    if minimum is not None:
+        value = F.col("value").try_cast("double")
+        status.append((F.coalesce(value < minimum, F.lit(False)), "contract_value_below_minimum"))
+        reasons += [(F.coalesce(value >= minimum, F.lit(False)), "contract_value_meets_minimum"), (value.isNull(), "contract_value_unavailable")]
+    against = F.coalesce(*[F.when(bad, F.lit(name)) for bad, name in status])
+    speaking = F.array_compact(F.array(*[F.when(good, F.lit(name)) for good, name in reasons]))
+    why = F.when(against.isNotNull(), F.array(against)).when(F.size(speaking) == 0, F.array(F.lit("no_rule_disqualifier"))).otherwise(speaking)
+    return notices.withColumns({"status": F.when(against.isNotNull(), "discarded").otherwise("passed"), "reasons": why})
 
 
 def model_triage_decisions(responses: DataFrame, threshold: float | None) -> DataFrame:
@@ -160,3 +318,49 @@ def timeline(*kinds: DataFrame) -> DataFrame:
     for k in kinds[1:]:
         out = out.unionByName(k)
     return out.withColumn("sequence", F.row_number().over(Window.partitionBy("notice_id", "kind").orderBy("ts", "event_id")))
+
+
+def reconstruct_timeline(notices: DataFrame, documents: DataFrame, triage: DataFrame, verdicts: DataFrame, notifications: DataFrame, attempts: DataFrame, runs: DataFrame, first_verdict: bool = True) -> DataFrame:
+    """The life of all notices: (notice_id, stage, status, ts, event_id, sequence), eleven kinds of events in one table.
+
+    notices (notice_id, first_seen_at, resolved_at, deadline_source); documents
+    (notice_id, document_id, created_at, updated_at, download_status,
+    extraction_status); triage (notice_id, triage_id, ts, status, run_id);
+    verdicts (notice_id, verdict_id, ts); notifications (notice_id,
+    notification_id, ts, status); attempts (notification_id, attempt_id, ts,
+    status); runs (notice_id, run_id, started_at, ended_at, failed).
+
+    What is pending isn't an event; of verdicts the earliest counts, unless
+    ``first_verdict`` is false.  A notice's runs are its own and those of its
+    triage results.  Within a notice, events stand by time, event id as text and
+    sequence; numbers count a notice's documents, triage results and
+    notifications and a notification's attempts, and are 0 for the rest.
+    """
+    number = lambda key, ts, i: F.row_number().over(Window.partitionBy(key).orderBy(ts, i))
+
+    def events(df: DataFrame, stage: str, status: Column, ts: str, prefix: str, key: str, sequence: Column = F.lit(0)) -> DataFrame:
+        return df.select("notice_id", F.lit(stage).alias("stage"), status.alias("status"), F.col(ts).cast("timestamp").alias("ts"), F.concat(F.lit(f"{prefix}-"), F.col(key).cast("string")).alias("event_id"), sequence.cast("int").alias("sequence"))
+
+    col = F.col
+    docs = documents.withColumn("_n", number("notice_id", "created_at", "document_id"))
+    tries = attempts.join(notifications.select("notice_id", "notification_id"), "notification_id")
+    turn = number("notice_id", "ts", "verdict_id")
+    verdicts = verdicts.withColumn("_n", turn)
+    related = related_runs(runs, triage, "notice_id").join(runs.drop("notice_id").dropDuplicates(["run_id"]), "run_id")
+    kinds = [
+        events(notices, "discovery", F.lit("seen"), "first_seen_at", "notice", "notice_id"),
+        events(notices.where("resolved_at IS NOT NULL"), "deadline_resolution", F.coalesce("deadline_source", F.lit("unresolved")), "resolved_at", "deadline", "notice_id"),
+        events(docs, "document_discovery", F.lit("discovered"), "created_at", "doc-discovery", "document_id", col("_n")),
+        events(docs.where("download_status <> 'pending'"), "document_acquisition", col("download_status"), "updated_at", "doc-acquire", "document_id", col("_n")),
+        events(docs.where("extraction_status <> 'pending'"), "document_processing", col("extraction_status"), "updated_at", "doc-process", "document_id", col("_n")),
+        events(verdicts.where("_n = 1") if first_verdict else verdicts, "verdict", F.lit("completed"), "ts", "verdict", "verdict_id"),
+        events(triage, "triage", col("status"), "ts", "triage", "triage_id", number("notice_id", "ts", "triage_id")),
+        events(notifications, "notification", col("status"), "ts", "notif", "notification_id", number("notice_id", "ts", "notification_id")),
+        events(tries, "notification_attempt", col("status"), "ts", "notif-attempt", "attempt_id", number("notification_id", "ts", "attempt_id")),
+        events(related, "run", F.lit("started"), "started_at", "run-start", "run_id"),
+        events(related.where("ended_at IS NOT NULL"), "run", F.when(col("failed"), "errored").otherwise("completed"), "ended_at", "run-end", "run_id"),
+    ]
+    out = kinds[0]
+    for k in kinds[1:]:
+        out = out.unionByName(k)
+    return out.withColumn("position", F.row_number().over(Window.partitionBy("notice_id").orderBy("ts", "event_id", "sequence")))
