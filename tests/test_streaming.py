@@ -1,7 +1,10 @@
-"""Streams give what their batch forms give, and a second run reads nothing again."""
+"""Streams give what their batch forms give, a second run reads nothing again, timers fire and states are forgotten."""
 
 from __future__ import annotations
 
+import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
 from noticelake.streaming import state as S
@@ -10,23 +13,59 @@ from tests.oracle import DATA
 
 def landed(spark, tmp_path, parts: int = 3):
     """The event table as files that land in the order of time."""
-    e = spark.read.parquet(f"{DATA}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("failed", F.col("event_type") == "error")
+    e = spark.read.parquet(f"{DATA}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    t = F.col("event_type")
+    e = e.withColumns({"failed": t == "error", "recovered": t == "view", "alert_type": F.when(t == "click", "unheard_of").otherwise("source_failed"), "event": F.when(t.isin("view", "click"), "claim").when(t == "purchase", "fail").when(t == "error", "sent").otherwise("requeue"), "title": t, "status": F.when(t == "signup", "expired").otherwise("new")})
     for k in range(parts):
         e.where(F.floor(F.col("event_id") * parts / 1000) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     return e, spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
 
 
 def rows(df):
-    return sorted(map(tuple, df.collect()))
+    return sorted(map(tuple, df.collect()), key=str)
+
 
+MACHINES = {"alerts": S.alert_manager(), "breaker": S.provider_breaker(cooldown=86_400), "quota": S.quota_limiter(1, 2), "dedup": S.dedup(["title"], ["title"], ["expired"]), "outbox": S.outbox_lifecycle(10**7)}
 
-def test_breaker_and_dedup_streams(spark, tmp_path):
+
+@pytest.mark.parametrize("name", sorted(MACHINES))
+def test_streams_are_their_folds(spark, tmp_path, name):
     batch, stream = landed(spark, tmp_path)
-    S.run_once(S.breaker_stream(stream, "user_id"), str(tmp_path / "b"), str(tmp_path / "cb"))
-    assert rows(spark.read.parquet(str(tmp_path / "b"))) == rows(S.provider_breaker(batch, ["user_id"]))
-    for _ in range(2):  # the second run finds no new files
-        S.run_once(S.dedup_stream(stream, "user_id", "event_type"), str(tmp_path / "d"), str(tmp_path / "cd"))
-    assert rows(spark.read.parquet(str(tmp_path / "d"))) == rows(S.dedup_batch(batch, "user_id", "event_type"))
+    for k in range(2):  # the second run finds no new files
+        done = S.run_once(S.stream(stream, ["user_id"], MACHINES[name], late="40 days"), str(tmp_path / "out"), str(tmp_path / "check"))
+        assert done.rows == (0 if k else batch.count()) and done.late == 0
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(S.fold(batch, ["user_id"], MACHINES[name]))
+
+
+def write(spark, folder, *events):
+    at = datetime.datetime(2024, 1, 1)
+    got = [(k, at + datetime.timedelta(minutes=m), i, e) for k, m, i, e in events]
+    spark.createDataFrame(got, "key long, ts timestamp, event_id long, event string").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_a_lease_is_a_timer_and_states_are_forgotten(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    schema = "key long, ts timestamp, event_id long, event string"
+    machine = S.outbox_lifecycle(lease_seconds=600)
+
+    def go():
+        stream = spark.readStream.schema(schema).parquet(folder)
+        return S.run_once(S.stream(stream, ["key"], machine, late="1 minute", forget_hours=2), str(tmp_path / "out"), str(tmp_path / "check"))
+
+    write(spark, folder, (1, 0, 1, "claim"), (2, 0, 2, "claim"), (2, 1, 3, "sent"))
+    go()
+    write(spark, folder, (9, 30, 4, "claim"))  # the watermark passes key 1's lease
+    go()
+    write(spark, folder, (9, 31, 5, "sent"), (1, 31, 6, "claim"))
+    go()
+    write(spark, folder, (9, 600, 7, "claim"))  # and key 2's two hours
+    go()
+    write(spark, folder, (2, 601, 8, "claim"), (1, 5, 9, "sent"))  # the last one is too late
+    assert go().late == 1
+    out = {(r.key, r.event_id): r.state for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.event_id is not None}
+    assert out[(1, 1)] == "sending" and out[(1, 6)] == "sending" and out[(2, 3)] == "sent" and out[(2, 8)] == "sending" and (1, 9) not in out
+    timers = [(r.key, r.state) for r in spark.read.parquet(str(tmp_path / "out")).where("event_id IS NULL").collect()]
+    assert (1, "pending_retry") in timers and (1, "possible_duplicate") in timers
 
 
 def test_digest_stream(spark, tmp_path):
@@ -34,3 +73,20 @@ def test_digest_stream(spark, tmp_path):
     S.run_once(S.daily_digest(stream), str(tmp_path / "g"), str(tmp_path / "cg"))
     got, want = rows(spark.read.parquet(str(tmp_path / "g"))), rows(S.daily_digest(batch))
     assert got and set(got) <= set(want) and len(want) - len(got) <= 1  # the last day is still open
+
+
+def test_sources_are_apart_and_a_dry_run_writes_nothing(spark, tmp_path):
+    batch, stream = landed(spark, tmp_path)
+    sources = {"good": stream.where("user_id % 2 = 0"), "bad": stream.where("user_id % 2 = 1").withColumn("event_id", F.raise_error(F.lit("no")).cast("long")), "other": stream}
+    dry = S.monitor_once(sources, lambda e: e.select("event_id"), str(tmp_path / "out"), str(tmp_path / "c"), dry={k: batch for k in sources})
+    assert not (tmp_path / "out").exists() and dry["good"] == (1000, None)
+    report = S.monitor_once(sources, lambda e: e.select("event_id"), str(tmp_path / "out"), str(tmp_path / "c"))
+    assert report["bad"][1] is not None and report["good"][1] is None and report["other"] == (1000, None)
+    assert spark.read.parquet(str(tmp_path / "out/source=other")).count() == 1000
+
+
+def test_settings_are_read_for_each_batch(spark, tmp_path):
+    _, stream = landed(spark, tmp_path)
+    S.enrich_each_batch(stream.select("user_id", "event_id"), lambda s: s.createDataFrame([(1, "one")], "user_id long, name string"), "user_id", str(tmp_path / "e"), str(tmp_path / "ce"))
+    out = spark.read.parquet(str(tmp_path / "e"))
+    assert out.count() == 1000 and out.where("user_id = 1 AND name IS NULL").count() == 0
