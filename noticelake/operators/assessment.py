@@ -7,25 +7,49 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticelake.functions.text import fold_tokens
+from noticelake.functions.urls import bare_media_type
+
+
+#: Why there is no deadline, the most telling first.
+REASONS = ("UNPARSEABLE", "NO_TIMEZONE", "MISSING")
+
 
 def resolve_deadlines(listing: DataFrame, detail: DataFrame, documents: DataFrame, tolerance: int = 900) -> DataFrame:
-    """(notice_id, deadline) of listings and details, and (notice_id, doc_order, deadline) of documents -> (notice_id, deadline, source).
+    """(notice_id, deadline) of listings and details, and (notice_id, doc_order, deadline) of documents, each with a ``reason`` where it has none -> (notice_id, deadline, source, reason, listing, detail).
 
     Listing and detail more than ``tolerance`` seconds apart conflict and give
-    no value; otherwise the listing counts, then the detail, then the first
-    document in order with one; else the notice is unresolved.
+    no value, but both stay as evidence; otherwise the listing counts, then the
+    detail, then the first document in order with one; else the notice is
+    unresolved, with the most telling reason of all.
     """
-    first = documents.where("deadline IS NOT NULL").groupBy("notice_id").agg(F.min_by("deadline", "doc_order").alias("document"))
-    both = listing.withColumnRenamed("deadline", "listing").join(detail.withColumnRenamed("deadline", "detail"), "notice_id", "full_outer").join(first, "notice_id", "full_outer")
+    why = lambda df: F.col("reason") if "reason" in df.columns else F.lit(None).cast("string")
+    rank = lambda c: F.array_position(F.array(*map(F.lit, REASONS)), c)
+    worst = lambda *cs: F.get(F.array(*map(F.lit, REASONS)), (F.least(*[F.nullif(rank(c), F.lit(0)) for c in cs]) - 1).cast("int"))
+    l, e = listing.select("notice_id", F.col("deadline").alias("listing"), why(listing).alias("_r1")), detail.select("notice_id", F.col("deadline").alias("detail"), why(detail).alias("_r2"))  # noqa: E741
+    first = documents.select("notice_id", "doc_order", "deadline", why(documents).alias("_r")).groupBy("notice_id").agg(F.min_by("deadline", F.when(F.col("deadline").isNotNull(), F.col("doc_order"))).alias("document"), F.min(F.nullif(rank(F.col("_r")), F.lit(0))).alias("_r3"))
+    first = first.withColumn("_r3", F.get(F.array(*map(F.lit, REASONS)), (F.col("_r3") - 1).cast("int")))
+    both = l.join(e, "notice_id", "full_outer").join(first, "notice_id", "full_outer")
     apart = F.coalesce(F.abs(F.unix_timestamp("listing") - F.unix_timestamp("detail")) > tolerance, F.lit(False))
     source = F.when(apart, "conflicting").when(F.col("listing").isNotNull(), "listing").when(F.col("detail").isNotNull(), "detail").when(F.col("document").isNotNull(), "document").otherwise("unresolved")
-    return both.select("notice_id", F.when(~apart, F.coalesce("listing", "detail", "document")).alias("deadline"), source.alias("source"))
+    reason = F.when(source == "conflicting", "CONFLICTING").when(source == "unresolved", F.coalesce(worst(F.col("_r1"), F.col("_r2"), F.col("_r3")), F.lit("MISSING")))
+    return both.select("notice_id", F.when(~apart, F.coalesce("listing", "detail", "document")).alias("deadline"), source.alias("source"), reason.alias("reason"), "listing", "detail")
+
+
+def verify_kb_citations(citations: DataFrame, sections: DataFrame) -> DataFrame:
+    """(cite_id, section, quote) against (heading, content): the canonical heading of each, matched without regard to ``#`` and case, and whether the quote stands ``verbatim`` in the knowledge base; citations of no section are dropped."""
+    key = lambda c: F.lower(F.trim(F.regexp_replace(F.trim(c), "^#+", "")))
+    known = sections.groupBy(key(F.col("heading")).alias("_k")).agg(F.min("heading").alias("heading"))
+    kept = citations.withColumn("_k", key(F.col("section"))).join(known, "_k")
+    hits = kept.join(sections.select(key(F.col("heading")).alias("_k"), "content"), "_k").groupBy("cite_id").agg(F.bool_or(F.contains("content", F.col("quote"))).alias("verbatim"))
+    return kept.join(hits, "cite_id").drop("_k")
 
 
-def verify_kb_citations(citations: DataFrame, headings: DataFrame) -> DataFrame:
-    """(cite_id, section) against (heading): the canonical heading of each, matched without regard to ``#`` and case; others are dropped."""
-    key = lambda c: F.lower(F.trim(F.regexp_replace(c, "^#+", "")))
-    return citations.withColumn("k", key(F.col("section"))).join(headings.select(key(F.col("heading")).alias("k"), "heading").dropDuplicates(["k"]), "k").select("cite_id", "heading")
+def unsupported(assessments: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """Assessments with ``status`` unverified where they were met without a citation that was kept."""
+    some = kept.select(key).distinct().withColumn("_cited", F.lit(True))
+    lost = (F.col("status") == "met") & F.col("_cited").isNull()
+    return assessments.join(some, key, "left").withColumn("status", F.when(lost, "unverified").otherwise(F.col("status"))).drop("_cited")
 
 
 def bind_assessments(assessments: DataFrame, requirements: DataFrame) -> DataFrame:
@@ -40,17 +64,76 @@ def bind_assessments(assessments: DataFrame, requirements: DataFrame) -> DataFra
     return both.select("notice_id", "pos", F.coalesce("by_text", F.when(F.col("n_a") == F.col("n_r"), F.col("pos"))).alias("req_no"))
 
 
-def requirement_coverage(listed: DataFrame, assessed: DataFrame) -> DataFrame:
-    """(notice_id, requirement) of both sides -> what is missing from one of them, or twice in the second, with the ``problem``."""
-    keys = ["notice_id", "requirement"]
-    missing = listed.select(*keys).distinct().join(assessed, keys, "left_anti").withColumn("problem", F.lit("not_assessed"))
-    extra = assessed.select(*keys).distinct().join(listed, keys, "left_anti").withColumn("problem", F.lit("not_listed"))
-    twice = assessed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys, F.lit("duplicate").alias("problem"))
-    return missing.unionByName(extra).unionByName(twice)
-
+def requirement_coverage(established: DataFrame, listed: DataFrame, assessed: DataFrame, evidence: DataFrame | None = None, given: DataFrame | None = None) -> DataFrame:
+    """(notice_id, requirement) of three sides -> what is missing from one of them or twice in it, with the ``problem``.
 
-def verdict_violations(verdicts: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """One row per verdict and broken rule; a rule is a condition that must not hold."""
+    What was established independently must be listed and assessed exactly; with
+    ``evidence`` (notice_id, requirement, reference) each assessment must also
+    give the established references.
+    """
+    keys = ["notice_id", "requirement"]
+    named = lambda df, problem: df.withColumn("problem", F.lit(problem))
+    lacks = lambda a, b, problem: named(a.select(*keys).distinct().join(b, keys, "left_anti"), problem)
+    twice = lambda df, problem: named(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys), problem)
+    out = [lacks(established, listed, "not_listed"), lacks(listed, established, "listed_not_established"), lacks(established, assessed, "not_assessed"), lacks(assessed, established, "assessed_not_established"), twice(listed, "listed_twice"), twice(assessed, "assessed_twice")]
+    if evidence is not None and given is not None:
+        out.append(named(evidence.join(given, [*keys, "reference"], "left_anti").select(*keys).distinct().join(assessed, keys, "left_semi"), "evidence_omitted"))
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def requirement_set_equal(a: DataFrame, b: DataFrame, by: str, item: str) -> DataFrame:
+    """By group: whether both sides hold the same set of items, whether the first is a subset, and whether they agree with repeats counted."""
+    count = lambda df, n: df.groupBy(by, item).agg(F.count(F.lit(1)).alias(n))
+    both = count(a, "x").join(count(b, "y"), [by, item], "full_outer")
+    return both.groupBy(by).agg(F.bool_and(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("equal"), F.bool_and(F.col("x").isNull() | F.col("y").isNotNull()).alias("subset"), F.bool_and(F.col("x").eqNullSafe(F.col("y"))).alias("same_counts"))
+
+
+VERDICTS = ("APPLY", "DO NOT APPLY", "APPLY WITH CONDITIONS")
+STATUSES = ("met", "not_met", "partially_met", "unverified")
+NO_EVIDENCE = "no evidence on file"
+
+
+def verdict_rules(schema_version: str) -> dict[str, Column]:
+    """The semantic rules of a verdict, each as a condition that must not hold.
+
+    A verdict has schema_version, verdict, incomplete and what it should be
+    (incomplete_inputs), deadline_status, deadline_utc and what they should be
+    (expected_status, expected_utc), deadline_shown, assessments (status, gap,
+    assessment, tender and company as counts of evidence), has_tender_text,
+    gaps, limitations, urgent, days_left (business days) and urgency_window.
+    """
+    col, some = F.col, lambda bad: F.exists("assessments", bad)
+    none = lambda n: F.coalesce(n, F.lit(0)) == 0
+    says = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(NO_EVIDENCE))
+    follows = F.when(some(lambda x: x["status"] == "not_met"), "DO NOT APPLY").when(F.forall("assessments", lambda x: x["status"] == "met") & (F.coalesce(F.size("gaps"), F.lit(0)) <= 0), "APPLY").otherwise("APPLY WITH CONDITIONS")
+    resolved = col("deadline_status") == "RESOLVED"
+    urgent = F.coalesce(resolved & col("urgency_window").isNotNull() & col("days_left").between(F.lit(0), col("urgency_window")), F.lit(False))
+    return {
+        "schema_version_mismatch": col("schema_version") != schema_version,
+        "invalid_verdict": ~F.coalesce(col("verdict").isin(*VERDICTS), F.lit(False)),
+        "incomplete_mismatch": ~col("incomplete").eqNullSafe(col("incomplete_inputs")),
+        "deadline_mismatch": ~col("deadline_status").eqNullSafe(col("expected_status")) | ~col("deadline_utc").eqNullSafe(col("expected_utc")),
+        "assessments_required": F.coalesce(F.size("assessments"), F.lit(0)) <= 0,
+        "invalid_status": some(lambda x: ~F.coalesce(x["status"].isin(*STATUSES), F.lit(False))),
+        "citation_missing": some(lambda x: (x["status"] == "met") & none(x["company"])),
+        "negative_without_evidence": some(lambda x: (x["status"] == "not_met") & (none(x["company"]) | none(x["tender"]))),
+        "unsupported_not_unverified": some(lambda x: (x["status"] != "unverified") & none(x["company"])),
+        "gap_missing": some(lambda x: (x["status"] == "unverified") & x["gap"].isNull()),
+        "tender_evidence_missing": col("has_tender_text") & some(lambda x: none(x["tender"])),
+        "no_evidence_wording": some(lambda x: (x["status"] == "unverified") & none(x["company"]) & ~(says(x["gap"]) & says(x["assessment"]))),
+        "verdict_does_not_follow": col("verdict") != follows,
+        "limitation_missing": col("incomplete_inputs") & (F.coalesce(F.size("limitations"), F.lit(0)) <= 0),
+        "deadline_fabricated": ~resolved & col("deadline_shown").isNotNull(),
+        "urgency_mismatch": ~col("urgent").eqNullSafe(urgent),
+    }
+
+
+def verdict_violations(verdicts: DataFrame, rules: dict[str, Column] | None = None, schema_version: str = "1.0") -> DataFrame:
+    """One row per verdict and broken rule; a rule is a condition that must not hold, ``verdict_rules`` unless others are given."""
+    rules = verdict_rules(schema_version) if rules is None else rules
     broken = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()]))
     return verdicts.select("verdict_id", F.explode(broken).alias("rule"))
 
@@ -61,26 +144,30 @@ def apply_notice_penalty(verdicts: DataFrame, limitation: str, penalty: float =
     return verdicts.withColumns({"confidence": F.greatest(F.lit(0.0), F.round(F.col("confidence") - penalty, 4)), "limitations": F.when(has, F.col("limitations")).otherwise(F.concat(F.array(F.lit(limitation)), F.col("limitations")))})
 
 
+#: A few words of each role in English, French and Portuguese, without accents; pass a fuller table (word, role, rank) where tables say more.
 ROLES = {
-    "deadline": "date deadline milestone schedule time",
-    "eligibility": "requirement mandatory eligibility evidence required",
-    "evaluation": "criterion criteria weight threshold score",
-    "financial": "price cost budget amount total",
-    "experience": "project client experience year reference",
+    "deadline": "date deadline milestone schedule time delai echeance calendrier prazo data cronograma",
+    "eligibility": "requirement mandatory eligibility evidence required exigence eligibilite obligatoire requisito elegibilidade obrigatorio",
+    "evaluation": "criterion criteria weight threshold score critere seuil ponderation criterio peso pontuacao",
+    "financial": "price cost budget amount total prix cout montant preco custo valor",
+    "experience": "project client experience year reference projet annee projeto experiencia ano",
 }
 
 
 def classify_tables(cells: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(table_id, row, text) -> (table_id, role): by distinct vocabulary words in the header (row 0, twice) and the first body row; two at least, ties by the roles' order."""
-    words = cells.where("row <= 1").select("table_id", "row", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).distinct()
+    """(table_id, row, text) -> (table_id, role): by distinct vocabulary words, without case and accents, in the header (row 0, twice) and the first body row; two at least, ties by the roles' order."""
+    words = cells.where("row <= 1").select("table_id", "row", F.explode(fold_tokens(F.col("text"))).alias("word")).distinct()
     hits = words.join(vocabulary, "word").groupBy("table_id", "role", "rank").agg(F.count_distinct("word").alias("n"), F.sum(F.when(F.col("row") == 0, 2).otherwise(1)).alias("score")).where("n >= 2")
     best = hits.groupBy("table_id").agg(F.max_by("role", F.struct("score", -F.col("rank"))).alias("role"))
     return cells.select("table_id").distinct().join(best, "table_id", "left").fillna("other", ["role"])
 
 
-def map_reduce_gate(bundles: DataFrame, window: int, reserve: int, overhead: int = 1400) -> DataFrame:
-    """Appends ``needs_map``: whether a bundle's tokens with overhead and reserve exceed the model's window."""
-    return bundles.withColumn("needs_map", F.col("tokens") + overhead + reserve > window)
+def map_reduce_gate(bundles: DataFrame, window: int, reserve: int, overhead: int = 1400, segment_overhead: int = 1200) -> DataFrame:
+    """Appends ``needs_map``: whether a bundle's tokens with overhead and reserve exceed the model's window; and with ``longest``, the tokens of its longest segment, the ``error`` of one that can't be mapped either."""
+    out = bundles.withColumn("needs_map", F.col("tokens") + overhead + reserve > window)
+    if "longest" in bundles.columns:
+        out = out.withColumn("error", F.when(F.col("needs_map") & (F.col("longest") + segment_overhead + reserve > window), "segment_exceeds_window"))
+    return out
 
 
 def archive_lineage(docs: DataFrame) -> DataFrame:
@@ -88,9 +175,10 @@ def archive_lineage(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.split_part("url", F.lit("!/"), F.lit(1)).alias("parent")).agg(F.count(F.lit(1)).alias("members"), F.bool_and("ok").alias("acquired"))
 
 
-def document_identity(docs: DataFrame, keys: Sequence[str], newest: str) -> DataFrame:
-    """The newest row of each identity."""
-    return docs.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(newest)))).where("_turn = 1").drop("_turn")
+def document_identity(docs: DataFrame, keys: Sequence[str], newest: str, tie: str) -> DataFrame:
+    """The newest row of each identity, by notice and checksum, or for retries by notice, address and file name; of equally new ones the largest ``tie``."""
+    order = [F.desc(newest), F.desc(tie)]
+    return docs.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_turn = 1").drop("_turn")
 
 
 def size_mismatch(advertised: Column, actual: Column) -> Column:
@@ -99,6 +187,20 @@ def size_mismatch(advertised: Column, actual: Column) -> Column:
     return (delta > 1 << 20) & ((advertised == 0) | (delta > 0.25 * advertised))
 
 
+HTML_TYPES = ("text/html", "application/xhtml+xml")
+BINARY_SUFFIXES = ("pdf", "doc", "docx", "xls", "xlsx", "zip")
+
+
+def invalid_response(media_type: Column, name: Column) -> Column:
+    """Whether a page came where a binary document was asked for."""
+    return bare_media_type(media_type).isin(*HTML_TYPES) & F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1)).isin(*BINARY_SUFFIXES)
+
+
+def needs_ocr(text: Column, least: int = 25) -> Column:
+    """Whether a page's own text is too short to be its content."""
+    return F.length(F.trim(F.coalesce(text, F.lit("")))) < least
+
+
 def notification_events(verdicts: DataFrame, diff: DataFrame) -> DataFrame:
     """(notice_id, failed) and (notice_id, outcome) -> kind and whether it goes out as a raw notice; notices of unknown provenance are rejected."""
     both = verdicts.join(diff, "notice_id", "left")
@@ -118,3 +220,8 @@ def subject(title: Column, urgent: Column, test: Column) -> Column:
     """``[TEST]`` once and first, then ``URGENT``."""
     plain = F.regexp_replace(title, r"^(\[TEST\] *)+", "")
     return F.concat(F.when(test, "[TEST] ").otherwise(""), F.when(urgent, "URGENT ").otherwise(""), plain)
+
+
+def test_mode_violation(list_types: Column, test: Column) -> Column:
+    """Whether a notification in test mode would reach anyone but the developers, or no one at all."""
+    return test & ((F.coalesce(F.size(list_types), F.lit(0)) <= 0) | (F.size(F.array_except(list_types, F.array(F.lit("dev_alert")))) > 0))
