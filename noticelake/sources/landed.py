@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.functions.text import clean_text
-from noticelake.functions.time import parse_timestamp
-from noticelake.functions.urls import absolute_url, guess_mime
+from noticelake.functions.text import advertised_size, clean_text, hint_language, let
+from noticelake.functions.time import parse_absolute_deadline, parse_timestamp, relative_deadline
+from noticelake.functions.urls import absolute_url, bare_media_type, guess_mime
 
 DOCUMENT_SUFFIXES = ("pdf", "doc", "docx", "zip", "xls", "xlsx", "csv", "txt")
 
@@ -25,32 +26,59 @@ def unescape(c: Column) -> Column:
     return clean_text(t)
 
 
-def read_html_listings(pages: DataFrame, card: str, link: str, title: str, published: str | None = None) -> DataFrame:
-    """(page_id, url, html) -> listings, one per match of ``card`` whose ``link`` (group 1 the address, group 2 the id) is known.
+class Listing(NamedTuple):
+    """How a page shows listings: expressions for a ``card``, and within it for its ``link`` (group 1 the address, group 2 the id), ``title``, and, in group 1, ``published`` and ``reference``; ``deadline`` says whether the card's text is read for one."""
 
-    Pages whose cards hold no link give one row with ``error_code``
-    ``parser_mismatch``; pages without cards give none.
+    card: str
+    link: str
+    title: str
+    published: str | None = None
+    reference: str | None = None
+    deadline: bool = False
+
+
+def read_html_listings(pages: DataFrame, config: Listing) -> DataFrame:
+    """(page_id, url, html, fetched_at) -> listings, one per card whose link is known: external_id, link, title, published, deadline, deadline_raw, reference, language and provenance.
+
+    A deadline is a written one with a zone, else what remains counted from the
+    moment the page was fetched.  Pages whose cards hold no known link give one
+    row with ``error_code`` ``parser_mismatch``; pages without cards give none.
     """
-    cards = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(card), F.lit(0))).alias("position", "card"))
+    fetched = F.col("fetched_at").cast("timestamp") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp")
+    cards = pages.select("page_id", "url", fetched.alias("fetched_at"), F.posexplode(F.regexp_extract_all("html", F.lit(config.card), F.lit(0))).alias("position", "card")).withColumn("text", unescape(F.col("card")))
     get = lambda p, k: F.regexp_extract("card", p, k)
-    rows = cards.select("page_id", "position", F.nullif(get(link, 2), F.lit("")).alias("external_id"), absolute_url(F.col("url"), get(link, 1)).alias("link"), unescape(get(title, 1)).alias("title"), (parse_timestamp(get(published, 1)) if published else F.lit(None).cast("timestamp")).alias("published"))
-    found = rows.where("external_id IS NOT NULL").withColumn("error_code", F.lit(None).cast("string"))
+    blank = F.lit(None).cast("string")
+    nothing = F.lit(None).cast("timestamp")
+
+    def due(text: Column) -> Column:
+        either = lambda written, left: F.struct(F.coalesce(written, left["deadline"]).alias("deadline"), F.when(written.isNull(), left["raw"]).alias("raw"))
+        return let(parse_absolute_deadline(text), lambda w: let(relative_deadline(text, F.col("fetched_at")), lambda r: either(w, r)))
+
+    if config.deadline:
+        cards = cards.withColumn("due", let(F.col("text"), due))
+    rows = cards.select(
+        "page_id", "position", F.nullif(get(config.link, 2), F.lit("")).alias("external_id"), absolute_url(F.col("url"), get(config.link, 1)).alias("link"), unescape(get(config.title, 1)).alias("title"), (parse_timestamp(get(config.published, 1)) if config.published else nothing).alias("published"),
+        (F.col("due.deadline") if config.deadline else nothing).alias("deadline"), (F.col("due.raw") if config.deadline else blank).alias("deadline_raw"), (F.nullif(unescape(get(config.reference, 1)), F.lit("")) if config.reference else blank).alias("reference"),
+        hint_language(F.col("text")).alias("language"), F.struct(F.lit("html").alias("response_kind"), F.col("url").alias("discovery_url"), F.lit("link_pattern").alias("identity_source")).alias("provenance"),
+    )
+    found = rows.where("external_id IS NOT NULL AND link <> ''").withColumn("error_code", blank)
     broken = rows.groupBy("page_id").agg(F.max("external_id").alias("any")).where("any IS NULL").select("page_id", F.lit("parser_mismatch").alias("error_code"))
     return found.unionByName(broken, allowMissingColumns=True)
 
 
-def read_feed_listings(feeds: DataFrame, max_items: int = 200, body: int = 2000) -> DataFrame:
+def read_feed_listings(feeds: DataFrame, max_items: int = 200, body: int = 2000, pattern: str | None = None) -> DataFrame:
     """(feed_id, xml) -> entries of RSS, RDF and Atom feeds, without regard to prefixes.
 
-    The id is the guid or id, else the link; the time the first readable of
-    pubDate, published, updated and date.  ``max_items`` 0 means all.
+    The id is what ``pattern`` finds in the link (group 1), else the guid or id,
+    else the link; the time the first readable of pubDate, published, updated,
+    date and modified.  ``max_items`` 0 means all.
     """
     plain = F.regexp_replace(F.regexp_replace(F.col("xml"), r"<(/?)[A-Za-z0-9_]+:", "<$1"), r"(?s)<\?xml.*?\?>", "")
     entries = feeds.select("feed_id", F.posexplode(F.regexp_extract_all(plain, F.lit(r"(?s)<(?:item|entry)[ >].*?</(?:item|entry)>"), F.lit(0))).alias("position", "x"))
     tag = lambda *names: F.coalesce(*[F.nullif(unescape(F.regexp_replace(F.regexp_extract("x", rf"(?is)<{n}(?: [^>]*)?>(.*?)</{n}>", 1), r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")), F.lit("")) for n in names])
     link = F.coalesce(tag("link"), F.nullif(F.regexp_extract("x", r'(?i)<link[^>]*href="([^"]*)"', 1), F.lit("")))
-    when = F.coalesce(*[parse_timestamp(tag(n)) for n in ("pubdate", "published", "updated", "date")])
-    out = entries.select("feed_id", "position", F.coalesce(tag("guid", "id"), link).alias("external_id"), link.alias("link"), tag("title").alias("title"), when.alias("published"), F.substring(F.coalesce(tag("description", "summary"), F.lit("")), 1, body).alias("body"))
+    when = F.coalesce(*[parse_timestamp(tag(n)) for n in ("pubdate", "published", "updated", "date", "modified")])
+    out = entries.select("feed_id", "position", F.coalesce(*([F.nullif(F.regexp_extract(link, pattern, 1), F.lit(""))] if pattern else []), tag("guid", "id"), link).alias("external_id"), link.alias("link"), tag("title").alias("title"), when.alias("published"), F.substring(F.coalesce(tag("description", "summary"), F.lit("")), 1, body).alias("body"))
     return out.where(F.col("position") < max_items) if max_items else out
 
 
@@ -69,12 +97,67 @@ def read_json_listings(payloads: DataFrame, items: str, fields: dict[str, list[s
     return out
 
 
-def extract_page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) -> (page_id, position, link, name, mime, is_document) of the anchors; addresses beyond ASCII go."""
-    anchors = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r'<a [^>]*href="([^"]*)"'), F.lit(1))).alias("position", "href"))
-    name = F.regexp_extract("href", r"([^/?#]*)(?:[?#].*)?$", 1)
-    kept = anchors.where(~F.col("href").rlike(r"[^\x00-\x7F]") & (F.trim("href") != ""))
-    return kept.select("page_id", "position", absolute_url(F.col("url"), F.col("href")).alias("link"), name.alias("name"), guess_mime(name).alias("mime"), F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1)).isin(*DOCUMENT_SUFFIXES).alias("is_document"))
+class Details(NamedTuple):
+    """Paths into a detail payload: candidates for a text, in order; one for an array; and the fields of its items."""
+
+    entity: Sequence[str]
+    scope: Sequence[str]
+    references: str
+    hints: str
+    hint_text: str
+    files: str
+    link: str
+    name: str
+    kind: str
+    size: str
+
+
+def read_json_details(payloads: DataFrame, paths: Details) -> DataFrame:
+    """(payload_id, url, json) -> entity, scope, references, requirement hints, and attachments (link, name, mime, size).
+
+    Hints may be texts or objects with a text, references one or many.  An
+    attachment needs a link; its name is the stated one or the link's last part,
+    its type the stated one or that of the name; a size is a number or a text
+    such as ``1,2 MB``.
+    """
+    v = lambda: F.try_parse_json("json")
+    text = lambda of, p: F.nullif(clean_text(F.try_variant_get(of, p, "string")), F.lit(""))
+    first = lambda candidates: F.coalesce(*[text(v(), p) for p in candidates])
+    items = lambda p: F.coalesce(F.try_variant_get(v(), p, "array<variant>"), F.when(F.try_variant_get(v(), p, "variant").isNotNull(), F.array(F.try_variant_get(v(), p, "variant"))), F.array().cast("array<variant>"))
+    some = lambda c: F.filter(c, lambda x: x.isNotNull())
+    link = lambda x: absolute_url(F.col("url"), text(x, paths.link))
+    name = lambda x: F.coalesce(text(x, paths.name), F.regexp_extract(text(x, paths.link), r"([^/?#]*)(?:[?#].*)?$", 1))
+    size = lambda x: F.coalesce(F.try_variant_get(x, paths.size, "bigint"), advertised_size(F.try_variant_get(x, paths.size, "string")))
+    attachment = lambda x: F.struct(link(x).alias("link"), name(x).alias("name"), F.coalesce(bare_media_type(text(x, paths.kind)), guess_mime(name(x))).alias("mime"), size(x).alias("size"))
+    return payloads.select(
+        "payload_id", first(paths.entity).alias("entity"), first(paths.scope).alias("scope"), some(F.transform(items(paths.references), lambda x: text(x, "$"))).alias("references"),
+        some(F.transform(items(paths.hints), lambda x: F.coalesce(text(x, paths.hint_text), text(x, "$")))).alias("hints"), F.transform(F.filter(items(paths.files), lambda x: text(x, paths.link).isNotNull()), attachment).alias("attachments"),
+    )
+
+
+ARCHIVE_TYPES = ("application/zip", "application/x-zip-compressed")
+
+
+def extract_page_links(pages: DataFrame, excluded: Sequence[str] = (), markers: Sequence[str] = ()) -> DataFrame:
+    """(page_id, url, html) -> (page_id, position, link, name, mime, is_document, is_zip) of the anchors.
+
+    Addresses beyond ASCII go, blank ones, those that one of the ``excluded``
+    expressions finds, and links to the next page.  A document has a known
+    suffix or one of the ``markers`` in its address; its name is the address's
+    last part if that has a dot, else the anchor's text.
+    """
+    anchor = r"(?s)<a ([^>]*)>(.*?)</a>"
+    tags = pages.select("page_id", "url", F.posexplode(F.arrays_zip(F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("tag"), F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("text"))).alias("position", "x"))
+    anchors = tags.select("page_id", "url", "position", F.regexp_extract("x.tag", r'(?:^|\s)href="([^"]*)"', 1).alias("href"), F.lower(F.regexp_extract("x.tag", r'(?:^|\s)rel="([^"]*)"', 1)).alias("rel"), unescape(F.col("x.text")).alias("text"))
+    bad = F.col("href").rlike(r"[^\x00-\x7F]") | (F.trim("href") == "") | F.array_contains(F.split("rel", " +"), "next")
+    for pattern in excluded:
+        bad = bad | F.col("href").rlike(pattern)
+    kept = anchors.where(~bad).withColumn("link", absolute_url(F.col("url"), F.col("href")))
+    last = F.regexp_extract("link", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(?:[^?#]*/)?([^/?#]*)", 1)
+    name = F.when(F.contains(last, F.lit(".")) | (F.col("text") == ""), last).otherwise(F.substring("text", 1, 200))
+    suffix = F.lower(F.regexp_extract(last, r"\.([A-Za-z0-9]+)$", 1)).isin(*DOCUMENT_SUFFIXES)
+    marked = F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains("link", m)) if markers else F.lit(False)
+    return kept.select("page_id", "position", "link", name.alias("name"), guess_mime(name).alias("mime"), (suffix | marked).alias("is_document"), (guess_mime(name).isin(*ARCHIVE_TYPES) | F.lower("link").endswith(".zip")).alias("is_zip"))
 
 
 def extract_label_values(pages: DataFrame, fields: dict[str, list[str]]) -> DataFrame:

@@ -34,7 +34,7 @@ def test_scan_documents(spark, tmp_path):
 
 def test_parser_mismatch_and_feed_limit(spark):
     page = spark.createDataFrame([(1, "https://a.org/x", "<li><h5>no link</h5></li>"), (2, "https://a.org/x", '<li><a href="/n/7/list">T &amp; U</a></li>')], "page_id int, url string, html string")
-    got = {r.page_id: r for r in L.read_html_listings(page, "<li>.*?</li>", 'href="(/n/([0-9]+)/list)"', "<a [^>]*>([^<]*)<").collect()}
+    got = {r.page_id: r for r in L.read_html_listings(page, L.Listing("<li>.*?</li>", 'href="(/n/([0-9]+)/list)"', "<a [^>]*>([^<]*)<")).collect()}
     assert got[1].error_code == "parser_mismatch" and (got[2].external_id, got[2].link, got[2].title) == ("7", "https://a.org/n/7/list", "T & U")
     feed = spark.createDataFrame([(1, "<rss>" + "".join(f"<item><link>https://a.org/{k}</link><title><![CDATA[t{k}]]></title></item>" for k in range(5)) + "</rss>")], "feed_id int, xml string")
     assert L.read_feed_listings(feed, max_items=3).count() == 3 and L.read_feed_listings(feed, max_items=0).count() == 5
