@@ -148,6 +148,16 @@ def retrieve_evidence(requirements: DataFrame, sections: DataFrame, k: int = 8,
     return items.select("req_id", F.posexplode(greedy_fit(F.col("items"), chars, k)).alias("position", "x")).select("req_id", F.col("x.section_id").alias("section_id"), F.col("x.score").alias("score"), F.col("position").cast("long").alias("position"))
 
 
+def kb_sections(kb: DataFrame, key: str = "kb_id") -> DataFrame:
+    """(key, content) -> (key, position, heading, text): a knowledge base cut at its ``#`` headings; what stands before the first has none."""
+    parts = kb.select(key, F.posexplode(F.split("content", r"(?m)^(?=#)")).alias("position", "part")).where("trim(part) <> ''")
+    first = F.split_part("part", F.lit("\n"), F.lit(1))
+    headed = F.startswith("part", F.lit("#"))
+    heading = F.when(headed, F.trim(F.regexp_replace(first, "^#+", "")))
+    text = F.when(headed, F.substring(F.col("part"), F.length(first) + 2, F.length("part"))).otherwise(F.col("part"))
+    return parts.select(key, "position", heading.alias("heading"), F.regexp_replace(text, r"^\s+|\s+$", "").alias("text"))
+
+
 def verify_quotes(citations: DataFrame, chunks: DataFrame, normalize) -> DataFrame:
     """(cite_id, doc_id, location, quote) and (doc_id, location, text) -> (cite_id, level), one row for each citation.
 
@@ -185,6 +195,10 @@ def verify_quotes(citations: DataFrame, chunks: DataFrame, normalize) -> DataFra
     return both.select("cite_id", level.alias("level"))
 
 
+#: Providers at most; they are configuration.
+MAX_PROVIDERS = 100
+
+
 def plan_delivery(attachments: DataFrame, providers: DataFrame) -> DataFrame:
     """(notification_id, pos, size) by provider limits -> (notification_id, provider_id, attached, linked).
 
@@ -200,7 +214,11 @@ def plan_delivery(attachments: DataFrame, providers: DataFrame) -> DataFrame:
     first = attachments.withColumn("_turn", turn).where((F.col("size") <= limits["size"]) & (F.col("_turn") <= limits["files"]))
     items = first.groupBy("notification_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.ceil(F.col("size") / 3).alias("third"), F.col("size").alias("raw")))).alias("items"))
     items = total.join(items, "notification_id", "left").withColumn("items", F.coalesce("items", F.array().cast("array<struct<pos: bigint, third: bigint, raw: bigint>>")))
-    both = items.join(F.broadcast(providers))  # a handful of configured providers
+    configured = providers.orderBy("priority", "provider_id").limit(MAX_PROVIDERS + 1).collect()
+    if len(configured) > MAX_PROVIDERS:
+        raise ValueError(f"more than {MAX_PROVIDERS} providers")
+    each = F.array(*[F.struct(*[F.lit(r[c]).cast(providers.schema[c].dataType).alias(c) for c in providers.columns]) for r in configured])
+    both = items.withColumn("provider", F.explode(each)).select("*", "provider.*").drop("provider")
     start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("bytes"))
 
     def step(acc: Column, x: Column) -> Column:

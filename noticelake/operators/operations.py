@@ -184,7 +184,7 @@ def related_runs(runs: DataFrame, triage: DataFrame, key: str) -> DataFrame:
 
 def retention_sweep(df: DataFrame, ts: str, now: Column, months: int = 12) -> DataFrame:
     """Rows older than the retention."""
-    return df.where(F.col(ts) < F.add_months(now, -months))
+    return df.where(F.col(ts) < now - F.make_interval(months=F.lit(months)))
 
 
 def sliding_failure_rate(runs: DataFrame, length: str = "7 days", slide: str = "1 day", late: str = "1 hour") -> DataFrame:

@@ -135,11 +135,14 @@ def s05(spark: SparkSession, d: str) -> DataFrame:
     "s06_crawl_stop_report",
     """WITH i AS (SELECT user_id AS crawl, CAST(ntile(6) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS page, CAST(json_extract(props, '$.k') AS BIGINT) AS item FROM events),
     f AS (SELECT crawl, item, min(page) AS page FROM i GROUP BY ALL), fr AS (SELECT crawl, page, count(*) AS fresh FROM f GROUP BY ALL),
-    p AS (SELECT crawl, page, count(*) AS n, coalesce(any_value(fresh), 0) AS fresh FROM i LEFT JOIN fr USING (crawl, page) GROUP BY ALL),
-    r AS (SELECT *, CASE WHEN page > 1 AND fresh = 0 THEN 'no_new_items' WHEN n < 10 THEN 'short_page' WHEN page >= 5 THEN 'max_pages_reached' END AS reason FROM p),
+    p AS (SELECT crawl, page, count(*) AS n, coalesce(any_value(fresh), 0) AS fresh, CASE WHEN crawl % 3 = 0 THEN 35 END AS total, CASE WHEN crawl % 4 = 1 AND page = 4 THEN 'u2' ELSE 'u' || page END AS url FROM i LEFT JOIN fr USING (crawl, page) GROUP BY ALL),
+    v AS (SELECT *, sum(n) OVER w AS shown, page > min(page) OVER (PARTITION BY crawl, url) AS visited FROM p WINDOW w AS (PARTITION BY crawl ORDER BY page)), x AS (SELECT *, lead(visited) OVER (PARTITION BY crawl ORDER BY page) AS visited_next FROM v),
+    r AS (SELECT *, CASE WHEN page > 1 AND fresh = 0 THEN 'no_new_items' WHEN shown >= total THEN 'total_reached' WHEN n < 10 THEN 'short_page' WHEN page >= 5 THEN 'max_pages_reached' WHEN visited_next THEN 'already_visited_url' END AS reason FROM x),
     s AS (SELECT crawl, coalesce(min(CASE WHEN reason IS NOT NULL THEN page END), max(page)) AS stop_page FROM r GROUP BY 1)
     SELECT s.crawl, s.stop_page, coalesce(any_value(CASE WHEN r.page = s.stop_page THEN reason END), 'no_next_page') AS reason, CAST(sum(CASE WHEN r.page <= s.stop_page THEN fresh ELSE 0 END) AS BIGINT) AS kept_items FROM s JOIN r ON s.crawl = r.crawl GROUP BY ALL""",
 )
 def s06(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "events").selectExpr("user_id AS crawl", "CAST(ntile(6) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS page", "CAST(get_json_object(props, '$.k') AS BIGINT) AS item")
+    page, crawl = F.col("page"), F.col("crawl")
+    items = items.withColumns({"total": F.when(crawl % 3 == 0, 35), "url": F.when((crawl % 4 == 1) & (page == 4), "u2").otherwise(F.concat(F.lit("u"), page.cast("string")))})
     return X.crawl_stop_report(items, 5, 10)

@@ -7,7 +7,7 @@ import os
 import zipfile
 
 import pyspark
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticelake.functions.text import hint_language, normalize_quote
@@ -101,6 +101,13 @@ def j04(spark: SparkSession, d: str) -> DataFrame:
     return D.retrieve_evidence(reqs, table(spark, d, "documents").select(F.col("doc_id").alias("section_id"), "text"))
 
 
+@register("j04_kb_sections", "SELECT p_partkey AS kb_id, 0 AS position, NULL AS heading, p_name AS text FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 1 - (p_partkey % 2), 'Scope', p_type FROM part UNION ALL SELECT p_partkey, 2 - (p_partkey % 2), p_brand, 'size' || chr(10) || p_size FROM part")
+def j04_sections(spark: SparkSession, d: str) -> DataFrame:
+    content = F.concat(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.col("p_name"), F.lit("\n"))).otherwise(""), F.lit("# Scope\n"), F.col("p_type"), F.lit("\n## "), F.col("p_brand"), F.lit("\nsize\n"), F.col("p_size").cast("string"))
+    out = D.kb_sections(table(spark, d, "part").select(F.col("p_partkey").alias("kb_id"), content.alias("content")))
+    return out.withColumn("position", F.row_number().over(Window.partitionBy("kb_id").orderBy("position")) - 1)
+
+
 _CHUNKS = "c AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS location, unnest(string_split(text, chr(10))) AS text FROM documents)"
 
 

@@ -206,7 +206,7 @@ def k05(spark: SparkSession, d: str) -> DataFrame:
     return O.retention_sweep(table(spark, d, "orders"), "o_orderdate", F.lit("1998-06-15 12:00:00").cast("timestamp")).select("o_orderkey")
 
 
-@register("p01_triage_rules", """WITH n AS (SELECT p_partkey, contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'ring') AS k, contains(lower(p_name), 'a') AS i, p_type IN ('ECONOMY', 'STANDARD') OR contains(lower(p_name), 'economy') OR contains(lower(p_name), 'standard') AS s,
+@register("p01_triage_rules", """WITH n AS (SELECT p_partkey, contains(lower(p_name || ' ' || p_type), 'ring') AS k, contains(lower(p_name || p_type || CASE WHEN p_partkey % 13 <> 0 THEN p_brand ELSE '' END), 'a') AS i, p_type IN ('ECONOMY', 'STANDARD') OR contains(lower(p_name), 'economy') OR contains(lower(p_name), 'standard') AS s,
       p_partkey % 13 <> 0 AND p_brand <> '' AND contains(p_brand, '#1') AS g, CASE WHEN p_size % 5 <> 0 THEN p_retailprice END AS v FROM part)
     SELECT p_partkey, CASE WHEN k OR NOT s OR NOT g OR coalesce(v < 950, false) THEN 'discarded' ELSE 'passed' END AS status,
       CASE WHEN k THEN 'exclude_keyword' WHEN NOT s THEN 'sector_outside_target' WHEN NOT g THEN 'region_outside_target' WHEN v < 950 THEN 'contract_value_below_minimum' ELSE CASE WHEN i THEN 'include_keyword,' ELSE '' END || 'sector_target_match,region_target_match,' || CASE WHEN v IS NULL THEN 'contract_value_unavailable' ELSE 'contract_value_meets_minimum' END END AS reasons FROM n""")

@@ -77,7 +77,7 @@ def read_feed_listings(feeds: DataFrame, max_items: int = 200, body: int = 2000,
     entries = feeds.select("feed_id", F.posexplode(F.regexp_extract_all(plain, F.lit(r"(?s)<(?:item|entry)[ >].*?</(?:item|entry)>"), F.lit(0))).alias("position", "x"))
     tag = lambda *names: F.coalesce(*[F.nullif(unescape(F.regexp_replace(F.regexp_extract("x", rf"(?is)<{n}(?: [^>]*)?>(.*?)</{n}>", 1), r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")), F.lit("")) for n in names])
     link = F.coalesce(tag("link"), F.nullif(F.regexp_extract("x", r'(?i)<link[^>]*href="([^"]*)"', 1), F.lit("")))
-    when = F.coalesce(*[parse_timestamp(tag(n)) for n in ("pubdate", "published", "updated", "date", "modified")])
+    when = F.coalesce(*[let(tag(n), parse_timestamp) for n in ("pubdate", "published", "updated", "date", "modified")])
     out = entries.select("feed_id", "position", F.coalesce(*([F.nullif(F.regexp_extract(link, pattern, 1), F.lit(""))] if pattern else []), tag("guid", "id"), link).alias("external_id"), link.alias("link"), tag("title").alias("title"), when.alias("published"), F.substring(F.coalesce(tag("description", "summary"), F.lit("")), 1, body).alias("body"))
     return out.where(F.col("position") < max_items) if max_items else out
 
