@@ -44,7 +44,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, items) of the documents named in ids, from whole texts."""
     found = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return stored(found.mapInPandas(minhash.shingle_batches, "doc_id long, items array<long>"))
+    return stored(found.select("doc_id", "text").mapInArrow(minhash.shingle_batches, "doc_id long, items array<long>"))
 
 
 def _left(buckets: DataFrame, found: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def near_duplicates(df: DataFrame, large: int = LARGE) -> DataFrame:
     An empty table gives an empty table.
     """
     docs = documents(df)
-    sketched = stored(docs.mapInPandas(minhash.sketch_batches, "doc_id long, n_shingles long, set_key binary, bands array<long>, planes array<long>"))
+    sketched = stored(docs.mapInArrow(minhash.sketch_batches, "doc_id long, n_shingles long, set_key binary, bands array<long>, planes array<long>"))
     named = sketched.where("doc_id is not null and set_key is not null")
     first = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("first")))
     same = named.select("doc_id", "set_key").distinct().join(first, "set_key").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))

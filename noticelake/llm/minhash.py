@@ -21,10 +21,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 
 SHINGLE = 4
+#: Texts whose results are held together.
+TOGETHER = 500
 BINS = 512
 ROWS = 5
 BANDS = 40
@@ -82,9 +84,9 @@ def word_hashes(data: np.ndarray, between: np.ndarray = _SPACE, prefixes: tuple[
     return tuple(out)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the 4-word shingles; fewer words make one shingle, none make an empty set."""
-    w = word_hashes(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))[0]
+def shingles(data: np.ndarray) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the 4-word shingles of a text's UTF-8 bytes; fewer words make one shingle, none make an empty set."""
+    w = word_hashes(data)[0]
     if not len(w):
         return np.empty(0, np.uint64)
     width = min(SHINGLE, len(w))
@@ -97,6 +99,14 @@ def shingles(text: str | None) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
+def texts(column: pa.Array) -> Iterator[np.ndarray]:
+    """The UTF-8 bytes of each text, as they lie in the column; none for null."""
+    column = column.cast(pa.large_string())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return (data[a:b] for a, b in zip(ends, ends[1:]))
+
+
 def sketch(items: np.ndarray, bins: int = BINS) -> np.ndarray:
     """The fast similarity sketch of a set of 64-bit hashes that isn't empty."""
     out = np.zeros(bins, np.uint64)
@@ -140,21 +150,29 @@ def set_key(items: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(items.tobytes())
 
 
-def sketch_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(doc_id, text) -> (doc_id, n_shingles, set_key, bands, planes); the last three are null for empty sets."""
+def _parts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of ``TOGETHER`` rows at most, which bound what is held of the results."""
     for frame in frames:
+        yield from (frame.slice(at, TOGETHER) for at in range(0, frame.num_rows, TOGETHER))
+
+
+def sketch_batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (doc_id, n_shingles, set_key, bands, planes); the last three are null for empty sets."""
+    for part in _parts(frames):
         n, keys, rows, bits = [], [], [], []
-        for text in frame["text"]:
-            items = shingles(text)
+        for data in texts(part.column("text")):
+            items = shingles(data)
             n.append(len(items))
             keys.append(set_key(items) if len(items) else None)
             sk = sketch(items) if len(items) else None
             rows.append(None if sk is None else bands(sk))
             bits.append(None if sk is None else planes(sk))
-        yield pd.DataFrame({"doc_id": frame["doc_id"].array, "n_shingles": n, "set_key": keys, "bands": rows, "planes": bits})
+        longs = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, longs), pa.array(bits, longs)], ["doc_id", "n_shingles", "set_key", "bands", "planes"])
 
 
-def shingle_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def shingle_batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> (doc_id, items), the whole shingle sets."""
-    for frame in frames:
-        yield pd.DataFrame({"doc_id": frame["doc_id"].array, "items": [shingles(t).view(np.int64) for t in frame["text"]]})
+    for part in _parts(frames):
+        items = [shingles(data).view(np.int64) for data in texts(part.column("text"))]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "items"])

@@ -11,13 +11,13 @@ without the document's fold, so that a later model learns how far to trust them.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticelake.llm.common import stored
 from noticelake.llm.linear import best_threshold, fit, sigmoid
-from noticelake.llm.minhash import word_hashes
+from noticelake.llm.minhash import texts, word_hashes
 
 #: Labelled documents that the models are fitted on, at most: those with the smallest hashes of their ids.
 MAX_LABELLED = 6_000
@@ -33,9 +33,9 @@ _NOT_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _PREFIXES = (4, 5, 6)
 
 
-def features(text: str | None) -> np.ndarray:
-    """Distinct hashes of the words (runs of letters) and of their prefixes of 4 to 6 bytes, which catch words with many endings."""
-    found = word_hashes(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8), _NOT_LETTERS, _PREFIXES)
+def features(data: np.ndarray) -> np.ndarray:
+    """Of a text's UTF-8 bytes, distinct hashes of the words (runs of letters) and of their prefixes of 4 to 6 bytes, which catch words with many endings."""
+    found = word_hashes(data, _NOT_LETTERS, _PREFIXES)
     return np.unique(np.concatenate(found)).view(np.int64)
 
 
@@ -45,10 +45,11 @@ class Chain:
     def __init__(self, names: list[str], chosen: np.ndarray, models: list[tuple[np.ndarray, np.ndarray, float]], threshold: float) -> None:
         self.names, self.chosen, self.models = names, chosen, models
         #: Beyond what a text without any of the features gets, so that a high base rate alone calls nothing toxic.
-        self.threshold = max(threshold, float(np.nextafter(self.probabilities(None)[-1], 2.0))) if models else threshold
+        self.threshold = max(threshold, float(np.nextafter(self.probabilities(np.empty(0, np.uint8))[-1], 2.0))) if models else threshold
 
-    def probabilities(self, text: str | None) -> list[float]:
-        f = features(text)
+    def probabilities(self, data: np.ndarray) -> list[float]:
+        """The categories' probabilities for a text's UTF-8 bytes."""
+        f = features(data)
         at = np.searchsorted(self.chosen, f)
         at = at[self.chosen[np.minimum(at, len(self.chosen) - 1)] == f] if len(self.chosen) else at[:0]
         out: list[float] = []
@@ -126,9 +127,9 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) ->
     few = F.broadcast(spark.createDataFrame(ids, "doc_id long, target int"))
     found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(few, "doc_id")
 
-    @F.pandas_udf("array<long>")
-    def sparse(text: pd.Series) -> pd.Series:
-        return pd.Series([features(t) for t in text], dtype=object)
+    @F.arrow_udf("array<long>")
+    def sparse(text: pa.Array) -> pa.Array:
+        return pa.array([features(data) for data in texts(text)], pa.list_(pa.int64()))
 
     sampled = stored(found.select("doc_id", "target", sparse("text").alias("features")).dropDuplicates(["doc_id"]))
     base = sampled.drop("features").toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
@@ -153,10 +154,10 @@ def classify(df: DataFrame, chain: Chain) -> DataFrame:
     """
     shared = df.sparkSession.sparkContext.broadcast(chain)
 
-    @F.pandas_udf("array<double>")
-    def p(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def p(text: pa.Array) -> pa.Array:
         c = shared.value
-        return pd.Series([c.probabilities(t) for t in text], dtype=object)
+        return pa.array([c.probabilities(data) for data in texts(text)], pa.list_(pa.float64()))
 
     names = [f"p_{c}" for c in chain.names]
     out = df.drop(*names, "toxic", "kept").withColumn("p_of_chain", p(F.col("text").cast("string")))

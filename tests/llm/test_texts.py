@@ -310,4 +310,25 @@ def test_kinds_are_clusters_and_features_are_needed():
     rows = [np.array([0, 1, 2])] * 5 + [np.array([0, 2])] * 2 + [np.array([5, 6])] * 3 + [np.array([], int)]
     assert toxicity.kinds_of(rows, 8).tolist() == [0] * 7 + [1] * 3 + [-1]
     chain = toxicity.fit_chain([np.array([], int)] * 9, np.empty(0, np.int64), {"toxic": np.arange(9) < 8})
-    assert chain.probabilities("anything")[-1] < chain.threshold
+    assert chain.probabilities(np.frombuffer(b"anything", np.uint8))[-1] < chain.threshold
+
+
+def test_edges_have_defined_results(spark):
+    """Null, empty and blank texts, rows that repeat and texts that tie, beside columns with the operators' own names."""
+    docs = H.edge(spark).withColumns({c: F.lit("x") for c in ("n_words", "coverage", "base_spans", "scores", "toxic", "kept", "score", "n_tokens", "base_starts")})
+    field, chain = quality.fit_field([], []), toxicity.train(docs, H.labels(spark, 6))
+    runs = {
+        "licenses": (licenses.scan(docs), lambda r: (r.n_words, sum(len(x.starts) for x in r.base_starts + r.more_starts), r.coverage), (0, 0, 0.0)), "secrets": (secrets.scan(docs), lambda r: (r.base_spans, r.spans), ([], [])),
+        "pii": (pii.scan(docs), lambda r: (r.base_spans, r.spans, r.scores), ([], [], [])), "quality": (quality.judge(docs, field), lambda r: (r.n_words, r.content_share, r.base_failed, r.kept), (0, 1.0, True, False)),
+        "toxicity": (toxicity.classify(docs, chain), lambda r: (r.toxic, r.kept), (False, True)), "lm": (lm.score(docs, H.labels(spark, 6)), lambda r: (r.n_tokens, r.target_loss, r.background_loss, r.score), (0, 0.0, 0.0, 0.0)), "bpe": (bpe.encode(docs), lambda r: r.ids, []),
+    }
+    for name, (df, of, nothing) in runs.items():
+        rows = df.collect()
+        by = {}
+        for r in rows:
+            by.setdefault(r.doc_id, []).append(of(r))
+        blank = [by[i][0] for i in (1, 2)] + ([] if name in ("lm", "bpe") else [by[3][0]])
+        assert all(b == nothing for b in blank), (name, blank)
+        assert len(by[8]) == 2 and by[8][0] == by[8][1] and len(by[None]) == 1, name
+        if name != "lm":  # a text is scored without its own counts, those of its class
+            assert by[4] == by[5] and by[7] == by[10], name
