@@ -31,7 +31,7 @@ KAPPA = 4.0
 #: Trigrams at most whose counts go to all workers; it moves work, not results.
 SHARED = 1 << 18
 #: Good documents at most whose ids go to all workers; more meet the documents in a join.
-SENT = 1 << 20
+SENT = 1 << 18
 #: Characters that are coded at once.
 CHUNK = 1 << 21
 #: Bits of a token in a gram: a code point and one, 0 before the text.
