@@ -3,8 +3,10 @@
 No step emits all pairs of a bucket:
 
 1. Rows with the same set collapse to the smallest ``doc_id``.
-2. In each band bucket every member is checked against the bucket's smallest
-   id (a star), and the confirmed links are connected.
+2. Every member of a band bucket is checked against the smallest id that any of
+   its buckets holds, and the confirmed links are connected; those that still
+   lie in another component than the smallest id of one of their buckets (a
+   star) are checked against that, and connected.
 3. What is left are pairs of *different* components in one bucket.  The join
    that looks for them emits a pair only in the first bucket the two share,
    and only where sizes and sketches leave a similarity of 0.8 possible.
@@ -47,6 +49,14 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return stored(found.select("doc_id", "text").mapInArrow(minhash.shingle_batches, "doc_id long, items array<long>"))
 
 
+def _unlinked(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a bucket's smallest id and a member that lie in different components."""
+    named = stored(buckets.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("band", "a", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+    centre = named.where("doc_id = a").select(F.col("band").alias("of"), F.col("component").alias("other"))
+    apart = named.join(centre, (F.col("band") == F.col("of")) & (F.col("component") != F.col("other")))
+    return apart.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+
+
 def _left(buckets: DataFrame, found: DataFrame) -> DataFrame:
     """(band, doc_id, component, n_members) of the buckets that hold several components."""
     named = stored(buckets.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component")))
@@ -101,8 +111,10 @@ def near_duplicates(df: DataFrame, large: int = LARGE) -> DataFrame:
     buckets = stored(heads.join(full, "band"))
 
     sets = _sets(docs, buckets.select("doc_id").distinct())
-    star = buckets.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    links = stored(_verified(star, sets))
+    nearest = buckets.where("doc_id <> a").groupBy(F.col("doc_id").alias("b")).agg(F.min("a").alias("a"))
+    links = stored(_verified(nearest, sets))
+    rest = stored(_unlinked(buckets, components(links)))
+    links = links.unionByName(stored(_verified(rest, sets)))
     found = components(links)
 
     left = _left(buckets.select("band", "doc_id"), found)
@@ -113,7 +125,7 @@ def near_duplicates(df: DataFrame, large: int = LARGE) -> DataFrame:
     first = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.band")
     crowd = left.where(F.col("n_members") > large).select("doc_id").distinct()
     rare = stored(_rare(crowd, sets)).join(about.drop("bands"), "doc_id")
-    more = _across(here, "band", first).unionByName(_across(rare, "item")).distinct().join(star, ["a", "b"], "left_anti")
+    more = _across(here, "band", first).unionByName(_across(rare, "item")).distinct().join(nearest.select("a", "b").unionByName(rest), ["a", "b"], "left_anti")
     links = links.unionByName(stored(_verified(more, sets)))
 
     classes = components(links.unionByName(same))
