@@ -15,18 +15,24 @@ from noticelake.operators import documents as D
 from noticelake.plans.registry import register, table
 
 
-def _stop_table() -> str:
-    """Spark's stop-word lists as SQL values, read from its own jar, so that no session is needed."""
+def _stop_table() -> str | None:
+    """Spark's stop-word lists as SQL values, read from its own jar, so that no session is needed; None where that jar isn't at hand."""
     home = os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__)
-    with zipfile.ZipFile(sorted(glob.glob(f"{home}/jars/spark-mllib_*.jar"))[0]) as jar:
+    jars = sorted(glob.glob(f"{home}/jars/spark-mllib_*.jar") or glob.glob(f"{os.path.dirname(pyspark.__file__)}/jars/spark-mllib_*.jar"))
+    if not jars:
+        return None
+    with zipfile.ZipFile(jars[0]) as jar:
         lists = {k: {w for w in jar.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode().split() if w.isalpha()} for k, name in D.LANGUAGES.items()}
     return "(VALUES " + ", ".join(f"('{k}', {i}, '{w}')" for i, (k, ws) in enumerate(lists.items()) for w in sorted(ws)) + ") AS s(language, rank, token)"
 
 
+_STOP = _stop_table()
+
+
 @register(
     "j01_f15_detect_language",
-    f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS token FROM documents), n AS (SELECT doc_id, count(*) AS total FROM t GROUP BY 1),
-    h AS (SELECT doc_id, language, rank, count(*) AS hits FROM t JOIN {_stop_table()} USING (token) GROUP BY ALL),
+    _STOP and f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS token FROM documents), n AS (SELECT doc_id, count(*) AS total FROM t GROUP BY 1),
+    h AS (SELECT doc_id, language, rank, count(*) AS hits FROM t JOIN {_STOP} USING (token) GROUP BY ALL),
     b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, rank) AS turn FROM h)
     SELECT d.doc_id, CASE WHEN total >= 20 AND hits / total >= 0.04 THEN language END AS language, CASE WHEN total >= 20 AND hits / total >= 0.04 THEN round(hits / total, 4) END AS confidence
     FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN b ON b.doc_id = d.doc_id AND turn = 1""",
@@ -37,8 +43,8 @@ def j01(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "j01_section_languages",
-    f"""WITH p AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS section, unnest(string_split(text, chr(10))) AS text FROM documents), t AS (SELECT doc_id, section, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS token FROM p),
-    n AS (SELECT doc_id, section, count(*) AS total FROM t GROUP BY 1, 2), h AS (SELECT doc_id, section, language, rank, count(*) AS hits FROM t JOIN {_stop_table()} USING (token) GROUP BY ALL),
+    _STOP and f"""WITH p AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS section, unnest(string_split(text, chr(10))) AS text FROM documents), t AS (SELECT doc_id, section, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS token FROM p),
+    n AS (SELECT doc_id, section, count(*) AS total FROM t GROUP BY 1, 2), h AS (SELECT doc_id, section, language, rank, count(*) AS hits FROM t JOIN {_STOP} USING (token) GROUP BY ALL),
     b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY hits DESC, rank) AS turn FROM h)
     SELECT doc_id, section, language, round(hits / total, 4) AS confidence FROM n JOIN b USING (doc_id, section) WHERE turn = 1 AND total >= 20 AND hits / total >= 0.04""",
 )
