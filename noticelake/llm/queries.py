@@ -197,7 +197,7 @@ def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.decode(bpe.encode(documents(table(spark, sf_dir, "documents"))))
+    out = bpe.round_trip(documents(table(spark, sf_dir, "documents")))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

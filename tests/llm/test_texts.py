@@ -52,6 +52,8 @@ def test_bpe_matches_the_library(spark):
         assert got[r.doc_id].n_tokens == len(ids)
         assert got[r.doc_id].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+    apart = bpe.decode(bpe.encode(H.edge(spark))).select("ids", "decoded").collect()
+    assert apart == bpe.round_trip(H.edge(spark)).select("ids", "decoded").collect() and bpe.round_trip(H.empty(spark)).collect() == []
     e, rnd = bpe.encoder(), random.Random(0)
     alphabet = [chr(c) for c in [*range(1, 128), 0x85, 0xA0, 0x2003, 0x3000, 0xE9, 0x4E00, 0x1F600, 0x301, 0x660, 0x200B, 0x1C, 0x2028]]
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 50))) for _ in range(3000)] + ["the" * 5000, " " * 3000]
