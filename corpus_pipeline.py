@@ -55,7 +55,7 @@ def sources_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and what they decode to: doc_id, source, n_tokens, ids, decoded_sha256."""
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text")))
+    out = bpe.round_trip(docs.select("doc_id", "source", "text"))
     return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
