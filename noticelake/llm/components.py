@@ -1,30 +1,68 @@
-"""Connected components of a link table, by hooking and pointer jumping."""
+"""Connected components of a link table, by hooking roots and contracting what was joined."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import stored
+from noticelake.llm.common import discard, stored
+
+
+def _hooked(both: DataFrame, turn: int) -> DataFrame:
+    """(node, up): each node's neighbour of the best rank where that is better than its own, else itself.
+
+    Many links make a good rank, so that a hub takes its whole star at once;
+    among equals a hash that is drawn anew each round decides, so that at least
+    every second node can be expected to find a better one, whatever the ids.
+    """
+    rank = both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("links"))
+    rank = stored(rank.select("node", F.struct((-F.col("links")).alias("few"), F.xxhash64("node", F.lit(turn)).alias("draw"), "node").alias("rank")))
+    near = both.join(rank.select(F.col("node").alias("b"), "rank"), "b").groupBy(F.col("a").alias("node")).agg(F.min("rank").alias("best"))
+    up = stored(rank.join(near, "node").select("node", F.least("rank", "best")["node"].alias("up")))
+    discard(rank)
+    return up
+
+
+def _jumped(up: DataFrame) -> DataFrame:
+    """(node, up) with every node's root instead of its parent: each step follows twice as many parents."""
+    while True:
+        far = up.select(F.col("node").alias("up"), F.col("up").alias("far"))
+        new = stored(up.join(far, "up").select("node", F.col("far").alias("up"), (F.col("far") != F.col("up")).alias("moved")))
+        discard(up)
+        up = new
+        if up.where("moved").isEmpty():
+            return up
 
 
 def components(links: DataFrame) -> DataFrame:
     """(a long, b long) -> (node, component): the smallest node reachable, for every node with a link.
 
-    Each round gives a node the smallest label among its own and its
-    neighbours', then follows that label once.  Labels only fall, so the rounds
-    end when none changed.  A round pre-aggregates before it shuffles, which
-    keeps nodes with very many links apart.  Empty links give no rows; loops
-    and repeated links do no harm.
+    A round hooks the roots that are left to neighbouring ones, finds each
+    tree's root by pointer jumping, and keeps only links between different roots,
+    each once; links fall by a constant share each round, so chains of any
+    length need rounds in proportion to the logarithm of theirs.  Rounds pre-aggregate
+    before they shuffle, which keeps nodes with very many links apart, and
+    remove the tables of the round before.  Empty links give no rows; loops and
+    repeated links do no harm.
     """
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct())
-    state = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")))
-    while True:
-        near = both.join(state.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        hooked = state.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        hooked = stored(hooked)
-        target = hooked.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = stored(hooked.join(target, "component", "left").select("node", "old", F.least("component", F.coalesce("next", "component")).alias("component")))
-        state = new.select("node", "component")
-        if new.where("component <> old").isEmpty():
-            return state
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null")
+    nodes = stored(both.select(F.col("a").alias("node")).distinct())
+    both = stored(both.where("a <> b").distinct())
+    steps = []
+    while not both.isEmpty():
+        up = _jumped(_hooked(both, len(steps)))
+        root = lambda end: up.select(F.col("node").alias(end), F.col("up").alias(f"{end}_root"))  # noqa: E731, B023
+        left = both.join(root("a"), "a").join(root("b"), "b").where("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+        steps.append(up.select("node", "up"))
+        done, both = both, stored(left)
+        discard(done)
+    # a node's last root, from the last round back: each table holds the roots that its round still had
+    last = None
+    for up in reversed(steps):
+        last = up if last is None else up.join(last.select(F.col("node").alias("up"), F.col("up").alias("last")), "up", "left").select("node", F.coalesce("last", "up").alias("up"))
+        last = stored(last)
+    if last is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    least = last.groupBy("up").agg(F.min("node").alias("component"))
+    named = last.join(least, "up").select("node", "component")
+    return stored(nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component")))

@@ -50,46 +50,38 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)
 _CASED = _BYTES.copy()
 _BYTES[65:91] = _BYTES[97:123]  # A-Z count as a-z
-_STEP = int(_GOLD)
-_BACK = pow(_STEP, -1, 2**64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
-
-
-_UP, _DOWN = _powers(_STEP, 1 << 16), _powers(_BACK, 1 << 16)
 
 
 def word_hashes(data: np.ndarray, between: np.ndarray = _SPACE, prefixes: tuple[int, ...] = (), cased: bool = False) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the runs of bytes outside ``between`` (a table of 256 flags), A-Z taken as a-z unless ``cased``, then of the prefixes of so many bytes of longer runs.
 
-    A word's hash is a polynomial over its bytes, cut out of running sums, so
-    that no step loops over words.
+    A word's hash is the sum of one mixed number for each byte and its place in
+    the word, cut out of running sums, so that no step loops over words.  The
+    numbers of different places have nothing to do with each other, so words
+    with a pattern (Thue-Morse words, which any polynomial modulo 2**64 confuses)
+    are as unlike as others.
     """
     word = ~between[data]
     edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
     starts, ends = edge[::2], edge[1::2]
     n = len(data)
-    up = _UP if n <= len(_UP) else _powers(_STEP, n)
-    down = _DOWN if n <= len(_DOWN) else _powers(_BACK, n)
+    place = np.arange(n, dtype=np.uint64)
+    place -= np.repeat(np.concatenate(([0], starts)).astype(np.uint64), np.diff(np.concatenate(([0], starts, [n]))))
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_CASED if cased else _BYTES)[data] * up[:n], out=sums[1:])
-    out = [mix((sums[ends] - sums[starts]) * down[starts])]
+    np.cumsum(mix((_CASED if cased else _BYTES)[data] ^ (place * _M2)), out=sums[1:])
+    out = [mix(sums[ends] - sums[starts])]
     for k in prefixes:
         of = starts[ends - starts > k]
-        out.append(mix((sums[of + k] - sums[of]) * down[of]) + np.uint64(k))
+        out.append(mix(sums[of + k] - sums[of]) + np.uint64(k))
     return tuple(out)
 
 
-def shingles(data: np.ndarray) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the 4-word shingles of a text's UTF-8 bytes; fewer words make one shingle, none make an empty set."""
+def shingles(data: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of ``size`` words of a text's UTF-8 bytes; fewer words make one shingle, none make an empty set."""
     w = word_hashes(data)[0]
     if not len(w):
         return np.empty(0, np.uint64)
-    width = min(SHINGLE, len(w))
+    width = min(size, len(w))
     n = len(w) - width + 1
     out = w[:n] + np.uint64(width)
     for k in range(1, width):

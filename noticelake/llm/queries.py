@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import bpe, licenses, lm, mixing, neighbours, pii, quality, secrets, toxicity
+from noticelake.llm import bpe, licenses, lm, manifest, mixing, neighbours, pii, quality, repair, secrets, toxicity
 from noticelake.llm import spans as S
 from noticelake.llm.common import documents, table
 from noticelake.llm.dedup import near_duplicates
@@ -201,6 +201,112 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.check_against_tampered(table(spark, sf_dir, "documents"))
+
+
+def _duck_crc32(text: str) -> str:
+    bits = "lambda x, y: xor(x >> 1, 3988292384 * (x & 1))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], {bits}), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _duck_leaf(text: str) -> str:
+    part = lambda c: f"coalesce(strlen({c}) || ':' || {c}, '-')"
+    return f"sha256({' || '.join(part(f'CAST({c} AS VARCHAR)') for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+#: Levels that the SQL's trees have at most: 16**6 leaves.
+_DEPTH = 6
+
+
+def _duck_tree(name: str) -> str:
+    """From name_0 (tree, nth, digest, size) the levels above, and for each level what stands left and right of a node."""
+    out = []
+    for k in range(_DEPTH):
+        other = "string_agg(digest, '') OVER (PARTITION BY tree, nth // 16 ORDER BY nth ROWS BETWEEN {})"
+        out.append(f"{name}_{k}s AS (SELECT *, coalesce({other.format('UNBOUNDED PRECEDING AND 1 PRECEDING')}, '') AS lefts, coalesce({other.format('1 FOLLOWING AND UNBOUNDED FOLLOWING')}, '') AS rights FROM {name}_{k})")
+        out.append(f"{name}_{k + 1} AS (SELECT tree, nth // 16 AS nth, CASE WHEN any_value(size) > 1 THEN sha256(string_agg(digest, '' ORDER BY nth)) ELSE any_value(digest) END AS digest, (any_value(size) + 15) // 16 AS size FROM {name}_{k} GROUP BY tree, nth // 16)")
+    return ",\n".join(out)
+
+
+def _duck_folds(rows: str, name: str, to: str) -> str:
+    """rows (doc_id, leaf, tree, nth, folded, proof, ...) folded up the levels of name."""
+    out, last = [], rows
+    for k in range(_DEPTH):
+        new = f"{to}_{k}"
+        out.append(f"{new} AS (SELECT f.* REPLACE (CASE WHEN s.size > 1 THEN sha256(s.lefts || f.folded || s.rights) ELSE f.folded END AS folded, f.proof || s.lefts || s.rights AS proof, f.nth // 16 AS nth) FROM {last} f JOIN {name}_{k}s s ON s.tree IS NOT DISTINCT FROM f.tree AND s.nth = f.nth)")
+        last = new
+    return ",\n".join(out)
+
+
+OP12_SQL = f"""
+WITH l AS (SELECT doc_id, source, {_duck_leaf("text")} AS leaf, CASE WHEN {_duck_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {_duck_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_duck_leaf("text")} END AS changed FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS nth, count(*) OVER (PARTITION BY source) AS size FROM l),
+n_0 AS (SELECT source AS tree, nth, leaf AS digest, size FROM p),
+{_duck_tree("n")},
+r AS (SELECT tree AS source, digest AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS place, count(*) OVER () AS size FROM n_{_DEPTH}),
+m_0 AS (SELECT 0 AS tree, place AS nth, subroot AS digest, size FROM r),
+{_duck_tree("m")},
+f AS (SELECT doc_id, leaf, source AS tree, nth, changed AS folded, '' AS proof FROM p),
+{_duck_folds("f", "n", "f")},
+g AS (SELECT f.doc_id, f.leaf, r.subroot, 0 AS tree, r.place AS nth, f.folded, f.proof FROM f_{_DEPTH - 1} f JOIN r ON r.source IS NOT DISTINCT FROM f.tree),
+{_duck_folds("g", "m", "g")}
+SELECT g.doc_id, g.leaf, g.subroot, m.digest AS root, sha256(g.proof) AS proof_sha256, g.folded AS folded_root, g.folded = m.digest AS verified FROM g_{_DEPTH - 1} g, m_{_DEPTH} m
+"""
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+_WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_COST = "CASE WHEN g.fault = 't' THEN 3 ELSE 0 END"
+_SAME = "IS NOT DISTINCT FROM"
+
+
+def _duck_before(state: int) -> str:
+    """The least cost of deleting, keeping or re-roling a turn in a state, from the costs after it."""
+    put = (2, 2, 3, 2)[state]
+    kept = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}[state]
+    keep = "CASE g.x " + " ".join(f"WHEN '{x}' THEN {_COST} + c.c{to}" for x, to in kept.items()) + " END"
+    return f"least(4 + c.c{state}, CASE WHEN g.fault NOT IN ('b', 'd') THEN least({keep}, 3 + {_COST} + c.c{put}) END)"
+
+
+def _duck_state(by: dict[str, str]) -> str:
+    return "CASE t.state " + " ".join(f"WHEN {s} THEN {v}" for s, v in by.items()) + " END"
+
+
+_HERE = _duck_state({s: f"c.c{s}" for s in range(4)})
+_AFTER = _duck_state({s: f"n.c{s}" for s in range(4)})
+_PUT = _duck_state({0: "2", 1: "2", 2: "3", 3: "2"})
+_PUT_HERE = _duck_state({0: "c.c2", 1: "c.c2", 2: "c.c3", 3: "c.c2"})
+_PUT_AFTER = _duck_state({0: "n.c2", 1: "n.c2", 2: "n.c3", 3: "n.c2"})
+_KEEP = "CASE t.state || g.x WHEN '0s' THEN 1 WHEN '0u' THEN 2 WHEN '1u' THEN 2 WHEN '2a' THEN 3 WHEN '3u' THEN 2 END"
+_KEEP_AFTER = "CASE t.state || g.x WHEN '0s' THEN n.c1 WHEN '0u' THEN n.c2 WHEN '1u' THEN n.c2 WHEN '2a' THEN n.c3 WHEN '3u' THEN n.c2 END"
+_LETTER = f"""CASE WHEN g.i IS NOT NULL AND {_HERE} = 4 + {_AFTER} THEN 'D' WHEN {_HERE} = 3 + {_PUT_HERE} THEN 'I'
+    WHEN g.fault NOT IN ('b', 'd') AND {_HERE} = {_COST} + {_KEEP_AFTER} THEN 'K' WHEN g.fault NOT IN ('b', 'd') AND {_HERE} = 3 + {_COST} + {_PUT_AFTER} THEN 'R' END"""
+_PUT_ROLE = f"CASE {_PUT} WHEN 2 THEN 'user' ELSE 'assistant' END"
+OP13_SQL = f"""
+WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_duck_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS roll FROM conversations),
+e AS (SELECT conv_id, turn, CASE roll WHEN 4 THEN 'user' ELSE role END AS role, CASE roll WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE roll WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM r WHERE roll <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM e),
+q AS (SELECT *, left(role, 1) AS x, right(rtrim(text, {_WS}), 1) AS ending, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM o),
+g AS MATERIALIZED (SELECT *, CASE WHEN ending = '' THEN 'b' WHEN again THEN 'd' WHEN ending NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM q),
+s AS MATERIALIZED (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY 1),
+c AS MATERIALIZED (SELECT conv_id, n AS i, 0 AS c0, 6 AS c1, 3 AS c2, 0 AS c3 FROM s
+  UNION ALL SELECT conv_id, i, least(b0, 3 + c2), least(b1, 3 + c2), c2, c3 FROM (SELECT *, least(b2, 3 + b3) AS c2, least(b3, 3 + b2) AS c3
+    FROM (SELECT c.conv_id, c.i - 1 AS i, {", ".join(f"{_duck_before(k)} AS b{k}" for k in range(4))} FROM c JOIN g ON g.conv_id {_SAME} c.conv_id AND g.i = c.i))),
+t AS MATERIALIZED (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, '' AS audit, '' AS repaired, false AS done FROM s
+  UNION ALL SELECT conv_id, i + CASE WHEN letter IN ('D', 'K', 'R') THEN 1 ELSE 0 END, CASE letter WHEN 'K' THEN keep WHEN 'I' THEN put WHEN 'R' THEN put ELSE state END, audit || coalesce(letter, ''),
+      repaired || CASE WHEN letter IN ('I', 'K', 'R') AND repaired <> '' THEN chr(10) ELSE '' END || CASE letter WHEN 'K' THEN role || ':' || text WHEN 'I' THEN put_role || ':' WHEN 'R' THEN put_role || ':' || text ELSE '' END, letter IS NULL
+    FROM (SELECT t.*, {_LETTER} AS letter, {_KEEP} AS keep, {_PUT} AS put, {_PUT_ROLE} AS put_role, g.role, g.text FROM t JOIN c ON c.conv_id {_SAME} t.conv_id AND c.i = t.i
+      LEFT JOIN g ON g.conv_id {_SAME} t.conv_id AND g.i = t.i + 1 LEFT JOIN c AS n ON n.conv_id {_SAME} t.conv_id AND n.i = t.i + 1 WHERE NOT t.done))
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(c.c0, 0) AS BIGINT) AS cost, coalesce(t.audit, '') AS audit, sha256(coalesce(t.repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN s ON s.conv_id {_SAME} a.conv_id LEFT JOIN c ON c.conv_id {_SAME} a.conv_id AND c.i = 0 LEFT JOIN t ON t.conv_id {_SAME} a.conv_id AND t.done
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity_chain": op2_toxicity_chain,
@@ -212,6 +318,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_cross_entropy_difference": op9_cross_entropy_difference,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -219,4 +327,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_secret_scan": OP4_SQL,
     "op5_personal_data": OP5_SQL,
     "op7_sainte_lague_mix": OP7_SQL,
+    "op12_merkle_manifest": OP12_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
