@@ -11,6 +11,7 @@ from noticelake.llm import bpe, licenses, lm, manifest, mixing, neighbours, pii,
 from noticelake.llm import spans as S
 from noticelake.llm.common import documents, table
 from noticelake.llm.dedup import near_duplicates
+from noticelake.llm.overlap import jaccard_join
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +202,10 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.check_against_tampered(table(spark, sf_dir, "documents"))
 
@@ -318,6 +323,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_cross_entropy_difference": op9_cross_entropy_difference,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_conversation_repair": op13_conversation_repair,
 }
