@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticelake.plans import assessment, changes, documents, functions, operations, reports, sources, streaming  # noqa: F401  registers its queries
+from noticelake.plans import assessment, changes, documents, functions, operations, reports, sinks, sources, streaming  # noqa: F401  registers its queries
 from noticelake.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
