@@ -1,4 +1,4 @@
-"""Documents: language, bundles, retrieval of evidence, quotes, duplicates, packing."""
+"""Documents: language, bundles, duplicates, sections, packing."""
 
 from __future__ import annotations
 
@@ -128,26 +128,6 @@ def new_versions(uploads: DataFrame, versions: DataFrame, content: str) -> DataF
     return h(uploads).join(h(versions).select("_hash"), "_hash", "left_anti").drop("_hash")
 
 
-def retrieve_evidence(requirements: DataFrame, sections: DataFrame, k: int = 8, chars: int = 12_000) -> DataFrame:
-    """(req_id, text) and (section_id, text) -> (req_id, section_id, score, position).
-
-    An inverted index: distinct tokens of both sides meet, and the overlap is
-    the score.  Sections in the order of score and id *as text* are taken while
-    they fit the budget; what is too big is skipped, however many those are.
-    ``first_by_size`` leaves out only sections that can't be taken, so a fold has
-    ``k * chars`` items at most, whatever the input.  ``sections`` may have
-    ``heading`` and ``metadata``, whose tokens count as the text's do.
-    """
-    left = requirements.select("req_id", F.explode(tokens(F.col("text"))).alias("token"))
-    more = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("heading", "metadata") if c in sections.columns]
-    right = sections.select("section_id", F.explode(tokens(F.concat_ws(" ", F.col("text"), *more))).alias("token"))
-    scores = left.join(right, "token").groupBy("req_id", "section_id").agg(F.count(F.lit(1)).alias("score"))
-    sized = scores.join(sections.select("section_id", F.length("text").cast("long").alias("size")), "section_id").withColumn("name", F.col("section_id").cast("string"))
-    first = first_by_size(sized, ["req_id"], [F.desc("score"), F.col("name")], "size", chars, k)
-    items = first.groupBy("req_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "name", "section_id", "score", "size"))).alias("items"))
-    return items.select("req_id", F.posexplode(greedy_fit(F.col("items"), chars, k)).alias("position", "x")).select("req_id", F.col("x.section_id").alias("section_id"), F.col("x.score").alias("score"), F.col("position").cast("long").alias("position"))
-
-
 def kb_sections(kb: DataFrame, key: str = "kb_id") -> DataFrame:
     """(key, content) -> (key, position, heading, text): a knowledge base cut at its ``#`` headings; what stands before the first has none."""
     parts = kb.select(key, F.posexplode(F.split("content", r"(?m)^(?=#)")).alias("position", "part")).where("trim(part) <> ''")
@@ -158,43 +138,6 @@ def kb_sections(kb: DataFrame, key: str = "kb_id") -> DataFrame:
     return parts.select(key, "position", heading.alias("heading"), F.regexp_replace(text, r"^\s+|\s+$", "").alias("text"))
 
 
-def verify_quotes(citations: DataFrame, chunks: DataFrame, normalize) -> DataFrame:
-    """(cite_id, doc_id, location, quote) and (doc_id, location, text) -> (cite_id, level), one row for each citation.
-
-    An equi-join on the document and each of the locations of a comma list,
-    then containment: ``exact`` in a cited chunk, ``normalized`` there,
-    ``document`` anywhere in the document, ``fragments`` if the parts between
-    ellipses that are longer than 15 characters follow each other there, or
-    ``quote_not_found``; ``document_missing`` without chunks.  Only cited
-    documents are put together and normalised, once each.
-    """
-    cited_docs = citations.select("doc_id").distinct()
-    chunks = chunks.join(cited_docs, "doc_id", "left_semi")
-    whole = chunks.groupBy("doc_id").agg(normalize(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("location", "text"))), lambda x: x["text"]), " ")).alias("whole"))
-    here = chunks.select("doc_id", F.col("location").cast("string").alias("place"), F.col("text").alias("chunk"))
-    has = lambda t, q: F.coalesce(F.contains(t, q), F.lit(False))
-    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    cited = citations.withColumn("row", F.monotonically_increasing_id()).withColumn("place", F.explode_outer(F.split(F.col("location").cast("string"), ","))).withColumn("place", strip(F.col("place")))
-    hits = cited.join(here, ["doc_id", "place"], "left").withColumn("exact", has(F.col("chunk"), F.col("quote")))
-    hits = hits.withColumn("normalized", F.col("exact") | has(normalize(F.col("chunk")), normalize(F.col("quote"))))
-    both = hits.groupBy("row").agg(*[F.first(c).alias(c) for c in ("cite_id", "doc_id", "quote")], F.bool_or("exact").alias("exact"), F.bool_or("normalized").alias("normalized")).join(whole, "doc_id", "left")
-
-    def follow(text: Column, quote: Column) -> Column:
-        parts = F.filter(F.transform(F.split(quote, r"\.{3,}|…"), strip), lambda x: F.length(x) > 15)
-
-        def step(at: Column, part: Column) -> Column:
-            found = F.position(part, text, at)
-            return F.when(at == 0, 0).when(found > 0, found + F.length(part)).otherwise(0)
-
-        return (F.size(parts) > 0) & (F.aggregate(F.transform(parts, lambda p: normalize(p)), F.lit(1), step) > 0)
-
-    level = (
-        F.when(F.col("whole").isNull(), "document_missing").when(F.col("exact"), "exact").when(F.col("normalized"), "normalized")
-        .when(has(F.col("whole"), normalize(F.col("quote"))), "document").when(follow(F.col("whole"), F.col("quote")), "fragments").otherwise("quote_not_found")
-    )
-    return both.select("cite_id", level.alias("level"))
-
-
 #: Providers at most; they are configuration.
 MAX_PROVIDERS = 100
 
@@ -232,17 +175,6 @@ def plan_delivery(attachments: DataFrame, providers: DataFrame) -> DataFrame:
     return best.select("notification_id", "provider_id", F.col("fit.n").cast("long").alias("attached"), (F.col("total") - F.col("fit.n")).cast("long").alias("linked"))
 
 
-def split_segments(c: Column, n: int = 4000) -> Column:
-    """Segments of up to n characters, cut at the last line break, sentence, semicolon or space of the window's second half; joined they give the text.
-
-    A regular expression takes the longest such window each time, so long texts
-    stay one pass in the JVM.
-    """
-    half = n // 2
-    pattern = rf"(?s)[\s\S]{{{half},{n - 1}}}\n|[\s\S]{{{half},{n - 2}}}\. |[\s\S]{{{half},{n - 2}}}; |[\s\S]{{{half},{n - 1}}} |[\s\S]{{1,{n}}}"
-    return F.when(F.length(c) <= n, F.array(c)).otherwise(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
-
-
 def version_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Lines added and removed between two versions, as a multiset with counts."""
     counts = lambda df, sign: df.groupBy("line").agg((sign * F.count(F.lit(1))).alias("n"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from noticelake.functions.text import hint_language, normalize_quote
 from noticelake.operators import documents as D
+from noticelake.operators import evidence as E
 from noticelake.plans.registry import register, table
 
 
@@ -93,18 +94,27 @@ def j17(spark: SparkSession, d: str) -> DataFrame:
     return D.reuse_duplicates(outcomes(spark, d), "source").select("doc_id", "master")
 
 
+_WORDS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]{{3,}}'))"
+
+
 @register(
     "j04_retrieve_evidence",
-    """WITH RECURSIVE l AS (SELECT item_id AS req_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}'))) AS token FROM benchmark), r AS (SELECT doc_id AS section_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}'))) AS token FROM documents),
-    s AS (SELECT req_id, section_id, count(*) AS score FROM l JOIN r USING (token) GROUP BY ALL),
-    o AS (SELECT req_id, section_id, score, length(text) AS size, row_number() OVER (PARTITION BY req_id ORDER BY score DESC, CAST(section_id AS VARCHAR)) AS turn FROM s JOIN documents ON doc_id = section_id WHERE length(text) <= 12000),
-    f AS (SELECT req_id, CAST(0 AS BIGINT) AS turn, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS section_id, CAST(NULL AS BIGINT) AS score, false AS taken FROM (SELECT DISTINCT req_id FROM o)
-      UNION ALL SELECT o.req_id, o.turn, CASE WHEN f.used + o.size <= 12000 AND f.n < 8 THEN f.used + o.size ELSE f.used END, CASE WHEN f.used + o.size <= 12000 AND f.n < 8 THEN f.n + 1 ELSE f.n END, o.section_id, o.score, f.used + o.size <= 12000 AND f.n < 8 FROM f JOIN o ON o.req_id = f.req_id AND o.turn = f.turn + 1 AND f.n < 8)
-    SELECT req_id, section_id, score, n - 1 AS position FROM f WHERE taken""",
+    f"""WITH RECURSIVE l AS (SELECT item_id AS req_id, unnest({_WORDS.format("text")}) AS token FROM benchmark), d AS (SELECT doc_id AS section_id, split_part(text, chr(10), 1) AS heading, substr(text, strpos(text, chr(10)) + 1) AS body, 'kind ' || source || ' in language ' || lang AS metadata FROM documents WHERE text IS NOT NULL),
+    r AS (SELECT section_id, length(heading) + length(body) AS size, unnest({_WORDS.format("heading || ' ' || body || ' ' || metadata")}) AS token FROM d),
+    s AS (SELECT req_id, section_id, any_value(size) AS size, count(*) AS score, string_agg('keyword:' || token, ',' ORDER BY token) AS signals FROM l JOIN r USING (token) GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY score DESC, CAST(section_id AS VARCHAR)) AS turn FROM s WHERE size <= 12000),
+    f AS (SELECT req_id, CAST(0 AS BIGINT) AS turn, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS section_id, CAST(NULL AS BIGINT) AS score, CAST(NULL AS VARCHAR) AS signals, false AS taken FROM (SELECT DISTINCT req_id FROM o)
+      UNION ALL SELECT o.req_id, o.turn, CASE WHEN f.used + o.size <= 12000 AND f.n < 8 THEN f.used + o.size ELSE f.used END, CASE WHEN f.used + o.size <= 12000 AND f.n < 8 THEN f.n + 1 ELSE f.n END, o.section_id, o.score, o.signals, f.used + o.size <= 12000 AND f.n < 8 FROM f JOIN o ON o.req_id = f.req_id AND o.turn = f.turn + 1 AND f.n < 8)
+    SELECT req_id, section_id, score, n - 1 AS position, signals FROM f WHERE taken""",
 )
 def j04(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as sections: the first line as heading, the rest as text, source and language as metadata."""
     reqs = table(spark, d, "benchmark").select(F.col("item_id").alias("req_id"), "text")
-    return D.retrieve_evidence(reqs, table(spark, d, "documents").select(F.col("doc_id").alias("section_id"), "text"))
+    heading = F.split_part("text", F.lit("\n"), F.lit(1))
+    body = F.substring(F.col("text"), F.instr("text", "\n") + 1, F.length("text"))
+    metadata = F.concat(F.lit("kind "), F.col("source"), F.lit(" in language "), F.col("lang"))
+    sections = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("section_id"), heading.alias("heading"), body.alias("text"), metadata.alias("metadata"))
+    return E.retrieve_evidence(reqs, sections).withColumn("signals", F.array_join("signals", ","))
 
 
 @register("j04_kb_sections", "SELECT p_partkey AS kb_id, 0 AS position, NULL AS heading, p_name AS text FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 1 - (p_partkey % 2), 'Scope', p_type FROM part UNION ALL SELECT p_partkey, 2 - (p_partkey % 2), p_brand, 'size' || chr(10) || p_size FROM part")
@@ -117,22 +127,38 @@ def j04_sections(spark: SparkSession, d: str) -> DataFrame:
 _CHUNKS = "c AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS location, unnest(string_split(text, chr(10))) AS text FROM documents)"
 
 
+_NORM = "trim(regexp_replace(translate({}, chr(160) || chr(10) || chr(13) || chr(9), '    '), ' +', ' ', 'g'))"
+_PIECE = "trim(split_part(quote, ' ... ', {}))"
+
+
 @register(
     "j05_verify_quotes",
-    f"""WITH {_CHUNKS}, q AS (SELECT doc_id AS cite_id, CASE doc_id % 10 WHEN 9 THEN -doc_id ELSE doc_id END AS doc_id, location + CASE doc_id % 4 WHEN 2 THEN 1 ELSE 0 END AS location,
-      CASE doc_id % 4 WHEN 0 THEN substr(text, 1, 40) WHEN 1 THEN replace(substr(text, 1, 40), ' ', '  ') WHEN 2 THEN substr(text, 1, 40) ELSE substr(text, 1, 20) || 'zzzqqq' END AS quote FROM c WHERE location = 1),
-    w AS (SELECT doc_id, string_agg(text, ' ' ORDER BY location) AS whole FROM c GROUP BY 1),
-    b AS (SELECT cite_id, quote, c.text AS chunk, whole FROM q LEFT JOIN c ON c.doc_id = q.doc_id AND c.location = q.location LEFT JOIN w ON w.doc_id = q.doc_id),
-    n AS (SELECT *, trim(regexp_replace(translate(chunk, chr(160) || chr(10) || chr(13) || chr(9), '    '), ' +', ' ', 'g')) AS nc, trim(regexp_replace(translate(whole, chr(160) || chr(10) || chr(13) || chr(9), '    '), ' +', ' ', 'g')) AS nw, trim(regexp_replace(translate(quote, chr(160) || chr(10) || chr(13) || chr(9), '    '), ' +', ' ', 'g')) AS nq FROM b)
-    SELECT cite_id, CASE WHEN whole IS NULL THEN 'document_missing' WHEN contains(chunk, quote) THEN 'exact' WHEN contains(nc, nq) THEN 'normalized' WHEN contains(nw, nq) THEN 'document' ELSE 'quote_not_found' END AS level FROM n""",
+    f"""WITH {_CHUNKS}, n AS (SELECT *, {_NORM.format("text")} AS norm FROM c),
+    p AS (SELECT *, coalesce(sum(CASE WHEN norm <> '' THEN length(norm) + 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY location ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS begins FROM n),
+    w AS (SELECT doc_id, string_agg(norm, ' ' ORDER BY location) FILTER (norm <> '') AS whole, count(*) AS lines, max(CASE WHEN location = 1 THEN text END) AS a, max(CASE WHEN location = 2 THEN text END) AS b, arg_max(text, location) AS z FROM p GROUP BY 1),
+    q AS (SELECT doc_id AS cite_id, CASE doc_id % 10 WHEN 9 THEN -doc_id - 1 ELSE doc_id END AS doc_id, CASE doc_id % 10 WHEN 2 THEN ['line:2'] WHEN 5 THEN ['line:1', 'line:2'] WHEN 7 THEN ['page:99'] ELSE ['line:1'] END AS cited,
+      CASE doc_id % 10 WHEN 1 THEN replace(substr(a, 1, 40), ' ', '  ') WHEN 3 THEN substr(a, 1, 20) || 'zzzqqq' WHEN 4 THEN substr(a, 1, 24) || ' ... ' || right(z, 24) WHEN 5 THEN coalesce(b, 'no second line') WHEN 6 THEN right(a, 12) || ' ' || substr(b, 1, 12) WHEN 8 THEN '' ELSE substr(a, 1, 40) END AS quote FROM w),
+    j AS (SELECT q.cite_id, q.doc_id, q.quote, coalesce({_NORM.format("q.quote")}, '') AS nq, coalesce(w.whole, '') AS whole, w.doc_id IS NULL AS missing FROM q LEFT JOIN w ON w.doc_id = q.doc_id),
+    m AS (SELECT cite_id, count(p.doc_id) AS cited, min(CASE WHEN contains(p.text, q.quote) THEN p.location END) AS exact, min(CASE WHEN contains(p.norm, {_NORM.format("q.quote")}) THEN p.location END) AS near FROM q LEFT JOIN p ON p.doc_id = q.doc_id AND list_contains(q.cited, 'line:' || p.location) GROUP BY 1),
+    f AS (SELECT j.*, m.* EXCLUDE (cite_id), CASE WHEN nq <> '' THEN strpos(whole, nq) ELSE 0 END AS spot, list_filter([{_PIECE.format(1)}, {_PIECE.format(2)}], lambda x: length(x) > 15) AS pieces FROM j JOIN m USING (cite_id)),
+    g AS (SELECT *, CASE WHEN len(pieces) > 0 THEN strpos(whole, {_NORM.format("pieces[1]")}) ELSE 0 END AS one, CASE WHEN len(pieces) > 1 THEN strpos(substr(whole, strpos(whole, {_NORM.format("pieces[1]")}) + length({_NORM.format("pieces[1]")})), {_NORM.format("pieces[2]")}) ELSE 1 END AS two FROM f),
+    h AS (SELECT *, CASE WHEN missing THEN 'document_missing' WHEN cited = 0 THEN 'location_unknown' WHEN coalesce(quote, '') = '' THEN 'empty_quote' WHEN exact IS NOT NULL THEN 'exact' WHEN nq <> '' AND near IS NOT NULL THEN 'normalized' WHEN spot > 0 THEN 'document' WHEN one > 0 AND two > 0 THEN 'fragments' ELSE 'quote_not_found' END AS level FROM g)
+    SELECT cite_id, level, CASE level WHEN 'exact' THEN 'line:' || exact WHEN 'normalized' THEN 'line:' || near WHEN 'document' THEN (SELECT 'line:' || max(location) FROM p WHERE p.doc_id = h.doc_id AND norm <> '' AND begins <= spot) WHEN 'fragments' THEN (SELECT 'line:' || max(location) FROM p WHERE p.doc_id = h.doc_id AND norm <> '' AND begins <= one) END AS found_at FROM h""",
 )
 def j05(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    chunks = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("location", "text")).withColumn("location", F.col("location") + 1)
-    k = F.col("doc_id") % 4
-    quote = F.when(k == 1, F.replace(F.substring("text", 1, 40), F.lit(" "), F.lit("  "))).when(k == 3, F.concat(F.substring("text", 1, 20), F.lit("zzzqqq"))).otherwise(F.substring("text", 1, 40))
-    cites = chunks.where("location = 1").select(F.col("doc_id").alias("cite_id"), F.when(F.col("doc_id") % 10 == 9, -F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), (F.col("location") + F.when(k == 2, 1).otherwise(0)).alias("location"), quote.alias("quote"))
-    return D.verify_quotes(cites, chunks, normalize_quote)
+    """Lines as chunks; citations right, spaced, of another line, invented, with an ellipsis, with two locations, across lines, with unknown locations, empty, and of unknown documents."""
+    docs = table(spark, d, "documents").where("text is not null")
+    chunks = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "text")).select("doc_id", F.concat(F.lit("line:"), (F.col("k") + 1).cast("string")).alias("location"), "text")
+    k, lines = (F.col("doc_id") % 10).cast("int"), F.split("text", "\n")
+    a, b, z = F.get("lines", 0), F.get("lines", 1), F.element_at("lines", -1)
+    start, end = lambda c, n: F.substring(c, 1, n), lambda c, n: F.right(c, F.lit(n))
+    quote = (
+        F.when(k == 1, F.replace(start(a, 40), F.lit(" "), F.lit("  "))).when(k == 3, F.concat(start(a, 20), F.lit("zzzqqq"))).when(k == 4, F.concat(start(a, 24), F.lit(" ... "), end(z, 24)))
+        .when(k == 5, F.coalesce(b, F.lit("no second line"))).when(k == 6, F.concat(end(a, 12), F.lit(" "), start(b, 12))).when(k == 8, "").otherwise(start(a, 40))
+    )
+    cited = F.when(k == 2, "line:2").when(k == 5, "line:1, line:2").when(k == 7, "page:99").otherwise("line:1")
+    cites = docs.withColumn("lines", lines).select(F.col("doc_id").alias("cite_id"), F.when(k == 9, -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("doc_id"), cited.alias("location"), quote.alias("quote"))
+    return E.verify_quotes(cites, chunks, lambda c: normalize_quote(c, nfkc=True))
 
 
 @register(
@@ -166,10 +192,19 @@ def w08(spark: SparkSession, d: str) -> DataFrame:
     return taken.select("source", F.size("taken").cast("long").alias("n"), F.aggregate("taken", F.lit(0).cast("long"), lambda acc, x: acc + x["size"]).alias("used"))
 
 
-@register("t01_split_segments", "SELECT doc_id, sha256(text) AS joined, true AS bounded FROM documents")
+@register(
+    "t01_split_segments",
+    """WITH RECURSIVE d AS (SELECT doc_id, location, text FROM (SELECT doc_id, 'all' AS location, text FROM documents UNION ALL SELECT doc_id, 'line:1', split_part(text, chr(10), 1) FROM documents) WHERE text <> ''),
+    s AS (SELECT doc_id, location, CAST(-1 AS BIGINT) AS part, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS next FROM d
+      UNION ALL SELECT doc_id, location, part + 1, next, next + CASE WHEN length(rest) <= 1000 THEN length(rest) WHEN cut = 0 THEN 1000 ELSE 1001 - cut END
+      FROM (SELECT *, substr(text, next + 1) AS rest, coalesce(list_min(list_filter([strpos(back, ' '), strpos(back, chr(10))], lambda x: x > 0)), 0) AS cut FROM (SELECT s.*, d.text, reverse(substr(d.text, next + 501, 500)) AS back FROM s JOIN d USING (doc_id, location) WHERE next < length(d.text))))
+    SELECT doc_id, location, part, start, next - start AS n, sha256(substr(text, start + 1, next - start)) AS text FROM s JOIN d USING (doc_id, location) WHERE part >= 0""",
+)
 def t01(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "documents").select("doc_id", D.split_segments(F.col("text"), 1000).alias("s"))
-    return s.select("doc_id", F.sha2(F.array_join("s", ""), 256).alias("joined"), F.forall("s", lambda x: F.length(x) <= 1000).alias("bounded"))
+    docs = table(spark, d, "documents")
+    chunks = docs.select("doc_id", F.lit("all").alias("location"), "text").unionByName(docs.select("doc_id", F.lit("line:1").alias("location"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("text")))
+    parts = E.split_chunks(chunks, 1000)
+    return parts.select("doc_id", "location", F.col("part").cast("long").alias("part"), F.col("start").cast("long").alias("start"), F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("text"))
 
 
 @register("t04_flatten_sections", f"WITH {_CHUNKS} SELECT doc_id, 'section:' || location AS location, length(text) AS n_chars FROM c WHERE trim(text) <> '' UNION ALL SELECT doc_id, 'document', length(text) FROM documents WHERE trim(replace(text, chr(10), '')) = ''")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import unicodedata
 from urllib.parse import urljoin
@@ -13,6 +14,7 @@ from noticelake.functions import time as C
 from noticelake.functions import urls as U
 from noticelake.operators import changes as X
 from noticelake.operators import documents as D
+from noticelake.operators import evidence as E
 
 
 def one(spark, column, *values):
@@ -90,8 +92,14 @@ def test_delivery_limits(spark):
 
 def test_segments(spark):
     text = ("word " * 3000) + "x" * 9000
-    parts = one(spark, lambda c: D.split_segments(c, 1000), text)
+    parts = one(spark, lambda c: E.split_segments(c, 1000), text)
     assert "".join(parts) == text and max(map(len, parts)) <= 1000
+    at = "x" * 600 + "\n" + "y" * 300 + ". " + "z" * 500  # a later sentence goes before an earlier line break
+    assert [len(p) for p in one(spark, lambda c: E.split_segments(c, 1000), at)] == [903, 500]
+    assert one(spark, lambda c: E.split_segments(c, 1000), "") == [] and one(spark, lambda c: E.split_segments(c, 10), "ab cd") == ["ab cd"]
+    assert one(spark, lambda c: E.split_segments(c, 10), "ab" * 6) == ["ab" * 5, "ab"]
+    got = E.split_chunks(spark.createDataFrame([(1, "page:2", "aaaa bbbb cccc"), (1, "page:3", "")], "doc_id int, location string, text string"), 10).collect()
+    assert [tuple(r) for r in got] == [(1, "page:2", 0, 0, "aaaa bbbb "), (1, "page:2", 1, 10, "cccc")]
 
 
 def test_evidence_behind_many_sections_that_do_not_fit(spark):
@@ -99,7 +107,7 @@ def test_evidence_behind_many_sections_that_do_not_fit(spark):
     small = [(1000 + i, "alpha beta" + " " * (i % 3)) for i in range(30)]
     sections = spark.createDataFrame(big + small, "section_id int, text string")
     reqs = spark.createDataFrame([(1, "alpha beta gamma")], "req_id int, text string")
-    got = sorted((r.position, r.section_id, r.score) for r in D.retrieve_evidence(reqs, sections, 3, 100).collect())
+    got = sorted((r.position, r.section_id, r.score) for r in E.retrieve_evidence(reqs, sections, 3, 100).collect())
     assert got == [(0, 1000, 2), (1, 1001, 2), (2, 1002, 2)]
 
 
@@ -115,26 +123,90 @@ def test_evidence_equals_a_plain_walk(spark):
             if score and taken < 4 and used + n <= 90:
                 want.append((r, i, -score, taken))
                 taken, used = taken + 1, used + n
-    out = D.retrieve_evidence(spark.createDataFrame(reqs, "req_id int, text string"), spark.createDataFrame(sections, "section_id int, text string"), 4, 90)
+    out = E.retrieve_evidence(spark.createDataFrame(reqs, "req_id int, text string"), spark.createDataFrame(sections, "section_id int, text string"), 4, 90)
     assert sorted(map(tuple, out.select("req_id", "section_id", "score", "position").collect())) == sorted(want)
 
 
+def test_segments_are_a_plain_walk(spark):
+    r, n, texts = random.Random(3), 20, []
+    for _ in range(200):
+        texts.append("".join(r.choice("ab .;\né𝄞") for _ in range(r.randint(0, 90))))
+    for text, got in spark.createDataFrame([(t,) for t in texts], "t string").select("t", E.split_segments(F.col("t"), n)).collect():
+        want, start = [], 0
+        while start < len(text):
+            end = min(start + n, len(text))
+            if end < len(text):
+                cut = max(text.rfind(mark, start + n // 2, end) for mark in ("\n", ". ", "; ", " "))
+                end = cut + 1 if cut > start else end
+            want.append(text[start:end])
+            start = end
+        assert got == want
+
+
+def test_sections_that_stand(spark):
+    """What is kept is enough for the walk, and little."""
+    r = random.Random(1)
+    for _ in range(40):
+        rows = [(-r.randint(1, 6), str(i), r.randint(1, 60)) for i in range(300)]
+        standing = E.Standing(4)
+        for k in range(0, 300, 50):
+            standing.add([x for x in rows[k : k + 50] if standing.possible(-x[0], x[2])])
+
+        def walk(entries):
+            out, used = [], 0
+            for e in sorted(entries):
+                if len(out) < 4 and used + e[2] <= 70:
+                    out.append(e)
+                    used += e[2]
+            return out
+
+        assert walk(standing.kept) == walk(rows) and len(standing.kept) < 60
+
+
+def test_evidence_in_blocks_of_requirements_with_headings(spark):
+    sections = [(i, f"h{i % 7:03} head", f"body{i % 5:03} text" + "." * (i % 9), f"tag{i % 3:03}") for i in range(300)]
+    reqs = [(r, f"h{r:03} body{r % 5:03} tag{r % 3:03} nothing") for r in range(9)] + [(20, ""), (21, None)]
+    df = spark.createDataFrame(sections, "section_id long, heading string, text string, metadata string")
+    ask = spark.createDataFrame(reqs, "req_id long, text string")
+    one_pass, many = (sorted(map(tuple, E.retrieve_evidence(ask, df, 5, 100, n).withColumn("signals", F.array_join("signals", " ")).collect())) for n in (1 << 20, 6))
+    assert one_pass == many and {x[0] for x in many} == set(range(9))
+    want = []
+    for r, text in reqs[:9]:
+        ranked, used, taken = sorted((-len(set(re.findall("[a-z0-9]{3,}", " ".join(s[1:]))) & set(text.split())), str(s[0]), s) for s in sections), 0, 0
+        for score, _, s in ranked:
+            size = len(s[1]) + len(s[2])
+            if score and taken < 5 and used + size <= 100:
+                common = sorted(set(re.findall("[a-z0-9]{3,}", " ".join(s[1:]))) & set(text.split()))
+                want.append((r, s[0], -score, taken, " ".join(f"keyword:{w}" for w in common)))
+                used, taken = used + size, taken + 1
+    assert many == sorted(want)
+    assert E.retrieve_evidence(ask.limit(0), df).collect() == [] and E.retrieve_evidence(ask, df.limit(0)).collect() == []
+
+
 def test_quotes_with_ellipses_and_lists_of_locations(spark):
-    chunks = spark.createDataFrame([(1, "section:1", "Bidders shall submit a valid tax clearance"), (1, "section:2", "certificate and three  years of audited accounts.")], "doc_id int, location string, text string")
+    chunks = spark.createDataFrame([(1, "section:1", "Bidders shall submit a valid tax clearance"), (1, "section:2", "certificate and three  years of audited accounts."), (3, "page:1", "one"), (3, "page:10", "ten"), (3, "page:2", "two ﬁnal")], "doc_id int, location string, text string")
     cites = [
-        (1, 1, "section:1", "Bidders shall submit ... years of audited accounts", "fragments"),
-        (2, 1, "section:1", "Bidders shall submit… and …three years of audited", "fragments"),
-        (3, 1, "section:1", "years of audited accounts ... Bidders shall submit", "quote_not_found"),
-        (4, 1, "section:1", "Bidders ... shall", "quote_not_found"),
-        (5, 1, "section:1", "Bidders shall submit ... invented words in place", "quote_not_found"),
-        (6, 1, "section:9, section:2", "certificate and", "exact"),
-        (7, 1, "section:1, section:2", "and three years", "normalized"),
-        (8, 1, "section:1,section:9", "clearance certificate", "document"),
-        (9, 1, None, "valid tax", "document"),
-        (10, 2, "section:1", "valid tax", "document_missing"),
+        (1, 1, "section:1", "Bidders shall submit ... years of audited accounts", "fragments", "section:1"),
+        (2, 1, "section:1", "Bidders shall submit… and …three years of audited", "fragments", "section:1"),
+        (3, 1, "section:1", "years of audited accounts ... Bidders shall submit", "quote_not_found", None),
+        (4, 1, "section:1", "Bidders ... shall", "quote_not_found", None),
+        (5, 1, "section:1", "Bidders shall submit ... invented words in place", "quote_not_found", None),
+        (6, 1, "section:9, section:2", "certificate and", "exact", "section:2"),
+        (7, 1, "section:1, section:2", "and three years", "normalized", "section:2"),
+        (8, 1, "section:1,section:9", "clearance certificate", "document", "section:1"),
+        (9, 1, None, "valid tax", "location_unknown", None),
+        (10, 2, "section:1", "valid tax", "document_missing", None),
+        (11, 1, "page:99", "valid tax", "location_unknown", None),
+        (12, 1, "section:1", "", "empty_quote", None),
+        (13, 1, "section:2", None, "empty_quote", None),
+        (14, 3, "page:1", "one two", "document", "page:1"),
+        (15, 3, "page:1", "two final ten", "document", "page:2"),
+        (16, 3, "page:1", "one ten", "quote_not_found", None),
+        (17, 1, "section:1", "years of audited accounts", "document", "section:2"),
     ]
-    out = D.verify_quotes(spark.createDataFrame(cites, "cite_id int, doc_id int, location string, quote string, want string").drop("want"), chunks, T.normalize_quote)
-    assert sorted(map(tuple, out.collect())) == [(c[0], c[-1]) for c in cites]
+    for folded, skipped in ((True, ()), (False, (15,))):
+        out = E.verify_quotes(spark.createDataFrame(cites, "cite_id int, doc_id int, location string, quote string, want string, at string").drop("want", "at"), chunks, lambda c: T.normalize_quote(c, nfkc=folded))  # noqa: B023
+        assert sorted(tuple(r) for r in out.collect() if r.cite_id not in skipped) == [(c[0], *c[4:]) for c in cites if c[0] not in skipped]
 
 
 def test_crawl_ends_at_a_declared_total_or_a_visited_url(spark):
