@@ -138,19 +138,63 @@ def is_valid_email(c: Column) -> Column:
     return F.coalesce(c.rlike(shape) & (F.length(c) <= 255) & (F.length(F.split_part(c, F.lit("@"), F.lit(2))) <= 253), F.lit(False))
 
 
-SECRET_WORDS = "password|passwd|secret|token|api_?key|authorization"
+# Names of secrets; hyphens and letter case don't matter.
+SECRET_KEYS = ("api_key", "apikey", "password", "passwd", "secret", "token", "authorization", "auth", "credential", "credentials", "private_key", "access_token", "refresh_token")
+REDACTED = "[REDACTED]"
+_NAMES = "(?:" + "|".join(k.replace("_", "[-_]") for k in SECRET_KEYS) + ")"
+
+
+def is_secret_key(key: Column) -> Column:
+    """Whether a name is a secret's, ends with ``_`` and one, or begins with one and ``_``."""
+    return F.coalesce(key.rlike(rf"(?i)^(?:(?:.*[-_])?{_NAMES}|{_NAMES}[-_].*)$"), F.lit(False))
 
 
 def redact_text(c: Column) -> Column:
-    """The values of ``key=value`` and ``key: value`` with credential-like keys, masked."""
-    return F.regexp_replace(c, rf"(?i)\b({SECRET_WORDS})([ ]*[=:][ ]*)[^ \t\n\r]+", "$1$2[REDACTED]")
+    """The values of ``key=value`` and ``key: value`` with secrets' names, masked; a quoted value goes to its closing quote, a bare one to the next white space."""
+    value = r"""(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^ \t\n\r]+)"""
+    return F.regexp_replace(c, rf"(?i)\b({_NAMES})([ ]*[=:][ ]*){value}", f"$1$2{REDACTED}")
 
 
+_STRING = r'"(?:[^"\\]|\\.)*+"'
+_KEY = rf'(?i)"(?:(?:[^"\\]*[-_])?{_NAMES}|{_NAMES}[-_][^"\\]*)"\s*:'
+_FIRST = rf'^\s*({_STRING}|[^\s,]+)'
 
 
 def redact_fields(fields: Column) -> Column:
-    """A JSON text with the values of credential-like keys masked, at any depth; scalars only, as objects hold keys of their own."""
-    return F.regexp_replace(fields, rf'(?i)("(?:[a-z0-9]+_)*(?:{SECRET_WORDS})(?:_[a-z0-9]+)*"\s*:\s*)("(?:[^"\\]|\\.)*"|[0-9.eE+-]+|true|false)', '$1"[REDACTED]"')
+    """A JSON text with the values of secrets' keys masked, at any depth and whole: scalars, arrays and objects.
+
+    The text is walked by its tokens: secrets' keys, brackets, and runs of all
+    else.  After such a key a bracket opens what goes, and a counter of open
+    brackets finds its end; the walk holds the counter and the places to cut, so
+    it is linear in the text.  Texts without such a key stay as they are.
+    """
+    tokens = F.regexp_extract_all(fields, F.lit(rf'{_KEY}|[{{\[]|[}}\]]|(?:(?!{_KEY})(?:{_STRING}|[^"{{}}\[\]]|"))+'), F.lit(0))
+    place = "array<struct<begin: int, end: int>>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("open"), F.lit(False).alias("armed"), F.lit(0).alias("begin"), F.array().cast(place).alias("cuts"))
+
+    def step(acc: Column, t: Column) -> Column:
+        n, head = F.length(t), F.substring(t, 1, 1)
+        opens, closes, key = head.isin("{", "["), head.isin("}", "]"), t.rlike(rf"^{_KEY}$")
+        depth = acc["open"] + opens.cast("int") - closes.cast("int")
+        inside, masks = acc["open"] > 0, acc["armed"] & (acc["open"] == 0)
+        scalar = F.regexp_extract(t, _FIRST, 1)
+        lead = F.length(F.regexp_extract(t, r"^\s*", 0))
+        cut = F.when(inside & (depth == 0), F.struct(acc["begin"].alias("begin"), (acc["at"] + n).alias("end"))).when(masks & ~opens & ~closes & ~key & (scalar != ""), F.struct((acc["at"] + lead).alias("begin"), (acc["at"] + lead + F.length(scalar)).alias("end")))
+        return F.struct(
+            (acc["at"] + n).alias("at"), F.when(inside, depth).when(masks & opens, 1).otherwise(0).alias("open"),
+            # white space between a key and its bracket leaves the key in force
+            F.when(inside, False).when(key, True).otherwise(masks & t.rlike(r"^\s*$")).alias("armed"),
+            F.when(masks & opens, acc["at"]).otherwise(acc["begin"]).alias("begin"), F.when(cut.isNotNull(), F.array_append(acc["cuts"], cut)).otherwise(acc["cuts"]).alias("cuts"),
+        )
+
+    def masked(acc: Column) -> Column:
+        # what a missing bracket leaves open goes up to the end
+        cuts = F.when(acc["open"] > 0, F.array_append(acc["cuts"], F.struct(acc["begin"].alias("begin"), acc["at"].alias("end")))).otherwise(acc["cuts"])
+        begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("from"))
+        join = lambda out, x: F.struct(F.concat(out["out"], F.substring(fields, out["from"] + 1, x["begin"] - out["from"]), F.lit(f'"{REDACTED}"')).alias("out"), x["end"].alias("from"))
+        return F.aggregate(cuts, begin, join, lambda out: F.concat(out["out"], F.substring(fields, out["from"] + 1, F.length(fields))))
+
+    return F.when(fields.rlike(_KEY), F.aggregate(tokens, start, step, masked)).otherwise(fields)
 
 
 def content_fingerprint(fields: dict[str, Column]) -> Column:

@@ -45,16 +45,18 @@ def f03(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "f06_parse_timestamp",
-    "SELECT event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS seconds FROM events",
+    "SELECT event_id, CAST(epoch(date_trunc(CASE WHEN event_id % 9 = 6 THEN 'minute' ELSE 'second' END, ts)) AS BIGINT) AS seconds FROM events WHERE event_id % 11 <> 0 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 11 = 0",
 )
 def f06(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").withColumn("s", F.date_trunc("second", "ts"))
-    k = F.col("event_id") % 5
-    text = (
-        F.when(k == 0, F.date_format("s", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.date_format("s", "yyyy-MM-dd HH:mm:ss")).when(k == 2, F.unix_timestamp("s").cast("string"))
-        .when(k == 3, (F.unix_timestamp("s") * 1000).cast("string")).otherwise(F.concat(F.date_format("s", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" +0000")))
+    """ISO with and without a zone, epochs, and mail dates with an offset, GMT, EST, without seconds, weekday or zone; every eleventh can't be read."""
+    s = F.date_trunc("second", "ts").cast("timestamp")
+    mail = lambda ts, form, zone: F.concat(F.date_format(ts, form), F.lit(zone))
+    texts = (
+        F.date_format(s, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format(s, "yyyy-MM-dd HH:mm:ss"), F.unix_timestamp(s).cast("string"), (F.unix_timestamp(s) * 1000).cast("string"), mail(s, "EEE, d MMM yyyy HH:mm:ss", " +0000"),
+        mail(s, "EEE, dd MMM yyyy HH:mm:ss", " GMT"), mail(s, "EEE, dd MMM yyyy HH:mm", " UT"), mail(s - F.expr("INTERVAL 5 HOURS"), "d MMM yy HH:mm:ss", " EST"), mail(s, "d MMM yyyy HH:mm:ss", ""),
     )
-    return e.withColumn("text", text).select("event_id", F.unix_timestamp(C.parse_timestamp(F.col("text"))).alias("seconds"))
+    text = F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("on "), texts[5])).otherwise(F.get(F.array(*texts), (F.col("event_id") % 9).cast("int")))
+    return table(spark, d, "events").withColumn("text", text).select("event_id", F.unix_timestamp(C.parse_timestamp(F.col("text"))).alias("seconds"))
 
 
 @register("f07_dig_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -178,13 +180,22 @@ def f23_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", U.storage_key(F.col("p_partkey"), F.sha2("p_name", 256), name).alias("key"), U.bare_media_type(F.lit(" Application/PDF ; charset=x")).alias("mime"))
 
 
+_SECRETS = ("api_key", "apikey", "password", "passwd", "secret", "token", "authorization", "auth", "credential", "credentials", "private_key", "access_token", "refresh_token")
+
+
 @register(
     "f26_redact_fields",
-    """SELECT event_id, '{"a":{"api_key":"[REDACTED]","user":"u' || user_id || '","list":[{"old_password":"[REDACTED]"}]},"tokens_used":' || event_id || ',"secret":"[REDACTED]"}' AS fields FROM events""",
+    f"""WITH n AS (SELECT *, {list(_SECRETS)}[event_id % 13 + 1] AS name FROM events), k AS (SELECT *, CASE event_id % 4 WHEN 0 THEN name WHEN 1 THEN 'old_' || name WHEN 2 THEN upper(name) || '_2' ELSE replace('my-' || name, '_', '-') END AS key FROM n)
+    SELECT event_id, '{{"a":{{"' || key || '":"[REDACTED]","user":"u' || user_id || '","list":[{{"' || key || '":"[REDACTED]"}},"' || key || '"]}},"tokens_used":' || event_id || ',"' || key || '":"[REDACTED]","x_' || name || '_y":' || user_id || ', "' || key || '" : "[REDACTED]", "end": [1, {{"deep":[{{"' || key || '":"[REDACTED]"}}]}}]}}' AS fields FROM k""",
 )
 def f26_fields(spark: SparkSession, d: str) -> DataFrame:
-    doc = F.concat(F.lit('{"a":{"api_key":"k\\"1","user":"u'), F.col("user_id").cast("string"), F.lit('","list":[{"old_password":12}]},"tokens_used":'), F.col("event_id").cast("string"), F.lit(',"secret":true}'))
-    return table(spark, d, "events").select("event_id", T.redact_fields(doc).alias("fields"))
+    """All names of secrets, with prefixes, suffixes, capitals and hyphens, over texts with quotes and brackets, numbers, arrays and objects within each other."""
+    name = F.get(F.array(*map(F.lit, _SECRETS)), (F.col("event_id") % 13).cast("int"))
+    k = F.col("event_id") % 4
+    key = F.when(k == 0, name).when(k == 1, F.concat(F.lit("old_"), name)).when(k == 2, F.concat(F.upper(name), F.lit("_2"))).otherwise(F.replace(F.concat(F.lit("my-"), name), F.lit("_"), F.lit("-")))
+    form = '{{"a":{{"%s":"k\\"1}}","user":"u%d","list":[{{"%s":12}},"%s"]}},"tokens_used":%d,"%s":["a1",{{"v":[1,"]"]}},"b2"],"x_%s_y":%d, "%s" : \n{{"p":{{"q":[]}}}}, "end": [1, {{"deep":[{{"%s":null}}]}}]}}'.replace("{{", "{").replace("}}", "}")
+    doc = F.format_string(form, key, F.col("user_id"), key, key, F.col("event_id"), key, name, F.col("user_id"), key, key)
+    return table(spark, d, "events").select("event_id", F.regexp_replace(T.redact_fields(doc), r" : \n", " : ").alias("fields"))
 
 
 @register(
@@ -211,7 +222,7 @@ def f25(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "f26_redact_text",
-    r"SELECT doc_id, sha256(regexp_replace(text, '(?i)\b(password|passwd|secret|token|api_?key|authorization)([ ]*[=:][ ]*)[^ \t\n\r]+', '\1\2[REDACTED]', 'g')) AS redacted FROM documents",
+    rf"""SELECT doc_id, sha256(regexp_replace(text, '(?i)\b({"|".join(k.replace("_", "[-_]") for k in sorted(_SECRETS, reverse=True))})([ ]*[=:][ ]*)("[^"]*"|''[^'']*''|[^ \t\n\r]+)', '\1\2[REDACTED]', 'g')) AS redacted FROM documents""",
 )
 def f26(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(T.redact_text(F.col("text")), 256).alias("redacted"))

@@ -38,7 +38,8 @@ def s01(spark: SparkSession, d: str) -> DataFrame:
 def s02(spark: SparkSession, d: str) -> DataFrame:
     p, k = table(spark, d, "pages"), F.col("page_id")
     number, stamp = k.cast("string"), F.timestamp_seconds(1700000000 + k)
-    rss = F.concat(F.date_format(stamp, "d MMM yyyy HH:mm:ss"), F.lit(" +0000"))
+    mail = lambda ts, zone: F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(zone))
+    rss = F.when(k % 4 == 0, mail(stamp, " GMT")).when(k % 4 == 2, mail(stamp - F.expr("INTERVAL 5 HOURS"), " EST")).otherwise(F.concat(F.date_format(stamp, "d MMM yyyy HH:mm:ss"), F.lit(" +0000")))
     iso = F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     link = F.replace("url", F.lit("&"), F.lit("&amp;"))
     items = lambda tag, when, first: F.concat(first, F.when(k % 3 >= 1, F.concat(F.lit(f"<{tag}><guid>other</guid><link>https://f.org/n"), number, F.lit(f"x</link><{when}>"), rss if when == "pubDate" else iso, F.lit(f"</{when}></{tag}>"))).otherwise(""), F.when(k % 3 >= 2, f"<{tag}><link>https://f.org/plain</link><date>soon</date></{tag}>").otherwise(""))

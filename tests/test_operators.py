@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import unicodedata
+from datetime import timezone
+from email.utils import parsedate_to_datetime
 from urllib.parse import urljoin
 
 from pyspark.sql import functions as F
@@ -40,6 +43,57 @@ def test_relative_deadline(spark):
     assert left("3 hrs remaining") == "2026-01-01 03:00" and left("2 calendar days to go") == "2026-01-03 00:00"
 
 
+def test_relative_deadline_texts_as_written(spark):
+    raw = lambda t: tuple(one(spark, lambda a, b: F.struct(F.date_format(C.relative_deadline(a, b.cast("timestamp"))["deadline"], "yyyy-MM-dd HH:mm"), C.relative_deadline(a, b.cast("timestamp"))["raw"]), t, "2026-01-01 00:00:00"))
+    assert raw("Only 5  Days\tLEFT!") == ("2026-01-06 00:00", "5  Days\tLEFT")
+    assert raw("4000 days left, 2 hrs left") == ("2026-01-01 02:00", "2 hrs left")
+    assert raw("Tender Closing  Soon.") == (None, "Closing  Soon") and raw("Last date imminent") == (None, "Last date imminent")
+    assert raw("delivery within 5 days") == (None, None) and raw("7, days left") == (None, None) and raw("1.5 hours left") == (None, None) and raw("") == (None, None)
+
+
+def test_written_deadlines_by_tokens(spark):
+    at = lambda t: one(spark, lambda c: F.date_format(C.written_deadline(c), "yyyy-MM-dd HH:mm"), t)
+    assert at("24 September 2026 at 1.00 p.m. GMT") == "2026-09-24 13:00" and at("24 September 2026 at 12.30 am UTC") == "2026-09-24 00:30"
+    assert at("le 31 juillet 2026 à 10 h 00 WAT") == "2026-07-31 09:00" and at("31 juillet 2026 à 10h00 CEST, à") == "2026-07-31 08:00"
+    assert at("24 setembro 2026 às 14:00 gmt") == "2026-09-24 14:00" and at("24 September 2026 GMT") == "2026-09-24 00:00"
+    assert at("24 September 2026 at 13:00") is None and at("24 September 2026 at 13:00 EST") is None and at("31 February 2026 GMT") is None
+    assert at("12 copies 2026. 24 September 2026 GMT") is None and at("no date") is None and at(None) is None
+
+
+def test_mail_dates(spark):
+    at = lambda t: one(spark, lambda c: F.date_format(C.parse_timestamp(c), "yyyy-MM-dd HH:mm:ss"), t)
+    cases = ["Thu, 24 Sep 2026 13:00:00 GMT", "Thu, 24 Sep 2026 13:00 GMT", "24 Sep 2026 13:00:00 EST", "24 Sep 26 13:00 +0130", "Thu 24 September 2026 13:00:05 -0330", "24 Sep 2026 13:00:00", "1 Jan 70 00:00:00 PDT", "24 Sep 2026 13:00:00 WAT"]
+    for t in cases:
+        want = parsedate_to_datetime(t)
+        assert at(t) == (want if want.tzinfo is None else want.astimezone(timezone.utc)).strftime("%Y-%m-%d %H:%M:%S"), t
+    assert [at(t) for t in ("Thu, 24 Foo 2026 13:00 GMT", "Thu, 24 Sep 2026 25:00:00 GMT", "24 Sep", "Thu", " ", "24 Sep 2026 noon GMT")] == [None] * 6
+
+
+def test_secrets_are_masked_whole_at_any_depth(spark):
+    r = random.Random(2)
+    names = [*T.SECRET_KEYS, "user", "tokens", "x_token", "Secret-2", "a_secret_b", "AUTH", "list"]
+
+    def value(depth):
+        kind = r.randint(0, 6 if depth else 3)
+        if kind == 0:
+            return r.choice(["a\"b", "}{", "token", 'say "secret": {', "", "[é]"])
+        return r.choice([1, -2.5, True, None]) if kind < 4 else [value(depth - 1) for _ in range(r.randint(0, 3))] if kind == 4 else {r.choice(names): value(depth - 1) for _ in range(r.randint(0, 4))}
+
+    def masked(v):
+        if isinstance(v, dict):
+            secret = lambda k: any(k == s or k.endswith(f"_{s}") or k.startswith(f"{s}_") for s in T.SECRET_KEYS)
+            return {k: "[REDACTED]" if secret(k.lower().replace("-", "_")) else masked(x) for k, x in v.items()}
+        return [masked(x) for x in v] if isinstance(v, list) else v
+
+    docs = [{r.choice(names): value(4) for _ in range(3)} for _ in range(200)]
+    for indent in (None, 2):
+        texts = [(json.dumps(x, indent=indent, ensure_ascii=False),) for x in docs]
+        got = spark.createDataFrame(texts, "t string").select("t", T.redact_fields(F.col("t")).alias("r")).collect()
+        assert all(json.loads(x.r) == masked(json.loads(x.t)) for x in got)
+    assert one(spark, T.redact_fields, '{"password": [1, {"a": ') == '{"password": "[REDACTED]"' and one(spark, T.redact_fields, None) is None
+    assert one(spark, T.redact_text, "password='a b' api-key: x token=\"q\" user=me") == "password=[REDACTED] api-key: [REDACTED] token=[REDACTED] user=me"
+
+
 def test_urls(spark):
     assert one(spark, U.canonical_url, "HTTPS://A.Example.com/x/?utm_source=f&b=1#top") == "https://a.example.com/x?b=1"
     assert one(spark, U.derive_external_id, "https://a.example.com/x/?b=1") == "a.example.com/x?b=1"
