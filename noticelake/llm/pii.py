@@ -17,7 +17,13 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+"
+# Lengths of account numbers with the countries that have them (ISO 13616).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: A country's letters tell where its number ends, so that words after it don't matter.
+IBAN = "(?:" + "|".join(rf"(?:{'|'.join(names.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items()) + ")"
 KINDS = ("email", "ip", "card", "phone", "iban")
 
 #: A span's score: what its expression is worth, what a checksum adds, and what a context word nearby adds or a doubtful one takes.
@@ -65,8 +71,8 @@ def scan(df: DataFrame) -> DataFrame:
     """Appends ``base_spans`` and ``spans`` (arrays of kind, start, end, value, by kind and start), and ``scores`` of the latter.
 
     ``base_spans`` holds mail and IP addresses, card numbers that pass Luhn and
-    phone numbers; ``spans`` also account numbers that pass mod 97, if context
-    leaves them a score of ``LEAST``.  ``scores`` has one number between 0 and 1
+    phone numbers; ``spans`` also account numbers of their country's length that pass mod 97 and
+    aren't the beginning of a longer word, if context leaves them a score of ``LEAST``.  ``scores`` has one number between 0 and 1
     for each of ``spans``.  The work grows with a text's length and its matches.  Null texts count as empty and have no
     spans.  Rows are independent, so ties, repeated rows and empty tables need
     no rule; columns of the input with these names are replaced.
@@ -74,7 +80,7 @@ def scan(df: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     length = lambda s: F.length(digits(s["value"]))
     confirmed = {
-        "email": lambda s: F.lit(True), "ip": lambda s: _octets(s["value"]), "card": lambda s: length(s).between(13, 19) & luhn(s["value"]), "phone": lambda s: length(s).between(9, 15), "iban": lambda s: mod97(s["value"]),
+        "email": lambda s: F.lit(True), "ip": lambda s: _octets(s["value"]), "card": lambda s: length(s).between(13, 19) & luhn(s["value"]), "phone": lambda s: length(s).between(9, 15), "iban": lambda s: mod97(s["value"]) & ~text.substr(s["end"] + 1, F.lit(1)).rlike("[A-Z0-9]"),
     }
     out = df
     for kind, pattern in (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE), ("iban", IBAN)):

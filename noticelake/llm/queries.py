@@ -121,6 +121,7 @@ _DIGITS = "regexp_replace(s.value, '[^0-9]', '', 'g')"
 _PLAIN = "replace(s.value, ' ', '')"
 _PERCENT = "CASE s.kind " + " ".join(f"WHEN '{k}' THEN {round(100 * pii.BASE_SCORE[k] + (100 * pii.CHECKED if k in ('card', 'iban') else 0))} + CASE WHEN regexp_matches(s.near, '{pii.CONTEXT[k]}') THEN {round(100 * pii.NEARBY)} ELSE 0 END" for k in pii.KINDS) + f" END + CASE WHEN regexp_matches(s.near, '{pii.DOUBT}') THEN {round(100 * pii.DOUBTED)} ELSE 0 END"
 _MOD97 = f"list_reduce(list_transform(string_split(substr({_PLAIN}, 5) || substr({_PLAIN}, 1, 4), ''), lambda c: instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1), lambda acc, n: (CASE WHEN n > 9 THEN acc * 100 ELSE acc * 10 END + n) % 97, 0) = 1"
+_ACCOUNT = "(?:" + "|".join(f"{c}[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, cs in pii.IBAN_LENGTHS.items() for c in cs.split()) + ")"
 _NEAR = f"(substr(t, greatest(s.start - {pii.WINDOW}, 0) + 1, least(s.start, {pii.WINDOW})) || ' ' || substr(t, s.start + length(s.value) + 1, {pii.WINDOW}))"
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -129,7 +130,7 @@ b AS (SELECT doc_id,
   {_duck_spans("ip", "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", f"regexp_full_match(s.value, '{_OCTET}[.]{_OCTET}[.]{_OCTET}[.]{_OCTET}')")} AS ip,
   {_duck_spans("card", "[0-9](?:[ -]?[0-9]){12,}", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN.format(d=_DIGITS)}")} AS card,
   {_duck_spans("phone", "[+][0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15")} AS phone,
-  {_duck_spans("iban", "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")} AS accounts, t
+  {_duck_spans("iban", _ACCOUNT, "NOT regexp_matches(substr(t, s.start + length(s.value) + 1, 1), '[A-Z0-9]')")} AS accounts, t
 FROM d),
 c AS (SELECT *, list_concat(list_concat(email, ip), list_concat(card, phone)) AS base FROM b),
 e AS (SELECT *, list_filter(accounts, s -> length(replace(s.value, ' ', '')) BETWEEN 15 AND 34 AND {_MOD97}

@@ -98,6 +98,10 @@ def test_pii_checks(spark):
     assert out[2] == [("iban", "DE89 3704 0044 0532 0130 00")]
     assert out[3] == [("email", "a@b.com"), ("email", "_x@c.org"), ("ip", "10.0.0.255")]
     assert out[4] == [("phone", "+1 (988) 555-2485")]
+    rows = [(1, "IBAN DE89 3704 0044 0532 0130 00 EUR today"), (2, "account DE89 3704 0044 0532 0130 00 BIC COBADEFF, GB29NWBK60161331926819 X"), (3, "bank NO93 8601 1117 947 BE68 5390 0754 7034"), (4, "iban DE89370400440532013000X DE89 3704 0044 0532 0130 0")]
+    out = {r.doc_id: [s.value for s in r.spans] for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1] == ["DE89 3704 0044 0532 0130 00"] and out[2] == ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819"]
+    assert out[3] == ["NO93 8601 1117 947", "BE68 5390 0754 7034"] and out[4] == []
 
 
 def test_license_places(spark):
