@@ -13,6 +13,7 @@ once, under their smallest ids.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -214,8 +215,9 @@ def search(df: DataFrame, k: int = K, every: int = 100) -> DataFrame:
     vectors; ties go to the smaller ``vec_id``, and a query never finds its own
     row.  Vectors that are null, zero, or hold null or non-finite components
     take no part, nor do rows without a ``vec_id``.  Columns beyond the two are
-    not read.  Empty tables give no rows.  Recall against brute force, at
-    several sizes, is in the README.
+    not read.  Vectors of different lengths are never neighbours: each length is
+    a search of its own.  Empty tables give no rows.  Recall against brute
+    force, at several sizes, is in the README.
     """
     spark = df.sparkSession
 
@@ -225,11 +227,20 @@ def search(df: DataFrame, k: int = K, every: int = 100) -> DataFrame:
 
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")).where(F.col("vec_id").isNotNull() & usable(F.col("x")))
     rows = stored(rows.mapInPandas(pack, "vec_id long, v binary"))
+    lengths = sorted(r["n"] for r in rows.select(F.length("v").alias("n")).distinct().collect())  # a number per dimension
+    parts = [_search(rows if len(lengths) == 1 else rows.where(F.length("v") == n), k, every) for n in lengths]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _FOUND)
+
+
+_FOUND = "query_id long, rank int, vec_id long, score double"
+
+
+def _search(rows: DataFrame, k: int, every: int) -> DataFrame:
+    """``search`` over packed vectors of one length."""
+    spark = rows.sparkSession
     few = rows.mapInPandas(_merge, "v binary, ids array<long>").groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
     vectors = stored(few)
     n = vectors.count()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     model = fitted(vectors, n)
     graph = spark.sparkContext.broadcast(model)
 
@@ -256,9 +267,12 @@ def search(df: DataFrame, k: int = K, every: int = 100) -> DataFrame:
                 names = left["q"].to_numpy()[at : at + 256]
                 a = matrix(left["v"].iloc[at : at + 256])
                 d = distances(a, b)
-                m = min(k + 9, len(b))
-                close = np.argpartition(d, m - 1, axis=1)[:, :m]
-                for i, c in enumerate(close):
+                m = min(k + 1, len(b))
+                # all that may be as near as the last one, which rounding and ties leave open
+                slack = 1e-9 * ((a * a).sum(1) + (b * b).sum(1).max())
+                last = np.partition(d, m - 1, axis=1)[:, m - 1] + slack
+                for i in range(len(a)):
+                    c = np.flatnonzero(d[i] <= last[i])
                     exact = np.sqrt(((b[c] - a[i]) ** 2).sum(1))
                     for j in np.lexsort((low[c], exact))[: k + 1]:
                         out.append((names[i], float(exact[j]), ids[c[j]]))

@@ -68,6 +68,18 @@ def test_dedup_edges(spark):
     assert dedup.near_duplicates(H.empty(spark)).collect() == []
 
 
+def test_chains_and_words_with_a_pattern(spark):
+    """A chain of revisions is one class; two long words with nothing in common are two."""
+    w, rows = [f"r{k}" for k in range(120)], []
+    for k in range(30):
+        w[4 * k : 4 * k + 2] = [f"v{k}", f"v{k}x"]
+        rows.append(((k * 17) % 30, " ".join(w)))
+    thue = "".join("ab"[bin(k).count("1") & 1] for k in range(2048))
+    rows += [(100, thue), (101, thue.translate(str.maketrans("ab", "ba")))]
+    got = {x.doc_id: x.component_id for x in dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows) and got[100] != got[101]
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(1)
     a = np.unique(r.integers(0, 2**63, 400).astype(np.uint64))
@@ -118,6 +130,17 @@ def test_neighbours(spark):
     assert [(g.query_id, g.vec_id, g.score) for g in few] == [(0, 7, 1.0)]
 
 
+def test_neighbours_at_one_distance_and_of_several_lengths(spark):
+    """Ties go to the smallest ids however many there are; vectors of other lengths aren't compared."""
+    r = np.random.default_rng(4)
+    steps = np.eye(300)[r.permutation(300)] * 5.0
+    rows = [(0, np.zeros(300).tolist()[:-1] + [1e-300])] + [(k + 1, v.tolist()) for k, v in enumerate(steps)] + [(1000 + k, [float(k), 1.0]) for k in range(30)] + [(2000, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame([(*x, "x", 0) for x in rows], "vec_id long, embedding array<double>, list string, n int").coalesce(1)
+    got = neighbours.search(df).orderBy("query_id", "rank").collect()
+    assert [g.vec_id for g in got if g.query_id == 0] == list(range(1, 11)) and {g.score for g in got if g.query_id == 0} == {5.0}
+    assert [g.vec_id for g in got if g.query_id == 1000] == list(range(1001, 1011)) and not [g for g in got if g.query_id == 2000]
+
+
 def test_mix_hits_targets(spark):
     rows = spark.read.parquet(f"{H.DATA}/documents.parquet")
     one, two = mixing.mix(rows).collect(), mixing.mix(rows).collect()
