@@ -161,8 +161,9 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) ->
     Lines of good documents count as content.  Of bad ones, lines whose features
     are rare among good documents' lines count as boilerplate: a logistic model
     of good against bad lines, fitted first, labels them.  Of a document with
-    more lines than ``PIECE * MAX_PIECES`` a seeded choice of pieces counts, so
-    that what reaches the driver is bounded whatever the length of texts.
+    more lines than ``PIECE * MAX_PIECES`` a seeded choice of pieces counts, and of
+    rows with one id the least text, so that what reaches the driver is bounded
+    whatever the length of texts and however often rows repeat.
     """
     sample = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("good")).groupBy("doc_id").agg(F.min("good").alias("good"))
     ids = [(r.doc_id, r.good) for r in sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]  # at most `most` rows
@@ -172,7 +173,9 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) ->
     def lines(text: pd.Series) -> pd.Series:
         return pd.Series([pieces(line_features(np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8))[1]).ravel() for t in text], dtype=object)
 
-    got = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id").select("doc_id", "good", lines("text").alias("x")).toPandas().sort_values("doc_id", kind="stable")
+    # an id that repeats counts once, with the least of its texts
+    once = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(few, "doc_id").groupBy("doc_id", "good").agg(F.min("text").alias("text"))
+    got = once.select("doc_id", "good", lines("text").alias("x")).toPandas().sort_values("doc_id", kind="stable")
     pairs = [(np.asarray(x, float).reshape(-1, FEATURES), int(g)) for x, g in zip(got["x"], got["good"]) if len(x)]
     if not pairs:
         return fit_field([], [])

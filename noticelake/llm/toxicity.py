@@ -125,13 +125,14 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) ->
     ids = [(r.doc_id, r.target) for r in sample.collect()]  # at most `most` rows
     spark = documents.sparkSession
     few = F.broadcast(spark.createDataFrame(ids, "doc_id long, target int"))
-    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(few, "doc_id")
+    # an id that repeats counts once, with the least of its texts
+    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(few, "doc_id").groupBy("doc_id", "target").agg(F.min("text").alias("text"))
 
     @F.arrow_udf("array<long>")
     def sparse(text: pa.Array) -> pa.Array:
         return pa.array([features(data) for data in texts(text)], pa.list_(pa.int64()))
 
-    sampled = stored(found.select("doc_id", "target", sparse("text").alias("features")).dropDuplicates(["doc_id"]))
+    sampled = stored(found.select("doc_id", "target", sparse("text").alias("features")))
     base = sampled.drop("features").toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
     toxic = base["target"].to_numpy() == 1
     chosen = choose(sampled, int(toxic.sum()), int((~toxic).sum()))
