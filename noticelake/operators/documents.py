@@ -150,29 +150,36 @@ def plan_delivery(attachments: DataFrame, providers: DataFrame) -> DataFrame:
     ones are still tried.  The first provider by priority that carries all
     wins, else the one with most files, then fewest bytes.
     """
-    limits = providers.agg(F.max("max_file").alias("size"), F.max("max_files").alias("files")).first()  # one row of a few configured providers
-    total = attachments.groupBy("notification_id").agg(F.count(F.lit(1)).alias("total"))
-    # of files of one size a later one is attached only where all before it were
-    turn = F.row_number().over(Window.partitionBy("notification_id", "size").orderBy("pos"))
-    first = attachments.withColumn("_turn", turn).where((F.col("size") <= limits["size"]) & (F.col("_turn") <= limits["files"]))
-    items = first.groupBy("notification_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.ceil(F.col("size") / 3).alias("third"), F.col("size").alias("raw")))).alias("items"))
-    items = total.join(items, "notification_id", "left").withColumn("items", F.coalesce("items", F.array().cast("array<struct<pos: bigint, third: bigint, raw: bigint>>")))
     configured = providers.orderBy("priority", "provider_id").limit(MAX_PROVIDERS + 1).collect()
     if len(configured) > MAX_PROVIDERS:
         raise ValueError(f"more than {MAX_PROVIDERS} providers")
-    each = F.array(*[F.struct(*[F.lit(r[c]).cast(providers.schema[c].dataType).alias(c) for c in providers.columns]) for r in configured])
-    both = items.withColumn("provider", F.explode(each)).select("*", "provider.*").drop("provider")
+    kind = {c: providers.schema[c].dataType for c in providers.columns}
+    each = F.array(*[F.struct(*[F.lit(r[c]).cast(kind[c]).alias(c) for c in providers.columns]) for r in configured])
+    coded = 4 * F.ceil(F.col("size") / 3)
+    # of files of one size a later one is attached only where all before it were: so many as some provider could carry
+    most = F.array_max(F.transform(each, lambda p: F.when(F.col("size") <= p["max_file"], F.least(p["max_files"], F.coalesce(F.floor(p["max_message"] / F.nullif(coded, F.lit(0))), p["max_files"]))).otherwise(0)))
+    turn = F.row_number().over(Window.partitionBy("notification_id", "size").orderBy("pos"))
+    first = attachments.withColumn("_most", most).where("_most > 0").withColumn("_turn", turn).where("_turn <= _most")
+    total = attachments.groupBy("notification_id").agg(F.count(F.lit(1)).alias("total"))
+    items = first.groupBy("notification_id").agg(F.array_sort(F.collect_list(F.struct("pos", coded.alias("coded"), F.col("size").alias("raw")))).alias("items"))
+    both = total.join(items, "notification_id", "left").withColumn("items", F.coalesce("items", F.array().cast("array<struct<pos: bigint, coded: bigint, raw: bigint>>")))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("bytes"))
 
-    def step(acc: Column, x: Column) -> Column:
-        coded = 4 * x["third"]
-        fits = (x["raw"] <= F.col("max_file")) & (acc["n"] < F.col("max_files")) & (acc["bytes"] + coded <= F.col("max_message"))
-        return F.struct(F.when(fits, acc["n"] + 1).otherwise(acc["n"]).alias("n"), F.when(fits, acc["bytes"] + coded).otherwise(acc["bytes"]).alias("bytes"))
-
-    packed = both.withColumn("fit", F.aggregate("items", start, step)).withColumn("all", F.col("fit.n") == F.col("total"))
-    order = Window.partitionBy("notification_id").orderBy(F.desc("all"), F.when(F.col("all"), F.col("priority")), F.desc("fit.n"), "fit.bytes", "priority")
-    best = packed.withColumn("turn", F.row_number().over(order)).where("turn = 1")
-    return best.select("notification_id", "provider_id", F.col("fit.n").cast("long").alias("attached"), (F.col("total") - F.col("fit.n")).cast("long").alias("linked"))
+    def packed(p: Column) -> Column:
+        """What a provider takes, with what makes it better than others first."""
+
+        def step(acc: Column, x: Column) -> Column:
+            fits = (x["raw"] <= p["max_file"]) & (acc["n"] < p["max_files"]) & (acc["bytes"] + x["coded"] <= p["max_message"])
+            return F.when(fits, F.struct((acc["n"] + 1).alias("n"), (acc["bytes"] + x["coded"]).alias("bytes"))).otherwise(acc)
+
+        def ranked(acc: Column) -> Column:
+            whole = acc["n"] == F.col("total")
+            return F.struct((~whole).alias("some"), F.when(whole, p["priority"]).alias("first"), (-acc["n"]).alias("n"), acc["bytes"].alias("bytes"), p["priority"].alias("priority"), p["provider_id"].alias("provider_id"))
+
+        return F.aggregate("items", start, step, ranked)
+
+    best = both.select("notification_id", "total", F.array_min(F.transform(each, packed)).alias("best")).where("best IS NOT NULL")
+    return best.select("notification_id", F.col("best.provider_id").alias("provider_id"), (-F.col("best.n")).cast("long").alias("attached"), (F.col("total") + F.col("best.n")).cast("long").alias("linked"))
 
 
 def version_diff(old: DataFrame, new: DataFrame) -> DataFrame:

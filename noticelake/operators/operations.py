@@ -91,10 +91,29 @@ def usage(calls: DataFrame, month: str, budget: float | None = None) -> DataFram
     return out.withColumns({"budget": F.lit(budget).cast("double"), "budget_open": F.lit(True) if budget is None else F.coalesce("known_cost", F.lit(0.0)) < budget})
 
 
-def budget_state(calls: DataFrame, month: str, order: Sequence[str], budget: float, share: float = 0.8) -> DataFrame:
-    """Appends ``spent`` up to and with each call of the month, and the ``state`` after it: open, warning, awaiting_budget."""
-    spent = F.sum(F.coalesce("cost", F.lit(0.0))).over(Window.partitionBy(month).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    out = calls.withColumn("spent", spent)
+def running_total(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], value: Column, name: str, block: str = "1 hour") -> DataFrame:
+    """Appends ``name``, the sum of ``value`` of a key's rows up to and with each one in the order of ``ts`` and ``order``.
+
+    In two steps, so that no task holds a key: rows are summed within blocks of
+    time, and what the blocks before hold is added from their totals, a row per
+    key and block.  Rows without a time come first, in a block of their own.
+    """
+    at = F.window(F.col(ts).cast("timestamp"), block)["start"]
+    # window() leaves out rows without a time, so those are numbered apart
+    timed = df.where(F.col(ts).isNotNull()).withColumn("_block", at)
+    rows = timed.unionByName(df.where(F.col(ts).isNull()).withColumn("_block", F.lit(None).cast("timestamp"))).withColumn("_value", value)
+    totals = rows.groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
+    before = F.sum("_total").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_block")).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_block").alias("_of"), before.alias("_before"))
+    within = F.sum("_value").over(Window.partitionBy(*keys, "_block").orderBy(ts, *order).rowsBetween(Window.unboundedPreceding, 0))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys] + [F.col("_block").eqNullSafe(F.col("_of"))]
+    out = rows.withColumn("_within", within).join(offsets, same, "left").withColumn(name, F.col("_within") + F.coalesce("_before", F.lit(0.0)))
+    return out.select(*df.columns, name)
+
+
+def budget_state(calls: DataFrame, month: str, order: Sequence[str], budget: float, share: float = 0.8, block: str = "1 hour") -> DataFrame:
+    """Appends ``spent`` up to and with each call of the month, in the order of a time and what breaks its ties, and the ``state`` after it: open, warning, awaiting_budget."""
+    out = running_total(calls, [month], order[0], order[1:], F.coalesce("cost", F.lit(0.0)), "spent", block)
     return out.withColumn("state", F.when(F.col("spent") >= budget, "awaiting_budget").when(F.col("spent") >= share * budget, "warning").otherwise("open"))
 
 
@@ -247,14 +266,33 @@ def run_gaps(runs: DataFrame, key: str) -> DataFrame:
     return out.withColumn("failures", F.sum(F.col("failed").cast("int")).over(Window.partitionBy(key, "_island").orderBy("ts", "run_id"))).drop("_island")
 
 
-def rate_windows(requests: DataFrame, key: str, per_minute: int, per_day: int) -> DataFrame:
-    """Appends the requests of the minute and of the day, and of the 60 s that end with each one; ``over_limit`` by the sliding count or the day's so far."""
+#: Minutes of a key that are counted together; a divisor of a day's.
+RATE_BLOCK = 10
+_SLIDE = 60_000_000
+
+
+def rate_windows(requests: DataFrame, key: str, per_minute: int, per_day: int, block: int = RATE_BLOCK) -> DataFrame:
+    """Appends the requests of the minute and of the day, and of the 60 s that end with each one; ``over_limit`` by the sliding count or the day's so far.
+
+    A task holds ``block`` minutes of a key, with the last 60 s of the block
+    before it handed over, and what the day's earlier blocks hold comes from
+    their totals: a key with a third of all requests is dealt by time.
+    """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    sliding = Window.partitionBy(key).orderBy(micros).rangeBetween(-59_999_999, 0)
-    minute, day = Window.partitionBy(key, F.date_trunc("minute", "ts")), Window.partitionBy(key, F.date_trunc("day", "ts"))
-    so_far = F.count(F.lit(1)).over(day.orderBy(micros).rangeBetween(Window.unboundedPreceding, 0))
-    out = requests.withColumns({"in_minute": F.count(F.lit(1)).over(minute), "in_day": F.count(F.lit(1)).over(day), "in_60_s": F.count(F.lit(1)).over(sliding), "_so_far": so_far})
-    return out.withColumn("over_limit", (F.col("in_60_s") > per_minute) | (F.col("_so_far") > per_day)).drop("_so_far")
+    length = block * _SLIDE
+    own = requests.withColumns({"_us": micros, "_block": F.floor(micros / length), "_own": F.lit(1)})
+    totals = own.groupBy(F.col(key).alias("_key"), F.col("_block").alias("_of")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_day", F.floor(F.col("_of") * block / 1440))
+    of_day = Window.partitionBy("_key", "_day")
+    totals = totals.select("_key", "_of", F.sum("_n").over(of_day).alias("in_day"), F.coalesce(F.sum("_n").over(of_day.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    handed = own.where(F.col("_us") >= (F.col("_block") + 1) * length - _SLIDE + 1).withColumns({"_block": F.col("_block") + 1, "_own": F.lit(0)})
+    here = Window.partitionBy(key, "_block")
+    rows = own.unionByName(handed).withColumns({
+        "in_60_s": F.count(F.lit(1)).over(here.orderBy("_us").rangeBetween(-_SLIDE + 1, 0)), "_so_far": F.sum("_own").over(here.orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)),
+        "in_minute": F.sum("_own").over(Window.partitionBy(key, "_block", F.floor(F.col("_us") / _SLIDE))),
+    })
+    out = rows.where("_own = 1").join(totals, F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_of")), "left")
+    over = (F.col("in_60_s") > per_minute) | (F.col("_before") + F.col("_so_far") > per_day)
+    return out.select(*requests.columns, "in_minute", "in_day", "in_60_s", over.alias("over_limit"))
 
 
 #: Other words for an assessment's status.
