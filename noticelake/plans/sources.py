@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from noticelake.plans.documents import _OUT, outcomes
 from noticelake.plans.registry import register, shared_dir, table
 from noticelake.sources import landed as L
+from noticelake.sources.registry import read_sources
 
 _TEXT = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&'), '[\\t-\\r \\x{{85}}\\x{{A0}}]+', ' ', 'g'))"
 _BASE = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
@@ -130,3 +131,31 @@ def s10(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 4).alias("archive"))
     archives = docs.groupBy("archive").applyInPandas(pack, "path string, content binary")
     return L.expand_archives(archives).select("member", F.sha2("content", 256).alias("checksum"), "depth", "reject_reason")
+
+
+_MIXED = (
+    (0, " Paginated_HTML_list", '{"card": "<li>[\\\\s\\\\S]*?</li>", "link": "href=\\"([^\\"]*/n([0-9]+))\\"", "title": "<b>([^<]*)</b>"}'),
+    (1, "rss_atom", '{"pattern": "/n([0-9]+)"}'),
+    (2, "json_api", '{"items": "$.data", "fields": {"external_id": ["$.id"], "title": ["$.name"], "link": ["$.url"], "deadline": ["$.due"]}}'),
+    (3, "filtered_html", '{"card": "<li>[\\\\s\\\\S]*?</li>", "link": "href=\\"([^\\"]*/n([0-9]+))\\"", "title": "<b>([^<]*)</b>", "facets": ["works", "goods"]}'),
+    (4, "carrier_pigeon", "{}"), (5, "json_api", "[1"),
+)
+
+
+@register("s00_mixed_sources", """WITH p AS (SELECT page_id, page_id % 7 AS s, page_id // 7 AS n, CASE WHEN page_id % 14 < 7 THEN 'goods' ELSE 'works' END AS facet FROM pages), k AS (SELECT *, n // 2 * 2 AS id FROM p WHERE s = 3)
+    SELECT s AS source_id, page_id AS payload_id, CAST(n AS VARCHAR) AS external_id, CASE s WHEN 2 THEN '/n' || n ELSE 'https://x.org/n' || n END AS link, CASE s WHEN 1 THEN 'feed ' WHEN 2 THEN 'json ' ELSE 'html ' END || n AS title, CAST(CASE s WHEN 1 THEN 1790254800 END AS BIGINT) AS published, CAST(CASE s WHEN 2 THEN 1790254800 END AS BIGINT) AS deadline, NULL AS error_code FROM p WHERE s < 3
+    UNION ALL SELECT 3, arg_min(page_id, (CASE facet WHEN 'works' THEN 0 ELSE 1 END, page_id)), CAST(id AS VARCHAR), 'https://x.org/n' || id, 'html ' || id, NULL, NULL, NULL FROM k GROUP BY id
+    UNION ALL SELECT s, page_id, NULL, NULL, NULL, NULL, NULL, CASE s WHEN 4 THEN 'unknown_source_type' WHEN 5 THEN 'invalid_settings' ELSE 'source_not_configured' END FROM p WHERE s > 3""")
+def s00(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of four types, one of no known type, one with broken settings and one that isn't configured, read in one plan."""
+    k, source = F.col("page_id"), F.col("page_id") % 7
+    n = F.floor(k / 7).cast("long")
+    number = F.when(source == 3, F.floor(n / 2) * 2).otherwise(n).cast("string")
+    html = F.concat(F.lit('<ul><li><a href="/n'), number, F.lit('">see</a><b>html '), number, F.lit("</b></li></ul>"))
+    feed = F.concat(F.lit("<rss><item><link>https://x.org/n"), number, F.lit("</link><title>feed "), number, F.lit("</title><pubDate>Thu, 24 Sep 2026 08:00 EST</pubDate></item></rss>"))
+    doc = F.concat(F.lit('{"data":[{"id":'), number, F.lit(',"name":"json '), number, F.lit('","url":"/n'), number, F.lit('","due":"2026-09-24T13:00:00Z"}]}'))
+    content = F.when(source == 1, feed).when(source == 2, doc).otherwise(html)
+    payloads = table(spark, d, "pages").select(source.alias("source_id"), k.alias("payload_id"), F.lit("https://x.org/all").alias("url"), content.alias("content"), F.lit(None).cast("timestamp").alias("fetched_at"), F.when(k % 14 < 7, "goods").otherwise("works").alias("facet"))
+    config = spark.createDataFrame(list(_MIXED), "source_id long, source_type string, settings string")
+    out = read_sources(payloads, config, shared_dir(spark))
+    return out.select("source_id", "payload_id", "external_id", "link", "title", F.unix_timestamp("published").alias("published"), F.unix_timestamp("deadline").alias("deadline"), "error_code")
