@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from noticelake.plans.operations import events
 from noticelake.plans.registry import register, shared_dir, table
+from noticelake.streaming import durable as D
 from noticelake.streaming import state as S
 
 _ORDERED = "e AS (SELECT user_id, event_id, epoch_us(ts) AS us, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events"
@@ -43,6 +44,32 @@ def r03(spark: SparkSession, d: str) -> DataFrame:
     return S.fold(e, ["user_id"], S.provider_breaker(cooldown=86_400))
 
 
+@register("r03_leased_breaker", f"""WITH RECURSIVE {_ORDERED}),
+    f AS (SELECT user_id, CAST(0 AS BIGINT) AS i, 'closed' AS mode, 0 AS n, CAST(-1 AS BIGINT) AS until, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BOOLEAN) AS allowed FROM (SELECT DISTINCT user_id FROM e)
+      UNION ALL SELECT user_id, k, CASE WHEN start AND mode <> 'closed' AND us >= until THEN 'half_open' WHEN ok THEN 'closed' WHEN bad AND (mode = 'half_open' OR mode = 'closed' AND n + 1 >= 2) THEN 'open' ELSE mode END, CASE WHEN ok THEN 0 WHEN bad THEN n + 1 ELSE n END,
+        CASE WHEN start AND mode <> 'closed' AND us >= until OR bad AND (mode = 'half_open' OR mode = 'closed' AND n + 1 >= 2) THEN us + 172800000000 WHEN ok THEN -1 ELSE until END, id, CASE WHEN start THEN mode = 'closed' OR us >= until END
+      FROM (SELECT f.*, e.n AS k, e.us, e.event_id AS id, e.event_type IN ('view', 'click') AS start, e.event_type = 'purchase' AS ok, e.event_type = 'error' AS bad FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.i + 1))
+    SELECT user_id, event_id, allowed, mode AS state FROM f WHERE i > 0""")
+def r03_lease(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("event_type")
+    event = F.when(kind.isin("view", "click"), "start").when(kind == "purchase", "success").when(kind == "error", "failure").otherwise("cancel")
+    return S.fold(events(spark, d).select("user_id", "ts", "event_id", event.alias("event"), F.col("event_id").alias("attempt")), ["user_id"], S.leased_breaker(2, 2 * 86_400))
+
+
+@register("r01_durable_dedup", """WITH e AS (SELECT *, lag(event_type) OVER w AS last, count_if(event_type = 'signup') OVER (PARTITION BY user_id ORDER BY part, ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS frozen FROM (SELECT *, event_id % 3 AS part FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY part, ts, event_id))
+    SELECT user_id, event_id, CASE WHEN last IS NULL THEN 'NEW' WHEN frozen OR last = event_type THEN 'UNCHANGED' ELSE 'UPDATE' END AS outcome, CASE WHEN last IS NULL OR event_type = CASE WHEN frozen THEN 'signup' ELSE last END THEN '' ELSE 'title' END AS changed FROM e""")
+def r01_durable(spark: SparkSession, d: str) -> DataFrame:
+    """Events land in three parts that go back in time; after each a stream goes on from the table of states, and the last batch comes twice."""
+    folder, machine = f"{shared_dir(spark)}/{uuid.uuid4().hex}", S.dedup(["title"], ["title"], ["expired"])
+    e = events(spark, d).select("user_id", "ts", "event_id", F.concat(F.lit(" "), F.col("event_type")).alias("title"), F.when(F.col("event_type") == "signup", "expired").otherwise("new").alias("status"))
+    store = D.state_store(spark, f"{folder}/states", "user_id long", machine)
+    for k in range(3):
+        e.where(F.col("event_id") % 3 == k).write.mode("append").parquet(f"{folder}/landed")
+        D.durable_stream(spark.readStream.schema(e.schema).parquet(f"{folder}/landed"), ["user_id"], machine, store, f"{folder}/out", f"{folder}/checkpoint", "dedup")
+    D.advance(e.where(F.col("event_id") % 3 == 2), 2, ["user_id"], machine, store, f"{folder}/out", "dedup")
+    return D.outputs(spark, f"{folder}/out", ["user_id"], machine)
+
+
 @register("r04_quota_limiter", f"""WITH RECURSIVE {_ORDERED}),
     f AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS m, 0 AS im, CAST(-1 AS BIGINT) AS d, 0 AS id, CAST(NULL AS BIGINT) AS event_id, true AS accepted FROM (SELECT DISTINCT user_id FROM e)
       UNION ALL SELECT f.user_id, e.n, us // 60000000, CASE WHEN m = us // 60000000 THEN im ELSE 0 END + CASE WHEN CASE WHEN m = us // 60000000 THEN im ELSE 0 END < 1 AND CASE WHEN d = us // 86400000000 THEN id ELSE 0 END < 2 THEN 1 ELSE 0 END,

@@ -142,6 +142,44 @@ def provider_breaker(failures: int = 3, cooldown: int = 300) -> Machine:
     return Machine((0, -1), "n int, until long", "allowed boolean, state string", step)
 
 
+def leased_breaker(failures: int = 3, cooldown: int = 300) -> Machine:
+    """Of events (event, attempt): whether a ``start`` is ``allowed`` (null for others), and the ``state`` after each one: closed, open, half_open.
+
+    Attempts begin by ``start`` and end by ``success``, ``failure`` or
+    ``cancel`` (nothing was sent).  So many failures in a row open the breaker
+    for ``cooldown`` seconds.  The first start after that is a probe: it holds
+    the only slot under a lease of the same length, and starts beside it are
+    refused.  Its failure opens the breaker anew, a success closes it, whoever
+    had it.  A probe that never ends loses the slot with its lease, which a
+    stream's timer tells; a cancelled one gives it back, for the next start after the lease.
+    """
+    lease = cooldown * 1_000_000
+    closed, open_, half = "closed", "open", "half_open"
+
+    def lost(s: State) -> tuple[State, Output]:
+        return (half, s[1], s[2], -1), (None, half)
+
+    def step(s: State, e: Any) -> tuple[State, Output]:
+        mode, n, until, probe = s
+        now = int(e.us)
+        if e.event == "start":
+            if mode == closed:
+                return s, (True, closed)
+            if now < until:
+                return s, (False, mode)
+            return (half, n, now + lease, int(e.attempt)), (True, half)
+        if e.event == "cancel":
+            return (mode, n, until, -1 if mode == half and probe == int(e.attempt) else probe), (None, mode)
+        if e.event == "success":
+            return (closed, 0, -1, -1), (None, closed)
+        n += 1
+        if mode == half or (mode == closed and n >= failures):
+            return (open_, n, now + lease, -1), (None, open_)
+        return (mode, n, until, probe), (None, mode)
+
+    return Machine((closed, 0, -1, -1), "mode string, n int, until long, probe long", "allowed boolean, state string", step, lambda s: s[2] if s[0] == half and s[3] >= 0 else None, lost)
+
+
 def quota_limiter(per_minute: int, per_day: int) -> Machine:
     """``accepted`` while the calendar minute's and day's counts are below their limits; refused requests don't count."""
 
