@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticelake.functions.text import fold_tokens
@@ -94,6 +94,8 @@ def requirement_set_equal(a: DataFrame, b: DataFrame, by: str, item: str) -> Dat
 VERDICTS = ("APPLY", "DO NOT APPLY", "APPLY WITH CONDITIONS")
 STATUSES = ("met", "not_met", "partially_met", "unverified")
 NO_EVIDENCE = "no evidence on file"
+#: Parts of a deadline as it is shown.
+SHOWN = ("date", "time", "zone", "source_zone")
 
 
 def verdict_rules(schema_version: str) -> dict[str, Column]:
@@ -101,7 +103,9 @@ def verdict_rules(schema_version: str) -> dict[str, Column]:
 
     A verdict has schema_version, verdict, incomplete and what it should be
     (incomplete_inputs), deadline_status, deadline_utc and what they should be
-    (expected_status, expected_utc), deadline_shown, assessments (status, gap,
+    (expected_status, expected_utc), deadline_shown, the date, time, zone and the
+    source's zone as shown and as they should be (deadline_date, expected_date
+    and so on), assessments (status, gap,
     assessment, tender and company as counts of evidence), has_tender_text,
     gaps, limitations, urgent, days_left (business days) and urgency_window.
     """
@@ -116,6 +120,7 @@ def verdict_rules(schema_version: str) -> dict[str, Column]:
         "invalid_verdict": ~F.coalesce(col("verdict").isin(*VERDICTS), F.lit(False)),
         "incomplete_mismatch": ~col("incomplete").eqNullSafe(col("incomplete_inputs")),
         "deadline_mismatch": ~col("deadline_status").eqNullSafe(col("expected_status")) | ~col("deadline_utc").eqNullSafe(col("expected_utc")),
+        "deadline_display_mismatch": F.exists(F.array(*[~col(f"deadline_{part}").eqNullSafe(col(f"expected_{part}")) for part in SHOWN]), lambda x: x),
         "assessments_required": F.coalesce(F.size("assessments"), F.lit(0)) <= 0,
         "invalid_status": some(lambda x: ~F.coalesce(x["status"].isin(*STATUSES), F.lit(False))),
         "citation_missing": some(lambda x: (x["status"] == "met") & none(x["company"])),
@@ -138,22 +143,65 @@ def verdict_violations(verdicts: DataFrame, rules: dict[str, Column] | None = No
     return verdicts.select("verdict_id", F.explode(broken).alias("rule"))
 
 
+def reference_violations(cited: DataFrame, chunks: DataFrame, established: DataFrame | None = None) -> DataFrame:
+    """(verdict_id, doc_id, location, quote) against (doc_id, location, text) -> (verdict_id, rule): verdicts with a tender reference that doesn't exist.
+
+    A reference needs its quote word for word in a chunk of that document and
+    place; quotes of ``established`` evidence (verdict_id, doc_id, location,
+    quote) are places of their verdict, as chunks may have been left out.
+    Equi-joins on document and place, so no document is put together.
+    """
+    place = ["doc_id", "location"]
+    # a row of its own for each reference, so that what repeats is looked up once
+    asked = cited.select("verdict_id", *place, "quote").distinct()
+    holds = lambda text: F.coalesce(F.contains(text, F.coalesce("quote", F.lit(""))), F.lit(False))
+    found = asked.join(chunks.select(*place, "text"), place).where(holds(F.col("text"))).select(*asked.columns)
+    if established is not None:
+        found = found.unionByName(asked.join(established.select("verdict_id", *place, F.col("quote").alias("text")), ["verdict_id", *place]).where(holds(F.col("text"))).select(*asked.columns))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"f.{c}")) for c in asked.columns]
+    lost = asked.alias("a").join(found.distinct().alias("f"), same, "left_anti")
+    return lost.select("verdict_id", F.lit("invalid_tender_reference").alias("rule")).distinct()
+
+
+def kb_violations(cited: DataFrame, kb: DataFrame) -> DataFrame:
+    """(verdict_id, kb_id, section, quote) against (kb_id, content) -> (verdict_id, rule): verdicts with a citation whose section isn't a heading of the knowledge base, or whose quote doesn't stand in it."""
+    heads = F.transform(F.filter(F.split("content", "\n"), lambda line: line.startswith("#")), lambda line: F.trim(F.regexp_replace(line, "^[# ]+", "")))
+    both = cited.select("verdict_id", "kb_id", "section", "quote").distinct().join(kb.select("kb_id", "content", heads.alias("_heads")), "kb_id", "left")
+    sound = F.array_contains("_heads", F.col("section")) & F.contains("content", F.col("quote"))
+    return both.where(~F.coalesce(sound, F.lit(False))).select("verdict_id", F.lit("invalid_kb_citation").alias("rule")).distinct()
+
+
 def apply_notice_penalty(verdicts: DataFrame, limitation: str, penalty: float = 0.25) -> DataFrame:
     """Confidence less the penalty, not below 0, and the limitation put first once."""
     has = F.exists("limitations", lambda x: x == limitation)
     return verdicts.withColumns({"confidence": F.greatest(F.lit(0.0), F.round(F.col("confidence") - penalty, 4)), "limitations": F.when(has, F.col("limitations")).otherwise(F.concat(F.array(F.lit(limitation)), F.col("limitations")))})
 
 
-#: A few words of each role in English, French and Portuguese, without accents; pass a fuller table (word, role, rank) where tables say more.
+# Words of each role in English, French and Portuguese, in the singular and without accents; the roles' order settles ties.
 ROLES = {
-    "deadline": "date deadline milestone schedule time delai echeance calendrier prazo data cronograma",
-    "eligibility": "requirement mandatory eligibility evidence required exigence eligibilite obligatoire requisito elegibilidade obrigatorio",
-    "evaluation": "criterion criteria weight threshold score critere seuil ponderation criterio peso pontuacao",
-    "financial": "price cost budget amount total prix cout montant preco custo valor",
-    "experience": "project client experience year reference projet annee projeto experiencia ano",
+    "deadline": "date deadline due milestone schedule calendar time period submission closing opening delai echeance calendrier jalon limite depot cloture ouverture prazo data cronograma marco entrega abertura encerramento vigencia",
+    "eligibility": "requirement mandatory eligibility eligible evidence required qualification registration certificate licence exclusion exigence eligibilite obligatoire attestation certificat inscription requis requisito elegibilidade obrigatorio certidao exclusao comprovacao",
+    "evaluation": "criterion criteria weight weighting threshold score scoring point rating percentage mark critere seuil ponderation note bareme notation pourcentage criterio peso pontuacao ponderacao nota avaliacao classificacao percentual",
+    "financial": "price cost budget amount total fee payment turnover revenue currency invoice guarantee prix cout montant paiement devise facture garantie bilan preco custo valor orcamento pagamento moeda fatura garantia balanco",
+    "experience": "project client experience year reference contract portfolio staff specialist similar projet annee contrat realisation equipe specialiste projeto experiencia ano referencia contrato especialista",
 }
 
 
+def table_vocabulary(spark: SparkSession, roles: dict[str, str] = ROLES) -> DataFrame:
+    """(word, role, rank): the words of the roles with their plurals, as a table to join with; a word of several roles counts for each.
+
+    A plural takes s, after a consonant that asks for it es; Portuguese words in
+    -ao have -oes too, English ones in -y -ies.
+    """
+
+    def forms(w: str) -> set[str]:
+        out = {w, w if w.endswith("s") else f"{w}es" if w.endswith(("x", "ch", "sh", "r", "z")) else f"{w}s"}
+        return out | ({f"{w[:-2]}oes"} if w.endswith("ao") else set()) | ({f"{w[:-1]}ies"} if w.endswith("y") else set()) | ({f"{w}s"} if w.endswith("r") else set())
+
+    rows = [(form, role, rank) for rank, (role, words) in enumerate(roles.items()) for w in words.split() for form in sorted(forms(w))]
+    return spark.createDataFrame(sorted(set(rows)), "word string, role string, rank int")
+
+
 def classify_tables(cells: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(table_id, row, text) -> (table_id, role): by distinct vocabulary words, without case and accents, in the header (row 0, twice) and the first body row; two at least, ties by the roles' order."""
     words = cells.where("row <= 1").select("table_id", "row", F.explode(fold_tokens(F.col("text"))).alias("word")).distinct()

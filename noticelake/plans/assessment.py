@@ -64,7 +64,7 @@ def j08(spark: SparkSession, d: str) -> DataFrame:
 
 
 _A13 = {
-    "schema_version_mismatch": "k % 31 = 0", "invalid_verdict": "verdict NOT IN ('APPLY', 'DO NOT APPLY', 'APPLY WITH CONDITIONS')", "incomplete_mismatch": "k % 29 = 0", "deadline_mismatch": "k % 23 = 0", "assessments_required": "n = 0", "invalid_status": "k % 37 = 0 AND n > 0",
+    "schema_version_mismatch": "k % 31 = 0", "invalid_verdict": "verdict NOT IN ('APPLY', 'DO NOT APPLY', 'APPLY WITH CONDITIONS')", "incomplete_mismatch": "k % 29 = 0", "deadline_mismatch": "k % 23 = 0", "deadline_display_mismatch": "k % 41 = 0 OR k % 43 = 0", "assessments_required": "n = 0", "invalid_status": "k % 37 = 0 AND n > 0",
     "citation_missing": "met_bare > 0", "negative_without_evidence": "not_bare > 0", "unsupported_not_unverified": "bare > 0", "gap_missing": "k % 19 = 0 AND unv > 0", "tender_evidence_missing": "k % 2 = 0 AND no_tender > 0", "no_evidence_wording": "unv_bare > 0 AND k % 17 = 0 OR k % 19 = 0 AND unv_bare > 0",
     "verdict_does_not_follow": "verdict <> CASE WHEN neg > 0 THEN 'DO NOT APPLY' WHEN met = n AND k % 3 <> 0 THEN 'APPLY' ELSE 'APPLY WITH CONDITIONS' END", "limitation_missing": "k % 5 = 0 AND k % 10 <> 0", "deadline_fabricated": "k % 7 = 0 AND k % 14 <> 0", "urgency_mismatch": "(k % 11 = 0) <> (k % 7 <> 0 AND k % 13 <= 5)",
 }
@@ -89,6 +89,7 @@ def a13(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "orders").select("o_orderkey").join(a, "o_orderkey", "left").select(
         k.alias("verdict_id"), F.when(k % 31 == 0, "0.9").otherwise("1.0").alias("schema_version"), F.get(F.array(*map(F.lit, ("APPLY", "DO NOT APPLY", "APPLY WITH CONDITIONS", "MAYBE"))), (k % 4).cast("int")).alias("verdict"), ((k % 5 == 0) != (k % 29 == 0)).alias("incomplete"), (k % 5 == 0).alias("incomplete_inputs"),
         F.when(k % 7 == 0, "UNRESOLVED").otherwise("RESOLVED").alias("deadline_status"), F.lit("2026-01-01").alias("deadline_utc"), F.when(k % 7 == 0, "UNRESOLVED").otherwise("RESOLVED").alias("expected_status"), F.when(k % 23 == 0, "2026-01-02").otherwise("2026-01-01").alias("expected_utc"), F.when(k % 14 != 0, "1 January").alias("deadline_shown"),
+        F.when(k % 41 != 0, "2026-01-01").alias("deadline_date"), F.lit("2026-01-01").alias("expected_date"), F.lit("12:00").alias("deadline_time"), F.lit("12:00").alias("expected_time"), F.lit("WAT").alias("deadline_zone"), F.lit("WAT").alias("expected_zone"), F.when(k % 43 == 0, "UTC").alias("deadline_source_zone"), F.lit(None).cast("string").alias("expected_source_zone"),
         F.coalesce("assessments", empty).alias("assessments"), (k % 2 == 0).alias("has_tender_text"), texts(k % 3 == 0).alias("gaps"), texts(k % 10 == 0).alias("limitations"), (k % 11 == 0).alias("urgent"), (k % 13).alias("days_left"), F.lit(5).alias("urgency_window"),
     )
     return A.verdict_violations(v)
@@ -100,6 +101,27 @@ def a14(spark: SparkSession, d: str) -> DataFrame:
     return A.apply_notice_penalty(v, "notice_only").withColumn("limitations", F.array_join("limitations", ","))
 
 
+@register(
+    "a13_reference_violations",
+    """WITH c AS (SELECT doc_id, string_split(text, chr(10)) AS l, text FROM documents WHERE text IS NOT NULL),
+    t AS (SELECT doc_id // 4 AS v, CASE doc_id % 5 WHEN 0 THEN contains(l[1], substr(l[1], 1, 20)) WHEN 1 THEN len(l) > 1 AND contains(l[2], substr(l[1], 1, 20)) WHEN 2 THEN contains(l[1], substr(l[1], 3, 9) || 'zq') WHEN 3 THEN true ELSE false END AS ok FROM c),
+    k AS (SELECT doc_id // 4 AS v, doc_id % 3 <> 1 AND doc_id % 7 <> 0 AS ok FROM c)
+    SELECT DISTINCT v AS verdict_id, 'invalid_tender_reference' AS rule FROM t WHERE NOT ok UNION ALL SELECT DISTINCT v, 'invalid_kb_citation' FROM k WHERE NOT ok""",
+)
+def a13_references(spark: SparkSession, d: str) -> DataFrame:
+    """References to a document's first line, to another, with words that aren't there, to established evidence, and to no line; citations of a heading, of a line that is none, and with words that aren't there."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL").withColumn("lines", F.split("text", "\n"))
+    chunks = docs.select("doc_id", F.posexplode("lines").alias("k", "text")).select("doc_id", F.concat(F.lit("line:"), F.col("k").cast("string")).alias("location"), "text")
+    verdict, k, first = F.floor(F.col("doc_id") / 4).alias("verdict_id"), F.col("doc_id") % 5, F.get("lines", 0)
+    location = F.when(k == 1, "line:1").when(k == 3, "annex").when(k == 4, "line:-1").otherwise("line:0")
+    quote = F.when(k == 2, F.concat(F.substring(first, 3, 9), F.lit("zq"))).otherwise(F.substring(first, 1, 20))
+    cited = docs.select(verdict, "doc_id", location.alias("location"), quote.alias("quote"))
+    established = docs.where(k == 3).select(verdict, "doc_id", F.lit("annex").alias("location"), first.alias("quote"))
+    kb = docs.select(F.col("doc_id").alias("kb_id"), F.concat(F.lit("## Profile "), F.col("source"), F.lit("\nProfile\nwe have "), F.col("lang"), F.lit(" staff")).alias("content"))
+    said = docs.select(verdict, F.col("doc_id").alias("kb_id"), F.when(F.col("doc_id") % 3 == 1, "Profile").otherwise(F.concat(F.lit("Profile "), F.col("source"))).alias("section"), F.when(F.col("doc_id") % 7 == 0, "we have none").otherwise(F.concat(F.lit("have "), F.col("lang"))).alias("quote"))
+    return A.reference_violations(cited, chunks, established).unionByName(A.kb_violations(said, kb))
+
+
 @register("a15_classify_tables", "SELECT p_partkey AS table_id, CASE p_partkey % 6 WHEN 0 THEN 'evaluation' WHEN 1 THEN 'deadline' WHEN 2 THEN 'eligibility' WHEN 3 THEN 'financial' WHEN 4 THEN CASE WHEN p_size > 25 THEN 'experience' ELSE 'other' END ELSE 'other' END AS role FROM part")
 def a15(spark: SparkSession, d: str) -> DataFrame:
     k = (F.col("p_partkey") % 6).cast("int")
@@ -107,8 +129,7 @@ def a15(spark: SparkSession, d: str) -> DataFrame:
     body = (F.col("p_type"), F.lit("Deadline"), F.col("p_type"), F.lit("custo|data"), F.when(F.col("p_size") > 25, "Projet").otherwise("client"), F.col("p_name"))
     rows = F.array(*[F.struct(F.lit(r).alias("row"), F.get(F.array(*texts), k).alias("text")) for r, texts in ((0, headers), (1, body))], F.struct(F.lit(2).alias("row"), F.lit("budget amount").alias("text")))
     cells = table(spark, d, "part").select(F.col("p_partkey").alias("table_id"), F.explode(rows).alias("c")).select("table_id", "c.row", "c.text")
-    vocabulary = spark.createDataFrame([(w, r, k) for k, (r, ws) in enumerate(A.ROLES.items()) for w in ws.split()], "word string, role string, rank int")
-    return A.classify_tables(cells, vocabulary)
+    return A.classify_tables(cells, A.table_vocabulary(spark))
 
 
 _N = "length(text)"

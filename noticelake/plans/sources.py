@@ -72,7 +72,7 @@ def s04(spark: SparkSession, d: str) -> DataFrame:
     return out.select("payload_id", "entity", "scope", F.array_join("references", ",").alias("refs"), F.array_join("hints", ",").alias("hints"), F.array_join(file, ",").alias("attachments"))
 
 
-@register("s07_page_links", f"""WITH a AS (SELECT page_id, {_BASE} AS o, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages), b AS (SELECT * FROM a WHERE NOT regexp_matches(href, '[^\\x00-\\x7F]') AND regexp_matches(href, '^/[A-Za-z]*$')), n AS (SELECT DISTINCT page_id, {_BASE} AS o FROM pages)
+@register("s07_page_links", f"""WITH a AS (SELECT page_id, {_BASE} AS o, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages), b AS (SELECT * FROM a WHERE NOT regexp_matches(href, '[^\\x00-\\x7F]')), n AS (SELECT DISTINCT page_id, {_BASE} AS o FROM pages)
     SELECT page_id, o || href AS link, substr(href, 2) AS name, false AS is_document, false AS is_zip FROM b WHERE href <> '/the'
     UNION ALL SELECT page_id, o || '/d/f' || page_id || '.PDF?x=1', 'f' || page_id || '.PDF', true, false FROM n UNION ALL SELECT page_id, o || '/download/' || page_id, 'All files.zip', true, true FROM n UNION ALL SELECT page_id, o || '/d/y.html', 'y.html', false, false FROM n""")
 def s07(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +80,7 @@ def s07(spark: SparkSession, d: str) -> DataFrame:
     more = F.concat(F.lit('<a class="x" href="f'), number, F.lit('.PDF?x=1">file</a><a href="/download/'), number, F.lit('"> All  <b>files.zip</b></a><a rel="nofollow next" href="/p2">more</a><a href="y.html"></a>'))
     p = table(spark, d, "pages").select("page_id", F.concat(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), F.lit("/d/x")).alias("url"), F.concat("html", more).alias("html"))
     out = L.extract_page_links(p, excluded=["^/the$"], markers=["/download/"])
-    return out.where(r"link RLIKE '://[^/]*/([A-Za-z]*$|d/|download/)'").select("page_id", "link", "name", "is_document", "is_zip")
+    return out.select("page_id", "link", "name", "is_document", "is_zip")
 
 
 @register("s08_label_values", "SELECT p_partkey AS page_id, 'entity' AS field, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'reference', 'R' || p_partkey FROM part")
