@@ -241,7 +241,9 @@ def manifest(docs: DataFrame, changed: Column | None = None, levels: int = LEVEL
     own = leaves(docs)
     other = own if changed is None else F.when(changed.eqNullSafe(F.col("text")), own).otherwise(leaves(docs, changed))
     named = F.col("source").isNotNull().cast("int").alias("named")
-    placed = stored(_placed(docs.select(named, F.coalesce("source", F.lit("")).alias("name"), "doc_id", own.alias("leaf"), other.alias("changed")), ["doc_id", "leaf"]))
+    # written before the range sort, whose sample would read and hash every text a second time
+    hashed = stored(docs.select(named, F.coalesce("source", F.lit("")).alias("name"), "doc_id", own.alias("leaf"), other.alias("changed")))
+    placed = stored(_placed(hashed, ["doc_id", "leaf"]))
     roots, heads = climb(placed.withColumnRenamed("leaf", "digest"), levels)
     roots = stored(roots)
     # the tree of the sources' roots: all of them under one name
