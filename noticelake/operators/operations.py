@@ -373,32 +373,38 @@ def reconstruct_timeline(notices: DataFrame, documents: DataFrame, triage: DataF
     triage results.  Within a notice, events stand by time, event id as text and
     sequence; numbers count a notice's documents, triage results and
     notifications and a notification's attempts, and are 0 for the rest.
+
+    All kinds go through one shuffle by notice: a row brings its events along,
+    and every count and the final order are windows within that partitioning.
     """
-    number = lambda key, ts, i: F.row_number().over(Window.partitionBy(key).orderBy(ts, i))
+    col = F.col
 
-    def events(df: DataFrame, stage: str, status: Column, ts: str, prefix: str, key: str, sequence: Column = F.lit(0)) -> DataFrame:
-        return df.select("notice_id", F.lit(stage).alias("stage"), status.alias("status"), F.col(ts).cast("timestamp").alias("ts"), F.concat(F.lit(f"{prefix}-"), F.col(key).cast("string")).alias("event_id"), sequence.cast("int").alias("sequence"))
+    def event(stage: str, status: Column | str, ts: str, prefix: str, key: str, numbered: bool = False, when: Column | None = None) -> Column:
+        out = F.struct(F.lit(stage).alias("stage"), (F.lit(status) if isinstance(status, str) else status).alias("status"), col(ts).cast("timestamp").alias("ts"), F.concat(F.lit(f"{prefix}-"), col(key).cast("string")).alias("event_id"), F.lit(numbered).alias("_numbered"))
+        return out if when is None else F.when(when, out)
 
-    col = F.col
-    docs = documents.withColumn("_n", number("notice_id", "created_at", "document_id"))
+    def rows(df: DataFrame, group: str, ts: str, key: str, *events: Column, within: Column | None = None) -> DataFrame:
+        """A row per source row: what is counted together, in which order, and its events."""
+        place = F.lit("") if within is None else within.cast("string")
+        return df.select("notice_id", F.lit(group).alias("_group"), place.alias("_within"), col(ts).cast("timestamp").alias("_ts"), col(key).cast("string").alias("_id"), F.array_compact(F.array(*events)).alias("_events"))
+
+    known = lambda c: col(c) != "pending"
     tries = attempts.join(notifications.select("notice_id", "notification_id"), "notification_id")
-    turn = number("notice_id", "ts", "verdict_id")
-    verdicts = verdicts.withColumn("_n", turn)
     related = related_runs(runs, triage, "notice_id").join(runs.drop("notice_id").dropDuplicates(["run_id"]), "run_id")
     kinds = [
-        events(notices, "discovery", F.lit("seen"), "first_seen_at", "notice", "notice_id"),
-        events(notices.where("resolved_at IS NOT NULL"), "deadline_resolution", F.coalesce("deadline_source", F.lit("unresolved")), "resolved_at", "deadline", "notice_id"),
-        events(docs, "document_discovery", F.lit("discovered"), "created_at", "doc-discovery", "document_id", col("_n")),
-        events(docs.where("download_status <> 'pending'"), "document_acquisition", col("download_status"), "updated_at", "doc-acquire", "document_id", col("_n")),
-        events(docs.where("extraction_status <> 'pending'"), "document_processing", col("extraction_status"), "updated_at", "doc-process", "document_id", col("_n")),
-        events(verdicts.where("_n = 1") if first_verdict else verdicts, "verdict", F.lit("completed"), "ts", "verdict", "verdict_id"),
-        events(triage, "triage", col("status"), "ts", "triage", "triage_id", number("notice_id", "ts", "triage_id")),
-        events(notifications, "notification", col("status"), "ts", "notif", "notification_id", number("notice_id", "ts", "notification_id")),
-        events(tries, "notification_attempt", col("status"), "ts", "notif-attempt", "attempt_id", number("notification_id", "ts", "attempt_id")),
-        events(related, "run", F.lit("started"), "started_at", "run-start", "run_id"),
-        events(related.where("ended_at IS NOT NULL"), "run", F.when(col("failed"), "errored").otherwise("completed"), "ended_at", "run-end", "run_id"),
-    ]
-    out = kinds[0]
+        rows(notices, "notice", "first_seen_at", "notice_id", event("discovery", "seen", "first_seen_at", "notice", "notice_id"), event("deadline_resolution", F.coalesce("deadline_source", F.lit("unresolved")), "resolved_at", "deadline", "notice_id", when=col("resolved_at").isNotNull())),
+        rows(documents, "document", "created_at", "document_id", event("document_discovery", "discovered", "created_at", "doc-discovery", "document_id", True), event("document_acquisition", col("download_status"), "updated_at", "doc-acquire", "document_id", True, known("download_status")), event("document_processing", col("extraction_status"), "updated_at", "doc-process", "document_id", True, known("extraction_status"))),
+        rows(verdicts, "verdict", "ts", "verdict_id", event("verdict", "completed", "ts", "verdict", "verdict_id")),
+        rows(triage, "triage", "ts", "triage_id", event("triage", col("status"), "ts", "triage", "triage_id", True)),
+        rows(notifications, "notification", "ts", "notification_id", event("notification", col("status"), "ts", "notif", "notification_id", True)),
+        rows(tries, "attempt", "ts", "attempt_id", event("notification_attempt", col("status"), "ts", "notif-attempt", "attempt_id", True), within=col("notification_id")),
+        rows(related, "run", "started_at", "run_id", event("run", "started", "started_at", "run-start", "run_id"), event("run", F.when(col("failed"), "errored").otherwise("completed"), "ended_at", "run-end", "run_id", when=col("ended_at").isNotNull())),
+    ]
+    whole = kinds[0]
     for k in kinds[1:]:
-        out = out.unionByName(k)
+        whole = whole.unionByName(k)
+    counted = whole.repartition("notice_id").withColumn("_n", F.row_number().over(Window.partitionBy("notice_id", "_group", "_within").orderBy("_ts", col("_id").try_cast("long"), "_id")))
+    if first_verdict:
+        counted = counted.where("_group <> 'verdict' OR _n = 1")
+    out = counted.select("notice_id", "_n", F.inline("_events")).select("notice_id", "stage", "status", "ts", "event_id", F.when(col("_numbered"), col("_n")).otherwise(0).alias("sequence"))
     return out.withColumn("position", F.row_number().over(Window.partitionBy("notice_id").orderBy("ts", "event_id", "sequence")))
