@@ -186,9 +186,9 @@ def distinct_count(df: DataFrame, by: Sequence[str], key: str, approximate: bool
 
 
 def page_result(df: DataFrame, order: Sequence[Column | str], offset: int, limit: int) -> DataFrame:
-    """A page of the ordered rows, each with the ``total`` of all rows; a page beyond the end is empty."""
-    total = df.count()
-    return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", F.lit(total).cast("long"))
+    """A page of the ordered rows, each with the ``total`` of all rows; a page beyond the end is empty.  The total is a scalar subquery of the same plan."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
 
 
 def top_failures(runs: DataFrame, order: Sequence[Column | str], k: int = 10) -> DataFrame:
