@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from noticelake.llm import minhash
 from noticelake.llm.common import documents, stored
-from noticelake.llm.components import components
+from noticelake.llm.components import components, extended
 
 #: Links need 100 * |A and B| >= 80 * |A or B|.
 PERCENT = 80
@@ -112,10 +112,9 @@ def near_duplicates(df: DataFrame, large: int = LARGE) -> DataFrame:
 
     sets = _sets(docs, buckets.select("doc_id").distinct())
     nearest = buckets.where("doc_id <> a").groupBy(F.col("doc_id").alias("b")).agg(F.min("a").alias("a"))
-    links = stored(_verified(nearest, sets))
-    rest = stored(_unlinked(buckets, components(links)))
-    links = links.unionByName(stored(_verified(rest, sets)))
-    found = components(links)
+    found = components(stored(_verified(nearest, sets)))
+    rest = stored(_unlinked(buckets, found))
+    found = extended(found, stored(_verified(rest, sets)))
 
     left = _left(buckets.select("band", "doc_id"), found)
     # a row for each set of an id: where an id repeats with other texts, any of its sketches may admit a pair
@@ -126,9 +125,7 @@ def near_duplicates(df: DataFrame, large: int = LARGE) -> DataFrame:
     crowd = left.where(F.col("n_members") > large).select("doc_id").distinct()
     rare = stored(_rare(crowd, sets)).join(about.drop("bands"), "doc_id")
     more = _across(here, "band", first).unionByName(_across(rare, "item")).distinct().join(nearest.select("a", "b").unionByName(rest), ["a", "b"], "left_anti")
-    links = links.unionByName(stored(_verified(more, sets)))
-
-    classes = components(links.unionByName(same))
+    classes = extended(found, stored(_verified(more, sets)).unionByName(same))
     out = sketched.select("doc_id", "n_shingles").join(classes.select(F.col("node").alias("doc_id"), F.col("component")), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component.isNull() | (F.col("doc_id") == component)).alias("kept"))

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticelake.llm.common import documents, stored
-from noticelake.llm.components import components
+from noticelake.llm.components import components, extended
 from noticelake.llm.minhash import _parts, set_key, shingles, texts
 
 WIDTH = 3
@@ -310,8 +310,6 @@ def jaccard_join(df: DataFrame) -> DataFrame:
     members = stored(shared.join(within, "item").join(lies, "h"))
     hits = members.alias("a").join(members.alias("b"), (F.col("a.item") == F.col("b.item")) & _apart()).select(F.col("a.h").alias("q"), F.col("a.times").alias("times"), F.col("a.item").alias("item"), F.col("b.h").alias("b"))
     more = name(_merged(stored(hits))).join(tried.unionByName(tried.select(F.col("b").alias("q"), F.col("q").alias("b"))), ["q", "b"], "left_anti")
-    links = links.unionByName(_linked(more, bodies, often))
-
-    classes = components(links.unionByName(same))
+    classes = extended(found, _linked(more, bodies, often).unionByName(same))
     out = rows.select("doc_id", "n_shingles").join(classes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

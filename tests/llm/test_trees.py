@@ -114,7 +114,7 @@ def model_rounds(ids: np.ndarray) -> int:
 def test_components_take_logarithmic_rounds(spark, monkeypatch):
     assert model_rounds(np.random.default_rng(1).permutation(100_000)) <= 25 and model_rounds(np.arange(100_000)) <= 25
     rounds, hooked = [], components._hooked
-    monkeypatch.setattr(components, "_hooked", lambda both, turn: rounds.append(turn) or hooked(both, turn))
+    monkeypatch.setattr(components, "_hooked", lambda links, turn: rounds.append(turn) or hooked(links, turn))
     ids = np.random.default_rng(2).permutation(400)
     links = [(int(a), int(b)) for a, b in zip(ids, ids[1:])] + [(900, k) for k in range(1000, 1300)] + [(2000, 2000), (None, 5), (2001, 2002), (2002, 2001)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -123,6 +123,16 @@ def test_components_take_logarithmic_rounds(spark, monkeypatch):
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_further_links_extend_components(spark):
+    r = random.Random(6)
+    links = [(r.randrange(120), r.randrange(120)) for _ in range(90)]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    want = {(x.node, x.component) for x in components.components(table(links)).collect()}
+    for cut in (0, 30, 90):
+        got = components.extended(components.components(table(links[:cut])), table([*links[cut:], (None, 3)])).collect()
+        assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
 def test_stored_tables_can_be_removed(spark):
     df = common.stored(spark.range(3))
     common.discard(df)
