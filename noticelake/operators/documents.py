@@ -138,10 +138,6 @@ def kb_sections(kb: DataFrame, key: str = "kb_id") -> DataFrame:
     return parts.select(key, "position", heading.alias("heading"), F.regexp_replace(text, r"^\s+|\s+$", "").alias("text"))
 
 
-#: Providers at most; they are configuration.
-MAX_PROVIDERS = 100
-
-
 def plan_delivery(attachments: DataFrame, providers: DataFrame) -> DataFrame:
     """(notification_id, pos, size) by provider limits -> (notification_id, provider_id, attached, linked).
 
@@ -150,16 +146,13 @@ def plan_delivery(attachments: DataFrame, providers: DataFrame) -> DataFrame:
     ones are still tried.  The first provider by priority that carries all
     wins, else the one with most files, then fewest bytes.
     """
-    configured = providers.orderBy("priority", "provider_id").limit(MAX_PROVIDERS + 1).collect()
-    if len(configured) > MAX_PROVIDERS:
-        raise ValueError(f"more than {MAX_PROVIDERS} providers")
-    kind = {c: providers.schema[c].dataType for c in providers.columns}
-    each = F.array(*[F.struct(*[F.lit(r[c]).cast(kind[c]).alias(c) for c in providers.columns]) for r in configured])
+    # the configuration as one value, a scalar subquery of the plan
+    each = providers.agg(F.array_sort(F.collect_list(F.struct(*providers.columns)))).scalar()
     coded = 4 * F.ceil(F.col("size") / 3)
     # of files of one size a later one is attached only where all before it were: so many as some provider could carry
-    most = F.array_max(F.transform(each, lambda p: F.when(F.col("size") <= p["max_file"], F.least(p["max_files"], F.coalesce(F.floor(p["max_message"] / F.nullif(coded, F.lit(0))), p["max_files"]))).otherwise(0)))
+    most = F.array_max(F.transform("_each", lambda p: F.when(F.col("size") <= p["max_file"], F.least(p["max_files"], F.coalesce(F.floor(p["max_message"] / F.nullif(coded, F.lit(0))), p["max_files"]))).otherwise(0)))
     turn = F.row_number().over(Window.partitionBy("notification_id", "size").orderBy("pos"))
-    first = attachments.withColumn("_most", most).where("_most > 0").withColumn("_turn", turn).where("_turn <= _most")
+    first = attachments.withColumn("_each", each).withColumn("_most", most).drop("_each").where("_most > 0").withColumn("_turn", turn).where("_turn <= _most")
     total = attachments.groupBy("notification_id").agg(F.count(F.lit(1)).alias("total"))
     items = first.groupBy("notification_id").agg(F.array_sort(F.collect_list(F.struct("pos", coded.alias("coded"), F.col("size").alias("raw")))).alias("items"))
     both = total.join(items, "notification_id", "left").withColumn("items", F.coalesce("items", F.array().cast("array<struct<pos: bigint, coded: bigint, raw: bigint>>")))
@@ -178,7 +171,7 @@ def plan_delivery(attachments: DataFrame, providers: DataFrame) -> DataFrame:
 
         return F.aggregate("items", start, step, ranked)
 
-    best = both.select("notification_id", "total", F.array_min(F.transform(each, packed)).alias("best")).where("best IS NOT NULL")
+    best = both.withColumn("_each", each).where(F.size("_each") > 0).select("notification_id", "total", F.array_min(F.transform("_each", packed)).alias("best"))
     return best.select("notification_id", F.col("best.provider_id").alias("provider_id"), (-F.col("best.n")).cast("long").alias("attached"), (F.col("total") + F.col("best.n")).cast("long").alias("linked"))
 
 
