@@ -4,8 +4,11 @@ About ``2 sqrt(n)`` centroids, fitted on bounded samples in two levels, are held
 in memory with a graph that links each to its nearest ones.  A vector goes to
 the list of its nearest centroid and, near a boundary, to the lists of others
 almost as near.  A query searches the graph and reads the lists whose centroids
-are within a ratio of the nearest one's distance; how many it may read grows
-with the number of lists.  Long lists are dealt to chunks and their queries to
+are within a ratio of the distance up to which centroids hold a few times what
+is asked for.  The ratio isn't fixed: a bounded sample of the queries is searched
+in all vectors, and the ratio is what ``TARGET`` of their true neighbours need, so
+that data with clusters read little and data without any read most lists.  Where
+the graph loses some of these neighbours, all centroids are compared.  Long lists are dealt to chunks and their queries to
 parts, so that no task holds more than one of each.  Equal vectors are searched
 once, under their smallest ids.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,10 +34,12 @@ PER_LIST = 32
 NEAR_GROUPS = 12
 #: A vector is copied to lists up to this ratio of its nearest centroid's distance, and to so many.
 COPY_RATIO, MAX_COPIES = 1.06, 4
-#: A query reads lists up to this ratio; so many at least, and this share of all lists at most.
-READ_RATIO, LEAST_READ, READ_SHARE = 1.6, 128, 1 / 6
-#: Links of a centroid in the graph, and the search's breadth beyond what is asked for.
-LINKS, BREADTH = 24, 32
+#: A query reads so many lists at least; up to this share of the lists it finds them in the graph, beyond it all centroids are compared.
+LEAST_READ, GRAPH_SHARE = 128, 1 / 6
+#: Queries that are searched in all vectors to find the ratio, and the share of their true neighbours that it is to reach.
+PROBES, TARGET = 200, 0.98
+#: Links of a centroid in the graph, the search's breadth beyond what is asked for, and the centroids it starts from.
+LINKS, BREADTH, STARTS = 24, 32, 8
 #: Vectors in a chunk of a list, and queries in a part of those that read it.
 CHUNK, PART = 2_000, 4_000
 K = 10
@@ -50,12 +56,14 @@ def matrix(vectors: pd.Series) -> np.ndarray:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared Euclidean distances, good enough to choose by."""
+    """Squared Euclidean distances, good enough to choose by; about the middle of b, as rounding grows with what all have in common."""
+    middle = b.mean(0)
+    a, b = a - middle, b - middle
     return np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None], 0)
 
 
 class Graph:
-    """Centroids and their links, searched from the one nearest to their mean; and their groups with what a vector of each is compared with."""
+    """Centroids and their links, searched from those near a vector's own group; and their groups with what a vector of each is compared with."""
 
     def __init__(self, points: np.ndarray, groups: np.ndarray | None = None, of: np.ndarray | None = None) -> None:
         self.points, n = points, len(points)
@@ -71,7 +79,6 @@ class Graph:
             near[at : at + 256] = np.argpartition(d, max(links - 1, 0), axis=1)[:, :links]
         ring = (np.arange(n)[:, None] + np.array([1, n // 2 + 1])) % n  # so that every centroid can be reached
         self.links = np.concatenate([near, ring], axis=1)
-        self.entry = int(np.argmin(distances(points.mean(0, keepdims=True), points)))
 
     def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers, -1 where there are fewer, and squared distances of the k nearest centroids of each row, nearest first, among those of the groups near its own."""
@@ -95,8 +102,11 @@ class Graph:
         ids = np.full((len(x), width), -1)
         dist = np.full((len(x), width), np.inf)
         seen = np.zeros((len(x), len(self.points)), bool)
-        ids[:, 0], seen[:, self.entry] = self.entry, True
-        dist[:, 0] = ((x - self.points[self.entry]) ** 2).sum(1)
+        start = self.nearest(x, min(STARTS, width))[0]
+        ids[:, : start.shape[1]] = start
+        dist[:, : start.shape[1]] = np.where(start >= 0, ((x[:, None, :] - self.points[start]) ** 2).sum(2), np.inf)
+        r, c = np.nonzero(start >= 0)
+        seen[r, start[r, c]] = True
         open_ = ids >= 0
         while True:
             waiting = np.where(open_, dist, np.inf)
@@ -120,6 +130,14 @@ class Graph:
             take = lambda m: np.take_along_axis(m, best, 1)
             dist[live], ids[live], open_[live] = take(all_d), take(all_i), take(all_o)
 
+    def ordered(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and squared distances of the ``most`` nearest centroids of each row, nearest first: from the graph where they are few, else by comparing all."""
+        if most <= GRAPH_SHARE * len(self.points):
+            return self.search(x, most)
+        d = distances(x, self.points)
+        ids = np.argsort(d, axis=1, kind="stable")[:, :most]
+        return ids, np.take_along_axis(d, ids, 1)
+
 
 def centroids(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
     """k-means centroids of the sample; an empty cluster takes the point of the sample that is farthest from its own."""
@@ -185,17 +203,99 @@ def _postings(vectors: DataFrame, graph) -> DataFrame:
     return vectors.select("v", "ids").mapInPandas(run, "list int, v binary, ids array<long>")
 
 
-def _reads(queries: DataFrame, graph, sizes: np.ndarray, least: int) -> DataFrame:
-    """(q, v) -> (list, q, v) for every list that a query reads: those within the ratio, and the next ones until their ``sizes`` reach ``least``."""
-    most = max(LEAST_READ, int(np.ceil(READ_SHARE * len(sizes))))
+class Reach(NamedTuple):
+    """Which lists queries read: the ``LEAST_READ`` nearest, and of the ``most`` nearest those within ``ratio``."""
+
+    ratio: float
+    most: int
+
+    def read(self, ids: np.ndarray, d: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+        """Which of the lists ``ids``, at squared distances ``d`` and nearest first, each row reads: ``ratio`` is of the distance at which lists hold ``least``."""
+        return (ids >= 0) & ((np.arange(ids.shape[1]) < LEAST_READ) | (d <= self.ratio**2 * _base(ids, d, sizes, least)))
+
+
+def _base(ids: np.ndarray, d: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+    """The squared distance of the list with which the nearest ones hold ``least`` vectors, a column."""
+    held = np.cumsum(np.where(ids >= 0, sizes[ids], 0), axis=1)
+    at = np.minimum((held < least).sum(1), ids.shape[1] - 1)
+    return d[np.arange(len(d)), at][:, None]
+
+
+def _batch(lists: int) -> int:
+    """Queries that are compared with so many lists at once."""
+    return max(1, min(500, 4_000_000 // lists))
+
+
+def _truth(vectors: DataFrame, probes: np.ndarray, k: int) -> dict[int, np.ndarray]:
+    """The k vectors nearest to each probe, other than its own, among all: each task finds its own k, and these are merged by probe."""
+    sent = vectors.sparkSession.sparkContext.broadcast(probes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = {p.tobytes(): i for i, p in enumerate(sent.value)}
+        best_d, best_v = np.full((len(own), k), np.inf), np.full((len(own), k), None, object)
+        for frame in frames:
+            v = frame["v"].to_numpy()
+            d = distances(sent.value, matrix(frame["v"]))
+            for j in np.flatnonzero([bytes(x) in own for x in v]):
+                d[own[bytes(v[j])], j] = np.inf
+            for i in range(len(d)):
+                near = np.argpartition(d[i], k - 1)[:k] if d.shape[1] > k else np.arange(d.shape[1])
+                all_d, all_v = np.concatenate([best_d[i], d[i][near]]), np.concatenate([best_v[i], v[near]])
+                take = np.argsort(all_d, kind="stable")[:k]
+                best_d[i], best_v[i] = all_d[take], all_v[take]
+        rows, cols = np.nonzero(np.isfinite(best_d))
+        yield pd.DataFrame({"probe": rows, "d": best_d[rows, cols], "v": best_v[rows, cols]})
+
+    found = vectors.select("v").mapInPandas(run, "probe int, d double, v binary")
+    best = found.groupBy("probe").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "v"))), 1, k).alias("best")).select("probe", F.col("best.v").alias("v"))
+    return {r["probe"]: matrix(pd.Series([bytes(x) for x in r["v"]])) for r in best.collect()}  # PROBES * k vectors
+
+
+def _reach(vectors: DataFrame, queries: DataFrame, model: Graph, sizes: np.ndarray, least: int, k: int) -> Reach:
+    """What the lists of a bounded sample's true neighbours ask for."""
+    lists = len(sizes)
+    if lists <= LEAST_READ:
+        return Reach(1.0, lists)
+    probes = queries.select("v").orderBy(F.xxhash64("v", F.lit(1)), "v").limit(PROBES).toPandas()["v"]
+    if not len(probes):
+        return Reach(1.0, LEAST_READ)
+    x = matrix(probes)
+    truth = _truth(vectors, x, k)
+    place, need, base, order, dist = {}, [], np.empty(len(x)), np.empty((len(x), lists), np.int32), np.empty((len(x), lists))
+    for at in range(0, len(x), _batch(lists)):
+        part = slice(at, at + _batch(lists))
+        order[part], dist[part] = model.ordered(x[part], lists)
+        base[part] = _base(order[part], dist[part], sizes, least)[:, 0]
+    for i, v in truth.items():
+        ids, d = model.nearest(v, MAX_COPIES)
+        place[i] = [row[(row >= 0) & (near <= COPY_RATIO**2 * near[0])] for row, near in zip(ids, d)]
+        at = np.empty(lists, int)
+        at[order[i]] = np.arange(lists)
+        # what the nearest lists hold anyway needs no ratio
+        first = [at[p].min() for p in place[i]]
+        need += [0.0 if f < LEAST_READ else np.sqrt(dist[i, f] / max(base[i], 1e-300)) for f in first]
+    ratio = max(1.0, float(np.quantile(need, TARGET, method="higher")) * (1 + 1e-9)) if need else 1.0
+    wide = int(((dist <= ratio**2 * base[:, None]).sum(1)).max())
+    for most in (max(LEAST_READ, min(lists, int(np.ceil(1.25 * wide)))), lists):
+        reach, hits = Reach(ratio, most), 0
+        for i in truth:
+            ids, d = model.ordered(x[i : i + 1], most)
+            read = ids[0][reach.read(ids, d, sizes, least)[0]]
+            hits += sum(np.isin(p, read).any() for p in place[i])
+        if hits >= (TARGET - 0.01) * len(need):
+            break
+    return reach
+
+
+def _reads(queries: DataFrame, graph, sizes: np.ndarray, least: int, reach: Reach) -> DataFrame:
+    """(q, v) -> (list, q, v) for every list that a query reads."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), 500):
-                part = frame.iloc[at : at + 500]
-                ids, d = graph.value.search(matrix(part["v"]), most)
-                held = np.where(ids >= 0, sizes[ids], 0)
-                rows, cols = np.nonzero((ids >= 0) & ((d <= READ_RATIO**2 * d[:, :1]) | (np.cumsum(held, axis=1) - held < least)))
+            for at in range(0, len(frame), _batch(len(sizes))):
+                part = frame.iloc[at : at + _batch(len(sizes))]
+                ids, d = graph.value.ordered(matrix(part["v"]), reach.most)
+                rows, cols = np.nonzero(reach.read(ids, d, sizes, least))
                 yield pd.DataFrame({"list": ids[rows, cols], "q": part["q"].to_numpy()[rows], "v": part["v"].to_numpy()[rows]})
 
     return queries.mapInPandas(run, "list int, q long, v binary")
@@ -251,7 +351,8 @@ def _search(rows: DataFrame, k: int, every: int) -> DataFrame:
         sizes[r["list"]] = r["n"]
     asked = rows.where(F.col("vec_id") % every == 0)
     queries = stored(asked.groupBy("v").agg(F.min("vec_id").alias("q")).select("q", "v"))
-    reads = stored(_reads(queries, graph, sizes, 20 * (k + 1)))
+    least = 20 * (k + 1)
+    reads = stored(_reads(queries, graph, sizes, least, _reach(vectors, queries, model, sizes, least, k)))
     deal = held.select("list", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")).join(reads.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "list")
     # each part of a list's queries meets each chunk of its vectors in a task of its own
     every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -262,6 +363,8 @@ def _search(rows: DataFrame, k: int, every: int) -> DataFrame:
         out = []
         if len(left) and len(right):
             b = matrix(right["v"])
+            middle = b.mean(0)
+            widest = ((b - middle) ** 2).sum(1).max()
             ids, low = right["ids"].to_numpy(), right["ids"].map(lambda x: x[0]).to_numpy()
             for at in range(0, len(left), 256):
                 names = left["q"].to_numpy()[at : at + 256]
@@ -269,7 +372,7 @@ def _search(rows: DataFrame, k: int, every: int) -> DataFrame:
                 d = distances(a, b)
                 m = min(k + 1, len(b))
                 # all that may be as near as the last one, which rounding and ties leave open
-                slack = 1e-9 * ((a * a).sum(1) + (b * b).sum(1).max())
+                slack = 1e-9 * (((a - middle) ** 2).sum(1) + widest)
                 last = np.partition(d, m - 1, axis=1)[:, m - 1] + slack
                 for i in range(len(a)):
                     c = np.flatnonzero(d[i] <= last[i])

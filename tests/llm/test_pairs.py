@@ -130,6 +130,24 @@ def test_neighbours(spark):
     assert [(g.query_id, g.vec_id, g.score) for g in few] == [(0, 7, 1.0)]
 
 
+@pytest.mark.parametrize("kind", ["no clusters", "far from the origin", "all scales"])
+def test_neighbours_of_other_rows(spark, monkeypatch, kind):
+    """Whatever the rows are like, as many lists are read as recall asks for."""
+    for name, value in (("DIRECT", 8), ("LEAST_READ", 4)):
+        monkeypatch.setattr(neighbours, name, value)
+    r = np.random.default_rng(6)
+    x = r.normal(size=(3000, 16))
+    x = {"no clusters": x, "far from the origin": x + 1e8, "all scales": x * np.exp(2 * r.normal(size=(3000, 1)))}[kind]
+    got = neighbours.search(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), every=30).collect()
+    found = {(g.query_id, g.vec_id) for g in got}
+    hits = 0
+    for q in range(0, 3000, 30):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += sum((q, v) in found for v in np.argsort(d, kind="stable")[:10].tolist())
+    assert hits >= 0.9 * 1000
+
+
 def test_neighbours_at_one_distance_and_of_several_lengths(spark):
     """Ties go to the smallest ids however many there are; vectors of other lengths aren't compared."""
     r = np.random.default_rng(4)
