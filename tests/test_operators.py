@@ -18,6 +18,8 @@ from noticelake.functions import urls as U
 from noticelake.operators import changes as X
 from noticelake.operators import documents as D
 from noticelake.operators import evidence as E
+from noticelake.operators import operations as O  # noqa: E741
+from noticelake.operators import reports as R
 
 
 def one(spark, column, *values):
@@ -273,3 +275,48 @@ def test_crawl_ends_at_a_declared_total_or_a_visited_url(spark):
     assert {r.crawl: (r.stop_page, r.reason, r.kept_items) for r in out.collect()} == {
         "total": (2, "total_reached", 4), "visited": (2, "already_visited_url", 4), "short": (2, "short_page", 3), "most": (4, "max_pages_reached", 8), "end": (2, "no_next_page", 4)
     }
+
+
+def _most_rows(df) -> int:
+    """The most rows that a join of the executed plan gave."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        # behind adaptive plans and their stages
+        todo += [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if node.nodeName().endswith("QueryStage") else []
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return most
+
+
+def test_routing_meets_each_profile_and_address_once(spark):
+    """500 notifications and 600 recipients with two addresses: no join gives more than the rows of the result; repeated ids lose and repeat nothing."""
+    n = spark.range(500).selectExpr("id AS notification_id", "id % 3 AS source_id", "CASE WHEN id % 5 > 0 THEN 'APPLY' END AS recommendation", "id % 2 = 0 AS urgent")
+    p = spark.range(600).selectExpr("id + 7 AS recipient_id", "concat(' A', id % 2, '@x.org') AS email", "CASE WHEN id % 4 = 3 THEN 'dev_alert' ELSE 'business' END AS list_type", "CASE id % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'apply' ELSE 'urgent' END AS receives", "CASE WHEN id % 6 = 5 THEN array(id % 3) ELSE array() END AS scope", "id > 9 AS active")
+    out = O.route_recipients(n, p)
+    got = {(r.notification_id, r.email, r.delivery): (r.recipient_id, r.list_type) for r in out.collect()}
+    want = {}
+    for k in range(500):
+        for i in range(10, 600):
+            dev, scope, receives = i % 4 == 3, [i % 3] if i % 6 == 5 else [], ("all", "apply", "urgent")[i % 3]
+            fits = dev if k % 5 == 0 else not dev and (not scope or k % 3 in scope) and (receives != "urgent" or k % 2 == 0)
+            if fits:
+                want.setdefault((k, f"a{i % 2}@x.org", "to"), (i + 7, "dev_alert" if dev else "business"))
+    assert got == want and _most_rows(out) <= len(want)
+    assert _most_rows(O.route_recipients(n, p, test_mode=True)) <= 1000
+    assert _most_rows(O.routing_failed(n, p)) <= 500 and O.routing_failed(n, p).count() == 0
+    assert O.routing_failed(n, p.where("list_type = 'business'")).count() == 100
+    twice = n.unionByName(n.withColumn("urgent", F.expr("NOT urgent")))
+    assert O.route_recipients(twice, p).groupBy("notification_id", "email", "delivery").count().where("count > 1").isEmpty()
+
+
+def test_alerts_are_routed_by_profile(spark):
+    """Repeated alerts and recipients give each pair once, and pairs aren't shuffled to find that."""
+    a = spark.createDataFrame([(1, "x", "info"), (1, "y", "critical"), (1, "x", "info"), (2, "y", "warning"), (3, None, "critical"), (4, "x", "other"), (5, "z", "info")], "alert_id long, alert_type string, severity string")
+    r = spark.createDataFrame([(1, [], "info"), (1, ["x"], "info"), (2, ["x", "y", "y"], "warning"), (3, ["x"], "critical"), (4, None, "critical")], "recipient_id long, alert_types array<string>, min_severity string")
+    got = sorted(tuple(x) for x in R.route_alerts(a, r).collect())
+    assert got == [(1, 1), (1, 2), (1, 4), (2, 1), (2, 2), (3, 1), (3, 4), (5, 1)]
+    last = R.route_alerts(a, r)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not any("Aggregate" in line for line in last[: next(k for k, line in enumerate(last) if "Join" in line)])
