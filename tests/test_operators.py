@@ -320,3 +320,15 @@ def test_alerts_are_routed_by_profile(spark):
     assert got == [(1, 1), (1, 2), (1, 4), (2, 1), (2, 2), (3, 1), (3, 4), (5, 1)]
     last = R.route_alerts(a, r)._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert not any("Aggregate" in line for line in last[: next(k for k, line in enumerate(last) if "Join" in line)])
+
+
+def test_audit_numbers_an_entity_by_blocks(spark):
+    """Positions run over all of an entity's blocks, changes without a time last; no window is over a whole entity's changes."""
+    rows = [(k, "e" if k % 3 else None, None if k % 17 == 0 else f"2024-01-{k % 4 + 1:02d} 0{k % 5}:00:00", {"k": "v"}) for k in range(200)]
+    df = spark.createDataFrame(rows, "change_id long, entity string, at string, fields map<string,string>")
+    timed, apart = df.withColumn("ts", F.col("at").cast("timestamp")).drop("at"), df.drop("at").withColumn("change_id", F.col("change_id") * 10_000)
+    for out, order in ((R.config_audit(timed), lambda x: (x[2] or "", x[0])), (R.config_audit(apart), lambda x: x[0])):
+        want = {(x[0], n) for e in ("e", None) for n, x in enumerate(sorted((x for x in rows if x[1] == e), key=order, reverse=True), 1)}
+        assert {(r.change_id if "ts" in out.columns else r.change_id // 10_000, r.position) for r in out.collect()} == want
+        numbered = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "row_number()" in x and "Window" in x]
+        assert numbered and all(re.search(r"row_number\(\) windowspecdefinition\(entity#[0-9]+, _block#", x) for x in numbered)
