@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -115,21 +116,26 @@ def s09(spark: SparkSession, d: str) -> DataFrame:
 def s10(spark: SparkSession, d: str) -> DataFrame:
     """Every four documents packed into an archive, some of them in one inside, and unpacked again."""
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        def zipped(members: list[tuple[str, bytes]]) -> bytes:
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-                for name, body in members:
-                    z.writestr(name, body)
-            return out.getvalue()
+    def zipped(members: list[tuple[str, bytes]]) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+            for name, body in members:
+                z.writestr(name, body)
+        return out.getvalue()
 
-        files = [(i, f"d{i}.txt", t.encode()) for i, t in zip(frame["doc_id"], frame["text"])]
+    def packed(ids: list[int], texts: list[str]) -> bytes:
+        files = [(i, f"d{i}.txt", t.encode()) for i, t in zip(ids, texts)]
         inner = [(name, body) for i, name, body in files if i % 3 == 0]
-        members = [(name, body) for i, name, body in files if i % 3] + ([("in.zip", zipped(inner))] if inner else []) + [("../up", b"x")]
-        return pd.DataFrame([(f"a{frame['doc_id'].iloc[0] // 4}", zipped(members))], columns=["path", "content"])
+        return zipped([(name, body) for i, name, body in files if i % 3] + ([("in.zip", zipped(inner))] if inner else []) + [("../up", b"x")])
 
-    docs = table(spark, d, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 4).alias("archive"))
-    archives = docs.groupBy("archive").applyInPandas(pack, "path string, content binary")
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), 100):
+                part = frame.iloc[at : at + 100]
+                yield pd.DataFrame({"path": [f"a{ids[0] // 4}" for ids in part["ids"]], "content": [packed(ids, texts) for ids, texts in zip(part["ids"], part["texts"])]})
+
+    docs = table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 4).alias("archive")).agg(F.collect_list(F.struct("doc_id", "text")).alias("docs"))
+    archives = docs.select(F.col("docs.doc_id").alias("ids"), F.col("docs.text").alias("texts")).mapInPandas(pack, "path string, content binary")
     return L.expand_archives(archives).select("member", F.sha2("content", 256).alias("checksum"), "depth", "reject_reason")
 
 

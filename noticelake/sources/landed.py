@@ -180,6 +180,10 @@ def scan_documents(spark, path: str) -> DataFrame:
     return files.select("path", "content", F.sha2("content", 256).alias("checksum"), sniff(F.col("content"), F.col("path")).alias("kind"), F.col("length").alias("size"))
 
 
+#: Bytes of members that are handed on in one frame.
+HELD = 4 << 20
+
+
 def expand_archives(files: DataFrame, members: int = 200, total: int = 512 << 20, each: int = 256 << 20, ratio: int = 200, depth: int = 2) -> DataFrame:
     """(path, content) of ZIP files -> (path, member, content, depth, reject_reason).
 
@@ -213,11 +217,20 @@ def expand_archives(files: DataFrame, members: int = 200, total: int = 512 << 20
             else:
                 yield path, name, body, level, None
 
+    columns = ["path", "member", "content", "depth", "reject_reason"]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            rows, held = [], 0
             for path, blob in zip(frame["path"], frame["content"]):
-                for row in opened(path, bytes(blob), 1):  # a frame per member bounds what is held
-                    yield pd.DataFrame([row], columns=["path", "member", "content", "depth", "reject_reason"])
+                for row in opened(path, bytes(blob), 1):
+                    rows.append(row)
+                    held += len(row[2] or b"")
+                    if held >= HELD or len(rows) >= 1_000:  # bounds what is held beside one member
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return files.select("path", "content").mapInPandas(run, "path string, member string, content binary, depth int, reject_reason string")
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import io
 import zipfile
 
+import pandas as pd
+
+from noticelake.sources import landed
 from noticelake.sources import landed as L
 
 
@@ -39,3 +42,27 @@ def test_parser_mismatch_and_feed_limit(spark):
     feed = spark.createDataFrame([(1, "<rss>" + "".join(f"<item><link>https://a.org/{k}</link><title><![CDATA[t{k}]]></title></item>" for k in range(5)) + "</rss>")], "feed_id int, xml string")
     assert L.read_feed_listings(feed, max_items=3).count() == 3 and L.read_feed_listings(feed, max_items=0).count() == 5
     assert L.read_feed_listings(feed).first().external_id == "https://a.org/0"
+
+
+def test_small_members_share_frames(spark, monkeypatch):
+    """300 members of 100 archives: no frame of its own for each, and all of them whatever a frame may hold."""
+
+    def numbered(k: int) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n in range(3):
+                z.writestr(f"m{n}", f"{k} {n}" * 10)
+        return out.getvalue()
+
+    class Frames:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):  # noqa: N802
+            return list(run(iter([pd.DataFrame({"path": [f"a{k}" for k in range(100)], "content": [numbered(k) for k in range(100)]})])))
+
+    want = {f"a{k}!/m{n}": (f"{k} {n}" * 10).encode() for k in range(100) for n in range(3)}
+    for held, most in ((landed.HELD, 1), (1, 300), (1000, 60)):
+        monkeypatch.setattr(landed, "HELD", held)
+        frames = landed.expand_archives(Frames())
+        assert {m: c for f in frames for m, c in zip(f["member"], f["content"])} == want and len(frames) <= most
