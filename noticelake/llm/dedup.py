@@ -3,10 +3,12 @@
 No step emits all pairs of a bucket:
 
 1. Rows with the same set collapse to the smallest ``doc_id``.
-2. Every member of a band bucket is checked against the smallest id that any of
-   its buckets holds, and the confirmed links are connected; those that still
-   lie in another component than the smallest id of one of their buckets (a
-   star) are checked against that, and connected.
+2. A bucket's centre is the member whose own buckets hold the most members: of
+   an original and its copies that is the original, whatever the ids, as copies
+   leave some of its buckets.  Every member is checked against the best centre of
+   its buckets, and the confirmed links are connected; those that still lie in
+   another component than the centre of one of their buckets (a star) are
+   checked against that, and connected.
 3. What is left are pairs of *different* components in one bucket.  The join
    that looks for them emits a pair only in the first bucket the two share,
    and only where sizes and sketches leave a similarity of 0.8 possible.
@@ -50,7 +52,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _unlinked(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) of a bucket's smallest id and a member that lie in different components."""
+    """The pairs (a, b) of a bucket's centre and a member that lie in different components."""
     named = stored(buckets.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("band", "a", "doc_id", F.coalesce("component", "doc_id").alias("component")))
     centre = named.where("doc_id = a").select(F.col("band").alias("of"), F.col("component").alias("other"))
     apart = named.join(centre, (F.col("band") == F.col("of")) & (F.col("component") != F.col("other")))
@@ -107,11 +109,14 @@ def near_duplicates(df: DataFrame, large: int = LARGE) -> DataFrame:
     first = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("first")))
     same = named.select("doc_id", "set_key").distinct().join(first, "set_key").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     heads = stored(named.join(first, "set_key").where("doc_id = first").select("doc_id", F.explode("bands").alias("band")).distinct())
-    full = stored(heads.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("band", "a"))
-    buckets = stored(heads.join(full, "band"))
+    full = stored(heads.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    shared = stored(heads.join(full, "band"))
+    rank = stored(shared.groupBy("doc_id").agg((-F.sum("members")).alias("few")).select("doc_id", F.struct("few", "doc_id").alias("rank")))
+    centres = stored(shared.join(rank, "doc_id").groupBy("band").agg(F.min("rank").alias("centre")))
+    buckets = stored(shared.select("band", "doc_id").join(centres, "band").select("band", "doc_id", F.col("centre.doc_id").alias("a"), "centre"))
 
     sets = _sets(docs, buckets.select("doc_id").distinct())
-    nearest = buckets.where("doc_id <> a").groupBy(F.col("doc_id").alias("b")).agg(F.min("a").alias("a"))
+    nearest = stored(buckets.where("doc_id <> a").groupBy(F.col("doc_id").alias("b")).agg(F.min("centre")["doc_id"].alias("a")))
     found = components(stored(_verified(nearest, sets)))
     rest = stored(_unlinked(buckets, found))
     found = extended(found, stored(_verified(rest, sets)))
@@ -124,7 +129,8 @@ def near_duplicates(df: DataFrame, large: int = LARGE) -> DataFrame:
     first = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.band")
     crowd = left.where(F.col("n_members") > large).select("doc_id").distinct()
     rare = stored(_rare(crowd, sets)).join(about.drop("bands"), "doc_id")
-    more = _across(here, "band", first).unionByName(_across(rare, "item")).distinct().join(nearest.select("a", "b").unionByName(rest), ["a", "b"], "left_anti")
+    tried = nearest.select("a", "b").unionByName(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = _across(here, "band", first).unionByName(_across(rare, "item")).distinct().join(tried, ["a", "b"], "left_anti")
     classes = extended(found, stored(_verified(more, sets)).unionByName(same))
     out = sketched.select("doc_id", "n_shingles").join(classes.select(F.col("node").alias("doc_id"), F.col("component")), "doc_id", "left")
     component = F.coalesce("component", "doc_id")

@@ -68,6 +68,19 @@ def test_dedup_edges(spark):
     assert dedup.near_duplicates(H.empty(spark)).collect() == []
 
 
+def test_an_original_is_the_centre_of_its_copies(spark, monkeypatch):
+    """60 copies whose ids are smaller than their original's: they are compared with it, not with one another."""
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    copies = [" ".join("x" + w + str(n) if k in cut else w for k, w in enumerate(words)) for n in range(60) for cut in [set(r.sample(range(400), 11))]]
+    rows = [(n, t) for n, t in enumerate(copies)] + [(1000, " ".join(words))]
+    compared, verified = [], dedup._verified
+    monkeypatch.setattr(dedup, "_verified", lambda pairs, sets: compared.append(pairs.count()) or verified(pairs, sets))
+    got = {x.doc_id: x.component_id for x in dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows) and set(got.values()) == {0}
+    assert sum(compared) <= 61
+
+
 def test_chains_and_words_with_a_pattern(spark):
     """A chain of revisions is one class; two long words with nothing in common are two."""
     w, rows = [f"r{k}" for k in range(120)], []
