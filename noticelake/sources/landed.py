@@ -120,7 +120,8 @@ def read_json_details(payloads: DataFrame, paths: Details) -> DataFrame:
     its type the stated one or that of the name; a size is a number or a text
     such as ``1,2 MB``.
     """
-    v = lambda: F.try_parse_json("json")
+    payloads = payloads.select("payload_id", "url", F.try_parse_json("json").alias("json"))  # each text is parsed once, as its paths are many
+    v = lambda: F.col("json")
     text = lambda of, p: F.nullif(clean_text(F.try_variant_get(of, p, "string")), F.lit(""))
     first = lambda candidates: F.coalesce(*[text(v(), p) for p in candidates])
     items = lambda p: F.coalesce(F.try_variant_get(v(), p, "array<variant>"), F.when(F.try_variant_get(v(), p, "variant").isNotNull(), F.array(F.try_variant_get(v(), p, "variant"))), F.array().cast("array<variant>"))

@@ -66,3 +66,10 @@ def test_small_members_share_frames(spark, monkeypatch):
         monkeypatch.setattr(landed, "HELD", held)
         frames = landed.expand_archives(Frames())
         assert {m: c for f in frames for m, c in zip(f["member"], f["content"])} == want and len(frames) <= most
+
+
+def test_a_detail_payload_is_parsed_once(spark):
+    paths = L.Details(["$.a", "$.b"], ["$.c"], "$.refs", "$.hints", "$.text", "$.files", "$.href", "$.label", "$.type", "$.bytes")
+    out = L.read_json_details(spark.createDataFrame([(1, "https://x.org", '{"b": "t", "refs": "R1"}'), (2, "https://x.org", "no json")], "payload_id long, url string, json string"), paths)
+    assert [(r.entity, r.references) for r in out.orderBy("payload_id").collect()] == [("t", ["R1"]), (None, [])]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parseJson") <= 1
