@@ -322,6 +322,15 @@ def test_alerts_are_routed_by_profile(spark):
     assert not any("Aggregate" in line for line in last[: next(k for k, line in enumerate(last) if "Join" in line)])
 
 
+def test_pairs_of_alerts_are_made_by_many_tasks(spark):
+    """600 alerts and 2,000 recipients: inputs of few bytes and 833,300 pairs, of which no task makes a quarter."""
+    a = spark.range(600).selectExpr("id AS alert_id", "CASE WHEN id % 2 = 0 THEN 'x' ELSE 'y' END AS alert_type", "get(array('info', 'warning', 'critical'), CAST(id % 3 AS INT)) AS severity")
+    r = spark.range(2000).selectExpr("id AS recipient_id", "CASE id % 3 WHEN 0 THEN CAST(array() AS ARRAY<STRING>) WHEN 1 THEN array('x') ELSE array('x', 'y') END AS alert_types", "get(array('info', 'warning'), CAST(id % 2 AS INT)) AS min_severity")
+    want = sum((k % 2 == 0 or i % 3 != 1) and k % 3 >= i % 2 for k in range(600) for i in range(2000))
+    made = [x["count"] for x in R.route_alerts(a, r).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == want and max(made) < want / 4
+
+
 def test_audit_numbers_an_entity_by_blocks(spark):
     """Positions run over all of an entity's blocks, changes without a time last; no window is over a whole entity's changes."""
     rows = [(k, "e" if k % 3 else None, None if k % 17 == 0 else f"2024-01-{k % 4 + 1:02d} 0{k % 5}:00:00", {"k": "v"}) for k in range(200)]
